@@ -36,7 +36,8 @@ def cell(v):
 
 def sorted_rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(cell(r[i]) for i in order) for r in rows), [columns[i] for i in order]
+    cells = [tuple(cell(r[i]) for i in order) for r in rows]
+    return sorted(cells, key=lambda r: [(c is None, c or "") for c in r]), [columns[i] for i in order]
 
 
 def compare(df, con, sql):
