@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("url_queries", "page_queries", "robots_queries", "sitemap_queries", "rule_queries", "frontier_queries", "stats_queries", "window_queries")
+_MODULES = ("url_queries", "page_queries", "robots_queries", "sitemap_queries", "rule_queries", "frontier_queries", "stats_queries", "window_queries", "io_queries", "chat_queries", "stream_queries")
 
 
 def all_queries():
