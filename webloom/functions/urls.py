@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,18 +83,12 @@ PUBLIC_SUFFIXES = (
 # Characters that may not appear unescaped in a path or query.
 ILLEGAL_URL_CHARS = r'[<>"{}|\\^`\x00-\x1f\x7f]'
 
-_LEADING_JUNK = "".join(chr(c) for c in range(0x21))
-
+# Most URLs are usable as they stand, many are canonical already: one pattern settles those.
+_PLAIN = r"""[^?#<>"{}|\\^`\x00-\x20\x7f]"""
+_USABLE = rf"^[Hh][Tt][Tt][Pp][Ss]?://[^/?#\x00-\x20]+(?:/{_PLAIN}*)?(?:\?(?:{_PLAIN}|\?)*)?(?:#.*)?$"
+_CANONICAL = r"^https?://[a-z0-9.\-]+/(?:[^?#;\x00-\x20]*[^?#;/\x00-\x20])?$"
 
-@dataclass(frozen=True)
-class UrlParts:
-    scheme: Column
-    netloc: Column
-    path: Column
-    query: Column
-    userinfo: Column
-    host: Column
-    port: Column
+_LEADING_JUNK = "".join(chr(c) for c in range(0x21))
 
 
 def _as_col(c: Column | str) -> Column:
@@ -102,28 +96,55 @@ def _as_col(c: Column | str) -> Column:
 
 
 _SCHEME = r"(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
-_AUTH = rf"^{_SCHEME}//(?:[^/?#]*@)?"
+_AUTH = rf"^{_SCHEME}//(?:[^/?#]*@)?+"
 
 
-def split_url(url: Column | str) -> UrlParts:
-    """Parts of a URL; absent parts are '' (port: NULL). Fragment and ;params are cut.
+class UrlParts:
+    """Parts of a URL as columns, made when asked for; absent parts are '' (port: NULL).
 
     Every part is one regular expression over the URL itself, so expressions
     built on the parts stay small.
     """
-    u = F.translate(F.ltrim(_as_col(url), F.lit(_LEADING_JUNK)), "\t\r\n", "")
-    path = F.regexp_extract(u, rf"^{_SCHEME}(?://[^/?#]*)?([^?#]*)", 1)
-    path = F.when(F.contains(path, F.lit(";")), F.regexp_replace(path, r";[^/]*$", "")).otherwise(path)
-    host = F.regexp_extract(u, _AUTH + r"(\[[^\]/?#]*\]|[^:/?#]*)", 1)
-    return UrlParts(
-        scheme=F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)),
-        netloc=F.regexp_extract(u, rf"^{_SCHEME}//([^/?#]*)", 1),
-        path=path,
-        query=F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1),
-        userinfo=F.regexp_extract(u, rf"^{_SCHEME}//([^/?#]*)@", 1),
-        host=F.lower(F.translate(host, "[]", "")),
-        port=F.nullif(F.regexp_extract(u, _AUTH + r"(?:\[[^\]/?#]*\]|[^:/?#]*):([^/?#]*)", 1), F.lit("")),
-    )
+
+    def __init__(self, url: Column):
+        self._u = F.translate(F.ltrim(url, F.lit(_LEADING_JUNK)), "\t\r\n", "")
+
+    def _part(self, pattern: str) -> Column:
+        return F.regexp_extract(self._u, pattern, 1)
+
+    @cached_property
+    def scheme(self) -> Column:
+        return F.lower(self._part(r"^([A-Za-z][A-Za-z0-9+.\-]*):"))
+
+    @cached_property
+    def netloc(self) -> Column:
+        return self._part(rf"^{_SCHEME}//([^/?#]*)")
+
+    @cached_property
+    def path(self) -> Column:
+        """Path without the ;params of its last segment."""
+        path = self._part(rf"^{_SCHEME}(?://[^/?#]*)?([^?#]*)")
+        return F.when(F.contains(path, F.lit(";")), F.regexp_replace(path, r";[^/]*$", "")).otherwise(path)
+
+    @cached_property
+    def query(self) -> Column:
+        return self._part(r"^[^?#]*\?([^#]*)")
+
+    @cached_property
+    def userinfo(self) -> Column:
+        return self._part(rf"^{_SCHEME}//([^/?#]*)@")
+
+    @cached_property
+    def host(self) -> Column:
+        return F.lower(F.translate(self._part(_AUTH + r"(\[[^\]/?#]*\]|[^:/?#]*)"), "[]", ""))
+
+    @cached_property
+    def port(self) -> Column:
+        return F.nullif(self._part(_AUTH + r"(?:\[[^\]/?#]*\]|[^:/?#]*):([^/?#]*)"), F.lit(""))
+
+
+def split_url(url: Column | str) -> UrlParts:
+    return UrlParts(_as_col(url))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -194,16 +215,19 @@ def canonical_url(url: Column | str, tracking: Iterable[str] = TRACKING_PARAMS)
     path = F.rtrim(p.path, F.lit("/"))
     path = F.when(path == "", F.lit("/")).otherwise(path)
     query = F.when(p.query == "", F.lit("")).otherwise(canonical_query(p.query, tracking))
+    same = _as_col(url).rlike(_CANONICAL)
     head = F.when(p.scheme == "", F.lit("")).otherwise(F.concat(p.scheme, F.lit(":")))
     body = F.concat(F.lit("//"), userinfo, host, port, path)
-    return F.concat(head, body, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    made = F.concat(head, body, let(query, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))))
+    return F.when(same, _as_col(url)).otherwise(made)
 
 
 def invalid_reason(url: Column | str) -> Column:
     """Why a URL is not a usable http URL; NULL when it is."""
     p = split_url(url)
     return (
-        F.when(~p.scheme.isin("http", "https") | p.scheme.isNull(), "bad_scheme")
+        F.when(_as_col(url).rlike(_USABLE), F.lit(None).cast("string"))
+        .when(~p.scheme.isin("http", "https") | p.scheme.isNull(), "bad_scheme")
         .when(p.netloc == "", "no_host")
         .when(p.path.rlike(ILLEGAL_URL_CHARS), "illegal_path")
         .when(p.query.rlike(ILLEGAL_URL_CHARS), "illegal_query")
@@ -211,6 +235,11 @@ def invalid_reason(url: Column | str) -> Column:
     )
 
 
+def has_bad_port(url: Column | str) -> Column:
+    port = split_url(url).port
+    return port.isNotNull() & ~F.coalesce(port.rlike(r"^[0-9]{1,5}$") & (port.try_cast("int") <= 65535), F.lit(False))
+
+
 def path_extension(url: Column | str) -> Column:
     """Lower-case text after the last dot of the path; NULL when there is no dot."""
     path = split_url(url).path
@@ -316,7 +345,10 @@ def resolve(base: Column | str, href: Column | str) -> Column:
         .otherwise(
             F.concat(
                 site,
-                let(_folded_path(b.path, path), lambda p: F.when(p == "", F.lit("/")).otherwise(p)),
+                let(
+                    _folded_path(b.path, path),
+                    lambda p: F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p)),
+                ),
                 suffix,
             )
         )

@@ -64,8 +64,10 @@ def admit(
     )
     flagged = judged.join(first, "seq", "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
     size = queue.agg(F.count(F.lit(1))).scalar()
+    # Bucket totals need the new rows and the list of buckets, not the joined candidates.
+    sparse = first.unionByName(candidates.select("seq", F.lit(0).alias("_new")))
     counted = running_sum(
-        flagged, F.col("_new").cast("bigint"), ["seq"], id_bucket("seq", bucket_rows), "_before", include_current=False
+        flagged, F.col("_new").cast("bigint"), ["seq"], id_bucket("seq", bucket_rows), "_before", include_current=False, totals_of=sparse
     ).withColumn("_free", F.lit(cap) - size)
     late = (
         F.when(F.col("_before") >= F.col("_free"), "queue_full").when(F.col("_new") == 0, "duplicate").otherwise("enqueued")

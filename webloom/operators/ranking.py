@@ -31,12 +31,17 @@ def running_sum(
     name: str,
     partition_by: Sequence[str] = (),
     include_current: bool = True,
+    totals_of: DataFrame | None = None,
 ) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows before (and with) each row."""
+    """``df`` with the sum of ``value`` over the rows before (and with) each row.
+
+    ``totals_of``: a cheaper relation with the same bucket totals and all buckets.
+    """
     keys = [*partition_by, "_bucket"]
     marked = df.withColumn("_bucket", bucket).withColumn("_value", value)
     before = Window.partitionBy(*partition_by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = marked.groupBy(*keys).agg(F.sum("_value").alias("_total"))
+    source = marked if totals_of is None else totals_of.withColumn("_bucket", bucket).withColumn("_value", value)
+    totals = source.groupBy(*keys).agg(F.sum("_value").alias("_total"))
     offsets = totals.select(*keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     end = Window.currentRow if include_current else -1
     inside = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, end)

@@ -72,9 +72,9 @@ def health_score(df: DataFrame, at_us: int, states: DataFrame | None = None) ->
         joined = joined.join(states, "endpoint", "left").withColumn("state", F.coalesce("state", F.lit("closed")))
     base = F.when(F.col("state") == "half_open", HALF_OPEN_BASE).otherwise(1.0)
     after_failures = F.greatest(F.lit(0.0), base - F.col("recent") * FAILURE_PENALTY)
-    penalty = F.coalesce(
-        F.least(F.lit(MAX_LATENCY_PENALTY), F.col("ewma") / LATENCY_SCALE_MS * MAX_LATENCY_PENALTY), F.lit(0.0)
-    )
+    # least() passes over NULL, so an endpoint without samples is asked for first.
+    scaled = F.least(F.lit(MAX_LATENCY_PENALTY), F.col("ewma") / LATENCY_SCALE_MS * MAX_LATENCY_PENALTY)
+    penalty = F.when(F.col("ewma").isNull(), 0.0).otherwise(scaled)
     since = (F.lit(at_us) - F.col("last_success_us")) / 1e6
     bonus = F.when(
         (F.col("state") == "closed") & since.isNotNull(),

@@ -8,6 +8,8 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.sources.pages import read_texts
+
 
 @dataclass(frozen=True)
 class Query:
@@ -16,6 +18,9 @@ class Query:
     sql: str | None
 
 
+# Tables whose rows are long texts, costly to work through.
+LONG_TEXTS = ("pages", "documents")
+
 REGISTRY: dict[str, Query] = {}
 
 
@@ -47,6 +52,8 @@ class Tables:
         return f"{self.sf_dir}/{name}.parquet"
 
     def read(self, name: str) -> DataFrame:
+        if name in LONG_TEXTS:
+            return read_texts(self.spark, self.path(name))
         return self.spark.read.parquet(self.path(name))
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from webloom.plans.inputs import EV_SQL, STATE_CTES, ev, state
 from webloom.plans.records import crawl_records
 from webloom.plans.rule_queries import MATCH_SQL, page_rules
 from webloom.plans.stats_queries import OUTCOMES, report
-from webloom.session import scratch_path
+from webloom.session import cut_lineage, scratch_path
 from webloom.sources.records import parse_log_lines, read_records, write_records, write_report
 from webloom.sources.state import read_state, write_state
 
@@ -26,8 +26,9 @@ def record_sink_jsonl(t: Tables):
     path = scratch_path(t.spark, "records")
     out = crawl_records(t.pages, page_rules(t)).select(
         "url", F.lit(0).alias("depth"), "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"),
-        "extraction_type", "title", "fields", "schema_org",
+        "extraction_type", "title", "fields", F.to_json("schema_org").alias("schema_org"),
     )
+    out = cut_lineage(out)
     write_records(out, path, gzip=True)
     write_records(out, path, gzip=True)
     write_records(out, path, gzip=True, resume=True)

@@ -23,7 +23,8 @@ def page_scan(t: Tables):
 
 
 # Text of the article: raw-text elements and comments away, tags to line breaks, entities read.
-_ENTITIES = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+# A cut-off entity such as &amp without its semicolon is read as well.
+_ENTITIES = "regexp_replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g')"
 _LINES = (
     "regexp_replace(regexp_replace({0}, '[\\s\\p{{{{Z}}}}]*\\n[\\s\\p{{{{Z}}}}]*', chr(10), 'g'),"
     " '^[\\s\\p{{{{Z}}}}]+|[\\s\\p{{{{Z}}}}]+$', '', 'g')"

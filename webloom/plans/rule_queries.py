@@ -169,7 +169,7 @@ def rule_match(t: Tables):
     return matched.select("page_id", "rule", F.array_join("candidates", ",").alias("candidates"))
 
 
-_ENT = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+_ENT = "regexp_replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g')"
 _H1 = _ENT.format("trim(regexp_replace(regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1), '\\s+', ' ', 'g'))")
 _HREFS = _ENT.format("array_to_string(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1), ' ')")
 

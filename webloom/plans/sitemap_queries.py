@@ -24,8 +24,7 @@ FROM {pages}
 """
 
 
-@F.pandas_udf("binary")
-def packed(text: pd.Series) -> pd.Series:
+def _pack(text: pd.Series) -> pd.Series:
     return text.map(lambda s: gzip.compress(s.encode()) if s.startswith("<?xml") else s.encode())
 
 
@@ -45,7 +44,7 @@ def sitemap_bodies(t: Tables) -> DataFrame:
     end = F.when(F.col("host").like("%.net"), "").otherwise("</urlset>")
     return grouped.select(
         F.concat(F.lit("https://"), "host", F.lit("/map"), F.col("part").cast("string"), F.lit(".xml")).alias("url"),
-        packed(F.concat(head, F.lit(space), "blocks", end)).alias("body"),
+        F.pandas_udf(_pack, "binary")(F.concat(head, F.lit(space), "blocks", end)).alias("body"),
     )
 
 

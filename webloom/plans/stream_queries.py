@@ -51,10 +51,7 @@ def stream_pages(t: Tables):
 
 @query("stream_dedup_ttl", "SELECT DISTINCT md5(text) AS hash FROM {documents}")
 def stream_dedup_ttl(t: Tables):
-    from pyspark.sql import types as T
-
-    schema = T.StructType.fromDDL("doc_id BIGINT, text STRING")
-    docs = J.read_stream(t.spark, _arriving(t, "documents"), schema)
+    docs = J.read_stream(t.spark, _arriving(t, "documents"), "doc_id BIGINT, text STRING")
     hashed = docs.select(F.md5(F.col("text").cast("binary")).alias("hash"), F.timestamp_seconds(F.col("doc_id")).alias("ts"))
     return _drained(t, J.stream_dedup(hashed), "stream-dedup", "hash STRING")
 
@@ -95,20 +92,16 @@ def stream_endpoint_state(t: Tables):
 
 @query(
     "stream_in_flight_timeout",
-    f"""WITH {EV_SQL}, o AS (SELECT url, us, event_type = 'view' AS is_start, lead(us) OVER w AS next_us, lead(event_type) OVER w AS next_type FROM ev
-      WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY url ORDER BY us, event_id))
-    SELECT url, us AS started_us FROM o WHERE is_start AND ((next_us IS NULL AND us + 300000000 < (SELECT max(us) FROM ev WHERE event_type IN ('view', 'purchase')) - 10000000)
-      OR next_us - us > 300000000)""",
+    f"""WITH {EV_SQL}, s AS (SELECT url, us FROM ev WHERE event_type = 'view'), e AS (SELECT url, us FROM ev WHERE event_type = 'purchase'),
+    last AS (SELECT least((SELECT max(us) FROM s), (SELECT max(us) FROM e)) - 10000000 AS us)
+    SELECT url, us AS started_us FROM s WHERE us + 300000000 < (SELECT us FROM last)
+      AND NOT EXISTS (SELECT 1 FROM e WHERE e.url = s.url AND e.us >= s.us AND e.us <= s.us + 300000000)""",
 )
 def stream_in_flight_timeout(t: Tables):
     """Views start a request of a page, purchases end it."""
-    S.use_rocksdb(t.spark)
-    rows = (
-        _events(t)
-        .where("event_type IN ('view', 'purchase')")
-        .select("url", F.col("event_id").alias("id"), "us", F.when(F.col("event_type") == "view", "start").otherwise("end").alias("kind"))
-    )
-    return _drained(t, S.stream_timeouts(rows), "stream-timeouts", "url STRING, started_us BIGINT")
+    kind = F.when(F.col("event_type") == "view", "start").otherwise("end")
+    rows = _events(t).where("event_type IN ('view', 'purchase')").select("url", "us", kind.alias("kind"))
+    return _drained(t, J.stream_timeouts(rows), "stream-timeouts", "url STRING, started_us BIGINT")
 
 
 @query(
@@ -130,15 +123,13 @@ def stream_failure_burst(t: Tables):
 )
 def stream_frontier(t: Tables):
     """Links of the seed pages arrive as a stream of orders and are admitted to the queue."""
-    from pyspark.sql import types as T
-
     root = scratch_path(t.spark, "stream-frontier")
     seeds = t.derive(SEEDS_SQL)
     visited = seeds.selectExpr(
         "url", "0 AS depth", "'completed' AS status", "CAST(NULL AS TIMESTAMP) AS added_time", "CAST(NULL AS TIMESTAMP) AS completed_time", "'ok' AS outcome"
     )
     J.start_state(t.spark, root, urls=visited)
-    orders = J.read_stream(t.spark, _arriving(t, "orders"), T.StructType.fromDDL("o_orderkey BIGINT, o_custkey BIGINT"))
+    orders = J.read_stream(t.spark, _arriving(t, "orders"), "o_orderkey BIGINT, o_custkey BIGINT")
     site = F.lit("https://c.example.com/")
     edges = orders.select(
         F.col("o_orderkey").alias("seq"), F.concat(site, "o_custkey").alias("parent_url"),

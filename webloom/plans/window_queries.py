@@ -10,6 +10,8 @@ from webloom.plans.inputs import EV_SQL, ev
 
 _DAY = 86_400_000_000
 _START = 1_704_067_200_000_000  # 2024-01-01 in microseconds
+# Moves values off the half, where the last bits of two engines may round apart.
+OFF_HALF = 1e-8
 _AT = _START + 10 * _DAY
 
 
@@ -36,23 +38,23 @@ LATENCIES = "SELECT user_id AS endpoint, event_id AS id, us, CASE WHEN event_typ
     w AS (SELECT endpoint, sum(0.3 * pow(0.7, r - 1) * latency_ms) AS ewma FROM r GROUP BY endpoint),
     g AS (SELECT endpoint, count(*) FILTER (WHERE kind = 'failure' AND {_AT} - us <= 15000000) AS recent, max(us) FILTER (WHERE kind = 'success') AS last_ok FROM p GROUP BY endpoint)
     SELECT g.endpoint, coalesce(s.state, 'closed') AS state, round(CASE WHEN s.state = 'open' THEN 0 ELSE greatest(0, least(1, greatest(0, CASE WHEN s.state = 'half_open' THEN 0.3 ELSE 1 END - recent * 0.15)
-      - coalesce(least(0.15, ewma / 2000 * 0.15), 0) + CASE WHEN s.state IS NULL AND last_ok IS NOT NULL THEN greatest(0, 0.15 - ({_AT} - last_ok) / 1e6 / 30 * 0.15) ELSE 0 END)) END, 6) AS score
+      - CASE WHEN ewma IS NULL THEN 0 ELSE least(0.15, ewma / 2000 * 0.15) END + CASE WHEN s.state IS NULL AND last_ok IS NOT NULL THEN greatest(0, 0.15 - ({_AT} - last_ok) / 1e6 / 30 * 0.15) ELSE 0 END)) END + 1e-8, 6) AS score
     FROM g LEFT JOIN w ON g.endpoint = w.endpoint LEFT JOIN s ON g.endpoint = s.endpoint""",
 )
 def endpoint_health_score(t: Tables):
     log = ev(t)
     scored = O.health_score(t.derive(LATENCIES, ev=log), _AT, t.derive(STATES, ev=log))
-    return scored.select("endpoint", "state", F.round("score", 6).alias("score"))
+    return scored.select("endpoint", "state", F.round(F.col("score") + OFF_HALF, 6).alias("score"))
 
 
 @query(
     "latency_ewma",
     f"""WITH {EV_SQL}, l AS (SELECT user_id, list(value ORDER BY us, event_id) AS vs FROM ev GROUP BY user_id)
-    SELECT user_id, round(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), vs), lambda a, b: a * 0.7 + b * 0.3), 6) AS ewma, len(vs) AS samples FROM l""",
+    SELECT user_id, round(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), vs), lambda a, b: a * 0.7 + b * 0.3) + 1e-8, 6) AS ewma, len(vs) AS samples FROM l""",
 )
 def latency_ewma(t: Tables):
     log = ev(t).select("user_id", F.col("event_id").alias("id"), "us", "value")
-    return O.ewma(log, "user_id", "value").withColumn("ewma", F.round("ewma", 6))
+    return O.ewma(log, "user_id", "value").withColumn("ewma", F.round(F.col("ewma") + OFF_HALF, 6))
 
 
 @query(

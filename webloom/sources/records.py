@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.functions.urls import let
+
 SCHEMA_VERSION = 1
 CORRUPT = "_corrupt"
 
-RECORD_SCHEMA = T.StructType.fromDDL(
-    "url STRING, depth INT, text STRING, ts TIMESTAMP, extraction_type STRING, title STRING, "
-    "fields MAP<STRING, ARRAY<STRING>>, schema_org STRING"
-)
+RECORD_COLUMNS = {
+    "url": "STRING",
+    "depth": "INT",
+    "text": "STRING",
+    "ts": "TIMESTAMP",
+    "extraction_type": "STRING",
+    "title": "STRING",
+    "fields": "MAP<STRING, ARRAY<STRING>>",
+    "schema_org": "STRING",
+}
 
 
 def write_records(df: DataFrame, path: str, gzip: bool = False, resume: bool = False) -> None:
@@ -33,9 +41,10 @@ def write_records(df: DataFrame, path: str, gzip: bool = False, resume: bool = F
 
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, corrupt lines) of a dataset or a foreign file with a version line."""
-    schema = T.StructType([*RECORD_SCHEMA.fields, T.StructField("_schema", T.StringType()), T.StructField(CORRUPT, T.StringType())])
+    columns = {**RECORD_COLUMNS, "_schema": "STRING", CORRUPT: "STRING"}
+    schema = ", ".join(f"{name} {kind}" for name, kind in columns.items())
     rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE").json(path)
-    records = rows.where(f"{CORRUPT} IS NULL AND _schema IS NULL").select(*RECORD_SCHEMA.names)
+    records = rows.where(f"{CORRUPT} IS NULL AND _schema IS NULL").select(*RECORD_COLUMNS)
     # Spark does not read the corrupt column alone, so the filter names another one too.
     corrupt = rows.where(f"{CORRUPT} IS NOT NULL AND (_schema IS NULL OR length(_schema) >= 0)").select(F.col(CORRUPT).alias("line"))
     return records, corrupt
@@ -59,8 +68,14 @@ def _logfmt_pairs(line: Column) -> Column:
         ).otherwise(v),
     )
     pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"]) == i + 1)
-    return F.map_from_entries(first)
+
+    def first_per_key(pairs: Column) -> Column:
+        return let(
+            F.transform(pairs, lambda p: p["k"]),
+            lambda ks: F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(ks, p["k"]) == i + 1)),
+        )
+
+    return let(pairs, first_per_key)
 
 
 def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -96,7 +96,7 @@ def parse_sitemaps(bodies: DataFrame) -> DataFrame:
         X.strip_space(F.col("loc")).alias("loc"),
         parse_lastmod(F.col("lastmod")).alias("lastmod"),
         F.when(freq.isin(*CHANGE_FREQUENCIES), freq).alias("changefreq"),
-        F.when(~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).alias("priority"),
+        F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).alias("priority"),
     ).where(F.col("loc") != "")
 
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from webloom.functions import urls as U
@@ -16,13 +15,11 @@ from webloom.operators import pages as P
 from webloom.plans.records import crawl_records
 from webloom.sources.state import current_version, read_state, write_state
 
-PAGES_SCHEMA = T.StructType.fromDDL("page_id BIGINT, url STRING, html STRING")
-EVENTS_SCHEMA = T.StructType.fromDDL(
-    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-)
+PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
+EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
     """Parquet files arriving in a folder."""
     reader = spark.readStream.schema(schema)
     if max_files:
@@ -94,6 +91,24 @@ def stream_outcomes(df: DataFrame, size: str = "5 seconds", slide: str | None =
     )
 
 
+def stream_timeouts(df: DataFrame, seconds: int = 300, delay: str = "10 seconds") -> DataFrame:
+    """Starts of ``(url, us, kind)`` without an end of the same URL within ``seconds``.
+
+    An outer join of the stream with itself, bounded in time: a start leaves
+    the state when its end comes or the watermark has passed its timeout.
+    """
+    timed = df.withColumn("ts", F.timestamp_micros("us"))
+    starts = timed.where("kind = 'start'").select("url", "us", "ts").withWatermark("ts", delay)
+    ends = (
+        timed.where("kind = 'end'")
+        .select(F.col("url").alias("end_url"), F.col("ts").alias("end_ts"))
+        .withWatermark("end_ts", delay)
+    )
+    ended = F.expr(f"url = end_url AND end_ts >= ts AND end_ts <= ts + INTERVAL {seconds} SECONDS")
+    joined = starts.join(ends, ended, "left_outer")
+    return joined.where("end_url IS NULL").select("url", F.col("us").alias("started_us"))
+
+
 STATE_NAMES = ["urls", "queue", "failures", "in_flight", "boundary"]
 STATE_DDL = {
     "urls": "url STRING, depth INT, status STRING, added_time TIMESTAMP, completed_time TIMESTAMP, outcome STRING",
@@ -137,7 +152,7 @@ def frontier_writer(
             "failures": failures,
             "boundary": state["boundary"].unionByName(edges).dropDuplicates(["parent_url", "child_url"]),
         }
-        write_state({name: after[name].select(*T.StructType.fromDDL(STATE_DDL[name]).names) for name in STATE_NAMES}, root, batch_id + 1)
+        write_state({name: after[name].select(*state[name].columns) for name in STATE_NAMES}, root, batch_id + 1)
 
     return write
 

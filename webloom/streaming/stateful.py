@@ -1,4 +1,4 @@
-"""Streaming jobs with keyed state: endpoint health, stuck requests, failure bursts.
+"""Streaming jobs with keyed state: endpoint health and failure bursts.
 
 Each key keeps a small, bounded state. Rows of a key within a micro-batch are
 put in time order first; event time stands where a live system has its clock.
@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Fixed values of the endpoint states, times in seconds.
@@ -86,65 +85,6 @@ def endpoint_states(df: DataFrame) -> DataFrame:
     )
 
 
-class Timeout(StatefulProcessor):
-    """One open start per key; a timer reports it unless an end comes first."""
-
-    def __init__(self, timeout_us: int):
-        self.timeout_us = timeout_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.started = handle.getValueState("started", "us BIGINT")
-
-    def _clear_timers(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start = self.started.get()[0] if self.started.exists() else None
-        late: list[int] = []
-        for us, kind in _in_order(rows)[["us", "kind"]].itertuples(index=False):
-            if start is not None and us - start > self.timeout_us:
-                late.append(start)
-                start = None
-            if kind == "start":
-                start = us if start is None else start
-            else:
-                start = None
-        self._clear_timers()
-        if start is None:
-            self.started.clear()
-        else:
-            self.started.update((int(start),))
-            self.handle.registerTimer((int(start) + self.timeout_us) // 1000 + 1)
-        if late:
-            yield pd.DataFrame({"url": [key[0]] * len(late), "started_us": late})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.started.exists():
-            start = self.started.get()[0]
-            self.started.clear()
-            yield pd.DataFrame({"url": [key[0]], "started_us": [start]})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_timeouts(df: DataFrame, seconds: int = 300, delay: str = "10 seconds") -> DataFrame:
-    """Starts of ``(url, id, us, kind)`` without an end within ``seconds``.
-
-    A start is reported by the next row of its URL or by the timer, whichever
-    comes first.
-    """
-    timed = df.withColumn("event_ts", F.timestamp_micros("us")).withWatermark("event_ts", delay)
-    return timed.groupBy("url").transformWithStateInPandas(
-        statefulProcessor=Timeout(seconds * 1_000_000),
-        outputStructType="url STRING, started_us BIGINT",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-
-
 class Burst(StatefulProcessor):
     """The last ``n`` failure times per key; open at the first burst and silent after it."""
 
