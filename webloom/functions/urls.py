@@ -257,10 +257,12 @@ def origin_of(url: Column | str) -> Column:
 
 def host_suffixes(host: Column) -> Column:
     """``a.b.c`` gives [a.b.c, b.c, c]."""
-    labels = F.split(F.rtrim(host, F.lit(".")), r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+
+    def joined(labels: Column) -> Column:
+        count = F.size(labels)
+        return F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(labels, i, count), "."))
+
+    return let(F.split(F.rtrim(host, F.lit(".")), r"\."), joined)
 
 
 def public_suffix(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:

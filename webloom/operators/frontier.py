@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
-from webloom.operators.ranking import BUCKET_ROWS, id_bucket, numbered, ordered_take, running_sum
+from webloom.operators.ranking import BUCKET_ROWS, hot_keys, id_bucket, numbered, ordered_take, running_sum, salted_join
 from webloom.operators.urls import is_excluded
 from webloom.session import cut_lineage
 
@@ -228,14 +228,15 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> tuple[DataFrame,
     """Least depth of each URL reached from the seeds, and the edges that stop at the limit.
 
     URLs of depth 0 .. max_depth-1 are visited; links found at the last depth
-    are boundary edges. One join per level, lineage cut by reliable checkpoints.
+    are boundary edges. One join per level, lineage cut by reliable checkpoints; the
+    links of a page with very many are split.
     """
+    hot = cut_lineage(hot_keys(edges, "src_url"))
     reached = cut_lineage(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     level = reached
     for depth in range(1, max_depth):
-        targets = edges.join(level.select(F.col("url").alias("src_url")), "src_url", "left_semi").select(
-            F.col("dst_url").alias("url")
-        )
+        sources = level.select(F.col("url").alias("src_url"))
+        targets = salted_join(edges, sources, "src_url", F.col("dst_url"), "left_semi", hot).select(F.col("dst_url").alias("url"))
         level = cut_lineage(
             targets.distinct().join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
         )
@@ -243,7 +244,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> tuple[DataFrame,
             break
         reached = reached.union(level)
     last = reached.where(F.col("depth") == max_depth - 1).select(F.col("url").alias("src_url"))
-    boundary = edges.join(last, "src_url", "left_semi").select(
+    boundary = salted_join(edges, last, "src_url", F.col("dst_url"), "left_semi", hot).select(
         F.col("src_url").alias("parent_url"), F.col("dst_url").alias("child_url"), F.lit(max_depth - 1).alias("parent_depth")
     )
     return reached, boundary.distinct()

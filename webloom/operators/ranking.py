@@ -87,14 +87,36 @@ def with_lookback(df: DataFrame, time_us: str, lookback_us: int, bucket_us: int
     return df.withColumn("_bucket", F.explode(F.sequence(own, last))).withColumn("_own", F.col("_bucket") == own)
 
 
+# Rows of one key that a single task joins.
+ROWS_PER_SALT = 1_000_000
+
+
+def hot_keys(df: DataFrame, on: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Keys with more rows than ``rows_per_salt`` and the number of parts they need.
+
+    The counts are summed on the map side. At most one key per ``rows_per_salt``
+    rows can be listed, a hundred thousand for 10^11 rows, so the list is small
+    enough to broadcast whatever the data.
+    """
+    return (
+        df.where(F.col(on).isNotNull())
+        .groupBy(on)
+        .agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias("_parts"))
+        .where("_parts > 1")
+    )
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, on: str, spread_by: Column, how: str = "left", salts: int = 16
+    left: DataFrame, right: DataFrame, on: str, spread_by: Column, how: str = "left", hot: DataFrame | None = None
 ) -> DataFrame:
     """Join in which one key of ``left`` may hold a large share of the rows.
 
-    ``left`` rows of a key go to ``salts`` partitions; ``right``, with few rows
-    per key, is repeated once per salt.
+    The rows of a hot key are split over as many partitions as they need, and
+    only the ``right`` rows of that key are repeated; all other keys join as
+    usual. ``hot`` is a ready list of hot keys, for joins in a loop.
     """
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [on, "_salt"], how).drop("_salt")
+    listed = F.broadcast(hot_keys(left, on) if hot is None else hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = left.join(listed, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
+    repeated = right.join(listed, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread.drop("_parts").join(repeated.drop("_parts"), [on, "_salt"], how).drop("_salt")

@@ -1,11 +1,13 @@
 """Rule corpus jobs: which rule applies to a page, what it extracts, how well it works.
 
 A rule snapshot has at most ``MAX_RULES`` rows (``rule_snapshot`` enforces it),
-so it is broadcast; nothing else here is.
+so it is broadcast or made a constant; nothing else here is.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from webloom.functions import text as X
 from webloom.functions import urls as U
 from webloom.functions.urls import let
 from webloom.operators import pages as P
-from webloom.operators.ranking import salted_join
 from webloom.sources.rules import DEFAULT_RULE, java_pattern
 
 # Rules kept in all and of general scope, order of sources and scopes.
@@ -98,19 +99,18 @@ def rule_snapshot(rules: DataFrame, disabled: DataFrame | None = None) -> DataFr
     return overlay(rule_rank(rule_dedup(rules)), disabled)
 
 
-def rule_match(pages: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """``pages`` with ``rule`` and ``candidates`` (names, best first).
+_INDEX = "map<string,array<struct<length:int,version:int,source:int,name:string,pattern:string>>>"
+
+
+def match_index(snapshot: DataFrame) -> Column:
+    """Domain to rules as a constant; general rules stand under ``*``.
 
-    Candidates are found once per host: host suffixes meet rule domains in an
-    equi-join, general rules carry the domain ``*`` that every host has. Pages
-    then take the short list of their host, busy hosts spread by salt, and rank
-    it within the row: no page is shuffled twice.
+    A snapshot has at most ``MAX_RULES`` rules, which is checked here; the
+    constant is what a broadcast of the snapshot would be.
     """
-    limit = Window.orderBy("name")
-    bounded = snapshot.where("enabled").withColumn("_n", F.row_number().over(limit)).where(F.col("_n") <= MAX_RULES)
     entry = F.struct(
-        (-_pattern_length()).alias("length"),
-        (-F.col("version")).alias("version"),
+        (-_pattern_length()).cast("int").alias("length"),
+        (-F.col("version")).cast("int").alias("version"),
         source_rank(F.col("source")).alias("source"),
         F.col("name").alias("name"),
         F.when(F.col("scope").isin("domain_pattern", "global_pattern"), java_pattern(F.col("url_pattern"))).alias("pattern"),
@@ -118,33 +118,55 @@ def rule_match(pages: DataFrame, snapshot: DataFrame) -> DataFrame:
     keys = F.when(F.size("domains") > 0, F.transform("domains", lambda d: F.rtrim(F.lower(d), F.lit(".")))).otherwise(
         F.array(F.lit("*"))
     )
-    by_domain = (
-        bounded.select(F.explode(F.array_distinct(keys)).alias("domain"), entry.alias("entry"))
-        .groupBy("domain")
-        .agg(F.collect_list("entry").alias("entries"))
+    rows = (
+        snapshot.where("enabled")
+        .select(F.array_distinct(keys).alias("keys"), F.to_json(entry).alias("entry"))
+        .limit(MAX_RULES + 1)
+        .collect()
     )
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules; build the snapshot with rule_snapshot")
+    index: dict[str, list[str]] = {}
+    for row in rows:
+        for key in row["keys"]:
+            index.setdefault(key, []).append(row["entry"])
+    text = ", ".join(f"{json.dumps(key)}: [{', '.join(entries)}]" for key, entries in index.items())
+    return F.from_json(F.lit(f"{{{text}}}"), _INDEX)
+
+
+def rule_match(pages: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """``pages`` with ``rule`` and ``candidates`` (names, best first).
+
+    Every page looks up the suffixes of its own host in the constant index and
+    ranks the few hits within the row: nothing is joined or shuffled, so
+    markup stays where it was read and a busy host is no special case.
+    """
+    index = match_index(snapshot)
     host = F.rtrim(U.split_url("url").host, F.lit("."))
-    hosts = pages.select(host.alias("host")).distinct()
-    suffixes = F.concat(F.when(F.col("host") != "", U.host_suffixes(F.col("host"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("*")))
-    score = F.when(F.col("domain") == F.col("host"), 0).when(F.col("domain") == "*", 2).otherwise(1)
-    listed = (
-        hosts.select("host", F.explode(suffixes).alias("domain"))
-        .join(F.broadcast(by_domain), "domain")
-        .groupBy("host")
-        .agg(
-            F.flatten(
-                F.collect_list(F.transform("entries", lambda e: F.struct(score.alias("score"), e.alias("e"))))
-            ).alias("rules")
+    suffixes = F.when(host != "", U.host_suffixes(host)).otherwise(F.array().cast("array<string>"))
+    place = U.path_and_query("url")
+
+    def scored(score: Column, entries: Column) -> Column:
+        return F.transform(entries, lambda e: F.struct(score.alias("score"), e.alias("e")))
+
+    def listed(keys: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                keys,
+                lambda k, i: scored(
+                    F.when(k == "*", 2).when(i == 0, 0).otherwise(1),
+                    F.coalesce(F.try_element_at(index, k), F.array().cast(_INDEX[len("map<string,") : -1])),
+                ),
+            )
         )
+
+    rules = let(F.concat(suffixes, F.array(F.lit("*"))), listed)
+    hits = let(
+        place, lambda at: F.filter(rules, lambda r: r["e"]["pattern"].isNull() | F.rlike(at, r["e"]["pattern"]))
     )
-    joined = salted_join(pages.withColumn("host", host), listed, "host", F.col("url"))
-    place = U.path_and_query("url")
-    hits = F.filter(F.col("rules"), lambda r: r["e"]["pattern"].isNull() | F.rlike(place, r["e"]["pattern"]))
     ordered = F.array_distinct(F.transform(F.array_sort(hits), lambda r: r["e"]["name"]))
-    return (
-        joined.withColumn("candidates", F.coalesce(ordered, F.array().cast("array<string>")))
-        .withColumn("rule", F.coalesce(F.get("candidates", F.lit(0)), F.lit(DEFAULT_RULE)))
-        .drop("rules", "host")
+    return pages.withColumn("candidates", ordered).withColumn(
+        "rule", F.coalesce(F.get("candidates", F.lit(0)), F.lit(DEFAULT_RULE))
     )
 
 

@@ -186,11 +186,15 @@ def depth_progress(urls: DataFrame, queue: DataFrame, failures: DataFrame, saved
     )
 
 
-def discovery_summary(df: DataFrame) -> DataFrame:
-    """Sitemap URLs of ``(origin, robots_status, url)`` per origin, with a total row (origin NULL)."""
+def discovery_summary(found: DataFrame, robots: DataFrame) -> DataFrame:
+    """Sitemap URLs of ``found(origin, url)`` per origin with the robots status, and a total row (origin NULL).
+
+    Origins are counted before the join, so each is one row in it.
+    """
+    counts = found.groupBy("origin").agg(F.count("url").alias("sitemap_urls"))
+    status = robots.select("origin", F.col("fetch_status").alias("robots_status"))
     return (
-        df.groupBy("origin", "robots_status")
-        .agg(F.count("url").alias("sitemap_urls"))
+        counts.join(status, "origin", "left")
         .rollup("origin")
         .agg(
             F.max("robots_status").alias("robots_status"),

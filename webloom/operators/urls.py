@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import text as X
 from webloom.functions import urls as U
+from webloom.operators.ranking import salted_join
 
 
 def canonical_groups(df: DataFrame, id_col: str = "page_id", url_col: str = "url", tracking: Iterable[str] = U.TRACKING_PARAMS) -> DataFrame:
@@ -82,11 +83,8 @@ def same_domain(df: DataFrame, seeds: Iterable[str], url_col: str = "url") -> Da
 def same_domain_as(df: DataFrame, seeds: DataFrame, url_col: str = "url") -> DataFrame:
     """As ``same_domain`` for a seed relation of any size (column ``domain``)."""
     known = seeds.select("domain").distinct().withColumn("kept", F.lit(True))
-    return (
-        df.withColumn("domain", U.domain_of(url_col))
-        .join(known, "domain", "left")
-        .withColumn("kept", F.coalesce("kept", F.lit(False)))
-    )
+    joined = salted_join(df.withColumn("domain", U.domain_of(url_col)), known, "domain", F.col(url_col))
+    return joined.withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def origins(df: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.operators.ranking import numbered, salted_join, with_lookback
+from webloom.operators.ranking import hot_keys, numbered, salted_join, with_lookback
 from webloom.session import cut_lineage
 
 # Burst size and span; parts of the endpoint score; weights of the running mean.
@@ -42,7 +42,7 @@ def rate_audit(df: DataFrame, key: str, rpm: int) -> DataFrame:
     return trailing_counts(df, key, 60_000_000).where(F.col("recent") > rpm)
 
 
-def ewma(df: DataFrame, key: str, value: str, bucket_us: int = 86_400_000_000) -> DataFrame:
+def ewma(df: DataFrame, key: str, value: str, bucket_us: int = 3_600_000_000) -> DataFrame:
     """Running mean, 0.7 old + 0.3 new from 0, after the last row of ``(key, id, us, value)``.
 
     That is the sum of 0.3 * 0.7^r * value over the rows counted from the end,
@@ -126,11 +126,12 @@ def ttl_dedup(df: DataFrame, ttl_s: int = HASH_TTL_S) -> DataFrame:
     """
     ttl_us = ttl_s * 1_000_000
     rows = df.select("hash", F.struct("us", "id").alias("r"))
+    hot = cut_lineage(hot_keys(rows, "hash"))
     kept = cut_lineage(rows.groupBy("hash").agg(F.min("r").alias("r")))
     out = kept
     while True:
         last = kept.select("hash", F.col("r.us").alias("_from"))
-        later = salted_join(rows, last, "hash", F.col("r.id"), "inner").where(F.col("r.us") - F.col("_from") > ttl_us)
+        later = salted_join(rows, last, "hash", F.col("r.id"), "inner", hot).where(F.col("r.us") - F.col("_from") > ttl_us)
         kept = cut_lineage(later.groupBy("hash").agg(F.min("r").alias("r")))
         if kept.isEmpty():
             return out.select("hash", "r.id", "r.us")

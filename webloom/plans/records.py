@@ -9,6 +9,7 @@ from webloom.functions import text as X
 from webloom.functions import urls as U
 from webloom.operators import pages as P
 from webloom.operators import rules as R
+from webloom.session import stored
 
 
 def crawl_records(pages: DataFrame, snapshot: DataFrame, max_length: int = P.MAX_TEXT_LENGTH) -> DataFrame:
@@ -57,9 +58,13 @@ def crawl_records(pages: DataFrame, snapshot: DataFrame, max_length: int = P.MAX
 
 
 def saved_records(records: DataFrame, order_by: tuple[str, ...] = ()) -> DataFrame:
-    """Records with ``is_new`` and ``outcome``; only new ones are written."""
-    marked = P.content_dedup(
-        records, "page_id", "text", list(order_by), fields=F.col("fields"), allow=F.col("allow_index")
-    )
+    """Records with ``is_new`` and ``outcome``; only new ones are written.
+
+    Finding copies reads the records twice (hashes first, then the rows), so
+    they are stored once in between: pages are parsed a single time, and the
+    first pass reads only the hash and id columns.
+    """
+    hashed = records.withColumn("content_hash", P.dedup_hash("text", F.col("fields"), F.col("allow_index")))
+    marked = P.mark_new(stored(hashed, "records"), "page_id", list(order_by), F.col("allow_index"))
     outcome = P.page_outcome(F.lit(False), F.col("allow_index"), F.col("is_new"), F.col("text_truncated"))
     return marked.withColumn("outcome", outcome)

@@ -117,12 +117,12 @@ def depth_progress(t: Tables):
     SELECT origin, robots_status, sitemap_urls, 0 AS is_total FROM p UNION ALL SELECT NULL, NULL, CAST(sum(sitemap_urls) AS BIGINT), 1 FROM p""",
 )
 def discovery_summary(t: Tables):
-    return O.discovery_summary(_discovery_rows(t))
+    return _discovery(t)
 
 
-def _discovery_rows(t: Tables):
-    robots = parse_robots(t.derive(ROBOTS_BODIES), AGENT).select("origin", F.col("fetch_status").alias("robots_status"))
-    return t.pages.select(U.origin_of("url").alias("origin"), "url").join(robots, "origin", "left")
+def _discovery(t: Tables):
+    robots = parse_robots(t.derive(ROBOTS_BODIES), AGENT)
+    return O.discovery_summary(t.pages.select(U.origin_of("url").alias("origin"), "url"), robots)
 
 
 @query(
@@ -263,7 +263,7 @@ def report(t: Tables):
     runs = log.select(
         F.concat(F.lit("rule"), "user_id").alias("rule"), F.lit(1).alias("fields_filled"), F.lit(4).alias("fields_total"), F.col("value").alias("elapsed_ms")
     )
-    found = _discovery_rows(t).agg(F.count_distinct("origin").alias("origins"), F.count("url").alias("sitemap_urls"))
+    found = _discovery(t).where("is_total = 0").agg(F.count("origin").alias("origins"), F.sum("sitemap_urls").alias("sitemap_urls"))
     span = log.agg(F.expr("(max(us) - min(us)) div 1000000")).scalar()
     return O.crawl_report(
         t.spark,

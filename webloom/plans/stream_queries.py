@@ -52,7 +52,7 @@ def stream_pages(t: Tables):
 @query("stream_dedup_ttl", "SELECT DISTINCT md5(text) AS hash FROM {documents}")
 def stream_dedup_ttl(t: Tables):
     docs = J.read_stream(t.spark, _arriving(t, "documents"), "doc_id BIGINT, text STRING")
-    hashed = docs.select(F.md5(F.col("text").cast("binary")).alias("hash"), F.timestamp_seconds(F.col("doc_id")).alias("ts"))
+    hashed = docs.select(F.md5(F.col("text").cast("binary")).alias("hash"), F.timestamp_seconds(F.col("doc_id") + 1_704_067_200).alias("ts"))
     return _drained(t, J.stream_dedup(hashed), "stream-dedup", "hash STRING")
 
 

@@ -51,3 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written once below the shared folder and read back.
+
+    For costly rows that are used more than once: later stages read only the
+    columns they need, and a lost executor re-reads files instead of parsing
+    again.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from webloom.functions import urls as U
 from webloom.operators import frontier as FR
-from webloom.operators import pages as P
-from webloom.plans.records import crawl_records
+from webloom.plans.records import crawl_records, saved_records
 from webloom.sources.state import current_version, read_state, write_state
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
@@ -51,18 +50,15 @@ def record_writer(spark: SparkSession, snapshot: DataFrame, sink: str) -> Callab
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        marked = saved_records(crawl_records(batch, snapshot)).where("is_new")
         seen = _earlier_batches(spark, f"{sink}/hashes", batch_id, "content_hash STRING")
-        marked = P.content_dedup(
-            crawl_records(batch, snapshot), "page_id", "text", [], fields=F.col("fields"), allow=F.col("allow_index")
-        )
-        fresh = marked.where("is_new").join(seen, "content_hash", "left_anti")
+        fresh = marked.join(seen, "content_hash", "left_anti")
         out = fresh.select(
             "page_id", "url", F.lit(0).alias("depth"), "text", "extraction_type", "title", "fields",
             F.to_json("schema_org").alias("schema_org"), "content_hash",
         )
         path = f"{sink}/records/batch={batch_id}"
         out.write.mode("overwrite").json(path)
-        # Hashes come from the written records, so pages are not parsed again.
         written = spark.read.schema("content_hash STRING").json(path)
         written.where("content_hash IS NOT NULL").write.mode("overwrite").parquet(f"{sink}/hashes/batch={batch_id}")
 
