@@ -44,7 +44,7 @@ WANTED = """SELECT page_id, 1 AS position, concat('title', chr(7), ' of  page')
 @query(
     "rule_prompt_dataset",
     """SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 'price ' || page_id || ', title of page' ELSE '' END AS fields,
-      len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<a ')) AS links, 0 AS scripts,
+      len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<a ')) AS links, CAST(0 AS BIGINT) AS scripts,
       'URL: ' || url || chr(10) || 'Fields: ' || CASE WHEN url LIKE '%/en/%' THEN 'price ' || page_id || ', title of page' ELSE 'detect them' END AS head
     FROM {pages}""",
 )

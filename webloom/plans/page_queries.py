@@ -42,7 +42,7 @@ TEXT_SQL = (
     "page_text_corpus",
     f"""WITH x AS ({TEXT_SQL}) SELECT page_id, md5(CASE WHEN length(full_text) > 2000
       THEN substr(full_text, 1, 2000) || chr(10) || '…[已截断]' ELSE full_text END) AS text_md5,
-      length(full_text) > 2000 AS text_truncated, length(full_text) AS original_len FROM x""",
+      length(full_text) > 2000 AS text_truncated, CAST(length(full_text) AS INTEGER) AS original_len FROM x""",
 )
 def page_text_corpus(t: Tables):
     return O.page_text(O.parse_pages(t.pages), max_length=2000).select(
@@ -120,7 +120,7 @@ links AS (SELECT * FROM extra UNION ALL SELECT * FROM nav)
 
 @query(
     "link_graph_edges",
-    f"WITH {LINKS_SQL} SELECT page_id, src_url, dst_url, min(position) AS position FROM links GROUP BY 1, 2, 3",
+    f"WITH {LINKS_SQL} SELECT page_id, src_url, dst_url, CAST(min(position) AS INTEGER) AS position FROM links GROUP BY 1, 2, 3",
 )
 def link_graph_edges(t: Tables):
     judged = O.judged_links(O.parse_pages(t.derive(LINKED_PAGES)), keep_containers=True)

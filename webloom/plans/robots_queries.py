@@ -38,7 +38,7 @@ def robots_corpus_load(t: Tables):
 
 @query(
     "robots_origins",
-    f"""SELECT origin, CASE WHEN status = 200 AND origin LIKE '%.com' THEN 2.0 WHEN status = 200 AND origin LIKE '%.org' THEN 4.5 END AS crawl_delay,
+    f"""SELECT origin, CAST(CASE WHEN status = 200 AND origin LIKE '%.com' THEN 2.0 WHEN status = 200 AND origin LIKE '%.org' THEN 4.5 END AS DOUBLE) AS crawl_delay,
       CASE WHEN status = 200 AND origin LIKE '%.com' THEN origin || '/map.xml /second.xml' ELSE '' END AS sitemaps,
       CASE WHEN status = 200 THEN 'ok' WHEN status = 404 THEN 'http_404' ELSE 'fetch_failed' END AS fetch_status FROM ({ROBOTS_BODIES}) b""",
 )

@@ -275,7 +275,7 @@ def rule_performance(t: Tables):
 @query(
     "rule_field_quality",
     f"""WITH {MATCH_SQL}, f AS (SELECT rule, unnest(CASE rule WHEN 'french' THEN ['absent'] ELSE ['absent', 'links', 'paras', 'title'] END) AS field FROM m WHERE rule <> 'default')
-    SELECT rule, field, count(*) AS results, CASE WHEN field = 'absent' THEN count(*) ELSE 0 END AS null_results, 0 AS empty_lists, 0 AS blank_results,
+    SELECT rule, field, count(*) AS results, CASE WHEN field = 'absent' THEN count(*) ELSE 0 END AS null_results, CAST(0 AS BIGINT) AS empty_lists, CAST(0 AS BIGINT) AS blank_results,
       field = 'absent' AS failing FROM f GROUP BY rule, field""",
 )
 def rule_field_quality(t: Tables):

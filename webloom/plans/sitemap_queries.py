@@ -54,7 +54,7 @@ def sitemap_bodies(t: Tables) -> DataFrame:
       CASE WHEN lastmod LIKE '%GMT%' THEN '2024-01-05 10:00:00.000' WHEN lastmod LIKE '%T%' THEN '2024-01-05 08:00:00.250'
         WHEN lastmod LIKE '2024%' THEN '2024-01-05 00:00:00.000' END AS lastmod,
       CASE WHEN freq = 'Daily' THEN 'daily' END AS changefreq,
-      CASE prio WHEN '1.5' THEN 1.0 WHEN '0.3' THEN 0.3 WHEN '-1' THEN 0.0 END AS priority
+      CAST(CASE prio WHEN '1.5' THEN 1.0 WHEN '0.3' THEN 0.3 WHEN '-1' THEN 0.0 END AS DOUBLE) AS priority
     FROM ({SITEMAP_ITEMS}) i""",
 )
 def sitemap_corpus_load(t: Tables):
