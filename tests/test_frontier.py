@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from webloom.operators import frontier as O
-from webloom.operators.ranking import numbered, ordered_take, salted_join, with_lookback
+from webloom.operators.ranking import hot_keys, numbered, ordered_take, salted_join, with_lookback
 
 URLS = "url string, depth int, status string, added_time bigint, completed_time bigint, outcome string"
 QUEUE = "id bigint, url string, depth int, added_time bigint, domain string"
@@ -51,9 +51,19 @@ def test_lookback_copies(spark):
 
 def test_salted_join(spark):
     left = spark.createDataFrame([(k, i) for i, k in enumerate(skewed_keys(300))] + [("none", -1), (None, -2)], "k string, id int")
-    right = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, x int")
-    got = {r.id: r.x for r in salted_join(left, right, "k", F.col("id")).collect()}
-    assert got == {r.id: {"hot": 1, "k1": 2}.get(r.k) for r in left.collect()}
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("unused", 3)], "k string, x int")
+    hot = hot_keys(left, "k", 20)
+    parts = {r.k: r._parts for r in hot.collect()}
+    counts = {r.k: r["count"] for r in left.groupBy("k").count().collect() if r.k}
+    assert parts == {k: -(-n // 20) for k, n in counts.items() if n > 20} and parts["hot"] > 5
+    want = {r.id: {"hot": 1, "k1": 2}.get(r.k) for r in left.collect()}
+    for some_hot in (None, hot):
+        rows = salted_join(left, right, "k", F.col("id"), hot=some_hot).collect()
+        assert len(rows) == len(want) and {r.id: r.x for r in rows} == want
+    inner = salted_join(left, right, "k", F.col("id"), "inner", hot)
+    assert {r.id: r.x for r in inner.collect()} == {i: x for i, x in want.items() if x}
+    semi = salted_join(left, right, "k", F.col("id"), "left_semi", hot)
+    assert semi.columns == ["k", "id"] and {r.id for r in semi.collect()} == {i for i, x in want.items() if x}
 
 
 def relations(spark, urls=(), queue=(), failures=(), in_flight=(), boundary=()):

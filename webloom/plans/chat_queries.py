@@ -113,12 +113,15 @@ def user_exporter(t: Tables):
 
     def write(items: list[dict]) -> None:
         import json
-        import os
 
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow.fs import FileSystem
+
+        # A batch names its file after its rows, so a task that runs again replaces it.
+        files, path = FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+        files.create_dir(path, recursive=True)
         name = f"{items[0]['p_partkey']}-{items[-1]['p_partkey']}"
-        with open(f"{folder}/{name}.json", "w", encoding="utf-8") as out:
-            out.writelines(json.dumps(i) + "\n" for i in items)
+        with files.open_output_stream(f"{path}/{name}.json") as out:
+            out.write("".join(json.dumps(i) + "\n" for i in items).encode())
 
     E.register_exporter(t.spark, "webloom_export", write, batch=500)
     t.part.select("p_partkey", "p_brand").write.format("webloom_export").mode("append").save()
@@ -146,17 +149,25 @@ def processor_chain(t: Tables):
 def user_rule_source(t: Tables):
     """Rules fetched from the part file, one row group per fetch."""
 
+    def opened(path: str):
+        from pyarrow.fs import FileSystem
+
+        return FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+
     def parts(options: dict) -> list:
         import pyarrow.dataset as ds
 
-        pieces = ds.dataset(options["path"], format="parquet").get_fragments()
-        return [(f.path, g.row_groups[0].id) for f in pieces for g in f.split_by_row_group()]
+        files, path = opened(options["path"])
+        pieces = ds.dataset(path, format="parquet", filesystem=files).get_fragments()
+        return [(options["path"], f.path, g.row_groups[0].id) for f in pieces for g in f.split_by_row_group()]
 
     def fetch(part):
         import pyarrow.parquet as pq
 
-        path, group = part
-        for batch in pq.ParquetFile(path).iter_batches(row_groups=[group], columns=["p_partkey"]):
+        root, path, group = part
+        files, _ = opened(root)
+        table = pq.ParquetFile(files.open_input_file(path))
+        for batch in table.iter_batches(row_groups=[group], columns=["p_partkey"]):
             for key in batch.column(0).to_pylist():
                 yield "parts", f"{path}#{key}", f'{{"name": "part{key}", "fields": {{"name": {{"selector": "h1"}}}}}}'
 

@@ -8,6 +8,7 @@ from webloom.operators import pages as P
 from webloom.operators import rules as O
 from webloom.plans.catalog import Tables, query
 from webloom.sources import rules as S
+from webloom.sources.pages import spread
 
 # One rule document per part; what is wrong with it depends on the part's type.
 RULE_DOCS = """
@@ -35,7 +36,7 @@ FROM {part}
     FROM {part}""",
 )
 def rule_corpus_load(t: Tables):
-    return S.load_rules(t.derive(RULE_DOCS))[1].drop("error")
+    return S.load_rules(spread(t.derive(RULE_DOCS)))[1].drop("error")
 
 
 @query(
@@ -46,7 +47,7 @@ def rule_corpus_load(t: Tables):
     FROM {part} WHERE p_type = 'STANDARD' OR (p_type = 'MEDIUM' AND p_size > 25) OR (p_type = 'LARGE' AND p_size <= 40)""",
 )
 def rule_corpus_rules(t: Tables):
-    rules, _ = S.load_rules(t.derive(RULE_DOCS))
+    rules, _ = S.load_rules(spread(t.derive(RULE_DOCS)))
     return rules.select("name", "version", "scope", F.array_join("domains", ",").alias("domains"))
 
 
@@ -316,4 +317,4 @@ MODEL_ANSWERS = (
     """SELECT p_partkey AS id, p_type = 'STANDARD' OR (p_type = 'MEDIUM' AND p_size > 25) OR (p_type = 'LARGE' AND p_size <= 40) AS accepted FROM {part}""",
 )
 def ai_rule_ingest(t: Tables):
-    return S.ingest_answers(t.derive(MODEL_ANSWERS)).select("id", "accepted")
+    return S.ingest_answers(spread(t.derive(MODEL_ANSWERS))).select("id", "accepted")

@@ -31,12 +31,13 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; in local tests, where none is named, a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = context.getCheckpointDir()
     return folder
 
 
@@ -49,7 +50,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` read back from a reliable checkpoint, for loops over joins."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        folder = shared_folder(df.sparkSession)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
