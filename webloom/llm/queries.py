@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import minhash_dedup, mixing, sharding
+from webloom.llm import language_cnn, minhash_dedup, mixing, quality_knn, sharding, url_logistic
+from webloom.llm.held_out import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,6 +45,13 @@ def op1(spark, sf_dir):
     return minhash_dedup.near_copies(table(spark, sf_dir, "documents"), width=2)
 
 
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = language_cnn.predicted(docs, language_cnn.fit(docs))
+    return rows.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 @query("op5_sharding")
 def op5(spark, sf_dir):
     return sharding.by_equal_text(table(spark, sf_dir, "documents"))
@@ -72,3 +80,16 @@ FROM p""",
 )
 def op8(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op9_url_filter")
+def op9(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_logistic.judged(pages, url_logistic.rule_labels(pages))
+
+
+@query("op10_quality_knn")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = quality_knn.scored(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")

@@ -59,12 +59,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of a batch with about ``most`` bytes of text: rows, bytes, offsets."""
+def slices(
+    batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, most_rows: int = 4096
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch with about ``most`` bytes of text and ``most_rows`` rows: rows, bytes, offsets."""
     data, offsets = utf8(batch.column(column))
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
+        last = min(last, first + most_rows, batch.num_rows)
         part = offsets[first : last + 1]
         yield batch.slice(first, last - first), data[part[0] : part[-1]], part - part[0]
         first = last
