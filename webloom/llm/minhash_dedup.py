@@ -27,7 +27,7 @@ from webloom.llm.tokens import Words, mix, salts, slices
 from webloom.session import stored
 
 PLACE_SALTS = salts(64, 41) | np.uint64(1)
-DESCRIBED = "doc_id long, node binary, n long, bands array<long>, coords binary"
+DESCRIBED = "doc_id long, text_key string, node binary, n long, bands array<long>, coords binary"
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,16 +47,16 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and the sketch of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), *SKETCH_SCHEMA])
+    """doc_id, a checksum of the text and the sketch of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), *SKETCH_SCHEMA])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 sets = distinct(*shingles(Words(data, offsets), width))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *described(*sets)], schema=schema)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), *described(*sets)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DESCRIBED)
+    return docs.select("doc_id", "text", F.md5("text").alias("text_key")).mapInArrow(run, DESCRIBED)
 
 
 def members(docs: DataFrame, width: int) -> DataFrame:
@@ -74,25 +74,53 @@ def members(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, members binary")
 
 
-def near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Documents (doc_id, text) as doc_id, n_shingles, component_id, kept: a row for each."""
+def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, text_key, node, n_shingles, owner) of documents (doc_id, text).
+
+    ``owner`` (lacking, doc_id, text_key) is the first row of the group by id,
+    null ids last; it is null for empty sets.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = stored(describe(docs, width), "sketches")
     nodes = with_ids(rows)
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id")).alias("o")
-    owner = stored(rows.where("node IS NOT NULL").groupBy("node").agg(least).select("node", F.col("o.doc_id").alias("owner")), "owners")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "text_key")).alias("owner")
+    owners = stored(rows.where("node IS NOT NULL").groupBy("node").agg(least), "owners")
 
     def sets_of(asked: DataFrame) -> DataFrame:
         # One document per asked set is read again; its key is made anew, so rows that share an id do no harm.
-        ids = asked.join(owner, "node").select(F.col("owner").alias("id")).distinct()
+        ids = asked.join(owners, "node").select(F.col("owner.doc_id").alias("id")).distinct()
         wanted = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
         return members(wanted, width).join(asked, "node").select("nid", "members").dropDuplicates(["nid"])
 
     groups = stored(linked(nodes, sets_of, num, den), "groups")
-    named = nodes.select("nid", "node").join(groups, "nid", "left").join(owner, "node")
-    first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("owner").alias("least"))
-    labels = named.join(first, "component", "left").select("node", F.when(F.col("component").isNull(), F.col("owner")).otherwise(F.col("least")).alias("component_id"))
+    named = nodes.select("nid", "node").join(groups, "nid", "left").join(owners, "node")
+    first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("owner").alias("first"))
+    labels = named.join(first, "component", "left").select("node", F.coalesce("first", "owner").alias("owner"))
     # The labels are written, so that Spark may split a set with very many copies when it joins them.
-    judged = rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(stored(labels, "labels"), "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return judged.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select("doc_id", "text_key", "node", F.col("n").alias("n_shingles")).join(stored(labels, "labels"), "node", "left")
+
+
+def near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Documents (doc_id, text) as doc_id, n_shingles, component_id, kept: a row for each."""
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("owner.doc_id"))
+    rows = grouped(docs, width, num, den).select("doc_id", "n_shingles", component.alias("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are first in their group; empty sets stay.
+
+    Of rows that repeat both id and text one stays.
+    """
+    rows = stored(grouped(docs, width, num, den), "grouped")
+    own = F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "text_key")
+    kept = rows.where(F.col("node").isNotNull() & (F.col("owner") == own)).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "copies"), "kept")
+    bare = stored(rows.where("node IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "bare")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    keyed = row.withColumn("_doc", F.col("_row.doc_id").cast("long")).withColumn("_text", F.md5(F.col("_row.text").cast("string")))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_key"))
+    full = keyed.join(kept, same, "left_semi")
+    if not kept.where("copies > 1").isEmpty():
+        full = full.dropDuplicates(["_doc", "_text"])
+    return full.union(keyed.join(bare, same, "left_semi")).select("_row.*")

@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Weights and (start, end) of the weight schedules, repeating along the sources in code point order.
 WEIGHTS = (3.0, 1.0, 2.0)
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-# Rows of one source that one task sorts.
+# Rows of one source that one task sorts, at most and about; there are 256 buckets at least.
 ROWS_PER_BUCKET = 100_000
 
 
@@ -89,9 +89,8 @@ def curriculum(docs: DataFrame, **settings) -> DataFrame:
     )
     shares = stored(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), **settings), "targets")
     ready = narrow.withColumnRenamed("source", "_source").join(shares, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
-    bits = max(0, (narrow.count() // ROWS_PER_BUCKET).bit_length())
-    digits = -(-bits // 4)
-    bucket = F.conv(F.substring("_order", 1, digits), 16, 10).cast("bigint") if digits else F.lit(0).cast("bigint")
+    digits = max(2, -(-(narrow.count() // ROWS_PER_BUCKET).bit_length() // 4))
+    bucket = F.conv(F.substring("_order", 1, digits), 16, 10).cast("bigint")
     summed = running_sum(
         ready, F.col("size"), ["_order", "doc_id", "size"], bucket, "_before", ("sid",), include_current=False,
         totals_of=ready.select("sid", "size", "_order"),

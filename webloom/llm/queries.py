@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import language_cnn, minhash_dedup, mixing, quality_knn, sharding, url_logistic
+from webloom.llm import decontamination, language_cnn, minhash_dedup, mixing, quality_knn, quality_rules, sharding, url_logistic
 from webloom.llm.held_out import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,22 @@ def op1(spark, sf_dir):
     return minhash_dedup.near_copies(table(spark, sf_dir, "documents"), width=2)
 
 
+@query(
+    "op3_decontamination",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+k AS (SELECT DISTINCT least(5, len(w)) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS g FROM d, k),
+bs AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, unnest([array_to_string(w[i:i + least(5, len(w)) - 1], ' ') for i in range(1, len(w) - least(5, len(w)) + 2)]) AS g FROM b WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, any_value(n) AS n_item_shingles, count(*) AS n_shared
+FROM ds JOIN bs ON ds.g = bs.g AND ds.k = bs.k JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) * 100 >= any_value(n) * 80""",
+)
+def op3(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_language_id")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -57,6 +73,42 @@ def op5(spark, sf_dir):
     return sharding.by_equal_text(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op6_quality_rules",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, [l for l in string_split(text, chr(10)) if regexp_matches(l, '[^\x20\x09-\x0D]')] AS ls FROM d),
+g AS (SELECT r, unnest([{'i': i, 'g': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]} for i in range(1, len(w) - 1)]) AS x FROM t),
+m AS (SELECT r, x.i AS i, count(*) OVER (PARTITION BY r, x.g) AS k FROM g),
+c AS (SELECT r, count(DISTINCT i + j) AS n FROM m, (VALUES (0), (1), (2)) AS o(j) WHERE k > 1 GROUP BY r),
+q AS (SELECT t.r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks,
+    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM t LEFT JOIN c ON c.r = t.r),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q),
+v AS (SELECT r, lang, source, n_words, unnest([{'rule': 'word_length', 'v': 1000 * word_chars // greatest(n_words, 1), 's': 2000}, {'rule': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1), 's': 150},
+    {'rule': 'marks', 'v': 1000 * n_marks // greatest(n_words, 1), 's': 300}, {'rule': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 's': 300},
+    {'rule': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 's': 250}], recursive := true) FROM f),
+h AS (SELECT *, greatest(length(bin(v)) - 5, 0) AS e FROM v),
+b AS (SELECT *, e * 16 + (v >> e) AS bin, ((((v >> e) + 1) << e) - 1) AS top FROM h),
+a AS (SELECT lang, source, rule, bin, any_value(top) AS top, any_value(s) AS s, count(*) AS n FROM b WHERE n_words > 0 GROUP BY lang, source, rule, bin),
+u AS (SELECT lang, source, rule, any_value(s) AS s, 3 AS lev FROM a GROUP BY lang, source, rule),
+k AS (
+  SELECT 3 AS lev, lang, source, rule, bin, top, sum(n) AS n FROM a GROUP BY lang, source, rule, bin, top
+  UNION ALL SELECT 2, lang, NULL, rule, bin, top, sum(n) FROM a GROUP BY lang, rule, bin, top
+  UNION ALL SELECT 1, NULL, NULL, rule, bin, top, sum(n) FROM a GROUP BY rule, bin, top),
+o AS (SELECT *, sum(n) OVER (PARTITION BY lev, lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lev, lang, source, rule) AS docs FROM k),
+p AS (SELECT lev, lang, source, rule, max(docs) AS docs, min(CASE WHEN upto * 4 >= docs THEN top END) AS q1, min(CASE WHEN upto * 4 >= docs * 3 THEN top END) AS q3 FROM o GROUP BY lev, lang, source, rule),
+x AS (SELECT u.lang, u.source, u.rule, CASE WHEN p3.docs >= 200 THEN p3.q3 + 3 * (p3.q3 - p3.q1) WHEN p2.docs >= 200 THEN p2.q3 + 3 * (p2.q3 - p2.q1) ELSE p1.q3 + 3 * (p1.q3 - p1.q1) END + s AS most
+  FROM u JOIN p AS p3 ON p3.lev = 3 AND p3.rule = u.rule AND p3.lang IS NOT DISTINCT FROM u.lang AND p3.source IS NOT DISTINCT FROM u.source
+  JOIN p AS p2 ON p2.lev = 2 AND p2.rule = u.rule AND p2.lang IS NOT DISTINCT FROM u.lang JOIN p AS p1 ON p1.lev = 1 AND p1.rule = u.rule),
+z AS (SELECT h.r, bool_and(h.v <= x.most) AS fine FROM h JOIN x ON h.rule = x.rule AND h.lang IS NOT DISTINCT FROM x.lang AND h.source IS NOT DISTINCT FROM x.source GROUP BY h.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(z.fine, false) AS kept FROM f LEFT JOIN z ON z.r = f.r""",
+)
+def op6(spark, sf_dir):
+    rows = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query(
     "op8_mixing",
     r"""
