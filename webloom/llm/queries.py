@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontamination, language_cnn, minhash_dedup, mixing, quality_knn, quality_rules, sharding, url_logistic
+from webloom.llm import decontamination, hmm_lm, language_cnn, minhash_dedup, mixing, quality_knn, quality_rules, sharding, url_logistic
 from webloom.llm.held_out import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,11 @@ def op6(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op7_lm_score")
+def op7(spark, sf_dir):
+    return hmm_lm.scored(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
+
+
 @query(
     "op8_mixing",
     r"""
