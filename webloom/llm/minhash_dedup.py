@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.near import linked, with_ids
+from webloom.llm.near import linked, sketch_check, with_ids
 from webloom.llm.sketch import SKETCH_SCHEMA, described, distinct, set_keys
 from webloom.llm.tokens import Words, mix, salts, slices
 from webloom.session import stored
@@ -92,7 +92,7 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         wanted = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
         return members(wanted, width).join(asked, "node").select("nid", "members").dropDuplicates(["nid"])
 
-    groups = stored(linked(nodes, sets_of, num, den), "groups")
+    groups = stored(linked(nodes, sketch_check(nodes, sets_of, num, den), num, den), "groups")
     named = nodes.select("nid", "node").join(groups, "nid", "left").join(owners, "node")
     first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("owner").alias("first"))
     labels = named.join(first, "component", "left").select("node", F.coalesce("first", "owner").alias("owner"))

@@ -82,17 +82,22 @@ def ordered(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def linked(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = 80, den: int = 100) -> DataFrame:
-    """(nid, component) of all nodes that have a link. ``sets_of`` gives (nid, members) for nodes (nid, node)."""
-    crowded = crowded_bands(nodes)
+def sketch_check(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> Callable[[DataFrame], DataFrame]:
+    """A check of pairs by sketch, then by full sets. ``sets_of`` gives (nid, members) for nodes (nid, node)."""
 
     def check(pairs: DataFrame) -> DataFrame:
-        near = stored(likely(pairs.distinct(), nodes, num, den), "likely")
+        near = stored(likely(pairs, nodes, num, den), "likely")
         asked = near.select(F.col("a").alias("nid")).union(near.select(F.col("b").alias("nid"))).distinct()
         sets = stored(sets_of(nodes.select("nid", "node").join(asked, "nid", "left_semi")), "sets")
         return stored(confirmed(near, sets, num, den), "links")
 
-    stars = check(crowded.where("nid <> center").select(*ordered(F.col("nid"), F.col("center"))))
+    return check
+
+
+def linked(nodes: DataFrame, check: Callable[[DataFrame], DataFrame], num: int = 80, den: int = 100) -> DataFrame:
+    """(nid, component) of all ``nodes`` (nid, n, bands) that have a link. ``check`` keeps of distinct pairs (a, b) the links."""
+    crowded = crowded_bands(nodes)
+    stars = check(crowded.where("nid <> center").select(*ordered(F.col("nid"), F.col("center"))).distinct())
     first = stored(components(stars), "groups")
     named = crowded.join(first.withColumnRenamed("node", "nid"), "nid", "left").withColumn("group", F.coalesce("component", "nid"))
     split = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
@@ -105,5 +110,5 @@ def linked(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int
         & (F.col("nid_x") != F.col("center_x"))
         & (F.col("nid_y") != F.col("center_y"))
     )
-    links = check(across.select(*ordered(F.col("nid_x"), F.col("nid_y"))))
+    links = check(across.select(*ordered(F.col("nid_x"), F.col("nid_y"))).distinct())
     return components(stars.union(links)).withColumnRenamed("node", "nid")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontamination, hmm_lm, language_cnn, minhash_dedup, mixing, quality_knn, quality_rules, sharding, url_logistic
+from webloom.llm import decontamination, hmm_lm, language_cnn, line_dedup, minhash_dedup, mixing, quality_knn, quality_rules, sharding, url_logistic
 from webloom.llm.held_out import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op1(spark, sf_dir):
     return minhash_dedup.near_copies(table(spark, sf_dir, "documents"), width=2)
 
 
+@query("op2_line_dedup")
+def op2(spark, sf_dir):
+    rows = line_dedup.judged(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "line_no", "class_doc", "class_line", "kept")
+
+
 @query(
     "op3_decontamination",
     r"""
