@@ -9,8 +9,8 @@ hold one of these hashes, so the search finds every such document however long
 it is, and looks up each shingle of a document once. Candidates are verified on
 the shingles themselves.
 
-Everything is in built-in functions. Sketches are written and joined; Spark
-broadcasts them only when their size allows. Texts are told apart by a 128-bit
+Everything is in built-in functions. Sketches and the keys of candidates are
+written, and broadcast only when they are few; beyond that they are shuffled. Texts are told apart by a 128-bit
 checksum, so a text with many copies is verified once.
 
 Defined results: null texts and items, and those without words, contain
@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.sizes import small
 from webloom.session import stored
 
 WIDTH = 5
@@ -76,7 +77,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, num:
     looked_up = hashed.select("text_key", F.explode(every).alias("hash")).join(index, "hash")
     candidates = stored(looked_up.select("text_key", "item_key").distinct(), "candidates")
     # Verification on the shingles, for the texts that have a candidate.
-    once = keyed.join(candidates.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"]).withColumn("w", words("text"))
+    asked = stored(candidates.select("text_key").distinct(), "candidate_texts")
+    once = keyed.join(small(asked), "text_key", "left_semi").dropDuplicates(["text_key"]).withColumn("w", words("text"))
     found = once.select("text_key", *[F.array_distinct(windows("w", k, False)).alias(f"s{k}") for k in widths])
     pairs = candidates.join(items.select("item_key", "item_id", "width", "shingles", "n"), "item_key").join(found, "text_key")
     shared = F.lit(0)
@@ -91,10 +93,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared): each document and item it contains."""
     hits = contaminated(docs, benchmark)
     keyed = docs.select("doc_id", F.md5(F.col("text").cast("string")).alias("text_key"))
-    return keyed.join(hits, "text_key").drop("text_key").distinct()
+    return keyed.join(small(hits), "text_key").drop("text_key").distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that contain no item."""
-    hits = contaminated(docs, benchmark).select(F.col("text_key").alias("_hit")).distinct()
-    return docs.join(hits, F.md5(docs["text"].cast("string")) == F.col("_hit"), "left_anti")
+    hits = stored(contaminated(docs, benchmark).select(F.col("text_key").alias("_hit")).distinct(), "hits")
+    return docs.join(small(hits), F.md5(docs["text"].cast("string")) == F.col("_hit"), "left_anti")

@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.near import linked, sketch_check, with_ids
+from webloom.llm.near import linked_sets, with_ids
+from webloom.llm.sizes import small
 from webloom.llm.sketch import SKETCH_SCHEMA, described, distinct, set_keys
 from webloom.llm.tokens import Words, mix, salts, slices
 from webloom.session import stored
 
 PLACE_SALTS = salts(64, 41) | np.uint64(1)
-DESCRIBED = "doc_id long, text_key string, node binary, n long, bands array<long>, coords binary"
+DESCRIBED = "doc_id long, text_key string, node binary, n long, bands array<long>"
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +89,11 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def sets_of(asked: DataFrame) -> DataFrame:
         # One document per asked set is read again; its key is made anew, so rows that share an id do no harm.
-        ids = asked.join(owners, "node").select(F.col("owner.doc_id").alias("id")).distinct()
-        wanted = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        ids = stored(asked.join(owners, "node").select(F.col("owner.doc_id").alias("id")).distinct(), "asked_ids")
+        wanted = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
         return members(wanted, width).join(asked, "node").select("nid", "members").dropDuplicates(["nid"])
 
-    groups = stored(linked(nodes, sketch_check(nodes, sets_of, num, den), num, den), "groups")
+    groups = stored(linked_sets(nodes, sets_of, num, den), "groups")
     named = nodes.select("nid", "node").join(groups, "nid", "left").join(owners, "node")
     first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("owner").alias("first"))
     labels = named.join(first, "component", "left").select("node", F.coalesce("first", "owner").alias("owner"))
@@ -113,14 +114,18 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     Of rows that repeat both id and text one stays.
     """
     rows = stored(grouped(docs, width, num, den), "grouped")
-    own = F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "text_key")
-    kept = rows.where(F.col("node").isNotNull() & (F.col("owner") == own)).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
-    kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "copies"), "kept")
-    bare = stored(rows.where("node IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "bare")
+    first = F.col("owner") == F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "text_key")
+    full = rows.where("node IS NOT NULL")
+    # What goes is listed, for it is less than what stays.
+    names = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
+    gone = stored(full.where(~first).select(*names).distinct(), "gone")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     keyed = row.withColumn("_doc", F.col("_row.doc_id").cast("long")).withColumn("_text", F.md5(F.col("_row.text").cast("string")))
     same = F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_key"))
-    full = keyed.join(kept, same, "left_semi")
-    if not kept.where("copies > 1").isEmpty():
-        full = full.dropDuplicates(["_doc", "_text"])
-    return full.union(keyed.join(bare, same, "left_semi")).select("_row.*")
+    left = keyed.join(small(gone), same, "left_anti")
+    again = stored(full.where(first).groupBy(*names).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "repeats")
+    if not again.isEmpty():
+        repeats = small(again)
+        once = left.join(repeats, same, "left_semi").dropDuplicates(["_doc", "_text"])
+        left = left.join(repeats, same, "left_anti").union(once)
+    return left.select("_row.*")

@@ -1,17 +1,20 @@
 """Near copies among hashed sets: banding, exact verification, components.
 
 Equal sets are one node from the start, so copies never meet as pairs. Nodes
-that share a band are candidates. A crowded band is first checked as a star
-around its best connected node, which joins groups of near copies in one step;
-afterwards only pairs of one band in different components are compared, all of
-them, so no link between different sets is lost. Every link is confirmed on the
-full sets; the short sketch only spares pairs whose agreement is more than six
-standard deviations below the threshold.
+that share a band are candidates. Each band has a center, its best connected
+node, and every other node of the band is compared with it; this joins groups
+of near copies in one step. Two nodes of a band that this leaves in different
+components still have to be compared. They have a center c in common, and
+
+    |x & y| = (|x| + |y| - |x ^ y|) / 2,   |x ^ y| = |x ^ c| + |y ^ c| - 2 |(x ^ c) & (y ^ c)|,
+
+so the short differences from the center decide exactly for all pairs of a
+center's nodes. They are compared in blocks of bounded size by matrix products
+inside tasks; only the links found leave the task, never the pairs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.components import components
-from webloom.llm.sketch import BINS, agreement, common
+from webloom.llm.sketch import difference, overlaps
 from webloom.session import stored
 
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+# Nodes and bytes of differences that one block holds; a task sees two blocks at a time.
+BLOCK_NODES, BLOCK_BYTES = 512, 16 << 20
 
 
 def with_ids(described: DataFrame) -> DataFrame:
-    """One row per distinct set (nid, node, n, bands, coords) of rows with these columns."""
-    once = described.where("node IS NOT NULL").select("node", "n", "bands", "coords").dropDuplicates(["node"])
+    """One row per distinct set (nid, node, n, bands) of rows with these columns."""
+    once = described.where("node IS NOT NULL").select("node", "n", "bands").dropDuplicates(["node"])
     return stored(once.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
 
@@ -44,56 +48,10 @@ def crowded_bands(nodes: DataFrame) -> DataFrame:
     return stored(met.join(centers, "key").select("key", "nid", "n", "center"), "crowded")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow a similarity of num / den."""
-    p = num / den
-    least = math.floor(BINS * p - 6 * math.sqrt(BINS * p * (1 - p)))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = agreement(batch.column("coords_a"), batch.column("coords_b")) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(fine))
-
-    sides = [nodes.select(F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("coords").alias(f"coords_{x}")) for x in "ab"]
-    near = pairs.join(sides[0], "a").join(sides[1], "b")
-    # |A & B| is at most the smaller size, |A | B| at least the larger one.
-    sized = near.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    return sized.select("a", "b", "coords_a", "coords_b").mapInArrow(check, "a long, b long")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with den * |intersection| >= num * |union| on the full ``sets`` (nid, members)."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("set_a"), batch.column("set_b")
-            fine = []
-            for x, y in zip(left, right, strict=True):
-                x, y = x.as_py(), y.as_py()
-                both = common(x, y)
-                fine.append(den * both >= num * ((len(x) + len(y)) // 8 - both))
-            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
-
-    sides = [sets.select(F.col("nid").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
-
-
 def ordered(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def sketch_check(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> Callable[[DataFrame], DataFrame]:
-    """A check of pairs by sketch, then by full sets. ``sets_of`` gives (nid, members) for nodes (nid, node)."""
-
-    def check(pairs: DataFrame) -> DataFrame:
-        near = stored(likely(pairs, nodes, num, den), "likely")
-        asked = near.select(F.col("a").alias("nid")).union(near.select(F.col("b").alias("nid"))).distinct()
-        sets = stored(sets_of(nodes.select("nid", "node").join(asked, "nid", "left_semi")), "sets")
-        return stored(confirmed(near, sets, num, den), "links")
-
-    return check
-
-
 def linked(nodes: DataFrame, check: Callable[[DataFrame], DataFrame], num: int = 80, den: int = 100) -> DataFrame:
     """(nid, component) of all ``nodes`` (nid, n, bands) that have a link. ``check`` keeps of distinct pairs (a, b) the links."""
     crowded = crowded_bands(nodes)
@@ -112,3 +70,108 @@ def linked(nodes: DataFrame, check: Callable[[DataFrame], DataFrame], num: int =
     )
     links = check(across.select(*ordered(F.col("nid_x"), F.col("nid_y"))).distinct())
     return components(stars.union(links)).withColumnRenamed("node", "nid")
+
+
+def compared(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (center, nid) with size, center_n, whether they are linked and their sorted difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for c, x in zip(batch.column("set_c"), batch.column("set_x"), strict=True):
+                c, x = np.frombuffer(c.as_py(), np.uint64), np.frombuffer(x.as_py(), np.uint64)
+                apart = difference(c, x)
+                both = (len(c) + len(x) - len(apart)) // 2
+                made.append((len(x), len(c), den * both >= num * (len(c) + len(x) - both), apart.tobytes()))
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("center"), batch.column("nid"), *columns], ["center", "nid", "n", "center_n", "linked", "apart"])
+
+    sides = [sets.select(F.col("nid").alias(name), F.col("members").alias(s)) for name, s in (("center", "set_c"), ("nid", "set_x"))]
+    rows = stars.join(sides[0], "center").join(sides[1], "nid").select("center", "nid", "set_c", "set_x")
+    return rows.mapInArrow(run, "center long, nid long, n long, center_n long, linked boolean, apart binary")
+
+
+def dealt(stars: DataFrame, groups: DataFrame) -> DataFrame:
+    """Nodes whose center has a node outside its own component, once for each pair of blocks (left, right) they are in.
+
+    Nodes outside and inside the center's component have blocks of their own; two inside blocks need no comparison.
+    """
+    own = groups.withColumnRenamed("component", "group").withColumnRenamed("node", "nid")
+    theirs = groups.withColumnRenamed("component", "center_group").withColumnRenamed("node", "center")
+    named = stars.join(own, "nid", "left").join(theirs, "center", "left")
+    named = named.withColumn("group", F.coalesce("group", "nid")).withColumn("outside", F.col("group") != F.coalesce("center_group", "center"))
+    blocks = lambda part: F.ceil(F.greatest(F.sum(part.cast("long")) / BLOCK_NODES, F.sum(F.when(part, F.length("apart"))) / BLOCK_BYTES))
+    sizes = named.groupBy("center").agg(blocks(F.col("outside")).alias("outer"), blocks(~F.col("outside")).alias("inner"), F.count(F.lit(1)).alias("nodes"))
+    sizes = stored(sizes.where("nodes > 1 AND outer > 0").withColumn("inner", F.coalesce("inner", F.lit(0))), "block_sizes")
+    spot = F.pmod(F.xxhash64("nid"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner")))
+    placed = named.join(sizes, "center").withColumn("block", spot + F.when(F.col("outside"), 0).otherwise(F.col("outer")))
+    others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("outside"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
+    met = placed.withColumn("other", F.explode(others))
+    return met.select("center", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "nid", "n", "group", "apart")
+
+
+def block_links(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between components that the pairs of two blocks (of one, if they are the same) show."""
+    here = [r for r in rows if r["block"] == r["left"]]
+    there = [r for r in rows if r["block"] == r["right"]]
+    if not here or not there:
+        return []
+    a, b = ([np.frombuffer(r["apart"], np.uint64) for r in side] for side in (here, there))
+    na, nb = (np.array([r["n"] for r in side]) for side in (here, there))
+    apart = np.array([len(v) for v in a])[:, None] + np.array([len(v) for v in b])[None, :] - 2 * overlaps(a, b)
+    both = (na[:, None] + nb[None, :] - apart) // 2
+    similar = den * both >= num * (na[:, None] + nb[None, :] - both)
+    parent: dict[int, int] = {}
+
+    def root(g: int) -> int:
+        while parent.get(g, g) != g:
+            g = parent[g]
+        return g
+
+    found = []
+    for i, j in zip(*np.nonzero(similar), strict=True):
+        x, y = root(here[i]["group"]), root(there[j]["group"])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            found.append((min(here[i]["nid"], there[j]["nid"]), max(here[i]["nid"], there[j]["nid"])))
+    return found
+
+
+def links_in_blocks(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of all pairs of blocks; a task keeps one pair of blocks at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        key, rows = None, []
+
+        def flush() -> pa.RecordBatch:
+            found = block_links(rows, num, den)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = (r["center"], r["left"], r["right"])
+                if own != key and rows:
+                    yield flush()
+                    rows = []
+                key = own
+                rows.append(r)
+        yield flush()
+
+    keys = ["center", "left", "right"]
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def linked_sets(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = 80, den: int = 100) -> DataFrame:
+    """(nid, component) of all ``nodes`` (nid, node, n, bands) that have a link.
+
+    ``sets_of`` gives (nid, members), the sorted full sets, for nodes (nid, node).
+    """
+    stars = stored(crowded_bands(nodes).where("nid <> center").select("center", "nid").distinct(), "stars")
+    asked = stars.select("nid").union(stars.select("center")).distinct()
+    sets = stored(sets_of(nodes.select("nid", "node").join(asked, "nid", "left_semi")), "sets")
+    seen = stored(compared(stars, sets, num, den), "compared")
+    direct = seen.where("linked").select(*ordered(F.col("center"), F.col("nid")))
+    first = stored(components(direct), "groups")
+    more = stored(links_in_blocks(dealt(seen, first), num, den), "block_links")
+    return components(direct.union(more)).withColumnRenamed("node", "nid")

@@ -23,7 +23,7 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 ROUND_SALTS = salts(2 * BINS, 23)
 BAND_SALTS = salts(BINS, 29)
 
-SKETCH_SCHEMA = [("node", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("coords", pa.binary())]
+SKETCH_SCHEMA = [("node", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))]
 
 
 def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,25 +75,38 @@ def described(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         low += mix(coords[:, j::BAND] ^ BAND_SALTS[j]) * np.uint64(2 * j + 1)
     keys = mix(low ^ BAND_SALTS[None, :BANDS]).view(np.int64)
     nodes = np.ascontiguousarray(set_keys(values, offsets)).view(np.uint8).reshape(len(n), 16)
-    short = (mix(coords) & np.uint64(255)).astype(np.uint8)
     bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32)), pa.array(keys[full].ravel()))
     return [
         pa.array([x.tobytes() if f else None for x, f in zip(nodes, full, strict=True)], pa.binary()),
         pa.array(n.astype(np.int64)),
         bands,
-        pa.array([x.tobytes() if f else None for x, f in zip(short, full, strict=True)], pa.binary()),
     ]
 
 
-def agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Number of equal coordinates of two columns of short sketches."""
-    both = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, BINS) for x in (a, b)]
-    return (both[0] == both[1]).sum(1)
-
-
-def common(a: bytes, b: bytes) -> int:
-    """Size of the intersection of two sorted sets of 64-bit values."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum()) if len(y) else 0
+def difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Members of one of two sorted sets of distinct values only, sorted."""
+    both = np.concatenate((x, y))
+    both.sort(kind="mergesort")
+    twin = np.zeros(len(both), bool)
+    twin[1:] = both[1:] == both[:-1]
+    twin[:-1] |= twin[1:]
+    return both[~twin]
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of ``left`` with every set of ``right``, by products of blocks of columns."""
+    values = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(v) for v in (*left, *right)])
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    new = np.cumsum(count > 1) - 1
+    row, column = row[shared], new[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [first, first + width])
+        block = np.zeros((len(left) + len(right), width), np.float32)
+        block[row[a:b], column[a:b] - first] = 1
+        out += block[: len(left)] @ block[len(left) :].T
+    return out.astype(np.int64)
