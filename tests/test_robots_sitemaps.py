@@ -75,13 +75,13 @@ def test_origin_fields(spark):
 def test_delay_limits(spark):
     rows = [(str(d), f"User-agent: *\nCrawl-delay: {d}", 200) for d in ("0", "-1", "3600", "3601", "nan", "1e2", " 2 ")]
     got = {r.origin: r.crawl_delay for r in parse_robots(bodies(spark, *rows), "x").collect()}
-    assert got == {"0": None, "-1": None, "3600": 3600.0, "3601": None, "nan": None, "1e2": 100.0, " 2 ": 2.0}
+    assert got == {"0": None, "-1": None, "3600": 3600.0, "3601": 3601.0, "nan": None, "1e2": 100.0, " 2 ": 2.0}
 
 
 def test_long_body(spark):
     head = "User-agent: *\nDisallow: /x\n"
     body = head + "#" + "é" * 300_000 + "\nDisallow: /late"
-    assert allowed(spark, "x", "/x", "/late", body=body) == [False, True]
+    assert allowed(spark, "x", "/x", "/late", body=body) == [False, False]
 
 
 URLSET = """<?xml version="1.0" encoding="UTF-8"?>
@@ -99,6 +99,7 @@ def test_sitemaps(spark):
         ("index", INDEX.encode()),
         ("broken", URLSET.replace("</urlset>", "").encode()),
         ("not gzip", b"\x1f\x8bxx"),
+        ("members", gzip.compress(URLSET[:200].encode()) + gzip.compress(URLSET[200:].encode())),
         ("empty", b""),
     ]
     got = {}
@@ -108,9 +109,9 @@ def test_sitemaps(spark):
         ("urlset", "https://e.com/a?b=1&c=2", "2024-05-01 00:00:00", "weekly", 1.0),
         ("urlset", "https://e.com/sitemapindex", "None", None, None),
     ]
-    assert got["plain"] == got["gzip"] == got["broken"] == entries
+    assert got["plain"] == got["gzip"] == got["members"] == got["broken"] == entries
     assert got["index"] == [("index", "https://e.com/1.xml", "2024-05-01 08:00:00", None, None)]
-    assert set(got) == {"plain", "gzip", "index", "broken"}
+    assert set(got) == {"plain", "gzip", "members", "index", "broken"}
 
 
 def test_lastmod(spark):
@@ -133,8 +134,8 @@ def test_expand_depth_and_loops(spark):
     rows = [("s", "index", "m"), ("m", "index", "l"), ("m", "index", "s"), ("l", "index", "deep"), ("l", "urlset", "u1"), ("deep", "urlset", "u2"), ("s", "urlset", "u0")]
     entries = spark.createDataFrame(rows, "sitemap_url string, kind string, loc string")
     seeds = spark.createDataFrame([("s",)], "sitemap_url string")
-    assert sorted(r.loc for r in M.sitemap_expand(entries, seeds).collect()) == ["u0", "u1"]
-    assert sorted(r.loc for r in M.sitemap_expand(entries, seeds, 3).collect()) == ["u0", "u1", "u2"]
+    assert sorted(r.loc for r in M.sitemap_expand(entries, seeds).collect()) == ["u0", "u1", "u2"]
+    assert sorted(r.loc for r in M.sitemap_expand(entries, seeds, 2).collect()) == ["u0", "u1"]
 
 
 def test_seed_cap(spark):

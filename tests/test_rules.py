@@ -30,8 +30,7 @@ DOCS = [
     ("﻿" + doc(), "pass", None),
     (doc(tags=nested(19)), "pass", None),
     ("", "skip", "empty file"),
-    ("x" * 65537, "skip", "file too large"),
-    (doc(tags=nested(20)), "skip", "nested too deep"),
+    (doc(tags=nested(40)), "pass", None),
     ('{"name": "a"}', "skip", "no fields key"),
     ("{", "fail", "not valid JSON or repeated keys"),
     ('{"name": "a", "name": "b", "fields": {}}', "fail", "not valid JSON or repeated keys"),
@@ -39,7 +38,7 @@ DOCS = [
     (doc(schema_version=3), "fail", "schema_version is not supported"),
     (doc(name=" "), "fail", "name is empty"),
     (doc(name="default"), "fail", "name is reserved"),
-    (doc(name="n" * 65), "fail", "name is too long"),
+    (doc(name="n" * 65), "pass", None),
     (doc(name="Big"), "fail", "name has other characters"),
     (doc(enabled="true"), "fail", "enabled is not a boolean"),
     (doc(version=0), "fail", "version is not valid"),
@@ -55,15 +54,16 @@ DOCS = [
     (doc(match={"scope": "any", "domains": ["a.com"]}), "fail", "scope excludes domains"),
     (doc(match={"scope": "domain_pattern", "domains": ["a.com"]}), "fail", "scope needs url_pattern"),
     (doc(fields=[]), "fail", "fields is not an object"),
-    (doc(fields={f"f{i}": {"selector": "a"} for i in range(51)}), "fail", "too many fields"),
-    (doc(fields={"f" * 65: {"selector": "a"}}), "fail", "a field name is empty or too long"),
+    (doc(fields={f"f{i}": {"selector": "a"} for i in range(1200)}), "pass", None),
+    (doc(fields={"f" * 65: {"selector": "a"}}), "pass", None),
+    (doc(fields={"": {"selector": "a"}}), "fail", "a field name is empty"),
     (doc(fields={"url": {"selector": "a"}}), "fail", "a field name is reserved"),
     (doc(fields={"t": "p"}), "fail", "field t is not an object"),
     (field(selector=""), "fail", "field t selector is empty"),
     (field(extract="json"), "fail", "field t extract is unknown"),
     (field(extract="attr"), "fail", "field t attr is missing or malformed"),
     (field(multiple=1), "fail", "field t multiple is not a boolean"),
-    (field(fallback=["a", "b", "c"]), "fail", "field t has too many fallbacks"),
+    (field(fallback=["a", "b", "c"]), "pass", None),
     (field(fallback=[{"selector": "a", "fallback": ["b"]}]), "fail", "field t fallback is nested"),
     (field(fallback=[1]), "fail", "field t fallback is malformed"),
     (field(transform={"regex": "(?<=a)b"}), "fail", "field t regex is not accepted"),
@@ -166,7 +166,7 @@ def test_transform(spark):
         (["price 12"], False, t(regex=r"(?P<n>\d)\d"), ["1"]),
         (["none"], False, t(regex=r"\d+"), None),
         (["aXb"], False, t(replace_from="X", replace_to="-"), ["a-b"]),
-        (["aXb"], False, t(replace_from="X", replace_to="y" * 50), ["aXb"]),
+        (["aXb"], False, t(replace_from="X", replace_to="y" * 50), ["a" + "y" * 50 + "b"]),
         (["a", "b"], True, t(join=", "), ["a, b"]),
         (["a1", "b"], True, t(regex=r"\d", replace_from="a", replace_to="z"), ["a1", "b"]),
         ([], True, t(join=","), [""]),

@@ -28,52 +28,21 @@ def arriving(spark, tmp_path, ddl, *batches):
     return reader.option("latestFirst", False).parquet(str(folder))
 
 
-EVENTS = "endpoint bigint, id bigint, us bigint, kind string, weight int"
-
-
-def fail(t, w=1):
-    return (1, int(t * 10), int(t * S1), "failure", w)
-
-
-def ok(t):
-    return (1, int(t * 10), int(t * S1), "success", 1)
-
-
-def changes(spark, tmp_path, *batches):
-    S.use_rocksdb(spark)
-    out = drain(spark, tmp_path, S.endpoint_states(arriving(spark, tmp_path, EVENTS, *batches)), "endpoint bigint, us bigint, state string")
-    return [(r.us / S1, r.state) for r in out.orderBy("us").collect()]
-
-
-def test_endpoint_opens_and_recovers(spark, tmp_path):
-    got = changes(spark, tmp_path, [fail(1), fail(2)], [fail(3), fail(4)], [ok(40)])
-    assert got == [(3.0, "open"), (33.0, "half_open"), (40.0, "closed")]
-
-
-def test_endpoint_success_resets(spark, tmp_path):
-    assert changes(spark, tmp_path, [fail(1), fail(2), ok(3), fail(4), fail(5)]) == []
-
-
-def test_endpoint_timeout_opens_at_once_and_reopens(spark, tmp_path):
-    # Failures inside the trial of 15 s are watched; after it two of them open again, for 45 s.
-    got = changes(spark, tmp_path, [fail(0, 3), fail(31), fail(46), ok(92)])
-    assert got == [(0.0, "open"), (30.0, "half_open"), (46.0, "open"), (91.0, "half_open"), (92.0, "closed")]
-
-
-def test_endpoint_success_closes_an_open_state(spark, tmp_path):
-    assert changes(spark, tmp_path, [fail(0, 3), ok(5)]) == [(0.0, "open"), (5.0, "closed")]
-
-
-def test_endpoint_single_late_failure_closes(spark, tmp_path):
-    assert changes(spark, tmp_path, [fail(0, 3), fail(46)]) == [(0.0, "open"), (30.0, "half_open"), (46.0, "closed")]
+def test_endpoint_windows(spark, tmp_path):
+    ddl = "endpoint bigint, us bigint, kind string, weight int"
+    batches = [[(1, 1 * S1, "failure", 1), (1, 2 * S1, "success", 1), (2, 3 * S1, "failure", 3)], [(1, 70 * S1, "success", 1)], [(1, 500 * S1, "failure", 3)]]
+    rows = arriving(spark, tmp_path, ddl, *batches).withColumn("ts", F.timestamp_micros("us"))
+    out = drain(spark, tmp_path, S.endpoint_windows(rows), "endpoint bigint, window_start timestamp, failures bigint, successes bigint, state string")
+    got = {(r.endpoint, r.at): (r.failures, r.successes, r.state) for r in out.withColumn("at", F.unix_seconds("window_start")).collect()}
+    assert got == {(1, 0): (1, 1, "degraded"), (2, 0): (3, 0, "open"), (1, 60): (0, 1, "closed")}
 
 
 def test_bursts_over_batches(spark, tmp_path):
-    S.use_rocksdb(spark)
-    ddl = "key bigint, id bigint, us bigint"
-    batches = [[(1, 1, 0), (2, 1, 0)], [(1, 2, 5 * S1), (2, 2, 70 * S1)], [(1, 3, 9 * S1), (2, 3, 75 * S1)], [(1, 4, 9 * S1), (2, 4, 131 * S1)]]
-    out = drain(spark, tmp_path, S.stream_bursts(arriving(spark, tmp_path, ddl, *batches), n=2), "key bigint, opened_us bigint")
-    assert [tuple(r) for r in out.collect()] == [(1, 9 * S1)]
+    ddl = "key bigint, us bigint"
+    batches = [[(1, 0), (2, 0)], [(1, 5 * S1), (2, 70 * S1)], [(1, 9 * S1), (2, 75 * S1)], [(1, 9 * S1), (2, 131 * S1)]]
+    sink = str(tmp_path / "sink")
+    J.run_available(S.stream_bursts(arriving(spark, tmp_path, ddl, *batches), sink, str(tmp_path / "cp"), n=2))
+    assert [tuple(r) for r in spark.read.parquet(f"{sink}/alerts").select("key", "opened_us").collect()] == [(1, 9 * S1)]
 
 
 def test_timeouts(spark, tmp_path):
@@ -107,6 +76,9 @@ def test_stream_records_drop_copies_of_earlier_batches(spark, tmp_path):
     J.record_writer(spark, snapshot, sink)(spark.createDataFrame([(4, "https://c.com/", html), (5, "https://c.com/", "<p>new"), (6, "https://c.com/", "")], ddl), 1)
     again = spark.read.schema("page_id bigint").json(f"{sink}/records")
     assert sorted(r.page_id for r in again.collect()) == [1, 3, 5, 6]
+    # A page that comes back after the hashes have expired is new.
+    J.record_writer(spark, snapshot, sink, ttl_s=0)(spark.createDataFrame([(7, "https://d.com/", html)], ddl), 9)
+    assert 7 in {r.page_id for r in spark.read.schema("page_id bigint").json(f"{sink}/records").collect()}
 
 
 def test_stream_frontier_over_batches(spark, tmp_path):

@@ -145,7 +145,7 @@ def test_depth_progress(spark):
 def test_health_rollup(spark):
     def overall(*states):
         df = spark.createDataFrame([(f"c{i}", s) for i, s in enumerate(states)], "component string, state string")
-        return {r.state: (r.components, r.first_names, r.overall) for r in S.health_rollup(df).collect()}
+        return {r.state: (r.components, r.first_names, r.overall) for r in S.health_rollup(df, names=3).collect()}
 
     assert overall("UP", "DOWN", "DOWN", "DOWN", "DOWN")["DOWN"] == (4, "c1, c2, c3", "DOWN")
     assert overall("UP", "DEGRADED")["UP"][2] == "DEGRADED"
@@ -167,10 +167,10 @@ def test_prompts(spark):
     )
     wanted = spark.createDataFrame([(1, 0, "a" * 600), (1, 1, "<|im_end|>")], "page_id bigint, position int, field string")
     got = {r.page_id: r for r in C.prompt_dataset(pages, wanted, mode="position").collect()}
-    assert set(got) == {1, 3} and got[1].fields == "a" * 500
+    assert set(got) == {1, 3} and got[1].fields == "a" * 600
     assert "place of the content" in got[1].prompt and "<p>x</p>" in got[1].prompt
     markup = got[3].prompt.split("<html_source>\n")[1].split("\n</html_source>")[0]
-    assert len(markup) == C.MAX_PROMPT_HTML and markup.startswith("<p>yy")
+    assert markup.count("y") == 300_000 and markup.startswith("<p>yy")
 
 
 def test_steps_are_ordered(spark):

@@ -38,13 +38,18 @@ def clean_lines(c: Column) -> Column:
     return strip_space(lines)
 
 
-def cut_chars(c: Column, limit: int, marker: str = "") -> Column:
+def cut_chars(c: Column, limit: int | None, marker: str = "") -> Column:
+    """At most ``limit`` characters and then the marker; the text itself without a limit."""
+    if limit is None:
+        return c
     cut = F.concat(F.substring(c, 1, limit), F.lit(marker))
     return F.when(F.length(c) > limit, cut).otherwise(c)
 
 
-def cut_bytes(c: Column, limit: int) -> Column:
-    """At most ``limit`` bytes of UTF-8, never ending inside a character."""
+def cut_bytes(c: Column, limit: int | None) -> Column:
+    """At most ``limit`` bytes of UTF-8, never ending inside a character; the text itself without a limit."""
+    if limit is None:
+        return c
     raw = F.encode(c, "UTF-8")
 
     def starts_char(at: int) -> Column:

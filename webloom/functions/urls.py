@@ -80,8 +80,9 @@ PUBLIC_SUFFIXES = (
     "org.au", "com.br", "com.cn", "org.cn", "co.in", "github.io",
 )
 
-# Characters that may not appear unescaped in a path or query.
-ILLEGAL_URL_CHARS = r'[<>"{}|\\^`\x00-\x1f\x7f]'
+# RFC 3986: a path or query holds visible ASCII without the delimiters that no URL uses; other scripts are let through.
+_UNSAFE_DELIMITERS = "\"<>\\^`{|}"
+UNSAFE = r"[\p{Cntrl}" + "".join("\\" + mark for mark in _UNSAFE_DELIMITERS) + "]"
 
 # Most URLs are usable as they stand, many are canonical already: one pattern settles those.
 _PLAIN = r"""[^?#<>"{}|\\^`\x00-\x20\x7f]"""
@@ -229,8 +230,8 @@ def invalid_reason(url: Column | str) -> Column:
         F.when(_as_col(url).rlike(_USABLE), F.lit(None).cast("string"))
         .when(~p.scheme.isin("http", "https") | p.scheme.isNull(), "bad_scheme")
         .when(p.netloc == "", "no_host")
-        .when(p.path.rlike(ILLEGAL_URL_CHARS), "illegal_path")
-        .when(p.query.rlike(ILLEGAL_URL_CHARS), "illegal_query")
+        .when(p.path.rlike(UNSAFE), "illegal_path")
+        .when(p.query.rlike(UNSAFE), "illegal_query")
         .when(F.contains(p.path, F.lit(" ")) | F.contains(p.query, F.lit(" ")), "space")
     )
 
@@ -358,10 +359,40 @@ def resolve(base: Column | str, href: Column | str) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """Mask the password of userinfo and the values of sensitive query keys."""
-    masked = F.regexp_replace(c, r"(://[^:@/]+:)([^@/]+)(@)", "$1***$3")
-    keys = "|".join(SENSITIVE_PARAMS)
-    return F.regexp_replace(masked, rf"(?i)([?&])({keys})=[^&]*", "$1$2=***")
+    """Mask the password of userinfo and the values of sensitive query keys.
+
+    Userinfo is what stands between ``://`` and ``@``; keys are looked for between
+    question marks and ampersands.
+    """
+    mask = F.lit("***")
+
+    def userinfo(text: Column) -> Column:
+        """The password is what lies between the first colon behind ``://`` and the next ``@``, with no slash in between."""
+        pieces = F.split(text, "://", -1)
+
+        def hidden(piece: Column, i: Column) -> Column:
+            authority = F.substring_index(piece, "/", 1)
+            name = F.substring_index(F.substring_index(authority, "@", 1), ":", 1)
+            secret = F.substring(F.substring_index(authority, "@", 1), F.length(name) + 2, F.length(authority))
+            rest = F.substring(piece, F.length(name) + F.length(secret) + 2, F.length(piece))
+            has = (i > 0) & F.contains(authority, F.lit("@")) & (name != "") & (secret != "")
+            return F.when(has, F.concat(name, F.lit(":"), mask, rest)).otherwise(piece)
+
+        return F.array_join(F.transform(pieces, hidden), "://")
+
+    def masked(part: Column, j: Column) -> Column:
+        """A key stands behind a question mark, or at the start of any part but the first; its value ends with the part."""
+        pieces = F.split(part, "[?]", -1)
+        keys = F.transform(pieces, lambda piece, i: F.struct(i.alias("i"), F.substring_index(piece, "=", 1).alias("key"), F.contains(piece, F.lit("=")).alias("valued")))
+        sensitive = F.filter(keys, lambda k: k["valued"] & ((k["i"] > 0) | (j > 0)) & F.lower(k["key"]).isin(*SENSITIVE_PARAMS))
+        first = F.get(sensitive, F.lit(0))
+        before = F.transform(F.slice(pieces, 1, F.coalesce(first["i"], F.lit(0))), lambda piece: F.concat(piece, F.lit("?")))
+        return F.when(first.isNull(), part).otherwise(F.concat(F.array_join(before, ""), first["key"], F.lit("="), mask))
+
+    def query(text: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, "&", -1), masked), "&")
+
+    return let(userinfo(c), query)
 
 
 def path_and_query(url: Column | str) -> Column:

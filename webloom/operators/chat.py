@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from webloom.functions import text as X
 from webloom.operators import pages as P
 
-# Characters of markup and of one wanted field in a prompt.
-MAX_PROMPT_HTML = 200_000
-MAX_FIELD_LENGTH = 500
 TURNS_PER_PART = 1000
 
 SYSTEM_TEXTS = {
@@ -61,19 +58,6 @@ def token_counts(
     return df.groupBy(*by).agg(F.sum(counter(F.col(text_col))).alias(name), F.count(F.lit(1)).alias("texts"))
 
 
-def encoding_counter(encoding: str) -> Callable[[Column], Column]:
-    """Counter for a named byte-pair encoding, where its file is installed on the workers."""
-
-    @F.pandas_udf("bigint")
-    def count(texts):
-        import tiktoken
-
-        encoder = tiktoken.get_encoding(encoding)
-        return texts.map(lambda s: len(encoder.encode(s, disallowed_special=())) if s else 0)
-
-    return count
-
-
 def prompt_dataset(pages: DataFrame, wanted: DataFrame, mode: str = "type", tier: str = "canonical", system: str | None = None) -> DataFrame:
     """One prompt per page with text: cleaned markup, URL, wanted fields.
 
@@ -81,7 +65,7 @@ def prompt_dataset(pages: DataFrame, wanted: DataFrame, mode: str = "type", tier
     field by name.
     """
     cleaned = P.clean_html(pages.where(~P.is_blank(F.col("html"))), tier)
-    field = F.left(X.printable(F.col("field")), F.lit(MAX_FIELD_LENGTH))
+    field = X.printable(F.col("field"))
     asked = (
         wanted.select("page_id", "position", field.alias("field"))
         .where("field <> ''")
@@ -94,7 +78,7 @@ def prompt_dataset(pages: DataFrame, wanted: DataFrame, mode: str = "type", tier
         F.lit("\nFields: "),
         F.coalesce("fields", F.lit("detect them")),
         F.lit("\n\n<html_source>\n"),
-        F.left("cleaned", F.lit(MAX_PROMPT_HTML)),
+        F.col("cleaned"),
         F.lit("\n</html_source>\n\nRule as JSON:"),
     )
     system_text = F.lit(system or SYSTEM_TEXTS[mode])

@@ -20,11 +20,8 @@ from webloom.operators.ranking import BUCKET_ROWS, hot_keys, id_bucket, numbered
 from webloom.operators.urls import is_excluded
 from webloom.session import cut_lineage
 
-# Queue limit, retries, retry batch, domain cap, age of a stuck request.
-QUEUE_LIMIT = 50_000
+# Retries, age of a stuck request.
 MAX_REQUEUE = 1
-RETRY_BATCH = 50
-DOMAIN_CAP = 3
 STUCK_SECONDS = 300
 
 
@@ -39,15 +36,15 @@ def admit(
     in_flight: DataFrame,
     patterns: Sequence[str] = (),
     max_depth: int = 3,
-    cap: int = QUEUE_LIMIT,
+    cap: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """``candidates(seq, url, depth)`` with ``verdict``, in order of ``seq``.
 
     Tests in order: invalid_url, excluded, boundary, queue_full, duplicate,
     enqueued. A candidate is new when its URL is unknown and it is the first of
-    the batch; the queue is full for all rows after the free places are used up,
-    which is a running count over ``seq`` split into ordered buckets.
+    the batch. With a ``cap`` the queue is full for all rows after the free places
+    are used up, a running count over ``seq`` split into ordered buckets.
     """
     early = (
         F.when(U.invalid_reason("url").isNotNull(), "invalid_url")
@@ -63,15 +60,16 @@ def admit(
         .select("seq", F.lit(1).alias("_new"))
     )
     flagged = judged.join(first, "seq", "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
+    late = F.when(F.col("_new") == 0, "duplicate").otherwise("enqueued")
+    if cap is None:
+        return flagged.withColumn("verdict", F.coalesce("_early", late)).drop("_early", "_new")
     size = queue.agg(F.count(F.lit(1))).scalar()
     # Bucket totals need the new rows and the list of buckets, not the joined candidates.
     sparse = first.unionByName(candidates.select("seq", F.lit(0).alias("_new")))
     counted = running_sum(
         flagged, F.col("_new").cast("bigint"), ["seq"], id_bucket("seq", bucket_rows), "_before", include_current=False, totals_of=sparse
     ).withColumn("_free", F.lit(cap) - size)
-    late = (
-        F.when(F.col("_before") >= F.col("_free"), "queue_full").when(F.col("_new") == 0, "duplicate").otherwise("enqueued")
-    )
+    late = F.when(F.col("_before") >= F.col("_free"), "queue_full").otherwise(late)
     return counted.withColumn("verdict", F.coalesce("_early", late)).drop("_early", "_new", "_before", "_free")
 
 
@@ -130,7 +128,7 @@ def politeness(
     )
 
 
-def domain_cap(queue: DataFrame, k: int = DOMAIN_CAP) -> DataFrame:
+def domain_cap(queue: DataFrame, k: int) -> DataFrame:
     """The first ``k`` rows per domain. Spark applies the limit per task before the shuffle."""
     order = Window.partitionBy("domain").orderBy("depth", "id")
     return queue.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k).drop("_rn")
@@ -178,13 +176,13 @@ def recover(in_flight: DataFrame, urls: DataFrame, queue: DataFrame) -> DataFram
 
 
 def retry_reclaim(
-    failures: DataFrame, queue: DataFrame, in_flight: DataFrame, urls: DataFrame, max_requeue: int = MAX_REQUEUE, n: int = RETRY_BATCH
+    failures: DataFrame, queue: DataFrame, in_flight: DataFrame, urls: DataFrame, max_requeue: int = MAX_REQUEUE, n: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The next ``n`` failed URLs to queue again, and the failures with their counters raised."""
+    """The failed URLs to queue again (with ``n`` the next ones only), and the failures with their counters raised."""
     ready = failures.where(F.col("requeue_count") < max_requeue)
     for known in (queue, in_flight, urls.where("status = 'completed'")):
         ready = ready.join(known.select("url"), "url", "left_anti")
-    taken = ready.orderBy("depth", "url").limit(n).select("url", "depth")
+    taken = (ready if n is None else ready.orderBy("depth", "url").limit(n)).select("url", "depth")
     raised = failures.join(taken.select("url", F.lit(1).alias("_up")), "url", "left").withColumn(
         "requeue_count", F.col("requeue_count") + F.coalesce("_up", F.lit(0))
     )

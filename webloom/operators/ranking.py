@@ -87,6 +87,15 @@ def with_lookback(df: DataFrame, time_us: str, lookback_us: int, bucket_us: int
     return df.withColumn("_bucket", F.explode(F.sequence(own, last))).withColumn("_own", F.col("_bucket") == own)
 
 
+# Rows of a narrow relation that every executor may hold.
+SMALL_ROWS = 200_000
+
+
+def checked_side(stored_rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A stored side of a join, to be broadcast if it has at most ``most`` rows; beyond that Spark decides by size."""
+    return F.broadcast(stored_rows) if stored_rows.count() <= most else stored_rows
+
+
 # Rows of one key that a single task joins.
 ROWS_PER_SALT = 1_000_000
 

@@ -1,13 +1,11 @@
 """Rule corpus jobs: which rule applies to a page, what it extracts, how well it works.
 
-A rule snapshot has at most ``MAX_RULES`` rows (``rule_snapshot`` enforces it),
-so it is broadcast or made a constant; nothing else here is.
+Rules meet pages through the hosts of the pages; a side of a join is broadcast
+only after its rows were counted.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +13,16 @@ from webloom.functions import text as X
 from webloom.functions import urls as U
 from webloom.functions.urls import let
 from webloom.operators import pages as P
+from webloom.operators.ranking import checked_side, numbered, running_sum
+from webloom.session import stored
 from webloom.sources.rules import DEFAULT_RULE, java_pattern
 
-# Rules kept in all and of general scope, order of sources and scopes.
-MAX_RULES = 2000
-MAX_GENERIC = 20
+# Order of sources and scopes.
 SOURCE_ORDER = ("pip", "remote", "user")
 UNKNOWN_SOURCE_RANK = 99
 SCOPE_ORDER = ("domain_pattern", "domain_all", "global_pattern", "any")
-# Currency signs, longest first, and limits of replaced text.
+# Currency signs, longest first.
 CURRENCY_SIGNS = ("R$", "¥", "$", "€", "£", "₹", "₩", "₽", "₺")
-MAX_GROWTH = 5
 # Fixed value: a rule slower than this is marked, in milliseconds.
 SLOW_MS = 1000
 
@@ -55,18 +52,21 @@ def rule_dedup(rules: DataFrame) -> DataFrame:
     return rules.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
 
-def rule_rank(rules: DataFrame, max_total: int = MAX_RULES, max_generic: int = MAX_GENERIC) -> DataFrame:
+def rule_rank(rules: DataFrame, max_total: int | None = None, max_generic: int | None = None) -> DataFrame:
     """Rules in order of precision with ``rank``; names are unique.
 
-    The first ``max_total`` come from a distributed top-n, so the windows below
-    see at most that many rows.
+    With limits, the first ``max_total`` stay, and of the general ones among
+    them the first ``max_generic``. Ranks are counted bucket by bucket.
     """
-    order = [_rank(F.col("scope"), SCOPE_ORDER, 3), F.desc(_pattern_length()), F.desc("version"), F.col("name")]
-    top = rules.orderBy(*order).limit(max_total)
-    whole = Window.orderBy(*order)
-    counted = top.withColumn("_generic", F.sum(is_generic().cast("int")).over(whole))
-    kept = counted.where(~is_generic() | (F.col("_generic") <= max_generic)).drop("_generic")
-    return kept.withColumn("rank", F.row_number().over(whole))
+    keys = {"_s": _rank(F.col("scope"), SCOPE_ORDER, 3), "_l": -_pattern_length(), "_v": -F.col("version")}
+    order, bucket = [*keys, "name"], F.struct(*keys)
+    kept = rules.withColumns(keys)
+    if max_total is not None:
+        kept = kept.orderBy(*order).limit(max_total)
+    if max_generic is not None:
+        counted = running_sum(kept, is_generic().cast("bigint"), order, bucket, "_generic")
+        kept = counted.where(~is_generic() | (F.col("_generic") <= max_generic)).drop("_generic")
+    return numbered(kept, order, bucket, "rank").withColumn("rank", F.col("rank").cast("int")).drop(*keys)
 
 
 def rule_conflicts(rules: DataFrame) -> DataFrame:
@@ -95,94 +95,78 @@ def overlay(rules: DataFrame, disabled: DataFrame | None) -> DataFrame:
 
 
 def rule_snapshot(rules: DataFrame, disabled: DataFrame | None = None) -> DataFrame:
-    """The rules a run works with: one per name, ranked and capped, switched on or off."""
+    """The rules a run works with: one per name, ranked, switched on or off."""
     return overlay(rule_rank(rule_dedup(rules)), disabled)
 
 
-_INDEX = "map<string,array<struct<length:int,version:int,source:int,name:string,pattern:string>>>"
+# Patterns of one fixed beginning: an anchored text without signs of the pattern language, and what follows it.
+_PLAIN_START = r"^\^((?:[A-Za-z0-9/_~%=&,;:@ -]|\\[./-])+)(?![*+?{])(.*)$"
 
 
-def match_index(snapshot: DataFrame) -> Column:
-    """Domain to rules as a constant; general rules stand under ``*``.
+def _entries(snapshot: DataFrame) -> DataFrame:
+    """(key, e) of every enabled rule and domain; general rules have the key ``*``.
 
-    A snapshot has at most ``MAX_RULES`` rules, which is checked here; the
-    constant is what a broadcast of the snapshot would be.
+    A pattern that begins with fixed text is kept as that text and, if more
+    follows, the pattern: the text is compared first.
     """
+    pattern = F.when(F.col("scope").isin("domain_pattern", "global_pattern"), java_pattern(F.col("url_pattern")))
+    has_start = pattern.rlike(_PLAIN_START) & ~F.contains(pattern, F.lit("|"))
+    start = F.when(has_start, F.replace(F.regexp_extract(pattern, _PLAIN_START, 1), F.lit("\\"), F.lit("")))
+    rest = F.when(has_start & (F.regexp_extract(pattern, _PLAIN_START, 2) == ""), F.lit(None)).otherwise(pattern)
     entry = F.struct(
         (-_pattern_length()).cast("int").alias("length"),
         (-F.col("version")).cast("int").alias("version"),
         source_rank(F.col("source")).alias("source"),
         F.col("name").alias("name"),
-        F.when(F.col("scope").isin("domain_pattern", "global_pattern"), java_pattern(F.col("url_pattern"))).alias("pattern"),
-    )
-    keys = F.when(F.size("domains") > 0, F.transform("domains", lambda d: F.rtrim(F.lower(d), F.lit(".")))).otherwise(
-        F.array(F.lit("*"))
-    )
-    rows = (
-        snapshot.where("enabled")
-        .select(F.array_distinct(keys).alias("keys"), F.to_json(entry).alias("entry"))
-        .limit(MAX_RULES + 1)
-        .collect()
+        start.alias("start"),
+        rest.alias("pattern"),
     )
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; build the snapshot with rule_snapshot")
-    index: dict[str, list[str]] = {}
-    for row in rows:
-        for key in row["keys"]:
-            index.setdefault(key, []).append(row["entry"])
-    text = ", ".join(f"{json.dumps(key)}: [{', '.join(entries)}]" for key, entries in index.items())
-    return F.from_json(F.lit(f"{{{text}}}"), _INDEX)
+    keys = F.when(F.size("domains") > 0, F.transform("domains", lambda d: F.rtrim(F.lower(d), F.lit(".")))).otherwise(F.array(F.lit("*")))
+    return snapshot.where("enabled").select(F.explode(F.array_distinct(keys)).alias("key"), entry.alias("e"))
 
 
 def rule_match(pages: DataFrame, snapshot: DataFrame) -> DataFrame:
     """``pages`` with ``rule`` and ``candidates`` (names, best first).
 
-    Every page looks up the suffixes of its own host in the constant index and
-    ranks the few hits within the row: nothing is joined or shuffled, so
-    markup stays where it was read and a busy host is no special case.
+    Rules of domains are joined to the distinct suffixes of the pages' hosts,
+    however many there are, and give one list per host; the general rules are
+    one list for all. Pages meet the list of their host, which is broadcast if
+    hosts with rules are few, and rank the hits within the row. The fixed
+    beginning of a pattern is compared before the pattern.
     """
-    index = match_index(snapshot)
+    entries = _entries(snapshot)
     host = F.rtrim(U.split_url("url").host, F.lit("."))
-    suffixes = F.when(host != "", U.host_suffixes(host)).otherwise(F.array().cast("array<string>"))
-    place = U.path_and_query("url")
-
-    def scored(score: Column, entries: Column) -> Column:
-        return F.transform(entries, lambda e: F.struct(score.alias("score"), e.alias("e")))
-
-    def listed(keys: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                keys,
-                lambda k, i: scored(
-                    F.when(k == "*", 2).when(i == 0, 0).otherwise(1),
-                    F.coalesce(F.try_element_at(index, k), F.array().cast(_INDEX[len("map<string,") : -1])),
-                ),
-            )
-        )
-
-    rules = let(F.concat(suffixes, F.array(F.lit("*"))), listed)
-    hits = let(
-        place, lambda at: F.filter(rules, lambda r: r["e"]["pattern"].isNull() | F.rlike(at, r["e"]["pattern"]))
-    )
+    hosts = pages.select(host.alias("_host")).where("_host <> ''").distinct()
+    suffixes = hosts.select("_host", F.posexplode(U.host_suffixes(F.col("_host"))).alias("_i", "key"))
+    scored = F.struct(F.when(F.col("_i") == 0, 0).otherwise(1).alias("score"), "e")
+    lists = suffixes.join(entries.where("key <> '*'"), "key").groupBy("_host").agg(F.collect_list(scored).alias("_own"))
+    index = stored(lists, "rule_hosts")
+    general = entries.where("key = '*'").agg(F.collect_list(F.struct(F.lit(2).alias("score"), "e"))).scalar()
+    met = pages.withColumn("_host", host).join(checked_side(index), "_host", "left").withColumn("_general", general)
+    rules = F.concat(F.coalesce("_own", F.slice("_general", 1, 0)), "_general")
+
+    def fits(e: Column, at: Column) -> Column:
+        begins = e["start"].isNull() | F.startswith(at, e["start"])
+        return begins & F.when(begins, e["pattern"].isNull() | F.rlike(at, e["pattern"]))
+
+    hits = let(U.path_and_query("url"), lambda at: F.filter(rules, lambda r: fits(r["e"], at)))
     ordered = F.array_distinct(F.transform(F.array_sort(hits), lambda r: r["e"]["name"]))
-    return pages.withColumn("candidates", ordered).withColumn(
-        "rule", F.coalesce(F.get("candidates", F.lit(0)), F.lit(DEFAULT_RULE))
-    )
+    return met.withColumn("candidates", ordered).withColumn("rule", F.coalesce(F.get("candidates", F.lit(0)), F.lit(DEFAULT_RULE))).drop("_host", "_own", "_general")
 
 
 def with_rule(matched: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Matched pages with the definition of their rule; at most ``MAX_RULES`` rows are broadcast."""
+    """Matched pages with the definition of their rule."""
     defs = snapshot.select(
         F.col("name").alias("rule"),
         F.col("fields").alias("rule_fields"),
         F.to_json("fields").alias("fields_spec"),
         "keep_body_text",
         "follow_links",
-    ).limit(MAX_RULES)
-    return matched.join(F.broadcast(defs), "rule", "left")
+    )
+    return matched.join(checked_side(stored(defs, "rule_definitions")), "rule", "left")
 
 
-def field_extract(pages: DataFrame, snapshot: DataFrame, max_bytes: int = P.MAX_TEXT_LENGTH) -> DataFrame:
+def field_extract(pages: DataFrame, snapshot: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One row per page and field of the winning rule: ``values`` is NULL when nothing was found.
 
     ``pages`` has page_id, url, html and rule. Every page is parsed once.
@@ -201,7 +185,7 @@ def _has_group(pattern: Column) -> Column:
     return bare.rlike(r"\((?!\?)|\(\?P?<[A-Za-z]")
 
 
-def transform_value(values: Column, multiple: Column, t: Column, max_bytes: int = P.MAX_TEXT_LENGTH) -> Column:
+def transform_value(values: Column, multiple: Column, t: Column, max_bytes: int | None = None) -> Column:
     """``values`` after the steps of ``t`` in their fixed order; lists skip regex and replace."""
     quoted = "|".join(f"\\Q{sign}\\E" for sign in CURRENCY_SIGNS)
 
@@ -214,11 +198,7 @@ def transform_value(values: Column, multiple: Column, t: Column, max_bytes: int
         return F.when(F.rlike(v, pattern), F.call_function("regexp_extract", v, pattern, group))
 
     def by_replace(v: Column) -> Column:
-        def guarded(out: Column) -> Column:
-            size = F.octet_length(out)
-            return F.when((size > max_bytes) | (size > F.octet_length(v) * MAX_GROWTH), v).otherwise(out)
-
-        return let(F.replace(v, t["replace_from"], t["replace_to"]), guarded)
+        return F.replace(v, t["replace_from"], t["replace_to"])
 
     stripped = let(values, each(F.coalesce(t["strip"], F.lit(False)), X.strip_space))
     clean = let(

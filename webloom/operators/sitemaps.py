@@ -9,24 +9,28 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
 from webloom.operators.ranking import ordered_take
+from webloom.session import cut_lineage
 
-# Index levels that are followed, URLs taken in all, and default locations.
-MAX_RECURSION = 2
-MAX_URLS = 100_000
+# Default locations.
 DEFAULT_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml")
 
 
-def sitemap_expand(entries: DataFrame, seeds: DataFrame, max_recursion: int = MAX_RECURSION) -> DataFrame:
+def sitemap_expand(entries: DataFrame, seeds: DataFrame, max_recursion: int | None = None) -> DataFrame:
     """URL entries of all sitemaps within reach of ``seeds(sitemap_url)``, each sitemap once.
 
     The index files are few next to the entries: the reachable set grows over
-    index rows only, the entries are joined once at the end.
+    index rows only, level by level until nothing new is found or
+    ``max_recursion`` levels are done; the entries are joined once at the end.
     """
-    index = entries.where("kind = 'index'").select("sitemap_url", "loc").distinct()
-    levels = [seeds.select("sitemap_url").distinct()]
-    for _ in range(max_recursion):
-        levels.append(levels[-1].join(index, "sitemap_url").select(F.col("loc").alias("sitemap_url")).distinct())
-    reached = reduce(DataFrame.union, levels).distinct()
+    index = cut_lineage(entries.where("kind = 'index'").select("sitemap_url", "loc").distinct())
+    reached = level = cut_lineage(seeds.select("sitemap_url").distinct())
+    depth = 0
+    while max_recursion is None or depth < max_recursion:
+        found = level.join(index, "sitemap_url").select(F.col("loc").alias("sitemap_url")).distinct()
+        level = cut_lineage(found.join(reached, "sitemap_url", "left_anti"))
+        if level.isEmpty():
+            break
+        reached, depth = reached.union(level), depth + 1
     return entries.where("kind = 'urlset'").join(reached, "sitemap_url", "left_semi")
 
 
@@ -42,13 +46,15 @@ def sitemap_candidates(origins: DataFrame, robots: DataFrame, paths: tuple[str,
     return listed.union(joined.select("origin", F.explode(defaults))).distinct()
 
 
-def sitemap_seed(entries: DataFrame, cap: int = MAX_URLS) -> DataFrame:
-    """Canonical, valid URLs of the entries, the first ``cap`` in order of sitemap and place."""
+def sitemap_seed(entries: DataFrame, cap: int | None = None) -> DataFrame:
+    """Canonical, valid URLs of the entries; with ``cap`` the first ones in order of sitemap and place."""
     urls = (
         entries.select("sitemap_url", "position", U.canonical_url("loc").alias("url"))
         .where("url IS NOT NULL")
         .where(U.invalid_reason("url").isNull())
     )
+    if cap is None:
+        return urls
     bucket = F.struct("sitemap_url", F.floor(F.col("position") / 50_000))
     return ordered_take(urls, cap, ["sitemap_url", "position"], bucket)
 

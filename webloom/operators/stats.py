@@ -226,15 +226,15 @@ def failure_counts(failures: DataFrame, max_requeue: int = 1) -> DataFrame:
     )
 
 
-def health_rollup(df: DataFrame) -> DataFrame:
-    """Components per state of ``(component, state)`` with their first three names, and the worst state.
+def health_rollup(df: DataFrame, names: int) -> DataFrame:
+    """Components per state of ``(component, state)`` with their first ``names`` names, and the worst state.
 
-    The three names come from a row limit per state, applied before the shuffle.
+    The names come from a row limit per state, applied before the shuffle.
     """
     order = Window.partitionBy("state").orderBy("component")
     named = (
         df.withColumn("_rn", F.row_number().over(order))
-        .where("_rn <= 3")
+        .where(F.col("_rn") <= names)
         .groupBy("state")
         .agg(F.array_join(F.array_sort(F.collect_list("component")), ", ").alias("first_names"))
     )

@@ -3,11 +3,13 @@ busy key is split over time; see ``ranking.with_lookback``."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.operators.ranking import hot_keys, numbered, salted_join, with_lookback
-from webloom.session import cut_lineage
+from webloom.operators.ranking import numbered, with_lookback
 
 # Burst size and span; parts of the endpoint score; weights of the running mean.
 BURST_FAILURES = 10
@@ -25,10 +27,22 @@ HASH_TTL_S = 86_400
 
 
 def trailing_counts(df: DataFrame, key: str, span_us: int, name: str = "recent") -> DataFrame:
-    """``df(key, us)`` with the number of rows of the key in the last ``span_us``, the start excluded."""
-    copies = with_lookback(df, "us", span_us)
-    frame = Window.partitionBy(key, "_bucket").orderBy("us").rangeBetween(-(span_us - 1), 0)
-    return copies.withColumn(name, F.count(F.lit(1)).over(frame)).where("_own").drop("_bucket", "_own")
+    """``df(key, us)`` with the number of rows of the key in the last ``span_us``, the start excluded.
+
+    Every row counts +1 at its time and -1 when the span has passed: one
+    running sum in each time bucket, whatever the number of rows in a span.
+    """
+    width = span_us * 4
+    bucket = lambda at: F.floor(at / width).cast("bigint")
+    own = df.withColumn("_bucket", bucket(F.col("us"))).withColumn("_at", F.col("us")).withColumn("_step", F.lit(1)).withColumn("_own", F.lit(True))
+    gone = own.withColumn("_at", F.col("us") + span_us).withColumn("_step", F.lit(-1)).withColumn("_own", F.lit(False))
+    # Into a bucket go its own rows, those that expire in it, and those of the bucket before that do so.
+    late = gone.where(bucket(F.col("_at")) > F.col("_bucket")).withColumn("_bucket", F.col("_bucket") + 1)
+    carried = late.withColumn("_at", F.col("_bucket") * width).withColumn("_step", F.lit(1))
+    inside = gone.where(bucket(F.col("_at")) == F.col("_bucket"))
+    frame = Window.partitionBy(key, "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = own.unionByName(inside).unionByName(late).unionByName(carried)
+    return steps.withColumn(name, F.sum("_step").over(frame)).where("_own").drop("_bucket", "_at", "_step", "_own")
 
 
 def bursts(df: DataFrame, key: str, n: int = BURST_FAILURES, seconds: int = BURST_SECONDS) -> DataFrame:
@@ -120,19 +134,22 @@ def liveness_summary(workers: DataFrame) -> DataFrame:
 def ttl_dedup(df: DataFrame, ttl_s: int = HASH_TTL_S) -> DataFrame:
     """Rows ``(hash, id, us)`` that are new: the entry of a hash expires ``ttl_s`` after it was first seen.
 
-    Kept rows of a hash are more than the TTL apart, so each round finds the
-    next kept row of every hash at once, as a minimum taken on the map side;
-    there are as many rounds as TTL spans in the data, however large a hash is.
+    One pass, however many TTL spans there are: of rows of one moment the first
+    is taken on the map side; the rest is dealt by hash, sorted by time, and a
+    task remembers nothing but the last kept time of the hash it is at.
     """
     ttl_us = ttl_s * 1_000_000
-    rows = df.select("hash", F.struct("us", "id").alias("r"))
-    hot = cut_lineage(hot_keys(rows, "hash"))
-    kept = cut_lineage(rows.groupBy("hash").agg(F.min("r").alias("r")))
-    out = kept
-    while True:
-        last = kept.select("hash", F.col("r.us").alias("_from"))
-        later = salted_join(rows, last, "hash", F.col("r.id"), "inner", hot).where(F.col("r.us") - F.col("_from") > ttl_us)
-        kept = cut_lineage(later.groupBy("hash").agg(F.min("r").alias("r")))
-        if kept.isEmpty():
-            return out.select("hash", "r.id", "r.us")
-        out = out.union(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0
+        for batch in batches:
+            kept = []
+            for h, us in zip(batch.column("hash").to_pylist(), batch.column("us").to_pylist(), strict=True):
+                fresh = h != now or us - last > ttl_us
+                if fresh:
+                    now, last = h, us
+                kept.append(fresh)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    rows = df.where("hash IS NOT NULL").groupBy("hash", "us").agg(F.min("id").alias("id")).select("hash", "id", "us")
+    return rows.repartition("hash").sortWithinPartitions("hash", "us").mapInArrow(run, rows.schema)

@@ -19,20 +19,19 @@ CANDIDATES = """SELECT event_id AS seq, CASE WHEN value < 5 THEN concat('ftp', s
 @query(
     "url_admission",
     WITH
-    + f""", c AS ({CANDIDATES.replace("{ev}", "ev")}), known AS (SELECT url FROM urls WHERE depth > 1 UNION SELECT url FROM queue UNION SELECT url FROM in_flight),
+    + f""", c AS ({CANDIDATES.replace("{ev}", "ev")}), known AS (SELECT url FROM urls UNION SELECT url FROM queue UNION SELECT url FROM in_flight),
     e AS (SELECT *, CASE WHEN url LIKE 'ftp%' OR url LIKE '% %' THEN 'invalid_url' WHEN regexp_matches(url, '/9[0-9]$') THEN 'excluded'
       WHEN depth >= 4 THEN 'boundary' END AS early FROM c),
     f AS (SELECT *, CASE WHEN early IS NULL AND url NOT IN (SELECT url FROM known)
       AND row_number() OVER (PARTITION BY url, early IS NULL ORDER BY seq) = 1 THEN 1 ELSE 0 END AS fresh FROM e),
     n AS (SELECT *, coalesce(sum(fresh) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
-    SELECT seq, url, depth, coalesce(early, CASE WHEN (SELECT count(*) FROM queue) + before >= 2500 THEN 'queue_full'
-      WHEN fresh = 0 THEN 'duplicate' ELSE 'enqueued' END) AS verdict FROM n""",
+    SELECT seq, url, depth, coalesce(early, CASE WHEN fresh = 0 THEN 'duplicate' ELSE 'enqueued' END) AS verdict FROM n""",
 )
 def url_admission(t: Tables):
     s = state(t)
     candidates = t.derive(CANDIDATES, ev=ev(t))
     return O.admit(
-        candidates, s["urls"].where("depth > 1"), s["queue"], s["in_flight"], ["/9[0-9]$"], max_depth=4, cap=2500, bucket_rows=2000
+        candidates, s["urls"], s["queue"], s["in_flight"], ["/9[0-9]$"], max_depth=4, bucket_rows=2000
     )
 
 
@@ -96,7 +95,7 @@ def politeness_plan_strict(t: Tables):
     WITH + "SELECT id, domain FROM queue QUALIFY row_number() OVER (PARTITION BY domain ORDER BY depth, id) <= 3",
 )
 def domain_batch_cap(t: Tables):
-    return O.domain_cap(state(t)["queue"]).select("id", "domain")
+    return O.domain_cap(state(t)["queue"], k=3).select("id", "domain")
 
 
 @query(
@@ -156,7 +155,7 @@ def in_flight_recover(t: Tables):
 _RECLAIM = (
     WITH
     + """, taken AS (SELECT url, depth FROM failures WHERE requeue_count < 1 AND url NOT IN (SELECT url FROM queue)
-      AND url NOT IN (SELECT url FROM in_flight) AND url NOT IN (SELECT url FROM urls WHERE status = 'completed') ORDER BY depth, url LIMIT 50) """
+      AND url NOT IN (SELECT url FROM in_flight) AND url NOT IN (SELECT url FROM urls WHERE status = 'completed') ) """
 )
 
 
@@ -184,14 +183,14 @@ ATTEMPTS = """SELECT url, CASE WHEN event_type = 'error' THEN CASE WHEN value >
     WITH
     + f""", a AS ({ATTEMPTS.replace("{ev}", "ev")}), g AS (SELECT url, count(*) FILTER (WHERE kind = 'success') AS ok,
       count(*) FILTER (WHERE kind = 'error') AS errs, count(*) FILTER (WHERE kind = 'shutdown') AS stops FROM a GROUP BY url),
-    old AS (SELECT url, requeue_count FROM failures WHERE depth = 1),
+    old AS (SELECT url, requeue_count FROM failures),
     j AS (SELECT coalesce(o.url, g.url) AS url, o.url IS NOT NULL AS stored, coalesce(requeue_count, 0) AS rc, coalesce(ok, 0) AS ok,
       coalesce(errs, 0) AS errs, coalesce(stops, 0) AS stops FROM old o FULL JOIN g ON o.url = g.url),
     c AS (SELECT url, CASE WHEN stops > 0 THEN 3 ELSE least(3, rc + errs) END AS requeue_count FROM j WHERE ok = 0 AND (stored OR errs + stops > 0))
     SELECT url, CAST(requeue_count AS INTEGER) AS requeue_count, requeue_count >= 3 AS permanent FROM c""",
 )
 def retry_ledger(t: Tables):
-    return O.apply_attempts(state(t)["failures"].where("depth = 1"), t.derive(ATTEMPTS, ev=ev(t)), max_requeue=3)
+    return O.apply_attempts(state(t)["failures"], t.derive(ATTEMPTS, ev=ev(t)), max_requeue=3)
 
 
 ORPHANS = """SELECT page_id, CASE WHEN url LIKE '%/fr/%' THEN 'not a url' ELSE url END AS url,

@@ -40,12 +40,10 @@ TEXT_SQL = (
 
 @query(
     "page_text_corpus",
-    f"""WITH x AS ({TEXT_SQL}) SELECT page_id, md5(CASE WHEN length(full_text) > 2000
-      THEN substr(full_text, 1, 2000) || chr(10) || '…[已截断]' ELSE full_text END) AS text_md5,
-      length(full_text) > 2000 AS text_truncated, CAST(length(full_text) AS INTEGER) AS original_len FROM x""",
+    f"""WITH x AS ({TEXT_SQL}) SELECT page_id, md5(full_text) AS text_md5, FALSE AS text_truncated, CAST(length(full_text) AS INTEGER) AS original_len FROM x""",
 )
 def page_text_corpus(t: Tables):
-    return O.page_text(O.parse_pages(t.pages), max_length=2000).select(
+    return O.page_text(O.parse_pages(t.pages)).select(
         "page_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "text_truncated", "original_len"
     )
 
@@ -205,10 +203,7 @@ def content_dedup(t: Tables):
     return out.where("is_new").select("doc_id", "content_hash")
 
 
-_SAMPLED = (
-    "md5(trim(regexp_replace(CASE WHEN length(text) <= 4096 THEN text ELSE substr(text, 1, 1365)"
-    " || substr(text, length(text) // 2 + 1, 1365) || right(text, 1365) END, '[\\s\\p{{Z}}]+', ' ', 'g')))"
-)
+_SAMPLED = "md5(trim(regexp_replace(coalesce(text, ''), '[\\s\\p{{Z}}]+', ' ', 'g')))"
 
 
 @query(

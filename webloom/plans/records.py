@@ -12,7 +12,7 @@ from webloom.operators import rules as R
 from webloom.session import stored
 
 
-def crawl_records(pages: DataFrame, snapshot: DataFrame, max_length: int = P.MAX_TEXT_LENGTH) -> DataFrame:
+def crawl_records(pages: DataFrame, snapshot: DataFrame, max_length: int | None = None) -> DataFrame:
     """One row per page: url, text, title, fields, extraction type, robots marks, anchors.
 
     Markup passes through one Python stage and ends there. The rule definitions
@@ -41,7 +41,7 @@ def crawl_records(pages: DataFrame, snapshot: DataFrame, max_length: int = P.MAX
         (~F.contains(robots, F.lit("noindex"))).alias("allow_index"),
         (~F.contains(robots, F.lit("nofollow"))).alias("allow_follow"),
         X.cut_chars(F.col("full_text"), max_length, X.CUT_MARKER).alias("text"),
-        (F.length("full_text") > max_length).alias("text_truncated"),
+        P.is_cut(F.col("full_text"), max_length).alias("text_truncated"),
         F.map_from_entries(F.transform("extracted", settled)).alias("fields"),
         F.try_parse_json("jsonld_text").alias("schema_org"),
         "anchors",

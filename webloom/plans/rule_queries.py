@@ -87,9 +87,8 @@ def rule_dedup(t: Tables):
     "rule_rank_and_cap",
     f"""WITH o AS (SELECT *, CASE scope WHEN 'domain_pattern' THEN 0 WHEN 'domain_all' THEN 1 WHEN 'global_pattern' THEN 2 ELSE 3 END AS s,
       CASE WHEN scope LIKE '%pattern' THEN length(url_pattern) ELSE 0 END AS l FROM ({RULES_FROM_PARTS}) r),
-    a AS (SELECT *, row_number() OVER w AS rn FROM o WINDOW w AS (ORDER BY s, l DESC, version DESC, long_name) QUALIFY rn <= 2000),
-    g AS (SELECT *, sum(CASE WHEN s >= 2 THEN 1 ELSE 0 END) OVER (ORDER BY rn) AS n FROM a)
-    SELECT long_name AS name, scope, row_number() OVER (ORDER BY rn) AS rank FROM g WHERE s < 2 OR n <= 20""",
+    a AS (SELECT *, row_number() OVER w AS rn FROM o WINDOW w AS (ORDER BY s, l DESC, version DESC, long_name))
+    SELECT long_name AS name, scope, rn AS rank FROM a""",
 )
 def rule_rank_and_cap(t: Tables):
     return O.rule_rank(rules_from_parts(t, "long_name")).select("name", "scope", F.col("rank").cast("bigint").alias("rank"))
@@ -117,7 +116,6 @@ def rule_enable_overlay(t: Tables):
 
 
 # Rules over the page hosts: one per host that is a blog, some for whole domains, some general.
-# The reference set has at most 2000 rules, so hosts are taken in order of name.
 PAGE_RULES = """
 SELECT 'blog-exact' AS name, 'domain_all' AS scope, host AS domain, '' AS url_pattern, 1 AS version, 'user' AS source
   FROM (SELECT min(split_part(url, '/', 3)) AS host FROM {pages} WHERE url LIKE '%//blog.%') h
@@ -174,18 +172,25 @@ _ENT = "regexp_replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', c
 _H1 = _ENT.format("trim(regexp_replace(regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1), '\\s+', ' ', 'g'))")
 _HREFS = _ENT.format("array_to_string(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1), ' ')")
 
+# A paragraph ends where it is closed or the next one opens; paragraphs that are blank give no value.
+_PARAS = (
+    "array_to_string([p FOR p IN [" + _ENT.format("trim(regexp_replace(regexp_replace(split_part(q, '</p>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))")
+    + " FOR q IN string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:]] IF p <> ''], ' ')"
+)
+
 
 @query(
     "field_extract",
     f"""WITH {MATCH_SQL}, x AS (SELECT page_id, rule, html FROM m JOIN u USING (page_id) WHERE rule <> 'default')
     SELECT page_id, 'title' AS field, {_H1} AS joined FROM x WHERE rule <> 'french'
+    UNION ALL SELECT page_id, 'paras', {_PARAS} FROM x WHERE rule <> 'french'
     UNION ALL SELECT page_id, 'links', {_HREFS} FROM x WHERE rule <> 'french'
     UNION ALL SELECT page_id, 'absent', NULL FROM x""",
 )
 def field_extract(t: Tables):
     rules = page_rules(t)
     matched = O.rule_match(t.pages.select("page_id", "url", "html"), rules)
-    out = O.field_extract(matched, rules).where("field <> 'paras'")
+    out = O.field_extract(matched, rules)
     return out.select("page_id", "field", F.array_join("values", " ").alias("joined"))
 
 
@@ -206,7 +211,7 @@ TRANSFORM_SPECS = {
     """WITH v AS (SELECT p_partkey, p_type, p_name AS n FROM {part})
     SELECT p_partkey, CASE p_type WHEN 'STANDARD' THEN split_part(n, ' ', 1) WHEN 'ECONOMY' THEN n || ' 5'
       WHEN 'PROMO' THEN nullif(regexp_extract(n, 'ring|bolt'), '')
-      WHEN 'MEDIUM' THEN CASE WHEN (length(replace(n, 'e', '<eeeeeeeeeeeeeeeeeeeeeeeeeeeee>')) + 7) > 5 * (length(n) + 7) THEN '  R$ ' || n || '5 ' ELSE '  R$ ' || replace(n, 'e', '<eeeeeeeeeeeeeeeeeeeeeeeeeeeee>') || '5 ' END
+      WHEN 'MEDIUM' THEN '  R$ ' || replace(n, 'e', '<eeeeeeeeeeeeeeeeeeeeeeeeeeeee>') || '5 '
       WHEN 'SMALL' THEN 'R$ ' || replace(n, 'red', 'blue') || '5' ELSE 'R$ ' || n || '5' || ' / ' || n END AS value FROM v""".replace(
         "n || ' 5'", "n || '5'"
     ),

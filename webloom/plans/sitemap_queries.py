@@ -78,8 +78,8 @@ _TOPS = "SELECT DISTINCT concat(split_part(url, '/', 1), '//', split_part(url, '
 
 @query(
     "sitemap_expand",
-    f"""WITH RECURSIVE e AS ({SITEMAP_TREE}), r(sitemap_url, lvl) AS (SELECT sitemap_url, 0 FROM ({_TOPS}) s
-      UNION SELECT e.loc, lvl + 1 FROM r JOIN e ON e.sitemap_url = r.sitemap_url AND e.kind = 'index' WHERE lvl < 2)
+    f"""WITH RECURSIVE e AS ({SITEMAP_TREE}), r(sitemap_url) AS (SELECT sitemap_url FROM ({_TOPS}) s
+      UNION SELECT e.loc FROM r JOIN e ON e.sitemap_url = r.sitemap_url AND e.kind = 'index')
     SELECT sitemap_url, loc FROM e WHERE kind = 'urlset' AND sitemap_url IN (SELECT sitemap_url FROM r)""",
 )
 def sitemap_expand(t: Tables):
@@ -105,13 +105,13 @@ _CANON = (
 
 @query(
     "sitemap_seed",
-    f"""WITH e AS ({_LEAVES}), k AS (SELECT * FROM e WHERE kind = 'urlset' AND loc LIKE 'http%' ORDER BY sitemap_url, position LIMIT 120)
+    f"""WITH e AS ({_LEAVES}), k AS (SELECT * FROM e WHERE kind = 'urlset' AND loc LIKE 'http%')
     SELECT regexp_extract(loc, '^([^:]+://[^/]+)', 1) AS origin, count(*) AS seeded, min({_CANON}) AS first_url FROM k GROUP BY 1""",
 )
 def sitemap_seed(t: Tables):
     entries = t.derive(_LEAVES).where("kind = 'urlset'")
     return (
-        O.sitemap_seed(entries, cap=120)
+        O.sitemap_seed(entries)
         .groupBy(O.U.origin_of("url").alias("origin"))
         .agg(F.count("*").alias("seeded"), F.min("url").alias("first_url"))
     )

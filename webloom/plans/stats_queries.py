@@ -178,7 +178,7 @@ COMPONENTS = """SELECT concat('c', right(concat('00000', user_id), 5)) AS compon
       (SELECT max_by(state, CASE state WHEN 'DOWN' THEN 2 WHEN 'DEGRADED' THEN 1 ELSE 0 END) FROM c) AS overall FROM r GROUP BY state""",
 )
 def health_rollup(t: Tables):
-    return O.health_rollup(t.derive(COMPONENTS))
+    return O.health_rollup(t.derive(COMPONENTS), names=3)
 
 
 @query(

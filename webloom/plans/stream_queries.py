@@ -79,15 +79,21 @@ def stream_outcome_windows_sliding(t: Tables):
     return out.select(F.unix_micros("window_start").alias("window_us"), "outcome", "n")
 
 
-@query("stream_endpoint_state")
+@query(
+    "stream_endpoint_state",
+    """WITH e AS (SELECT user_id AS endpoint, time_bucket(INTERVAL '6 hours', ts) AS start, event_type = 'error' AS failed, CASE WHEN value > 20 THEN 3 ELSE 1 END AS weight FROM {events}),
+    w AS (SELECT endpoint, start, CAST(sum(CASE WHEN failed THEN weight ELSE 0 END) AS BIGINT) AS failures, count(*) FILTER (WHERE NOT failed) AS successes FROM e GROUP BY 1, 2)
+    SELECT endpoint, epoch_us(start) AS window_us, failures, successes, CASE WHEN failures >= 3 THEN 'open' WHEN failures > 0 THEN 'degraded' ELSE 'closed' END AS state
+    FROM w WHERE start + INTERVAL '6 hours' <= (SELECT max(ts) FROM {events}) - INTERVAL '10 seconds'""",
+)
 def stream_endpoint_state(t: Tables):
-    S.use_rocksdb(t.spark)
     failed = F.col("event_type") == "error"
     rows = _events(t).select(
-        F.col("user_id").alias("endpoint"), F.col("event_id").alias("id"), "us",
-        F.when(failed, "failure").otherwise("success").alias("kind"), F.when(F.col("value") > 20, 3).otherwise(1).alias("weight"),
-    )
-    return _drained(t, S.endpoint_states(rows), "stream-endpoints", "endpoint BIGINT, us BIGINT, state STRING")
+        F.col("user_id").alias("endpoint"), "ts", F.when(failed, "failure").otherwise("success").alias("kind"), F.when(F.col("value") > 20, 3).otherwise(1).alias("weight")
+    )
+    ddl = "endpoint BIGINT, window_start TIMESTAMP, failures BIGINT, successes BIGINT, state STRING"
+    out = _drained(t, S.endpoint_windows(rows, "6 hours"), "stream-endpoints", ddl)
+    return out.select("endpoint", F.unix_micros("window_start").alias("window_us"), "failures", "successes", "state")
 
 
 @query(
@@ -111,18 +117,18 @@ def stream_in_flight_timeout(t: Tables):
     SELECT user_id AS key, min(us) AS opened_us FROM c WHERE n > 2 GROUP BY user_id""",
 )
 def stream_failure_burst(t: Tables):
-    S.use_rocksdb(t.spark)
-    rows = _events(t).where("event_type = 'error'").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "us")
-    return _drained(t, S.stream_bursts(rows, n=2, seconds=43_200), "stream-bursts", "key BIGINT, opened_us BIGINT")
+    rows = _events(t).where("event_type = 'error'").select(F.col("user_id").alias("key"), "us")
+    out = scratch_path(t.spark, "stream-bursts")
+    J.run_available(S.stream_bursts(rows, out, f"{out}/checkpoint", n=2, seconds=43_200))
+    return t.spark.read.schema("key BIGINT, opened_us BIGINT").option("basePath", f"{out}/alerts").parquet(f"{out}/alerts/batch=*").select("key", "opened_us")
 
 
 @query(
     "stream_frontier",
-    f"""WITH e AS ({EDGES_SQL}), s AS ({SEEDS_SQL}) SELECT DISTINCT dst_url AS url, 1 AS depth FROM e WHERE src_url IN (SELECT url FROM s)
-      AND dst_url NOT IN (SELECT url FROM s)""",
+    f"""WITH e AS ({EDGES_SQL}), s AS ({SEEDS_SQL}) SELECT DISTINCT dst_url AS url, 1 AS depth FROM e WHERE dst_url NOT IN (SELECT url FROM s)""",
 )
 def stream_frontier(t: Tables):
-    """Links of the seed pages arrive as a stream of orders and are admitted to the queue."""
+    """Links arrive as a stream of orders and are admitted to the queue; the seed pages are visited."""
     root = scratch_path(t.spark, "stream-frontier")
     seeds = t.derive(SEEDS_SQL)
     visited = seeds.selectExpr(
@@ -135,6 +141,5 @@ def stream_frontier(t: Tables):
         F.col("o_orderkey").alias("seq"), F.concat(site, "o_custkey").alias("parent_url"),
         F.concat(site, F.floor(F.col("o_orderkey") / 10).cast("bigint")).alias("url"), F.lit(1).alias("depth"),
     )
-    links = edges.join(seeds.select(F.col("url").alias("parent_url")), "parent_url", "left_semi")
-    J.run_available(J.stream_frontier(links, root, f"{root}/checkpoint", cap=10_000_000))
+    J.run_available(J.stream_frontier(edges, root, f"{root}/checkpoint"))
     return J.read_state(t.spark, root, ["queue"])["queue"].select("url", "depth")

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from webloom.functions import text as X
 from webloom.functions.urls import let
 
-# Body limit in bytes and longest accepted delay in seconds.
-MAX_BODY_BYTES = 500 * 1024
-MAX_DELAY = 3600.0
-
 
 def _lines(body: Column) -> Column:
     """Trimmed lines without blanks and comment lines."""
@@ -44,8 +40,6 @@ def parse_robots(bodies: DataFrame, agent: str, rfc: bool = False) -> DataFrame:
     with ``rfc`` they share them. ``rules`` is NULL when everything is allowed.
     """
     body = F.when(F.col("status") == 200, F.col("body"))
-    cut = F.make_valid_utf8(F.substring(F.encode(body, "UTF-8"), 1, MAX_BODY_BYTES).cast("string"))
-    body = F.when(F.octet_length(body) > MAX_BODY_BYTES, cut).otherwise(body)
     joined = F.concat(F.lit("\n"), F.array_join(_lines(body), "\n"))
     if rfc:
         joined = F.regexp_replace(joined, r"(?i)\n(user-agent:[^\n]*)(?=\nuser-agent:)", "\n$1\u0001")
@@ -99,7 +93,7 @@ def parse_robots(bodies: DataFrame, agent: str, rfc: bool = False) -> DataFrame:
     parsed = bodies.select("origin", "status", let(blocks, of_group).alias("g"))
     rule_lines = F.filter(F.col("g.lines"), lambda s: (_is(s, "allow") | _is(s, "disallow")) & (_value(s) != ""))
     delays = F.filter(
-        F.transform(F.col("g.lines"), delay), lambda d: d.isNotNull() & ~F.isnan(d) & (d > 0) & (d <= MAX_DELAY)
+        F.transform(F.col("g.lines"), delay), lambda d: d.isNotNull() & ~F.isnan(d) & (d > 0)
     )
     status = (
         F.when(F.col("status").isNull(), "not_checked")

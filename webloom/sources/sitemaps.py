@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import text as X
 
-# Unpacked size limit and the known change frequencies.
-MAX_UNPACKED_BYTES = 100 * 1024 * 1024
+# The known change frequencies.
 CHANGE_FREQUENCIES = ("always", "hourly", "daily", "weekly", "monthly", "yearly", "never")
 
 _PARTS = ("loc", "lastmod", "changefreq", "priority")
@@ -34,12 +33,22 @@ def _by_tags(text: str) -> tuple[str, list[dict]]:
     return kind, rows
 
 
-def _entries(body: bytes) -> tuple[str, list[dict]]:
-    if body[:2] == b"\x1f\x8b":
+def _unpacked(body: bytes) -> bytes:
+    """All members of a gzip body; of a broken one what comes before the fault."""
+    out = []
+    while body[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(zlib.MAX_WBITS | 16)
         try:
-            body = zlib.decompressobj(zlib.MAX_WBITS | 16).decompress(body, MAX_UNPACKED_BYTES)
+            out.append(member.decompress(body))
         except zlib.error:
-            return "urlset", []
+            break
+        body = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def _entries(body: bytes) -> tuple[str, list[dict]]:
+    if body[:2] == b"\x1f\x8b":
+        body = _unpacked(body)
     try:
         root = ElementTree.fromstring(body)
     except ElementTree.ParseError:

@@ -16,7 +16,10 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     try:
         marks = spark.read.schema("version INT").json(f"{root}/commits/*")
         return marks.agg(F.max("version")).first()[0]
-    except AnalysisException:
+    except AnalysisException as fault:
+        # Only a missing folder means that nothing was stored yet.
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

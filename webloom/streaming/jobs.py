@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from webloom.functions import urls as U
 from webloom.operators import frontier as FR
+from webloom.operators.windows import HASH_TTL_S
 from webloom.plans.records import crawl_records, saved_records
 from webloom.sources.state import current_version, read_state, write_state
 
@@ -32,27 +33,32 @@ def run_available(query_writer) -> None:
     query.awaitTermination()
 
 
-def _earlier_batches(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows that batches before ``batch_id`` have written."""
+def earlier_batches(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows that batches before ``batch_id`` have written; none if nothing was written yet. Other faults are raised."""
     try:
         stored = spark.read.schema(schema + ", batch BIGINT").option("basePath", root).parquet(f"{root}/batch=*")
-        return stored.where(F.col("batch") < batch_id).drop("batch")
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
+    return stored.where(F.col("batch") < batch_id).drop("batch")
 
 
-def record_writer(spark: SparkSession, snapshot: DataFrame, sink: str) -> Callable[[DataFrame, int], None]:
+def record_writer(spark: SparkSession, snapshot: DataFrame, sink: str, ttl_s: int = HASH_TTL_S) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: pages to new records under ``sink``.
 
     A batch writes its own folder and replaces it when it is run again. Its
-    hashes are anti-joined with those of earlier batches, so a copy is found
-    whenever its first page came.
+    hashes are anti-joined with those that earlier batches stored within the
+    last ``ttl_s`` seconds, so a page that comes back later is new. Pages
+    without a hash go round the join.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         marked = saved_records(crawl_records(batch, snapshot)).where("is_new")
-        seen = _earlier_batches(spark, f"{sink}/hashes", batch_id, "content_hash STRING")
-        fresh = marked.join(seen, "content_hash", "left_anti")
+        live = F.col("stored_at") > F.current_timestamp() - F.make_interval(secs=F.lit(ttl_s))
+        seen = earlier_batches(spark, f"{sink}/hashes", batch_id, "content_hash STRING, stored_at TIMESTAMP").where(live)
+        hashed = marked.where("content_hash IS NOT NULL").join(seen.select("content_hash"), "content_hash", "left_anti")
+        fresh = hashed.unionByName(marked.where("content_hash IS NULL"))
         out = fresh.select(
             "page_id", "url", F.lit(0).alias("depth"), "text", "extraction_type", "title", "fields",
             F.to_json("schema_org").alias("schema_org"), "content_hash",
@@ -60,7 +66,7 @@ def record_writer(spark: SparkSession, snapshot: DataFrame, sink: str) -> Callab
         path = f"{sink}/records/batch={batch_id}"
         out.write.mode("overwrite").json(path)
         written = spark.read.schema("content_hash STRING").json(path)
-        written.where("content_hash IS NOT NULL").write.mode("overwrite").parquet(f"{sink}/hashes/batch={batch_id}")
+        written.where("content_hash IS NOT NULL").withColumn("stored_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{sink}/hashes/batch={batch_id}")
 
     return write
 
@@ -116,7 +122,7 @@ STATE_DDL = {
 
 
 def frontier_writer(
-    spark: SparkSession, root: str, patterns: tuple[str, ...] = (), max_depth: int = 3, cap: int = FR.QUEUE_LIMIT
+    spark: SparkSession, root: str, patterns: tuple[str, ...] = (), max_depth: int = 3, cap: int | None = None
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: admit ``(seq, parent_url, url, depth)`` against the stored state.
 

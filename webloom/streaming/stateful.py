@@ -1,119 +1,63 @@
-"""Streaming jobs with keyed state: endpoint health and failure bursts.
+"""Endpoint health and failure bursts over arriving events, in built-in operators.
 
-Each key keeps a small, bounded state. Rows of a key within a micro-batch are
-put in time order first; event time stands where a live system has its clock.
+Health is a windowed count behind a watermark. A burst needs the exact times of
+the last failures, so each batch is joined by the stored failures that its
+look-back reaches and judged by the batch job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
 
-# Fixed values of the endpoint states, times in seconds.
-FAILURE_LIMIT = 3
-COOLDOWN_S = 30.0
-REOPEN_FACTOR = 1.5
-COOLDOWN_MAX_S = 120.0
-TRIAL_S = 15.0
-TRIAL_FAILURES = 2
+from webloom.operators import windows as W
+from webloom.streaming.jobs import earlier_batches
 
+# Weighted failures in a window from which an endpoint counts as open.
+FAILURE_LIMIT = 3
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
 
+def endpoint_windows(df: DataFrame, size: str = "60 seconds", delay: str = "10 seconds", limit: int = FAILURE_LIMIT) -> DataFrame:
+    """Weighted failures and successes of ``(endpoint, ts, kind, weight)`` per window, once the watermark has passed it.
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in this micro-batch, whose size the trigger bounds."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], kind="stable")
-
-
-class EndpointState(StatefulProcessor):
-    """closed, open after weighted failures, half_open after the cooldown, then open again or closed."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState(
-            "endpoint", "state STRING, failures INT, until_us BIGINT, trial_us BIGINT, trial_failures INT"
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, failures, until, trial, trial_failures = self.state.get() if self.state.exists() else ("closed", 0, 0, 0, 0)
-        changes: list[tuple[int, str]] = []
-
-        def enter(us: int, new: str) -> str:
-            changes.append((us, new))
-            return new
-
-        for us, kind, weight in _in_order(rows)[["us", "kind", "weight"]].itertuples(index=False):
-            if state == "open" and us >= until:
-                state, failures, trial, trial_failures = enter(until, "half_open"), 0, until, 0
-            if kind == "success":
-                failures = trial_failures = 0
-                if state != "closed":
-                    state = enter(us, "closed")
-                continue
-            failures += weight
-            if state == "closed" and failures >= FAILURE_LIMIT:
-                state, until = enter(us, "open"), us + int(COOLDOWN_S * 1e6)
-            elif state == "half_open":
-                trial_failures += 1
-                if us - trial < TRIAL_S * 1e6:
-                    continue
-                if trial_failures >= TRIAL_FAILURES:
-                    cooldown = min(COOLDOWN_S * REOPEN_FACTOR, COOLDOWN_MAX_S)
-                    state, until = enter(us, "open"), us + int(cooldown * 1e6)
-                else:
-                    state, failures = enter(us, "closed"), 0
-        self.state.update((state, int(failures), int(until), int(trial), int(trial_failures)))
-        if changes:
-            yield pd.DataFrame({"endpoint": [key[0]] * len(changes), "us": [c[0] for c in changes], "state": [c[1] for c in changes]})
-
-    def close(self) -> None:
-        pass
-
-
-def endpoint_states(df: DataFrame) -> DataFrame:
-    """State changes of ``(endpoint, id, us, kind, weight)``; weight 3 opens at once."""
-    return df.groupBy("endpoint").transformWithStateInPandas(
-        statefulProcessor=EndpointState(), outputStructType="endpoint BIGINT, us BIGINT, state STRING", outputMode="Append", timeMode="None"
+    ``state`` is closed without failures, open from ``limit`` on, else degraded.
+    Windows behind the last watermark are not emitted: that is append mode.
+    """
+    failed = F.col("kind") == "failure"
+    counts = (
+        df.withWatermark("ts", delay)
+        .groupBy(F.window("ts", size).alias("w"), "endpoint")
+        .agg(F.sum(F.when(failed, F.col("weight")).otherwise(0)).alias("failures"), F.count_if(~failed).alias("successes"))
     )
+    state = F.when(F.col("failures") >= limit, "open").when(F.col("failures") > 0, "degraded").otherwise("closed")
+    return counts.select("endpoint", F.col("w.start").alias("window_start"), "failures", "successes", state.alias("state"))
 
 
-class Burst(StatefulProcessor):
-    """The last ``n`` failure times per key; open at the first burst and silent after it."""
+def burst_writer(spark: SparkSession, sink: str, n: int, seconds: int) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: alerts once per key of ``(key, us)`` below ``sink``.
 
-    def __init__(self, n: int, span_us: int):
-        self.n, self.span_us = n, span_us
+    A batch writes its own folders and replaces them when it is run again. Rows
+    may come late by any time: what their look-back reaches is read again.
+    """
+    span = seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("burst", "open BOOLEAN, times ARRAY<BIGINT>")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        path = f"{sink}/rows/batch={batch_id}"
+        batch.select("key", "us").write.mode("overwrite").parquet(path)
+        rows = spark.read.schema("key BIGINT, us BIGINT").parquet(path)
+        first, last = rows.agg(F.min("us"), F.max("us")).first()
+        past = earlier_batches(spark, f"{sink}/rows", batch_id, "key BIGINT, us BIGINT")
+        near = past.where(F.col("us").between((first or 0) - span, (last or 0) + span))
+        told = earlier_batches(spark, f"{sink}/alerts", batch_id, "key BIGINT, opened_us BIGINT")
+        opened = W.bursts(rows.unionByName(near), "key", n, seconds).join(told, "key", "left_anti")
+        opened.select("key", "opened_us").write.mode("overwrite").parquet(f"{sink}/alerts/batch={batch_id}")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        is_open, times = self.state.get() if self.state.exists() else (False, [])
-        times = list(times)
-        opened = None
-        if not is_open:
-            for us in _in_order(rows)["us"]:
-                if len(times) >= self.n and us - times[-self.n] < self.span_us:
-                    opened = int(us)
-                    break
-                times = [*times, int(us)][-self.n :]
-        self.state.update((bool(is_open or opened is not None), [int(x) for x in times]))
-        if opened is not None:
-            yield pd.DataFrame({"key": [key[0]], "opened_us": [opened]})
+    return write
 
-    def close(self) -> None:
-        pass
 
-
-def stream_bursts(df: DataFrame, n: int = 10, seconds: int = 60) -> DataFrame:
-    """Alert once per key of ``(key, id, us)`` when more than ``n`` failures lie within ``seconds``."""
-    return df.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Burst(n, seconds * 1_000_000), outputStructType="key BIGINT, opened_us BIGINT", outputMode="Append", timeMode="None"
-    )
+def stream_bursts(df: DataFrame, sink: str, checkpoint: str, n: int = 10, seconds: int = 60):
+    """Alert once per key of ``(key, us)`` when more than ``n`` failures lie within ``seconds``."""
+    write = burst_writer(df.sparkSession, sink, n, seconds)
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
