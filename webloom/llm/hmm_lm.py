@@ -5,8 +5,8 @@ words is a class of its own, all others fall into SHARED classes by their last
 three bytes, and the end of a text is a class too. Word counts are taken over
 all training texts. Baum-Welch runs over all training texts in each of its
 ROUNDS: every partition returns expected counts, Spark sums them, and the new
-parameters are set from the sums. A warm start on a bounded sample (SAMPLE whole
-texts of at most SAMPLE_TOKENS tokens) finds where to begin; long sequences are
+parameters are set from the sums. A warm start on a bounded sample (about SAMPLE
+whole texts of at most SAMPLE_TOKENS tokens) finds where to begin; long sequences are
 cut into segments of SEGMENT tokens in training only. A text's score is exact:
 scaled forward recursion over the whole sequence.
 
@@ -97,13 +97,28 @@ class Vocabulary:
         return (self.class_tokens + 1) / (self.class_tokens + 1).sum()
 
 
+def head_count(counts: DataFrame, most: int = HEAD) -> int:
+    """The least count of a head word: at most ``most`` words have as many. Counts are put into bins, 16 to a doubling."""
+    shift = F.greatest(F.length(F.bin("c")) - 5, F.lit(0))
+    bins = counts.groupBy(shift.alias("shift"), F.call_function("shiftright", F.col("c"), shift).alias("top")).agg(F.count(F.lit(1)).alias("words"))
+    least, words = 1 << 62, 0
+    for r in sorted(bins.collect(), key=lambda r: -(r["top"] << r["shift"])):  # at most a thousand bins
+        words += r["words"]
+        if words > most:
+            break
+        least = r["top"] << r["shift"]
+    return least
+
+
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     """Of stored counts (word, c); ``texts`` is the number of training texts, each with an end."""
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    rank = np.arange(len(head))
-    names = pa.array([r["word"] for r in head], pa.string())
-    h, c = hash_strings(names), np.array([r["c"] for r in head], np.int64)
+    head = counts.where(F.col("c") >= head_count(counts)).toArrow()
+    names, c = head.column("word").combine_chunks().cast(pa.string()), head.column("c").to_numpy()
+    # By count, then by the bytes of the word.
+    order = np.lexsort((np.array(names.cast(pa.binary()).to_pylist(), object), -c)) if len(c) else np.zeros(0, int)
+    names, c, rank = names.take(pa.array(order)), c[order], np.arange(len(c))
+    h = hash_strings(names)
     cls = np.where(rank < OWN, rank, shared_class(*utf8(names)) if len(head) else rank)
     order = np.argsort(h)
     v = Vocabulary(h[order], c[order], cls[order], texts, totals[0] + texts, totals[1] + (texts > 0))
@@ -317,7 +332,10 @@ def likelihoods(rows: DataFrame, model: Model) -> DataFrame:
 
 def trained(texts: DataFrame, share: np.ndarray) -> Model:
     """The model of the training ``texts`` (uid, classes, n_tokens)."""
-    sample = texts.where(F.col("n_tokens") <= SAMPLE_TOKENS).orderBy(F.xxhash64("uid"), "uid").select("classes").limit(SAMPLE).collect()
+    fitting = texts.where(F.col("n_tokens") <= SAMPLE_TOKENS)
+    part = min(1.0, SAMPLE / max(1, fitting.count()))
+    drawn = fitting.where(F.pmod(F.xxhash64("uid"), F.lit(1 << 40)) < int(part * (1 << 40)))
+    sample = sorted(drawn.select("uid", "classes").limit(2 * SAMPLE).collect())
     data = np.frombuffer(b"".join(r["classes"] for r in sample), np.uint16)
     offsets = np.concatenate(([0], np.cumsum([len(r["classes"]) // 2 for r in sample]))).astype(np.int64)
     model = warm_start(data, offsets, share)

@@ -28,7 +28,7 @@ BINS = 32
 BANDS = BINS // BAND
 NUM, DEN = 80, 100
 # Characters from which shingles are taken at a time: a place is found by counting from the block's start.
-BLOCK = 128
+BLOCK = 32
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -87,8 +87,11 @@ def line_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
 
     groups = stored(linked(nodes, check, num, den), "line_groups")
     named = nodes.select("nid", "line_key", F.col("first").alias("own")).join(groups, "nid", "left")
-    first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("first"))
-    return stored(named.join(first, "component", "left").select("line_key", F.coalesce("first", "own").alias("first")), "line_classes")
+    # Lines without a group go round the join: as null keys they would meet in one task.
+    several = named.where("component IS NOT NULL")
+    first = several.groupBy("component").agg(F.min("own").alias("first"))
+    alone = named.where("component IS NULL").select("line_key", "own")
+    return stored(several.join(first, "component").select("line_key", "first").union(alone), "line_classes")
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -95,10 +95,15 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     groups = stored(linked_sets(nodes, sets_of, num, den), "groups")
     named = nodes.select("nid", "node").join(groups, "nid", "left").join(owners, "node")
-    first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("owner").alias("first"))
-    labels = named.join(first, "component", "left").select("node", F.coalesce("first", "owner").alias("owner"))
+    # Nodes without a component and rows without a set go round the joins: as null keys they would meet in one task.
+    several = named.where("component IS NOT NULL")
+    first = several.groupBy("component").agg(F.min("owner").alias("first"))
+    labels = several.join(first, "component").select("node", F.col("first").alias("owner")).union(named.where("component IS NULL").select("node", "owner"))
     # The labels are written, so that Spark may split a set with very many copies when it joins them.
-    return rows.select("doc_id", "text_key", "node", F.col("n").alias("n_shingles")).join(stored(labels, "labels"), "node", "left")
+    rows = rows.select("doc_id", "text_key", "node", F.col("n").alias("n_shingles"))
+    labels = stored(labels, "labels")
+    bare = rows.where("node IS NULL").withColumn("owner", F.lit(None).cast(labels.schema["owner"].dataType))
+    return rows.where("node IS NOT NULL").join(labels, "node").select(*bare.columns).union(bare)
 
 
 def near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
