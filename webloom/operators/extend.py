@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from graphlib import TopologicalSorter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 Transform = Callable[[pd.Series, dict], pd.Series]
 UrlFilter = Callable[[Column, dict], Column]
@@ -118,37 +119,19 @@ def run_chain(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     return df
 
 
-class _FetchReader(DataSourceReader):
-    def __init__(self, fetch: Callable[..., Iterable[tuple]], parts: Sequence):
-        self.fetch, self.parts = fetch, parts
+def fetched_rules(locations: DataFrame, fetch: Callable[[dict], Iterable[tuple[str, str, str]]]) -> DataFrame:
+    """Rule documents (source, path, content) that ``fetch(row)`` yields for every row of ``locations``.
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.parts]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from self.fetch(partition.value)
-
-
-def register_rule_source(
-    spark: SparkSession, name: str, fetch: Callable[..., Iterable[tuple]], parts: Callable[[dict], Sequence] = lambda options: [dict(options)]
-) -> None:
-    """A data source ``name`` of rule documents: ``fetch(part) -> (source, path, content)`` rows.
-
-    ``parts(options)`` names the pieces that are fetched in parallel.
+    Spark reads and deals out the locations; the function is called where they are.
     """
+    names = ["source", "path", "content"]
 
-    class RuleSource(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return name
-
-        def schema(self) -> str:
-            return "source STRING, path STRING, content STRING"
-
-        def reader(self, schema) -> DataSourceReader:
-            return _FetchReader(fetch, parts(dict(self.options)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [found for item in batch.to_pylist() for found in fetch(item)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=names)
 
-    spark.dataSource.register(RuleSource)
+    return locations.mapInArrow(run, "source STRING, path STRING, content STRING")
 
 
 class _CallWriter(DataSourceWriter):

@@ -8,7 +8,7 @@ from webloom.operators import chat as O
 from webloom.operators import extend as E
 from webloom.operators import pages as P
 from webloom.plans.catalog import Tables, query
-from webloom.session import scratch_path
+from webloom.session import qualified, scratch_path
 from webloom.sources.rules import load_rules
 
 MESSAGES = """SELECT conv_id, turn, role, text AS content, CASE WHEN role = 'system' THEN concat('t', turn) END AS tool_call_id,
@@ -109,7 +109,7 @@ def user_extractor(t: Tables):
 
 @query("user_exporter", "SELECT p_brand AS brand, count(*) AS parts FROM {part} GROUP BY 1")
 def user_exporter(t: Tables):
-    folder = scratch_path(t.spark, "export")
+    folder = qualified(t.spark, scratch_path(t.spark, "export"))
 
     def write(items: list[dict]) -> None:
         import json
@@ -117,7 +117,7 @@ def user_exporter(t: Tables):
         from pyarrow.fs import FileSystem
 
         # A batch names its file after its rows, so a task that runs again replaces it.
-        files, path = FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+        files, path = FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
         name = f"{items[0]['p_partkey']}-{items[-1]['p_partkey']}"
         with files.open_output_stream(f"{path}/{name}.json") as out:
@@ -147,31 +147,11 @@ def processor_chain(t: Tables):
 
 @query("user_rule_source", "SELECT 'part' || p_partkey AS name, 'parts' AS source FROM {part}")
 def user_rule_source(t: Tables):
-    """Rules fetched from the part file, one row group per fetch."""
+    """The rows of the part table name what is fetched; the fetching function is the hook."""
 
-    def opened(path: str):
-        from pyarrow.fs import FileSystem
-
-        return FileSystem.from_uri(path if ":/" in path else f"file://{path}")
-
-    def parts(options: dict) -> list:
-        import pyarrow.dataset as ds
-
-        files, path = opened(options["path"])
-        pieces = ds.dataset(path, format="parquet", filesystem=files).get_fragments()
-        return [(options["path"], f.path, g.row_groups[0].id) for f in pieces for g in f.split_by_row_group()]
-
-    def fetch(part):
-        import pyarrow.parquet as pq
-
-        root, path, group = part
-        files, _ = opened(root)
-        table = pq.ParquetFile(files.open_input_file(path))
-        for batch in table.iter_batches(row_groups=[group], columns=["p_partkey"]):
-            for key in batch.column(0).to_pylist():
-                yield "parts", f"{path}#{key}", f'{{"name": "part{key}", "fields": {{"name": {{"selector": "h1"}}}}}}'
+    def fetch(item: dict):
+        key = item["p_partkey"]
+        yield "parts", f"part/{key}", f'{{"name": "part{key}", "fields": {{"name": {{"selector": "h1"}}}}}}'
 
-    E.register_rule_source(t.spark, "webloom_parts", fetch, parts)
-    docs = t.spark.read.format("webloom_parts").option("path", t.path("part")).load()
-    rules, _ = load_rules(docs)
+    rules, _ = load_rules(E.fetched_rules(t.part.select("p_partkey"), fetch))
     return rules.select("name", "source")

@@ -46,6 +46,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder``, a path below the shared folder, with the scheme of the file system that Spark writes it to."""
+    probe = scratch_path(spark, "probe")
+    spark.range(1).coalesce(1).write.parquet(probe)
+    written = spark.read.parquet(probe).inputFiles()[0].rpartition("/")[0]
+    return os.path.join(os.path.dirname(written), os.path.basename(folder))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` read back from a reliable checkpoint, for loops over joins."""
     context = df.sparkSession.sparkContext
