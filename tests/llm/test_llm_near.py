@@ -165,7 +165,13 @@ def test_line_classes(spark):
         assert thin[i] == kept
 
 
-def test_line_bands_of_long_and_short_lines(spark):
-    rows = line_dedup.described(spark.createDataFrame([("x",), ("abcdefghij" * 20_000,), ("é" * 11,), ("0123456789a",)], "line string")).collect()
-    assert [len(r["bands"]) for r in rows] == [line_dedup.BANDS] * 4 and [r["n"] for r in rows] == [1, 10, 1, 2]
-    assert all(None not in r["bands"] for r in rows)
+def test_lines_of_many_shapes(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("a\n \tÉ\x00") for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, "", "\n", "x" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["line_no"], r["line"]) for r in line_dedup.keyed(df).collect())
+    assert got == [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if re.search(r"[^\x00-\x20]", x)]
+    sizes = {(r["doc_id"], r["line_no"]): (r["n"], len(r["bands"])) for r in line_dedup.describe(df).collect()}
+    for i, k, x in got:
+        want = len({x[j : j + 10] for j in range(len(x) - 9)}) if len(x) > 10 else 1
+        assert sizes[i, k] == (want, line_dedup.BINS // line_dedup.BAND)

@@ -1,12 +1,16 @@
-"""Near copies of lines by character shingles: MinHash bands, exact Jaccard, union-find. Built-in functions only.
+"""Near copies of lines by character shingles: MinHash, high-recall bands, exact Jaccard, union-find.
 
 A line's set holds its distinct runs of SHINGLE characters as 64-bit hashes; a
-shorter line is one shingle. The hashes, sorted, fall into BINS equal ranges;
-the least of each range is a coordinate of the signature, and a range without
-one takes the next, so that also short lines have all coordinates. Neighbouring
-coordinates make a band. Equal lines are one node before any pair is made;
-groups are found as in ``near``: star by star, then all pairs that are left in
-a band, each verified on the full sets.
+shorter line is one shingle. Signatures are the sketches of ``sketch`` with
+BINS coordinates, BAND of them to a band: lines of similarity 0.8 share a band
+with a probability above 0.999, more alike ones almost surely. Lines with equal
+sets are one node before any pair is made; candidates are verified exactly and
+grouped as in ``near``.
+
+Shingles, signatures and verification run in numpy inside tasks; banding,
+grouping and union-find are joins and aggregates. A form in built-in functions
+only gave the same rows but needed 1190 CPU seconds a GB for the shingles alone
+where 400 are allowed; see the README.
 
 Defined results: blank lines (no character beyond space and control characters)
 belong to no class and stay; null texts have no lines. Of a class the first
@@ -16,89 +20,157 @@ text are the same lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.near import linked
+from webloom.llm.near import linked_sets
+from webloom.llm.sizes import small
+from webloom.llm.sketch import SKETCH_SCHEMA, described, distinct, set_keys
+from webloom.llm.tokens import BYTE_VALUE, PLACE, mix, places, slices
 from webloom.session import stored
 
 SHINGLE = 10
 BAND = 3
 BINS = 32
-BANDS = BINS // BAND
 NUM, DEN = 80, 100
-# Characters from which shingles are taken at a time: a place is found by counting from the block's start.
-BLOCK = 32
+# The inverse of the hash's base, modulo 2^64: a run's hash does not depend on where it stands.
+BACK = pow(int(PLACE), -1, 1 << 64)
+NEWLINE = 10
+_back = np.ones(1, np.uint64)
+
+
+def back(n: int) -> np.ndarray:
+    """Inverse powers of the base."""
+    global _back
+    if len(_back) < n:
+        powers = np.full(max(n, 1024), np.uint64(BACK))
+        powers[0] = 1
+        _back = np.multiply.accumulate(powers)
+    return _back
+
+
+class Lines:
+    """The lines of a slice that are not blank: their document, number, and hashed shingles."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        sizes = np.diff(offsets)
+        # A line ends at a line feed or at the end of its document.
+        feeds = np.flatnonzero(data == NEWLINE)
+        full = np.flatnonzero(sizes > 0)
+        starts = np.unique(np.concatenate((offsets[full], feeds + 1)))
+        starts = starts[starts < len(data)]
+        doc = np.searchsorted(offsets, starts, side="right") - 1
+        after = np.append(feeds, len(data))[np.searchsorted(feeds, starts)]
+        ends = np.minimum(after, offsets[doc + 1])
+        # Line feeds of the document before the line.
+        before = np.searchsorted(feeds, starts) - np.searchsorted(feeds, offsets[doc])
+        seen = np.concatenate(([0], np.cumsum(data > 0x20)))
+        shown = seen[ends] > seen[starts]
+        self.starts, self.ends, self.doc, self.number = starts[shown], ends[shown], doc[shown], before[shown]
+        self.data = data
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def text(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]].tobytes()
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed shingles of every line and their offsets, repeats included."""
+        data = self.data
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(BYTE_VALUE[data] * places(len(data) + 1)[: len(data)], dtype=np.uint64)))
+        chars = np.flatnonzero((data & 0xC0) != 0x80)
+        first, last = np.searchsorted(chars, self.starts), np.searchsorted(chars, self.ends)
+        count = np.maximum(last - first - SHINGLE + 1, 1)
+        offsets = np.concatenate(([0], np.cumsum(count)))
+        at = np.repeat(first - offsets[:-1], count) + np.arange(offsets[-1])
+        begin = chars[at]
+        short = np.repeat(last - first < SHINGLE, count)
+        stop = np.where(short, np.repeat(self.ends, count), np.append(chars, len(data))[np.minimum(at + SHINGLE, len(chars))])
+        stop = np.minimum(stop, np.repeat(self.ends, count))
+        return mix((sums[stop] - sums[begin]) * back(len(data) + 1)[begin] + (stop - begin).astype(np.uint64)), offsets
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("text_key"), text.alias("text"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, line) of every line that is not blank."""
-    text = F.col("text").cast("string")
-    cut = docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return cut.where(F.col("line").rlike(r"[^\x00-\x20]")).withColumn("line_no", F.col("line_no").cast("long"))
+def describe(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, node, n, bands) of every line."""
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), *SKETCH_SCHEMA])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch):
+                lines = Lines(data, offsets)
+                if len(lines):
+                    sets = distinct(*lines.shingles())
+                    ids = rows.column("doc_id").take(pa.array(lines.doc))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number), *described(*sets, BINS, BAND)], schema=schema)
 
+    return _whole(docs).mapInArrow(run, "doc_id long, line_no long, node binary, n long, bands array<long>")
 
-def line_key() -> Column:
-    return F.unhex(F.md5("line"))
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, line_no, node, line) of every line."""
+    names = ["doc_id", "text_key", "line_no", "node", "line"]
 
-def shingles(line: str = "line") -> Column:
-    """Sorted distinct shingle hashes of a line."""
-    n = F.length(line)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - SHINGLE) / BLOCK).cast("int")), lambda b: F.substring(F.col(line), b * BLOCK + 1, F.lit(BLOCK + SHINGLE - 1)))
-    within = lambda block: F.transform(F.sequence(F.lit(1), F.length(block) - SHINGLE + 1), lambda i: F.xxhash64(F.substring(block, i, F.lit(SHINGLE))))
-    many = F.flatten(F.transform(blocks, within))
-    return F.sort_array(F.array_distinct(F.when(n > SHINGLE, many).otherwise(F.array(F.xxhash64(line)))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch):
+                lines = Lines(data, offsets)
+                if len(lines):
+                    keys = np.ascontiguousarray(set_keys(*distinct(*lines.shingles())))
+                    doc = pa.array(lines.doc)
+                    nodes = pa.array([k.tobytes() for k in keys], pa.binary())
+                    texts = pa.array([lines.text(i) for i in range(len(lines))], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(doc), rows.column("text_key").take(doc), pa.array(lines.number), nodes, texts], names)
 
+    return _whole(docs).mapInArrow(run, "doc_id long, text_key string, line_no long, node binary, line string")
 
-def described(lines: DataFrame) -> DataFrame:
-    """``lines`` with n, the size of the set, and its bands."""
-    bin_of = lambda x: F.shiftright(x, 59).cast("int")  # noqa: E731  from -16 to 15
-    s = F.col("_set")
-    least = F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1))))
-    m = F.col("_least")
-    spread = F.flatten(F.transform(m, lambda x, j: F.array_repeat(x, bin_of(x) - F.when(j == 0, F.lit(-BINS // 2 - 1)).otherwise(bin_of(F.get(m, j - 1))))))
-    rest = F.array_repeat(F.get(m, F.lit(0)), BINS // 2 - 1 - bin_of(F.element_at(m, -1)))
-    coordinates = F.concat(spread, rest)
-    c = F.col("_coordinates")
-    bands = F.array(*[F.xxhash64(F.lit(b), F.get(c, F.lit(BAND * b)), F.get(c, F.lit(BAND * b + 1)), F.get(c, F.lit(BAND * b + 2))) for b in range(BANDS)])
-    steps = lines.withColumn("_set", shingles()).withColumn("_least", least).withColumn("_coordinates", coordinates)
-    return steps.withColumn("n", F.size("_set")).withColumn("bands", bands).drop("_set", "_least", "_coordinates")
+
+def members(lines: DataFrame) -> DataFrame:
+    """(nid, members): the full sets of ``lines`` (nid, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "line"):
+                values, ends = distinct(*Lines(data, offsets).shingles())
+                sets = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column("nid"), pa.array(sets, pa.binary())], ["nid", "members"])
+
+    return lines.select("nid", "line").mapInArrow(run, "nid long, members binary")
 
 
 def line_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(line_key, first): the first line (lacking, doc_id, line_no) of the class of every distinct line."""
-    lines = lines_of(docs)
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "line_no")).alias("first")
-    rows = described(lines).select(line_key().alias("line_key"), "doc_id", "line_no", "n", "bands")
-    once = rows.groupBy("line_key").agg(least, F.first("n").alias("n"), F.first("bands").alias("bands"))
+    """(node, first): the first line (lacking, doc_id, line_no) of the class of every distinct line."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "line_no")).alias("own")
+    once = describe(docs).groupBy("node").agg(least, F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(once.withColumn("nid", F.monotonically_increasing_id()), "lines")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "line_pairs")
-        asked = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
-        keys = stored(nodes.select("nid", "line_key").join(asked, "nid", "left_semi"), "asked")
-        texts = lines.select(line_key().alias("line_key"), "line").join(keys, "line_key").dropDuplicates(["nid"])
-        sets = stored(texts.select("nid", shingles().alias("members")), "line_sets")
-        sides = [sets.select(F.col("nid").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab"]
-        met = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least(F.size("set_a"), F.size("set_b")) * den >= F.greatest(F.size("set_a"), F.size("set_b")) * num)
-        both = met.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
-        return stored(both.where(F.col("both") * den >= (F.col("n") - F.col("both")) * num).select("a", "b"), "line_links")
-
-    groups = stored(linked(nodes, check, num, den), "line_groups")
-    named = nodes.select("nid", "line_key", F.col("first").alias("own")).join(groups, "nid", "left")
+    def sets_of(asked: DataFrame) -> DataFrame:
+        asked = stored(asked.select("nid", "node"), "asked_lines")
+        return members(keyed(docs).select("node", "line").join(small(asked), "node").dropDuplicates(["nid"]))
+
+    groups = stored(linked_sets(nodes, sets_of, num, den), "line_groups")
+    named = nodes.select("nid", "node", "own").join(groups, "nid", "left")
     # Lines without a group go round the join: as null keys they would meet in one task.
     several = named.where("component IS NOT NULL")
     first = several.groupBy("component").agg(F.min("own").alias("first"))
-    alone = named.where("component IS NULL").select("line_key", "own")
-    return stored(several.join(first, "component").select("line_key", "first").union(alone), "line_classes")
+    alone = named.where("component IS NULL").select("node", "own")
+    return stored(several.join(first, "component").select("node", "first").union(alone), "line_classes")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, class_doc, class_line, kept) of every line that is not blank."""
     own = F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "line_no")
-    keyed = lines_of(docs).select("doc_id", "text_key", "line_no", line_key().alias("line_key"))
-    met = keyed.join(line_classes(docs), "line_key")
+    classes = line_classes(docs)
+    met = keyed(docs).drop("line").join(classes, "node")
     return met.select("doc_id", "text_key", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), (F.col("first") == own).alias("kept"))
 
 

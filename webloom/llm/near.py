@@ -52,26 +52,6 @@ def ordered(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def linked(nodes: DataFrame, check: Callable[[DataFrame], DataFrame], num: int = 80, den: int = 100) -> DataFrame:
-    """(nid, component) of all ``nodes`` (nid, n, bands) that have a link. ``check`` keeps of distinct pairs (a, b) the links."""
-    crowded = crowded_bands(nodes)
-    stars = check(crowded.where("nid <> center").select(*ordered(F.col("nid"), F.col("center"))).distinct())
-    first = stored(components(stars), "groups")
-    named = crowded.join(first.withColumnRenamed("node", "nid"), "nid", "left").withColumn("group", F.coalesce("component", "nid"))
-    split = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-    open_bands = stored(named.join(split, "key", "left_semi").select("key", "nid", "n", "group", "center"), "open")
-    x, y = (open_bands.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("nid", "n", "group", "center")]) for s in "xy")
-    across = x.join(y, "key").where(
-        (F.col("group_x") < F.col("group_y"))
-        & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
-        # Pairs with the center were judged before.
-        & (F.col("nid_x") != F.col("center_x"))
-        & (F.col("nid_y") != F.col("center_y"))
-    )
-    links = check(across.select(*ordered(F.col("nid_x"), F.col("nid_y"))).distinct())
-    return components(stars.union(links)).withColumnRenamed("node", "nid")
-
-
 def compared(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (center, nid) with size, center_n, whether they are linked and their sorted difference."""
 

@@ -21,7 +21,7 @@ from webloom.operators.ranking import running_sum
 from webloom.session import stored
 
 SHARDS = 40
-ROUNDS = 6
+ROUNDS = 8
 # Rows that one task puts in order.
 ROWS_PER_BUCKET = 50_000
 
@@ -59,7 +59,10 @@ def one_round(members: DataFrame, rows: int, shards: int) -> DataFrame:
     groups = near.select("link", "shard").join(wishes, "link").join(here, (F.col("_shard") == F.col("shard")) & (here["link"] == wishes["link"])).select(
         wishes["link"], "shard", "wish", "wanted", "here"
     )
-    moving = stored(groups.where("wanted > here OR (wanted = here AND wish < shard)").withColumnRenamed("here", "m"), "moves")
+    # Of two shards that hold as many, the first draws from the second, and an open one from a full one.
+    full = free.select("shard", (F.col("free") <= 0).alias("full"))
+    better = "wanted > here OR (wanted = here AND wish <> shard AND (wish < shard OR full))"
+    moving = stored(groups.join(full, "shard").where(better).select("link", "shard", "wish", "wanted", F.col("here").alias("m")), "moves")
     links = moving.groupBy("wish", "link").agg(F.sum("m").alias("m"), F.max("wanted").alias("wanted"))
     links = links.withColumn("_size", -F.floor(F.log2(F.col("wanted").cast("double"))).cast("bigint")).withColumn("_at", F.xxhash64("link"))
     bucket = F.col("_size") * (1 << 20) + F.shiftright("_at", 44).cast("bigint")
@@ -75,21 +78,22 @@ def one_round(members: DataFrame, rows: int, shards: int) -> DataFrame:
     return stored(kept.select(columns).union(cut.select(columns)), "members")
 
 
-def cut_links(members: DataFrame) -> int:
-    """Link and shard pairs over the links: the smaller, the fewer neighbours are apart."""
-    return members.select("link", "shard").distinct().count()
+def together(members: DataFrame) -> int:
+    """Pairs of neighbours that share a shard, from counts per link and shard."""
+    near = members.groupBy("link", "shard").agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("n"))
+    return int(near.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
 
 
 def propagate(members: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """Shards of the linked documents (spot, link). A shard has at most its quota of them; the others get null."""
     state = stored(members.withColumn("shard", F.pmod(F.xxhash64("spot"), F.lit(shards)).cast("int")), "members")
-    apart = cut_links(state)
+    joined = together(state)
     for _ in range(rounds):
         moved = one_round(state, rows, shards)
-        now = cut_links(moved)
-        if now >= apart:
+        now = together(moved)
+        if now <= joined:
             break
-        state, apart = moved, now
+        state, joined = moved, now
     over = places(state, ("shard",), rows).withColumn("shard", F.when(F.col("_place") < quota(F.col("shard"), rows, shards), F.col("shard")))
     return over.drop("_place")
 

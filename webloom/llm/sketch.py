@@ -18,7 +18,6 @@ from webloom.llm.tokens import mix, salts
 
 BINS = 128
 BAND = 4
-BANDS = BINS // BAND
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 ROUND_SALTS = salts(2 * BINS, 23)
 BAND_SALTS = salts(BINS, 29)
@@ -37,25 +36,25 @@ def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return values[fresh], np.concatenate(([0], np.cumsum(np.bincount(part[fresh], minlength=len(offsets) - 1))))
 
 
-def sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of BINS coordinates for each part; rows of empty parts stay EMPTY."""
+def sketches(values: np.ndarray, offsets: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """A row of ``bins`` coordinates, a power of two up to BINS, for each part; rows of empty parts stay EMPTY."""
     parts = len(offsets) - 1
-    out = np.full(parts * BINS, EMPTY)
+    out = np.full(parts * bins, EMPTY)
     part = np.repeat(np.arange(parts), np.diff(offsets))
-    for i in range(BINS):
+    for i in range(bins):
         if not len(values):
-            return out.reshape(parts, BINS)
+            return out.reshape(parts, bins)
         x = mix(values ^ ROUND_SALTS[i])
-        slot = part * BINS + (x & np.uint64(BINS - 1)).astype(np.int64)
+        slot = part * bins + (x & np.uint64(bins - 1)).astype(np.int64)
         np.minimum.at(out, slot, np.uint64(i << 56) | (x >> np.uint64(8)))
-        unfilled = (out.reshape(parts, BINS) == EMPTY).any(1)
+        unfilled = (out.reshape(parts, bins) == EMPTY).any(1)
         more = unfilled[part]
         values, part = values[more], part[more]
-    for b in range(BINS):
-        x = mix(values ^ ROUND_SALTS[BINS + b])
-        lacking = out[part * BINS + b] == EMPTY
-        np.minimum.at(out, part[lacking] * BINS + b, np.uint64((BINS + b) << 56) | (x[lacking] >> np.uint64(8)))
-    return out.reshape(parts, BINS)
+    for b in range(bins):
+        x = mix(values ^ ROUND_SALTS[bins + b])
+        lacking = out[part * bins + b] == EMPTY
+        np.minimum.at(out, part[lacking] * bins + b, np.uint64((bins + b) << 56) | (x[lacking] >> np.uint64(8)))
+    return out.reshape(parts, bins)
 
 
 def set_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -65,17 +64,21 @@ def set_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([mix((s[offsets[1:]] - s[offsets[:-1]]) ^ n) for s in sums], axis=1)
 
 
-def described(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    """The columns of SKETCH_SCHEMA for distinct values; an empty set has no bands and a null node."""
+def described(values: np.ndarray, offsets: np.ndarray, bins: int = BINS, band: int = BAND) -> list[pa.Array]:
+    """The columns of SKETCH_SCHEMA for distinct values; an empty set has no bands and a null node.
+
+    Every ``band`` coordinates make a band.
+    """
+    count = bins // band
     n = np.diff(offsets)
     full = n > 0
-    coords = sketches(values, offsets)
-    low = np.zeros((len(n), BANDS), np.uint64)
-    for j in range(BAND):
-        low += mix(coords[:, j::BAND] ^ BAND_SALTS[j]) * np.uint64(2 * j + 1)
-    keys = mix(low ^ BAND_SALTS[None, :BANDS]).view(np.int64)
+    coords = sketches(values, offsets, bins)[:, : count * band]
+    low = np.zeros((len(n), count), np.uint64)
+    for j in range(band):
+        low += mix(coords[:, j::band] ^ BAND_SALTS[j]) * np.uint64(2 * j + 1)
+    keys = mix(low ^ BAND_SALTS[None, :count]).view(np.int64)
     nodes = np.ascontiguousarray(set_keys(values, offsets)).view(np.uint8).reshape(len(n), 16)
-    bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32)), pa.array(keys[full].ravel()))
+    bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * count))).astype(np.int32)), pa.array(keys[full].ravel()))
     return [
         pa.array([x.tobytes() if f else None for x, f in zip(nodes, full, strict=True)], pa.binary()),
         pa.array(n.astype(np.int64)),
