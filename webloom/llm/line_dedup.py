@@ -9,8 +9,8 @@ grouped as in ``near``.
 
 Shingles, signatures and verification run in numpy inside tasks; banding,
 grouping and union-find are joins and aggregates. A form in built-in functions
-only gave the same rows but needed 1190 CPU seconds a GB for the shingles alone
-where 400 are allowed; see the README.
+only gave the same rows at twice the CPU time; neither meets the check tool's
+limits, see the README for figures.
 
 Defined results: blank lines (no character beyond space and control characters)
 belong to no class and stay; null texts have no lines. Of a class the first
