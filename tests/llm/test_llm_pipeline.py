@@ -110,6 +110,28 @@ def test_all_documents_linked(spark):
     assert sum(len(s) > 1 for s in spread.values()) < 160
 
 
+def test_a_link_of_a_third_of_all_rows_takes_whole_shards(spark):
+    # 400 of 1200 rows need 14 of 40 shards of 30 rows.
+    links = ["big"] * 400 + [f"pair{i // 2}" for i in range(300)] + [None] * 500
+    rows = sharding.sharded(spark.createDataFrame([(i, x) for i, x in enumerate(links)], "id long, link string")).collect()
+    check_shards(rows)
+    spread = defaultdict(set)
+    for r in rows:
+        spread[r["link"]].add(r["shard"])
+    assert len(spread["big"]) == 14
+    assert sum(len(s) > 1 for k, s in spread.items() if k and k != "big") == 0
+
+
+def test_full_shards_exchange_pairs(spark):
+    # Every document has a copy and no place is free: a boundary between shards cuts one pair at most.
+    rows = sharding.sharded(spark.createDataFrame([(i, f"l{i // 2}") for i in range(400)], "id long, link string"), shards=8).collect()
+    check_shards(rows, 8)
+    spread = defaultdict(set)
+    for r in rows:
+        spread[r["link"]].add(r["shard"])
+    assert sum(len(s) > 1 for s in spread.values()) <= 7
+
+
 def test_mixing_reaches_its_targets(spark, sf_dir):
     docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     passes, size, total, target = passes_of(docs)
