@@ -3,12 +3,12 @@
 States emit word classes, a class emits its words: each of the OWN most frequent
 words is a class of its own, all others fall into SHARED classes by their last
 three bytes, and the end of a text is a class too. Word counts are taken over
-all training texts. Baum-Welch runs over all training texts in each of its
-ROUNDS: every partition returns expected counts, Spark sums them, and the new
-parameters are set from the sums. A warm start on a bounded sample (about SAMPLE
-whole texts of at most SAMPLE_TOKENS tokens) finds where to begin; long sequences are
-cut into segments of SEGMENT tokens in training only. A text's score is exact:
-scaled forward recursion over the whole sequence.
+all training texts. Baum-Welch begins with the class frequencies under a fixed
+noise and runs over all training texts in each round: every partition returns
+expected counts, Spark sums them, and the new parameters are set from the sums,
+until the summed log-likelihood rises by less than GAIN of itself. Long sequences
+are cut into segments of SEGMENT tokens in training only. A text's score is
+exact: scaled forward recursion over the whole sequence.
 
 Counts of the HEAD most frequent words are broadcast; all other words of the
 texts meet their counts in a shuffled join, so no word is left out. Head words
@@ -37,8 +37,8 @@ SHARED = 1024
 END = OWN + SHARED
 CLASSES = END + 1
 HEAD = 200_000
-ROUNDS = 2
-SAMPLE, SAMPLE_TOKENS, WARM_ROUNDS, STARTS = 400, 2000, 25, 3
+# Training ends when a round adds less than this part of the log-likelihood.
+GAIN = 1e-4
 SEGMENT = 128
 # Weight, in tokens, of the class frequencies in a state's emissions, and of even odds in its moves.
 EMISSION_PRIOR, MOVE_PRIOR = 100.0, 1.0
@@ -261,43 +261,33 @@ def updated(starts: np.ndarray, moved: np.ndarray, emitted: np.ndarray, share: n
     return Model(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def warm_start(data: np.ndarray, offsets: np.ndarray, share: np.ndarray) -> Model:
-    """The best of a few runs from different even beginnings over the sample."""
-    best, best_lik = None, -np.inf
-    for seed in range(STARTS):
-        rng = np.random.default_rng(seed)
-        emit = share[:, None] * np.exp(rng.normal(0, 0.3, (CLASSES, STATES)))
-        model = Model(np.full(STATES, 1 / STATES), 0.9 * np.eye(STATES) + 0.1 / STATES, emit / emit.sum(0))
-        lik = -np.inf
-        for _ in range(WARM_ROUNDS if len(data) else 0):
-            starts, moved, emitted, lik = expected(model, data, offsets)
-            model = updated(starts, moved, emitted, share)
-        if best is None or lik > best_lik:
-            best, best_lik = model, lik
-    return best
-
-
-def one_round(texts: DataFrame, model: Model, share: np.ndarray) -> Model:
-    """Baum-Welch over all ``texts`` (classes): counts per partition, summed by Spark."""
+def beginning(share: np.ndarray, seed: int = 0) -> Model:
+    """Even states that emit by the class frequencies, told apart by a fixed noise."""
+    emit = share[:, None] * np.exp(np.random.default_rng(seed).normal(0, 0.3, (CLASSES, STATES)))
+    return Model(np.full(STATES, 1 / STATES), 0.9 * np.eye(STATES) + 0.1 / STATES, emit / emit.sum(0))
+
+
+def one_round(texts: DataFrame, model: Model, share: np.ndarray) -> tuple[Model, float]:
+    """Baum-Welch over all ``texts`` (classes): counts per partition, summed by Spark. Also the log-likelihood before."""
     held = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        # Rows: the classes, then the states left, then the start.
-        total = np.zeros((CLASSES + STATES + 1, STATES))
+        # Rows: the classes, then the states left, the start, and the log-likelihood.
+        total = np.zeros((CLASSES + STATES + 2, STATES))
         for batch in batches:
             for _, data, offsets in sequences(batch, TRAIN_TOKENS):
-                starts, moved, emitted, _ = expected(model, data, offsets)
-                total += np.concatenate([emitted, moved, starts[None]])
+                starts, moved, emitted, lik = expected(model, data, offsets)
+                total += np.concatenate([emitted, moved, starts[None], np.full((1, STATES), lik)])
         some = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, s]) for s in range(STATES)]], ["row", *[f"s{s}" for s in range(STATES)]])
 
     columns = [f"s{s}" for s in range(STATES)]
     summed = texts.select("classes").mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in columns)).groupBy("row").agg(*[F.sum(c).alias(c) for c in columns])
-    total = np.zeros((CLASSES + STATES + 1, STATES))
+    total = np.zeros((CLASSES + STATES + 2, STATES))
     for r in summed.collect():
         total[r["row"]] = r[1:]
-    return updated(total[-1], total[CLASSES:-1], total[:CLASSES], share)
+    return updated(total[-2], total[CLASSES:-2], total[:CLASSES], share), float(total[-1, 0])
 
 
 def forward(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -331,17 +321,13 @@ def likelihoods(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def trained(texts: DataFrame, share: np.ndarray) -> Model:
-    """The model of the training ``texts`` (uid, classes, n_tokens)."""
-    fitting = texts.where(F.col("n_tokens") <= SAMPLE_TOKENS)
-    part = min(1.0, SAMPLE / max(1, fitting.count()))
-    drawn = fitting.where(F.pmod(F.xxhash64("uid"), F.lit(1 << 40)) < int(part * (1 << 40)))
-    sample = sorted(drawn.select("uid", "classes").limit(2 * SAMPLE).collect())
-    data = np.frombuffer(b"".join(r["classes"] for r in sample), np.uint16)
-    offsets = np.concatenate(([0], np.cumsum([len(r["classes"]) // 2 for r in sample]))).astype(np.int64)
-    model = warm_start(data, offsets, share)
-    for _ in range(ROUNDS):
-        model = one_round(texts, model, share)
-    return model
+    """The model of the training ``texts`` (classes), all of which take part in every round."""
+    model, before = beginning(share), -np.inf
+    while True:
+        model, lik = one_round(texts, model, share)
+        if not lik - before > GAIN * abs(lik):
+            return model
+        before = lik
 
 
 def scored(docs: DataFrame, held_out: Column) -> DataFrame:
