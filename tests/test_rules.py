@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from webloom.functions.html import compile_selector
 from webloom.operators import rules as R
 from webloom.plans.records import crawl_records, saved_records
 from webloom.sources import rules as S
@@ -200,6 +201,23 @@ def test_records(spark):
     assert {k: r.outcome for k, r in got.items()} == {1: "ok", 2: "ok", 3: "duplicate", 4: "duplicate", 5: "noindex", 6: "ok"}
 
 
+def test_selectors_that_the_reader_does_not_know_are_refused(spark):
+    known = ["#d > p", "p.a.b, span", "[data-x^=pre]", "[data-x$='f x']", '[a*="-"]', "li:nth-child( 2n + 1 )", "li:nth-child(-n+2)", "li:nth-child(even)",
+             "p:not(.a):not([data-x])", ":not(ul > li, .b) ~ p", "*", "ul li:first-child", "p.é", "a:hover", "div a:focus > b"]
+    unknown = ["p:nth-of-type(2)", "p:last-of-type", "p:has(a)", ":is(h1, h2)", "p:empty", "[a|=x]", "[a=x i]", '[a="x"i]', "p >", "> p", "p::after", "[x",
+               "li:nth-child(x)", "a,,b", "p:not(:has(a))", "p:first-childx", "a:hover, p", "p:not(:hover)", "a\\:b"]
+    docs = [("s", c, doc(fields={"t": {"selector": c}})) for c in known + unknown]
+    docs.append(("s", "fallback", doc(fields={"t": {"selector": "p", "fallback": ["p:has(a)"]}})))
+    _, report = S.load_rules(spark.createDataFrame(docs, "source string, path string, content string"))
+    got = {r.path: (r.status, r.error) for r in report.collect()}
+    assert {c for c in known if got[c] != ("pass", None)} == set()
+    assert {c for c in unknown if got[c] != ("fail", "field t selector is not understood")} == set()
+    assert got["fallback"] == ("fail", "field t fallback selector is malformed")
+    for c in known:
+        if ":hover" not in c and ":focus" not in c:
+            compile_selector(c)
+
+
 def test_quality(spark):
     rows = [("r", "a", None), ("r", "a", []), ("r", "a", [" "]), ("r", "a", ["x"]), ("r", "b", ["x"])]
     got = R.rule_quality(spark.createDataFrame(rows, "rule string, field string, values array<string>"))
