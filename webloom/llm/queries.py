@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webloom.llm import decontamination, hmm_lm, language_cnn, line_dedup, minhash_dedup, mixing, quality_knn, quality_rules, sharding, url_logistic
+from webloom.llm import (
+    decontamination, hmm_lm, language_cnn, line_dedup, merkle, minhash_dedup, mixing, personal_data, quality_knn, quality_rules, sharding, spelling,
+    url_logistic,
+)
 from webloom.llm.held_out import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +160,82 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = quality_knn.scored(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
     return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
+# Unsigned crc32 of hex-written bytes, as DuckDB expressions.
+CRC_TABLE = """t AS (SELECT list(list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) AS r(i))"""
+
+
+@query(
+    "op11_spelling_variants",
+    rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS n, any_value(hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM r GROUP BY doc_id, w),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || substr(x, 2 * i + 1, 2))::UBIGINT for i in range(len(x) // 2)]),
+    lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255)::BIGINT + 1]))) AS h FROM c, t WHERE length(w) >= 6),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, length(word) AS len, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM w, LATERAL unnest(range(1, length(word) + 1)) AS u(i)),
+p AS (SELECT a.word AS x, b.word AS y FROM d AS a JOIN d AS b ON a.cut = b.cut AND a.i = b.i AND a.word < b.word
+  UNION SELECT w.word, d.word FROM w JOIN d ON w.word = d.cut),
+b AS (SELECT x AS word, y AS other FROM p UNION SELECT y, x FROM p),
+f AS (SELECT b.word, count(*) AS n_near, min(struct_pack(k := -o.n, w := b.other)) AS best FROM b JOIN w AS o ON o.word = b.other GROUP BY b.word),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.k >= 5 * w.n THEN best.w END AS form, CASE WHEN -best.k >= 5 * w.n THEN -best.k END AS form_n
+  FROM w LEFT JOIN f ON f.word = w.word),
+e AS (SELECT word, form AS goal, 1 AS step FROM g WHERE form IS NOT NULL UNION ALL SELECT e.word, g.form, step + 1 FROM e JOIN g ON g.word = e.goal WHERE g.form IS NOT NULL),
+z AS (SELECT word, arg_max(goal, step) AS root FROM e GROUP BY word)
+SELECT g.word, form, coalesce(z.root, g.word) AS root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM g LEFT JOIN z ON z.word = g.word""",
+)
+def op11(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ENCODED = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+LEAF = "sha256(" + " || ".join(ENCODED.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+WITH RECURSIVE {CRC_TABLE},
+l AS (SELECT doc_id, source, {LEAF.format(ENCODED.format("text"))} AS leaf, {LEAF.format(ENCODED.format("replace(text, chr(10), '')"))} AS other,
+  xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, [ord(CAST(doc_id AS VARCHAR)[i])::UBIGINT for i in range(1, length(CAST(doc_id AS VARCHAR)) + 1)]),
+    lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255)::BIGINT + 1]))) % 2 = 0 AS tampered FROM documents, t),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS r, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree FROM l),
+q AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY r) - 1 AS p FROM r),
+n AS (SELECT 0 AS level, tree, p, leaf AS h, count(*) OVER (PARTITION BY tree) AS size FROM q
+  UNION ALL SELECT level + 1, tree, p // 3, sha256(string_agg(h, '' ORDER BY p)), (any_value(size) + 2) // 3 FROM n WHERE size > 1 GROUP BY level, tree, p // 3),
+s AS (SELECT tree, tree - 1 AS p, h FROM n WHERE size = 1),
+m AS (SELECT 0 AS level, p, h, count(*) OVER () AS size FROM s
+  UNION ALL SELECT level + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (any_value(size) + 2) // 3 FROM m WHERE size > 1 GROUP BY level, p // 3),
+a AS (SELECT q.r, n.level, 0 AS part, coalesce(string_agg(n.h, '' ORDER BY n.p) FILTER (WHERE n.p < q.p // CAST(pow(3, n.level) AS BIGINT)), '') AS lefts,
+    coalesce(string_agg(n.h, '' ORDER BY n.p) FILTER (WHERE n.p > q.p // CAST(pow(3, n.level) AS BIGINT)), '') AS rights
+  FROM q JOIN n ON n.tree = q.tree AND n.p // 3 = q.p // CAST(pow(3, n.level + 1) AS BIGINT) WHERE n.size > 1 GROUP BY q.r, n.level
+  UNION ALL SELECT q.r, m.level, 1, coalesce(string_agg(m.h, '' ORDER BY m.p) FILTER (WHERE m.p < (q.tree - 1) // CAST(pow(3, m.level) AS BIGINT)), ''),
+    coalesce(string_agg(m.h, '' ORDER BY m.p) FILTER (WHERE m.p > (q.tree - 1) // CAST(pow(3, m.level) AS BIGINT)), '')
+  FROM q JOIN m ON m.p // 3 = (q.tree - 1) // CAST(pow(3, m.level + 1) AS BIGINT) WHERE m.size > 1 GROUP BY q.r, m.level),
+w AS (SELECT r, list([lefts, rights] ORDER BY part, level) AS path FROM a GROUP BY r),
+x AS (SELECT q.*, s.h AS subroot, (SELECT h FROM m WHERE size = 1) AS root, coalesce(path, []) AS path, CASE WHEN tampered THEN other ELSE leaf END AS start
+  FROM q JOIN s ON s.tree = q.tree LEFT JOIN w ON w.r = q.r),
+y AS (SELECT r, 0 AS i, start AS h, path FROM x UNION ALL SELECT r, i + 1, sha256(path[i + 1][1] || h || path[i + 1][2]), path FROM y WHERE i < len(path)),
+z AS (SELECT r, h AS folded_root FROM y WHERE i = len(path))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([g[1] || g[2] for g in path], '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM x JOIN z ON z.r = x.r""",
+)
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    without_breaks = merkle.leaf_of(text=F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = merkle.manifest(docs, given=F.when(tampered, without_breaks).otherwise(merkle.leaf_of()))
+    rows = rows.withColumn("folded_root", merkle.folded(F.col("given"), F.col("path"))).withColumn("proof_sha256", merkle.proof_digest(F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_personal_data")
+def op13(spark, sf_dir):
+    rows = personal_data.found(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return rows.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written("spans").alias("spans"))
