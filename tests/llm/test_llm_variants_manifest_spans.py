@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.llm import merkle, personal_data, spelling
+from webloom.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -246,3 +247,16 @@ def test_spans_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("other"))
     found = sorted((str(r["doc_id"]), [(s["start"], s["end"]) for s in r["spans"]]) for r in personal_data.found(df).collect())
     assert found == [("1", []), ("2", []), ("2", [(2, 8)]), ("2", [(2, 8)]), ("None", [(0, 6)])]
+
+
+def test_digests_of_spans(spark):
+    """The query on the given tables, row by row."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op13_personal_data"](spark, folder).collect()
+    assert len(rows) == len(texts) and any(r["n_card"] for r in rows)
+    written = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    for r in rows:
+        base = plain_base(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")]
+        assert r["base_sha256"] == sha(written(base)) and r["spans"] == written(s[:3] for s in personal_data.spans_of(texts[r["doc_id"]]))
