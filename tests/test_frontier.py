@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from webloom.operators import frontier as O
-from webloom.operators.ranking import hot_keys, numbered, ordered_take, salted_join, with_lookback
+from webloom.operators.ranking import hot_keys, in_ranges, numbered, ordered_take, salted_join, with_lookback
 
 URLS = "url string, depth int, status string, added_time bigint, completed_time bigint, outcome string"
 QUEUE = "id bigint, url string, depth int, added_time bigint, domain string"
@@ -229,4 +229,22 @@ def test_budget(spark):
             break
         want.append(i)
         done += ok
-    assert sorted(r.event_id for r in O.budget(df, 12, 400, bucket_us=70).collect()) == want
+    assert sorted(r.event_id for r in O.budget(df, 12, 400).collect()) == want
+
+
+def test_budget_in_one_busy_hour(spark):
+    """All rows within an hour, half of them at one moment: ranges of equal size, the same cut."""
+    rng = random.Random(2)
+    rows = [(i, 5 if i % 2 else rng.randrange(3_600_000_000), rng.random() < 0.7) for i in range(4000)]
+    df = spark.createDataFrame(rows, "event_id bigint, us bigint, success boolean")
+    done, want = 0, set()
+    for i, _, ok in sorted(rows, key=lambda r: (r[1], r[0])):
+        if done >= 1700:
+            break
+        want.add(i)
+        done += ok
+    assert {r.event_id for r in O.budget(df, 1700).collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = [r["count"] for r in in_ranges(df, ["us", "event_id"]).groupBy("_part").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 8 and max(parts) < 1000

@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from webloom.sources import history as H
+from webloom.sources import state as ST
 from webloom.sources.records import read_logs, read_records, write_records
 from webloom.sources.rules import load_rules
 from webloom.sources.state import current_version, read_state, write_state
@@ -45,6 +47,64 @@ def test_bursts_over_batches(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"{sink}/alerts").select("key", "opened_us").collect()] == [(1, 9 * S1)]
 
 
+HOUR = 3600 * S1
+
+
+def test_dedup_expires_after_the_ttl(spark, tmp_path):
+    """One hash at 0, 30, 60, 90 h: in one batch and in four the entry has expired each time."""
+    ddl = "hash string, id bigint, us bigint"
+    rows = [("h", i, t * HOUR) for i, t in enumerate((0, 30, 60, 90))] + [("g", 10 + t, t * HOUR) for t in (0, 6, 12, 24, 30, 31, 200)]
+    want = {("h", 0), ("h", 1), ("h", 2), ("h", 3), ("g", 10), ("g", 40), ("g", 210)}
+    by_time = sorted(rows, key=lambda r: r[2])
+    for name, batches in {"one": [rows], "four": [by_time[i : i + 3] for i in range(0, 11, 3)]}.items():
+        folder = tmp_path / name
+        J.run_available(J.stream_dedup(arriving(spark, folder, ddl, *batches), str(folder / "sink"), str(folder / "cp")))
+        kept = spark.read.parquet(str(folder / "sink/rows/batch=*")).collect()
+        assert {(r["hash"], r["id"]) for r in kept} == want and len(kept) == len(want), name
+
+
+def test_dedup_of_late_and_repeated_batches(spark, tmp_path):
+    write = J.sight_writer(spark, str(tmp_path), ttl_s=10)
+    ddl = "hash string, id bigint, us bigint"
+    batches = [[("a", 1, 50 * S1)], [("a", 2, 45 * S1), ("a", 3, 20 * S1), (None, 4, 0), ("a", 5, None)], [], [("a", 6, 61 * S1), ("a", 7, 60 * S1)]]
+    for i, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, ddl), i)
+        write(spark.createDataFrame(rows, ddl), i)
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/rows/batch=*").collect()) == [1, 3, 6]
+
+
+def test_history_reads_few_folders(spark, tmp_path, monkeypatch):
+    """One day a batch: what a batch may see is named by its digits; days outside are not read."""
+    assert all(len(H._parts(n)) <= 7 * 3 for n in range(512)) and len(H._parts(10**6)) <= 7 * 7
+    monkeypatch.setattr(H, "MERGED", 3)
+    root, last = str(tmp_path), 19
+    for n in range(last + 1):
+        for _ in range(2 if n in (9, last) else 1):
+            H.keep(spark.createDataFrame([(n, n * H.DAY_US)], "key bigint, us bigint").coalesce(1), root, n, "us")
+    seen = H.recall(spark, root, last, "key BIGINT, us BIGINT")
+    assert sorted(r["key"] for r in seen.collect()) == list(range(last))
+    some = H.recall(spark, root, last, "key BIGINT, us BIGINT", 3 * H.DAY_US, 5 * H.DAY_US + 7)
+    assert sorted(r["key"] for r in some.collect()) == [3, 4, 5] and len(some.inputFiles()) == 3
+    assert H.recall(spark, root, last, "key BIGINT, us BIGINT", 500 * H.DAY_US, 501 * H.DAY_US).count() == 0
+
+
+def test_frontier_writes_changes_only(spark, tmp_path, monkeypatch):
+    """Bytes of a version do not grow with the queue; a batch that is run again changes nothing; full versions in between."""
+    monkeypatch.setattr(ST, "FULL_EVERY", 3)
+    root = str(tmp_path)
+    J.start_state(spark, root, queue=spark.range(50_000).selectExpr("id", "concat('https://e.com/q', id) AS url", "0 AS depth", "CAST(NULL AS TIMESTAMP) AS added_time", "'e.com' AS domain"))
+    write = J.frontier_writer(spark, root)
+    for n in range(4):
+        rows = spark.createDataFrame([(n, "p", f"https://e.com/{n}", 1), (100 + n, "p", "https://e.com/0", 1)], "seq bigint, parent_url string, url string, depth int")
+        write(rows, n)
+        if n == 2:
+            write(rows, n)
+        queue = read_state(spark, root, ["queue"], n + 1)["queue"]
+        assert queue.count() == 50_001 + n and queue.select("url").distinct().count() == 50_001 + n
+    size = {v: sum(f.stat().st_size for f in (tmp_path / f"version={v}").rglob("*.parquet")) for v in range(5)}
+    assert all(size[v] < size[0] / 10 for v in (1, 2, 4)) and size[3] > size[0] / 2
+
+
 def test_timeouts(spark, tmp_path):
     ddl = "url string, us bigint, kind string"
 

@@ -75,6 +75,26 @@ def test_ttl_dedup_on_a_hot_hash(spark):
     assert {(r.hash, r.id) for r in W.ttl_dedup(df, ttl_s=3).collect()} == want
 
 
+def test_ttl_dedup_spreads_one_hash(spark):
+    """One hash with all rows: the links are found in ranges of equal size."""
+    rng = random.Random(11)
+    rows = [("h", i, rng.randrange(10**9)) for i in range(3000)] + [("h", 1, None), (None, 2, 3)]
+    df = spark.createDataFrame(rows, "hash string, id bigint, us bigint")
+    first, want = None, []
+    for us in sorted({r[2] for r in rows if r[0] and r[2] is not None}):
+        if first is None or us - first > 20_000_000:
+            first = us
+            want.append(us)
+    assert sorted(r.us for r in W.ttl_dedup(df, ttl_s=20).collect()) == want and len(want) > 40
+    links = W.successors(df.where("hash IS NOT NULL AND us IS NOT NULL").select("hash", "us").distinct(), 20_000_000)
+    later = sorted({r[2] for r in rows[:3000]})
+    assert {r.us: r.next_us for r in links.collect()} == {t: min(x for x in later if x > t + 20_000_000) for t in later if later[-1] > t + 20_000_000}
+
+
+def test_ttl_dedup_without_rows(spark):
+    assert W.ttl_dedup(spark.createDataFrame([], "hash string, id bigint, us bigint")).count() == 0
+
+
 def test_health_score(spark):
     at = 100_000_000
     rows = [

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
-from webloom.operators.ranking import BUCKET_ROWS, hot_keys, id_bucket, numbered, ordered_take, running_sum, salted_join
+from webloom.operators.ranking import BUCKET_ROWS, hot_keys, id_bucket, in_ranges, numbered, ordered_take, running_sum, salted_join
 from webloom.operators.urls import is_excluded
 from webloom.session import cut_lineage
 
@@ -248,15 +248,19 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> tuple[DataFrame,
     return reached, boundary.distinct()
 
 
-def budget(df: DataFrame, max_pages: int = 0, until_us: int | None = None, bucket_us: int = 3_600_000_000) -> DataFrame:
-    """Rows ``(event_id, us, success)`` handled before a page or time budget is used up."""
+def budget(df: DataFrame, max_pages: int = 0, until_us: int | None = None) -> DataFrame:
+    """Rows ``(event_id, us, success)`` handled before a page or time budget is used up.
+
+    Successes are counted along ranges of equal size, so a busy hour is no task
+    of its own.
+    """
     kept = df if until_us is None else df.where(F.col("us") < until_us)
     if not max_pages:
         return kept
-    counted = running_sum(
-        kept, F.col("success").cast("bigint"), ["us", "event_id"], F.floor(F.col("us") / bucket_us).cast("bigint"), "_done", include_current=False
-    )
-    return counted.where(F.col("_done") < max_pages).drop("_done")
+    order = ["us", "event_id"]
+    laid = in_ranges(kept, order)
+    counted = running_sum(laid, F.col("success").cast("bigint"), order, F.col("_part"), "_done", include_current=False)
+    return counted.where(F.col("_done") < max_pages).drop("_done", "_at", "_part")
 
 
 def complete(urls: DataFrame, failures: DataFrame, in_flight: DataFrame, done: DataFrame):
@@ -296,6 +300,6 @@ def stale(in_flight: DataFrame, now_us: int, seconds: int = STUCK_SECONDS) -> Da
 
 
 def queue_page(queue: DataFrame, n: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The next ``n`` queue rows in crawl order."""
-    turns = round_robin(queue, bucket_rows)
-    return ordered_take(turns, n, ["turn", "domain"], F.struct("turn", F.left("domain", F.lit(2)).alias("start")))
+    """The next ``n`` queue rows in crawl order; ranges behind row ``n`` are never sorted again."""
+    order = ["turn", "domain"]
+    return ordered_take(in_ranges(round_robin(queue, bucket_rows), order), n, order, F.col("_part")).drop("_at", "_part")

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.session import stored
+
 # Rows with neighbouring ids per bucket.
 BUCKET_ROWS = 1_000_000
 
@@ -23,6 +25,19 @@ def id_bucket(id_col: Column | str, rows: int = BUCKET_ROWS) -> Column:
     return F.floor(id_col / F.lit(rows)).cast("bigint")
 
 
+def in_ranges(df: DataFrame, order_by: Sequence[Column | str]) -> DataFrame:
+    """``df`` stored in ranges of the order with about equal numbers of rows: ``_part`` rises along it, ``_at`` within.
+
+    Spark samples the order for the splitters, so a busy hour or key makes more
+    ranges and not larger ones. ``_part`` has one value per partition of the
+    job; it is a bucket for the functions here, and a window over the parts
+    alone has as many rows as the job had tasks. The order should be total.
+    """
+    dealt = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    # The upper bits of the rising ids are the number of the partition.
+    return stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_at", 33))
+
+
 def running_sum(
     df: DataFrame,
     value: Column,

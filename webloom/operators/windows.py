@@ -3,13 +3,11 @@ busy key is split over time; see ``ranking.with_lookback``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.operators.ranking import numbered, with_lookback
+from webloom.operators.ranking import in_ranges, numbered, with_lookback
+from webloom.session import stored
 
 # Burst size and span; parts of the endpoint score; weights of the running mean.
 BURST_FAILURES = 10
@@ -33,15 +31,16 @@ def trailing_counts(df: DataFrame, key: str, span_us: int, name: str = "recent")
     running sum in each time bucket, whatever the number of rows in a span.
     """
     width = span_us * 4
-    bucket = lambda at: F.floor(at / width).cast("bigint")
-    own = df.withColumn("_bucket", bucket(F.col("us"))).withColumn("_at", F.col("us")).withColumn("_step", F.lit(1)).withColumn("_own", F.lit(True))
-    gone = own.withColumn("_at", F.col("us") + span_us).withColumn("_step", F.lit(-1)).withColumn("_own", F.lit(False))
-    # Into a bucket go its own rows, those that expire in it, and those of the bucket before that do so.
-    late = gone.where(bucket(F.col("_at")) > F.col("_bucket")).withColumn("_bucket", F.col("_bucket") + 1)
-    carried = late.withColumn("_at", F.col("_bucket") * width).withColumn("_step", F.lit(1))
-    inside = gone.where(bucket(F.col("_at")) == F.col("_bucket"))
+    own, end = F.floor(F.col("us") / width).cast("bigint"), F.col("us") + span_us
+    step = lambda bucket, at, value, is_own: F.struct(
+        bucket.alias("_bucket"), at.alias("_at"), F.lit(value).alias("_step"), F.lit(is_own).alias("_own")
+    )
+    here = step(own, F.col("us"), 1, True)
+    # A row that expires in the next bucket is counted from that bucket's start until then.
+    later = [step(own + 1, (own + 1) * width, 1, False), step(own + 1, end, -1, False)]
+    ends_here = F.floor(end / width).cast("bigint") == own
+    steps = df.select("*", F.inline(F.when(ends_here, F.array(here, step(own, end, -1, False))).otherwise(F.array(here, *later))))
     frame = Window.partitionBy(key, "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = own.unionByName(inside).unionByName(late).unionByName(carried)
     return steps.withColumn(name, F.sum("_step").over(frame)).where("_own").drop("_bucket", "_at", "_step", "_own")
 
 
@@ -131,25 +130,54 @@ def liveness_summary(workers: DataFrame) -> DataFrame:
     )
 
 
+def successors(rows: DataFrame, after_us: int) -> DataFrame:
+    """(hash, us, next_us): the first row of the hash more than ``after_us`` later, for rows ``(hash, us)`` that have one.
+
+    Every row asks at its own time plus the span. Askers and rows are laid in
+    one order and cut into ranges of equal size, so a hash that holds most rows
+    lies in many tasks; within a range the next row is a running value from the
+    end, and a range hands its first row to the ones before it.
+    """
+    marks = rows.select("hash", F.col("us").alias("at"), F.lit(False).alias("asks")).unionByName(
+        rows.select("hash", (F.col("us") + after_us).alias("at"), F.lit(True).alias("asks"))
+    )
+    # At one moment rows come before askers: the next row must be later.
+    laid = in_ranges(marks, ["hash", "at", "asks"])
+    row = F.when(~F.col("asks"), F.struct("hash", "at"))
+    from_end = Window.partitionBy("_part").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = laid.groupBy("_part").agg(F.min(F.when(~F.col("asks"), F.struct("_at", "hash", "at"))).alias("_first"))
+    parts_from_end = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    handed = firsts.select("_part", F.last("_first", ignorenulls=True).over(parts_from_end).alias("_handed"))
+    found = (
+        laid.withColumn("_next", F.last(row, ignorenulls=True).over(from_end))
+        .where("asks")
+        # One row for each task of the job before.
+        .join(F.broadcast(handed), "_part")
+        .withColumn("_next", F.coalesce("_next", F.struct("_handed.hash", "_handed.at")))
+    )
+    return found.where(F.col("_next.hash") == F.col("hash")).select("hash", (F.col("at") - after_us).alias("us"), F.col("_next.at").alias("next_us"))
+
+
 def ttl_dedup(df: DataFrame, ttl_s: int = HASH_TTL_S) -> DataFrame:
     """Rows ``(hash, id, us)`` that are new: the entry of a hash expires ``ttl_s`` after it was first seen.
 
-    One pass, however many TTL spans there are: of rows of one moment the first
-    is taken on the map side; the rest is dealt by hash, sorted by time, and a
-    task remembers nothing but the last kept time of the hash it is at.
+    Kept are the first row of a hash and what its links reach, each link leading
+    to the first row after the TTL. The links are doubled: round k adds the rows
+    2^k to 2^(k+1) - 1 links away, so a year of daily repeats takes nine rounds.
+    Joins are on (hash, us), which is unique once the least id of a moment is
+    taken, so a hash with most rows is spread. Rows without hash or time are left
+    out; a repeated row counts once.
     """
-    ttl_us = ttl_s * 1_000_000
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last = None, 0
-        for batch in batches:
-            kept = []
-            for h, us in zip(batch.column("hash").to_pylist(), batch.column("us").to_pylist(), strict=True):
-                fresh = h != now or us - last > ttl_us
-                if fresh:
-                    now, last = h, us
-                kept.append(fresh)
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    rows = df.where("hash IS NOT NULL").groupBy("hash", "us").agg(F.min("id").alias("id")).select("hash", "id", "us")
-    return rows.repartition("hash").sortWithinPartitions("hash", "us").mapInArrow(run, rows.schema)
+    rows = stored(df.where("hash IS NOT NULL AND us IS NOT NULL").groupBy("hash", "us").agg(F.min("id").alias("id")), "sights")
+    reached = stored(rows.groupBy("hash").agg(F.min("us").alias("us")), "reached")
+    links = stored(successors(rows, ttl_s * 1_000_000), "links")
+    # Only first rows and targets of links are ever stepped on.
+    steps = reached.union(links.select("hash", F.col("next_us").alias("us"))).distinct()
+    links = stored(links.join(steps, ["hash", "us"], "left_semi"), "links")
+    while True:
+        news = stored(reached.join(links, ["hash", "us"]).select("hash", F.col("next_us").alias("us")), "reached")
+        if news.isEmpty():
+            return rows.join(reached, ["hash", "us"]).select("hash", "id", "us")
+        reached = reached.union(news)
+        onward = links.select("hash", F.col("us").alias("next_us"), F.col("next_us").alias("_onward"))
+        links = stored(links.join(onward, ["hash", "next_us"]).select("hash", "us", F.col("_onward").alias("next_us")), "links")

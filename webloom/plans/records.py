@@ -62,9 +62,10 @@ def saved_records(records: DataFrame, order_by: tuple[str, ...] = ()) -> DataFra
 
     Finding copies reads the records twice (hashes first, then the rows), so
     they are stored once in between: pages are parsed a single time, and the
-    first pass reads only the hash and id columns.
+    first pass reads only the hash, id and row number.
     """
     hashed = records.withColumn("content_hash", P.dedup_hash("text", F.col("fields"), F.col("allow_index")))
-    marked = P.mark_new(stored(hashed, "records"), "page_id", list(order_by), F.col("allow_index"))
+    located = stored(hashed.withColumn("_row", F.monotonically_increasing_id()), "records")
+    marked = P.mark_new(located, "page_id", list(order_by), F.col("allow_index"))
     outcome = P.page_outcome(F.lit(False), F.col("allow_index"), F.col("is_new"), F.col("text_truncated"))
     return marked.withColumn("outcome", outcome)

@@ -49,11 +49,20 @@ def stream_pages(t: Tables):
     return records.groupBy("extraction_type").agg(F.count("*").alias("records"))
 
 
-@query("stream_dedup_ttl", "SELECT DISTINCT md5(text) AS hash FROM {documents}")
+@query(
+    "stream_dedup_ttl",
+    f"""WITH RECURSIVE {EV_SQL}, e AS (SELECT md5(user_id || event_type) AS hash, event_id AS id, us FROM ev),
+    kept(hash, r) AS (SELECT hash, min({{{{'us': us, 'id': id}}}}) FROM e GROUP BY hash
+      UNION ALL SELECT kept.hash, min({{{{'us': e.us, 'id': e.id}}}}) FROM kept JOIN e ON e.hash = kept.hash AND e.us - kept.r.us > 86400000000 GROUP BY kept.hash)
+    SELECT hash, r.id AS id, r.us AS us FROM kept""",
+)
 def stream_dedup_ttl(t: Tables):
-    docs = J.read_stream(t.spark, _arriving(t, "documents"), "doc_id BIGINT, text STRING")
-    hashed = docs.select(F.md5(F.col("text").cast("binary")).alias("hash"), F.timestamp_seconds(F.col("doc_id") + 1_704_067_200).alias("ts"))
-    return _drained(t, J.stream_dedup(hashed), "stream-dedup", "hash STRING")
+    """Sights of a month, so most hashes come back after their entry has expired."""
+    key = F.md5(F.concat(F.col("user_id").cast("string"), "event_type").cast("binary"))
+    rows = _events(t).select(key.alias("hash"), F.col("event_id").alias("id"), "us")
+    out = scratch_path(t.spark, "stream-dedup")
+    J.run_available(J.stream_dedup(rows, out, f"{out}/checkpoint"))
+    return t.spark.read.schema("hash STRING, id BIGINT, us BIGINT").parquet(f"{out}/rows/batch=*")
 
 
 @query(

@@ -11,9 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from webloom.functions import urls as U
 from webloom.operators import frontier as FR
-from webloom.operators.windows import HASH_TTL_S
+from webloom.operators.windows import HASH_TTL_S, ttl_dedup
 from webloom.plans.records import crawl_records, saved_records
-from webloom.sources.state import current_version, read_state, write_state
+from webloom.session import stored
+from webloom.sources.history import keep, recall
+from webloom.sources.state import KEYS, current_version, read_state, write_changes, write_state
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -33,15 +35,19 @@ def run_available(query_writer) -> None:
     query.awaitTermination()
 
 
-def earlier_batches(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows that batches before ``batch_id`` have written; none if nothing was written yet. Other faults are raised."""
+def batch_time_us(spark: SparkSession, root: str, batch_id: int) -> int:
+    """The time of the first attempt of a batch, stored below ``root``; later attempts read it."""
+    path = f"{root}/batch={batch_id}"
     try:
-        stored = spark.read.schema(schema + ", batch BIGINT").option("basePath", root).parquet(f"{root}/batch=*")
+        known = spark.read.schema("us BIGINT").json(path).first()
     except AnalysisException as fault:
         if fault.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    return stored.where(F.col("batch") < batch_id).drop("batch")
+        known = None
+    if known:
+        return known["us"]
+    spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("us")).coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema("us BIGINT").json(path).first()["us"]
 
 
 def record_writer(spark: SparkSession, snapshot: DataFrame, sink: str, ttl_s: int = HASH_TTL_S) -> Callable[[DataFrame, int], None]:
@@ -49,14 +55,17 @@ def record_writer(spark: SparkSession, snapshot: DataFrame, sink: str, ttl_s: in
 
     A batch writes its own folder and replaces it when it is run again. Its
     hashes are anti-joined with those that earlier batches stored within the
-    last ``ttl_s`` seconds, so a page that comes back later is new. Pages
-    without a hash go round the join.
+    last ``ttl_s`` seconds, so a page that comes back later is new; only the days
+    within reach are read. The time of a batch is that of its first attempt, so
+    a second one judges the same hashes live. Pages without a hash go round the
+    join.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         marked = saved_records(crawl_records(batch, snapshot)).where("is_new")
-        live = F.col("stored_at") > F.current_timestamp() - F.make_interval(secs=F.lit(ttl_s))
-        seen = earlier_batches(spark, f"{sink}/hashes", batch_id, "content_hash STRING, stored_at TIMESTAMP").where(live)
+        now = batch_time_us(spark, f"{sink}/times", batch_id)
+        oldest = now - ttl_s * 1_000_000
+        seen = recall(spark, f"{sink}/hashes", batch_id, "content_hash STRING, us BIGINT", oldest, now).where(F.col("us") > oldest)
         hashed = marked.where("content_hash IS NOT NULL").join(seen.select("content_hash"), "content_hash", "left_anti")
         fresh = hashed.unionByName(marked.where("content_hash IS NULL"))
         out = fresh.select(
@@ -65,8 +74,8 @@ def record_writer(spark: SparkSession, snapshot: DataFrame, sink: str, ttl_s: in
         )
         path = f"{sink}/records/batch={batch_id}"
         out.write.mode("overwrite").json(path)
-        written = spark.read.schema("content_hash STRING").json(path)
-        written.where("content_hash IS NOT NULL").withColumn("stored_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{sink}/hashes/batch={batch_id}")
+        written = spark.read.schema("content_hash STRING").json(path).where("content_hash IS NOT NULL")
+        keep(written.withColumn("us", F.lit(now).cast("bigint")), f"{sink}/hashes", batch_id, "us")
 
     return write
 
@@ -77,9 +86,38 @@ def stream_pages(pages: DataFrame, snapshot: DataFrame, sink: str, checkpoint: s
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def stream_dedup(df: DataFrame, ttl: str = "24 hours", key: str = "hash", time_col: str = "ts") -> DataFrame:
-    """Drop repeated hashes; an entry leaves the state ``ttl`` after its first sight."""
-    return df.withWatermark(time_col, ttl).dropDuplicatesWithinWatermark([key])
+def sight_writer(spark: SparkSession, sink: str, ttl_s: int = HASH_TTL_S) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: rows ``(hash, id, us)`` that are new, below ``sink/rows``.
+
+    The entry of a hash expires ``ttl_s`` after it was first seen, by the times of
+    the rows. Sights are kept by day; a batch reads the days that the TTL reaches
+    from its own rows. A row within the TTL of a stored sight, on either side, is
+    a repeat: a late row cannot take back a later sight. What remains is judged
+    by the batch job, so in order of time batches give what one batch gives.
+    """
+    ttl_us = ttl_s * 1_000_000
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = stored(batch.where("hash IS NOT NULL AND us IS NOT NULL").groupBy("hash", "us").agg(F.min("id").alias("id")), "batch")
+        first, last = rows.agg(F.min("us"), F.max("us")).first()
+        sights = recall(spark, f"{sink}/sights", batch_id, "hash STRING, us BIGINT", (first or 0) - ttl_us, (last or 0) + ttl_us)
+        # A sight meets the rows of the spans of time it reaches, so a busy hash is split over time.
+        reach = F.sequence(F.floor((F.col("us") - ttl_us) / ttl_us), F.floor((F.col("us") + ttl_us) / ttl_us))
+        live = sights.select("hash", F.col("us").alias("_seen"), F.explode(reach).alias("_span"))
+        near = F.abs(F.col("us") - F.col("_seen")) <= ttl_us
+        asked = rows.withColumn("_span", F.floor(F.col("us") / ttl_us)).alias("r")
+        open_rows = asked.join(live.alias("s"), (F.col("r.hash") == F.col("s.hash")) & (F.col("r._span") == F.col("s._span")) & near, "left_anti")
+        news = stored(ttl_dedup(open_rows.select("hash", "id", "us"), ttl_s), "news")
+        news.write.mode("overwrite").parquet(f"{sink}/rows/batch={batch_id}")
+        keep(news.select("hash", "us"), f"{sink}/sights", batch_id, "us")
+
+    return write
+
+
+def stream_dedup(df: DataFrame, sink: str, checkpoint: str, ttl_s: int = HASH_TTL_S):
+    """Drop repeats of ``(hash, id, us)`` until their entry has expired."""
+    write = sight_writer(df.sparkSession, sink, ttl_s)
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def stream_outcomes(df: DataFrame, size: str = "5 seconds", slide: str | None = None, delay: str = "10 seconds") -> DataFrame:
@@ -119,6 +157,7 @@ STATE_DDL = {
     "in_flight": "url STRING, depth INT, started_at TIMESTAMP",
     "boundary": "parent_url STRING, child_url STRING, parent_depth INT",
 }
+STATE_KEYS = {name: KEYS.get(name, ["url"]) for name in STATE_NAMES}
 
 
 def frontier_writer(
@@ -126,8 +165,9 @@ def frontier_writer(
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: admit ``(seq, parent_url, url, depth)`` against the stored state.
 
-    Batch n reads version n and commits version n+1; run again it writes the
-    same version, since it reads by batch id. Version 0 is the state the stream
+    Batch n reads version n and commits version n+1 as changes to it: what it
+    writes grows with the batch, not with the queue. Run again it writes the same
+    version, since it reads by batch id. Version 0 is the state the stream
     starts from.
     """
 
@@ -137,7 +177,8 @@ def frontier_writer(
             batch.select("seq", "parent_url", "url", "depth"),
             state["urls"], state["queue"], state["in_flight"], patterns, max_depth, cap,
         )
-        now = F.current_timestamp()
+        judged = stored(judged, "judged")
+        now = F.timestamp_micros(F.lit(batch_time_us(spark, f"{root}/times", batch_id)))
         admitted = judged.where("verdict = 'enqueued'").select(
             F.col("seq").alias("id"), "url", "depth", now.alias("added_time"), U.domain_of("url").alias("domain")
         )
@@ -145,16 +186,17 @@ def frontier_writer(
             "parent_url", F.col("url").alias("child_url"), (F.col("depth") - 1).alias("parent_depth")
         )
         again, failures = FR.retry_reclaim(state["failures"], state["queue"], state["in_flight"], state["urls"])
+        again = stored(again, "again")
         retried = again.join(admitted, "url", "left_anti").select(
             F.lit(None).cast("bigint").alias("id"), "url", "depth", now.alias("added_time"), "domain"
         )
-        after = {
-            **state,
-            "queue": state["queue"].unionByName(admitted).unionByName(retried),
-            "failures": failures,
-            "boundary": state["boundary"].unionByName(edges).dropDuplicates(["parent_url", "child_url"]),
+        pair = ["parent_url", "child_url"]
+        changes = {
+            "queue": admitted.unionByName(retried),
+            "failures": failures.join(again.select("url"), "url", "left_semi"),
+            "boundary": edges.dropDuplicates(pair).join(state["boundary"], pair, "left_anti"),
         }
-        write_state({name: after[name].select(*state[name].columns) for name in STATE_NAMES}, root, batch_id + 1)
+        write_changes(spark, {n: df.select(*state[n].columns) for n, df in changes.items()}, root, batch_id + 1, STATE_KEYS)
 
     return write
 

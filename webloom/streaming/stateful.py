@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators import windows as W
-from webloom.streaming.jobs import earlier_batches
+from webloom.session import stored
+from webloom.sources.history import keep, recall
 
 # Weighted failures in a window from which an endpoint counts as open.
 FAILURE_LIMIT = 3
@@ -39,20 +40,21 @@ def burst_writer(spark: SparkSession, sink: str, n: int, seconds: int) -> Callab
     """``foreachBatch`` function: alerts once per key of ``(key, us)`` below ``sink``.
 
     A batch writes its own folders and replaces them when it is run again. Rows
-    may come late by any time: what their look-back reaches is read again.
+    may come late by any time: the days that their look-back reaches are read
+    again, and no others.
     """
     span = seconds * 1_000_000
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        path = f"{sink}/rows/batch={batch_id}"
-        batch.select("key", "us").write.mode("overwrite").parquet(path)
-        rows = spark.read.schema("key BIGINT, us BIGINT").parquet(path)
+        rows = stored(batch.select("key", "us"), "failures")
         first, last = rows.agg(F.min("us"), F.max("us")).first()
-        past = earlier_batches(spark, f"{sink}/rows", batch_id, "key BIGINT, us BIGINT")
-        near = past.where(F.col("us").between((first or 0) - span, (last or 0) + span))
-        told = earlier_batches(spark, f"{sink}/alerts", batch_id, "key BIGINT, opened_us BIGINT")
-        opened = W.bursts(rows.unionByName(near), "key", n, seconds).join(told, "key", "left_anti")
+        reach = ((first or 0) - span, (last or 0) + span)
+        near = recall(spark, f"{sink}/rows", batch_id, "key BIGINT, us BIGINT", *reach).where(F.col("us").between(*reach))
+        told = recall(spark, f"{sink}/told", batch_id, "key BIGINT")
+        opened = stored(W.bursts(rows.unionByName(near), "key", n, seconds).join(told, "key", "left_anti"), "opened")
         opened.select("key", "opened_us").write.mode("overwrite").parquet(f"{sink}/alerts/batch={batch_id}")
+        keep(opened.select("key"), f"{sink}/told", batch_id)
+        keep(rows, f"{sink}/rows", batch_id, "us")
 
     return write
 
