@@ -248,3 +248,13 @@ def test_budget_in_one_busy_hour(spark):
     parts = [r["count"] for r in in_ranges(df, ["us", "event_id"]).groupBy("_part").count().collect()]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(parts) == 8 and max(parts) < 1000
+
+
+def test_infrastructure_errors_come_back(spark):
+    """In the order of the attempts; known, waiting and finished URLs do not."""
+    rows = [(5, "https://a.com/1", 2, "infra"), (3, "https://a.com/1", 1, "error"), (4, "https://a.com/1", 0, "infra"), (1, "https://b.com/2", 1, "infra"), (9, "https://b.com/2", 1, "success"),
+            (2, "https://c.com/3", 3, "infra"), (6, "https://d.com/4", 0, "infra"), (7, "https://e.com/5", 0, "shutdown")]
+    attempts = spark.createDataFrame(rows, "id bigint, url string, depth int, kind string")
+    known = spark.createDataFrame([("https://d.com/4",)], "url string")
+    out = O.requeued(attempts, known, known.limit(0)).orderBy("id").collect()
+    assert [tuple(r) for r in out] == [(2, "https://c.com/3", 3, "c.com"), (4, "https://a.com/1", 0, "a.com")]

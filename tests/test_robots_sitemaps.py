@@ -1,4 +1,5 @@
 import gzip
+import re
 
 from pyspark.sql import functions as F
 
@@ -143,3 +144,20 @@ def test_seed_cap(spark):
     entries = spark.createDataFrame(rows, "sitemap_url string, position int, loc string")
     got = [r.url for r in M.sitemap_seed(entries, cap=12).orderBy("sitemap_url", "position").collect()]
     assert got == [f"https://e.com/{i}" for i in [*range(0, 30, 3), 1, 4]]
+
+
+def test_many_robots_lines(spark):
+    """Plain rules are compared as text: the longest match of 5000 lines, with wildcards among them."""
+    lines = [("disallow" if i % 3 else "allow", f"/d{i % 700}/{i}") for i in range(5000)] + [("disallow", "/d1/*.pdf$"), ("allow", "/d2/*/ok"), ("disallow", "/d2"), ("disallow", "*z")]
+    body = "user-agent: *\n" + "\n".join(f"{kind}: {p}" for kind, p in lines)
+    robots = parse_robots(spark.createDataFrame([("https://a.com", body, 200)], "origin string, body string, status int"), "me")
+    paths = [f"/d{i % 701}/{i}{tail}" for i in range(0, 5000, 97) for tail in ("", "7", "/x.pdf", "/ok", "z", "%0Az")]
+    urls = spark.createDataFrame([(f"https://a.com{p}",) for p in paths], "url string")
+    got = {r.url: r.allowed for r in R.robots_verdict(urls, robots).collect()}
+    for p in paths:
+        path, best = p.replace("%0A", "\n"), (0, True)
+        for kind, rule in lines:
+            pattern = re.escape(rule.removesuffix("$")).replace("\\*", ".*") + ("\\Z" if rule.endswith("$") else ".*\\Z")
+            if re.match(pattern, path):
+                best = max(best, (len(rule), kind == "allow"))
+        assert got[f"https://a.com{p}"] == best[1], p

@@ -1,4 +1,8 @@
 import json
+import random
+import re
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -222,3 +226,29 @@ def test_quality(spark):
     rows = [("r", "a", None), ("r", "a", []), ("r", "a", [" "]), ("r", "a", ["x"]), ("r", "b", ["x"])]
     got = R.rule_quality(spark.createDataFrame(rows, "rule string, field string, values array<string>"))
     assert {r.field: tuple(r)[2:] for r in got.collect()} == {"a": (4, 1, 1, 1, True), "b": (1, 0, 0, 0, False)}
+
+
+@pytest.mark.parametrize(
+    "pattern, text",
+    [
+        ("^/item/[0-9]+", "/item/"), ("page=[0-9]", "page="), (r"\.html$", ".html"), ("a|bcd", ""), ("(abc)def?gh", "gh"), ("x(a|b)?yz+w", "yz"), ("colou?r/", "colo"),
+        (r"\d+abc", "abc"), (r"ab\x41cd", ""), ("(?i)abc", ""), ("ab{2,3}cde", "cde"), ("[a-z]*", ""), (r"a\+\+b", "a++b"), ("a++bcd", ""), (r"q\?x=", "q?x="), ("a.b+?cde", "cde"), ("", ""),
+    ],
+)
+def test_required_text(spark, pattern, text):
+    assert spark.createDataFrame([(pattern,)], "p string").select(R.required_text(F.col("p"))).first()[0] == text
+
+
+def test_general_rules_by_required_text(spark):
+    """50 000 general rules as rows: each page meets those of its own grams, and the result is that of all patterns."""
+    rng = random.Random(1)
+    rules = [(f"/p{i}x/", i) for i in range(50_000)] + [("^/p7x/", 1), ("[0-9]x/$", 2), ("x/(a|b)", 3), ("(?i)/P9X", 4), ("/zz?y", 5), ("^/[^?]*[?]q=", 6), (None, 7)]
+    rows = [(f"r{i}", "any" if p is None else "global_pattern", [], p or "", v, "user", True) for i, (p, v) in enumerate(rules)]
+    snapshot = spark.createDataFrame(rows, "name string, scope string, domains array<string>, url_pattern string, version int, source string, enabled boolean")
+    urls = [f"https://h{i % 9}.com/p{rng.randrange(50_000)}x/{rng.choice(['', 'a', 'b', 'zy', 'zzy?q=1'])}" for i in range(40)] + ["https://a.com/p9x/a", "https://a.com/p7x/", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    got = {r.page_id: set(r.candidates) for r in R.rule_match(pages, snapshot).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        place = "" if u is None else re.sub("^[^:]+://[^/]*", "", u)
+        assert got[i] == {f"r{j}" for j, (p, _) in enumerate(rules) if p is None or (u and re.search(p, place))}

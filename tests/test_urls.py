@@ -148,3 +148,38 @@ def test_cut_bytes(spark, limit):
     text = "aé你😀z"
     got = one_column(spark.createDataFrame([(text,)], "t string").select(X.cut_bytes(F.col("t"), limit)))[0]
     assert got == text.encode()[:limit].decode(errors="ignore")
+
+
+RULES = ["com", "uk", "co.uk", "*.ck", "!www.ck", "jp", "*.kobe.jp", "!city.kobe.jp", "github.io"]
+
+
+@pytest.mark.parametrize(
+    "host, registrable, domain",
+    [
+        ("example.com", "example.com", "example.com"), ("a.b.example.com", "example.com", "a.b.example.com"), ("www.example.com", "example.com", "example.com"), ("www.co.uk", "www.co.uk", "www.co.uk"),
+        ("www.a.co.uk", "a.co.uk", "a.co.uk"), ("www.ck", "www.ck", "www.ck"), ("a.www.ck", "www.ck", "a.www.ck"), ("x.ck", "x.ck", "x.ck"), ("b.x.ck", "b.x.ck", "b.x.ck"), ("c.b.x.ck", "b.x.ck", "c.b.x.ck"),
+        ("ck", "ck", "ck"), ("a.city.kobe.jp", "city.kobe.jp", "a.city.kobe.jp"), ("a.b.c.kobe.jp", "b.c.kobe.jp", "a.b.c.kobe.jp"), ("a.unknown", "a.unknown", "a.unknown"), ("www.me.github.io", "me.github.io", "me.github.io"),
+        ("localhost", "localhost", "localhost"),
+    ],
+)
+def test_suffix_rules(spark, host, registrable, domain):
+    """Wildcards and exceptions, in the short list and as a relation."""
+    one = spark.createDataFrame([(host,)], "host string")
+    row = one.select(U.registrable_domain(F.col("host"), RULES), U.strip_www(F.col("host"), RULES)).first()
+    assert tuple(row) == (registrable, domain)
+
+
+def test_suffix_relation(spark):
+    lines = spark.createDataFrame([(x,) for x in ["// all", "", " COM ", *RULES[1:], "!www.ck // again"]], "line string")
+    hosts = ["example.com", "www.co.uk", "www.a.co.uk", "www.ck", "a.www.ck", "b.x.ck", "c.b.x.ck", "ck", "a.city.kobe.jp", "a.b.c.kobe.jp", "a.unknown"]
+    urls = spark.createDataFrame([(f"http://{h}/{i}",) for h in hosts for i in range(2)], "url string")
+    as_list = O.domain_rollup(urls, suffixes=RULES).collect()
+    as_rows = O.domain_rollup(urls, suffixes=O.suffix_rules(lines)).collect()
+    assert sorted(map(tuple, as_list)) == sorted(map(tuple, as_rows)) and sum(r.pages for r in as_rows) == 2 * len(hosts)
+    assert ("www.ck", "www.ck", 2) in map(tuple, as_rows)
+
+
+def test_unsafe_characters(spark):
+    unsafe = {chr(c) for c in range(0x80) if c < 0x20 or c == 0x7F} | set('"<>\\^`{|}')
+    df = spark.createDataFrame([(chr(c),) for c in [*range(1, 0x80), 0xE9, 0x1F600]], "c string")
+    assert {r.c for r in df.where(F.col("c").rlike(U.UNSAFE)).collect()} == unsafe - {"\0"}

@@ -80,12 +80,13 @@ PUBLIC_SUFFIXES = (
     "org.au", "com.br", "com.cn", "org.cn", "co.in", "github.io",
 )
 
-# RFC 3986: a path or query holds visible ASCII without the delimiters that no URL uses; other scripts are let through.
-_UNSAFE_DELIMITERS = "\"<>\\^`{|}"
-UNSAFE = r"[\p{Cntrl}" + "".join("\\" + mark for mark in _UNSAFE_DELIMITERS) + "]"
+# What may stand in a path or query: RFC 3986's unreserved characters, delimiters and percent signs; other scripts are let through.
+_UNRESERVED, _DELIMITERS, _OTHER_SCRIPTS = r"A-Za-z0-9\-._~", r":/?#\[\]@!$&'()*+,;=", r"\x{80}-\x{10FFFF}"
+# A space is judged elsewhere.
+UNSAFE = f"[^ %{_UNRESERVED}{_DELIMITERS}{_OTHER_SCRIPTS}]"
 
 # Most URLs are usable as they stand, many are canonical already: one pattern settles those.
-_PLAIN = r"""[^?#<>"{}|\\^`\x00-\x20\x7f]"""
+_PLAIN = f"[%{_UNRESERVED}{_DELIMITERS.replace('?#', '')}{_OTHER_SCRIPTS}]"
 _USABLE = rf"^[Hh][Tt][Tt][Pp][Ss]?://[^/?#\x00-\x20]+(?:/{_PLAIN}*)?(?:\?(?:{_PLAIN}|\?)*)?(?:#.*)?$"
 _CANONICAL = r"^https?://[a-z0-9.\-]+/(?:[^?#;\x00-\x20]*[^?#;/\x00-\x20])?$"
 
@@ -266,30 +267,50 @@ def host_suffixes(host: Column) -> Column:
     return let(F.split(F.rtrim(host, F.lit(".")), r"\."), joined)
 
 
-def public_suffix(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:
-    """Longest listed suffix, else the last label."""
-    known = tuple(suffixes)
-    hits = F.filter(host_suffixes(host), lambda s: s.isin(*known))
-    return F.coalesce(F.get(hits, F.lit(0)), F.substring_index(host, ".", -1))
+def suffix_labels(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:
+    """Number of labels of the public suffix of a host, by a short list of rules.
 
+    ``*.ck`` makes every name below ``ck`` a suffix, ``!www.ck`` is an exception
+    to that; else the longest rule holds, and without a rule the last label.
+    """
+    rules = tuple(suffixes)
+    plain = [r for r in rules if r[:1] not in "*!"]
+    wild = [r[2:] for r in rules if r.startswith("*.")]
+    spared = [r[1:] for r in rules if r.startswith("!")]
 
-def registrable_domain(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:
-    """One label more than the public suffix; the host itself when there is none."""
-    suffix = public_suffix(host, suffixes)
-    label_count = F.size(F.split(suffix, r"\.")) + 1
-    labels = F.split(host, r"\.")
-    return F.when(F.size(labels) < label_count, host).otherwise(
-        F.array_join(F.slice(labels, -label_count, label_count), ".")
-    )
+    def longest(parts: Column, names: list[str], extra: int) -> Column:
+        # Suffixes come longest first; a wildcard needs one label more than its own.
+        fits = F.filter(parts, lambda s, i: s.isin(*names) & (i > 0 if extra > 0 else F.lit(True)))
+        return F.size(F.split(F.get(fits, F.lit(0)), r"\.")) + extra
 
+    def labels(parts: Column) -> Column:
+        found = F.greatest(longest(parts, plain, 0) if plain else F.lit(1), longest(parts, wild, 1) if wild else F.lit(1), F.lit(1))
+        return F.when(F.coalesce(longest(parts, spared, -1), F.lit(0)) > 0, longest(parts, spared, -1)).otherwise(found) if spared else found
 
-def strip_www(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:
+    return let(host_suffixes(host), labels)
+
+
+def registrable_of(host: Column, suffix: Column) -> Column:
+    """One label more than a suffix of so many labels; the host itself when it has no more."""
+    return F.when(F.size(F.split(host, r"\.")) <= suffix, host).otherwise(F.call_function("substring_index", host, F.lit("."), -(suffix + 1)))
+
+
+def without_www(host: Column, suffix: Column) -> Column:
     """Drop a leading ``www.`` unless the rest is itself a public suffix."""
     rest = host.substr(F.lit(5), F.length(host))
-    own = rest.isin(*tuple(suffixes)) | ~F.contains(rest, F.lit("."))
+    own = (F.size(F.split(host, r"\.")) - 1 <= suffix) | ~F.contains(rest, F.lit("."))
     return F.when(F.startswith(host, F.lit("www.")) & ~own, rest).otherwise(host)
 
 
+def registrable_domain(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:
+    return registrable_of(host, suffix_labels(host, suffixes))
+
+
+def strip_www(host: Column, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:
+    """``without_www``, where only hosts that begin with ``www.`` are looked up."""
+    return F.when(F.startswith(host, F.lit("www.")), without_www(host, suffix_labels(host, suffixes))).otherwise(host)
+
+
 def domain_of(url: Column | str, suffixes: Iterable[str] = PUBLIC_SUFFIXES) -> Column:
     return strip_www(split_url(url).host, suffixes)
 
@@ -392,7 +413,10 @@ def redact(c: Column) -> Column:
     def query(text: Column) -> Column:
         return F.array_join(F.transform(F.split(text, "&", -1), masked), "&")
 
-    return let(userinfo(c), query)
+    # Most URLs have neither: only what may hold a secret is taken apart.
+    has_userinfo = F.contains(c, F.lit("@")) & F.contains(c, F.lit("://"))
+    has_key = F.rlike(F.lower(c), F.lit("[?&](?:" + "|".join(SENSITIVE_PARAMS) + ")="))
+    return F.when(has_userinfo, let(userinfo(c), query)).when(has_key, query(c)).otherwise(c)
 
 
 def path_and_query(url: Column | str) -> Column:

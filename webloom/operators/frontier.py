@@ -216,6 +216,23 @@ def apply_attempts(failures: DataFrame, attempts: DataFrame, max_requeue: int =
     )
 
 
+def requeued(attempts: DataFrame, urls: DataFrame, queue: DataFrame) -> DataFrame:
+    """Queue rows ``(id, url, depth, domain)`` of ``attempts(id, url, depth, kind)`` that infrastructure errors ended.
+
+    They are free: no failure is counted, and a request in flight does not keep
+    them out. A URL that succeeded, is known or waits already does not come
+    back; of several attempts the first gives place and depth, so rows keep the
+    order of the attempts.
+    """
+    totals = attempts.groupBy("url").agg(
+        F.count_if(F.col("kind") == "success").alias("_ok"), F.min(F.when(F.col("kind") == "infra", F.struct("id", "depth"))).alias("_first")
+    )
+    back = totals.where("_ok = 0 AND _first IS NOT NULL").select("_first.id", "url", "_first.depth")
+    for known in (urls, queue):
+        back = back.join(known.select("url"), "url", "left_anti")
+    return back.select("id", "url", "depth", U.domain_of("url").alias("domain"))
+
+
 def fix_orphans(queue: DataFrame) -> DataFrame:
     """Queue rows with domains filled from the URL; ``removed`` marks those that stay without one."""
     domain = F.when(F.coalesce("domain", F.lit("")) != "", F.col("domain")).otherwise(U.domain_of("url"))

@@ -102,13 +102,14 @@ def with_lookback(df: DataFrame, time_us: str, lookback_us: int, bucket_us: int
     return df.withColumn("_bucket", F.explode(F.sequence(own, last))).withColumn("_own", F.col("_bucket") == own)
 
 
-# Rows of a narrow relation that every executor may hold.
-SMALL_ROWS = 200_000
+# Rows, and bytes written as JSON, of a relation that every executor may hold.
+SMALL_ROWS, SMALL_BYTES = 200_000, 64 << 20
 
 
-def checked_side(stored_rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """A stored side of a join, to be broadcast if it has at most ``most`` rows; beyond that Spark decides by size."""
-    return F.broadcast(stored_rows) if stored_rows.count() <= most else stored_rows
+def checked_side(stored_rows: DataFrame) -> DataFrame:
+    """A stored side of a join, to be broadcast if it is small in rows and bytes; beyond that Spark decides by size."""
+    rows, size = stored_rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(stored_rows) if rows <= SMALL_ROWS and (size or 0) <= SMALL_BYTES else stored_rows
 
 
 # Rows of one key that a single task joins.

@@ -10,9 +10,15 @@ from webloom.operators.ranking import salted_join
 
 
 def is_allowed(path: Column, rules: Column) -> Column:
-    """Longest matching rule wins, allow wins ties, no match allows."""
+    """Longest matching rule wins, allow wins ties, no match allows.
+
+    The fixed beginning of a rule is compared first; most rules are nothing else,
+    and only those with wildcards that begin like the path become patterns. (A
+    pattern does not run over a line feed.)
+    """
+    one_line = ~F.contains(path, F.lit("\n"))
     hits = F.transform(
-        F.filter(rules, lambda r: F.rlike(path, r["regex"])),
+        F.filter(rules, lambda r: F.startswith(path, r["head"]) & ((r["plain"] & one_line) | F.rlike(path, r["regex"]))),
         lambda r: F.struct(r["specificity"].alias("s"), (r["kind"] == "allow").alias("ok")),
     )
     return F.coalesce(F.array_max(hits)["ok"], F.lit(True))

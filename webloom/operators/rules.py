@@ -125,37 +125,108 @@ def _entries(snapshot: DataFrame) -> DataFrame:
     return snapshot.where("enabled").select(F.explode(F.array_distinct(keys)).alias("key"), entry.alias("e"))
 
 
+# Signs that stand for a dot, question mark or plus while a pattern is taken apart, and for what is no fixed text.
+_HELD, _GAP = "\ue001\ue002\ue003", "\ue000"
+GRAM = 3
+
+
+def required_text(pattern: Column) -> Column:
+    """The longest text that every match of a pattern holds, as far as plain steps tell; '' if they tell none."""
+    steps = (
+        (r"\\([./?+-])", None),
+        (r"\\.", _GAP),
+        (r"\[\^?\]?[^\]]*\]", _GAP),
+        # Groups, two deep; what stands in them may be left out.
+        (r"\([^()]*\)", _GAP),
+        (r"\([^()]*\)", _GAP),
+        (r"(?s).[*?]|.\{[^}]*\}", _GAP),
+        (r"(?s)(.)\+", "$1" + _GAP),
+        (r"[.^$]", _GAP),
+    )
+    text = pattern
+    for search, put in steps:
+        if put is None:
+            for sign, held in zip(".?+", _HELD, strict=True):
+                text = F.replace(text, F.lit("\\" + sign), F.lit(held))
+            put = "$1"
+        text = F.regexp_replace(text, search, put)
+    pieces = F.split(text, _GAP, -1)
+    longest = F.array_max(F.transform(pieces, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    # Flags, lookaround, codes and choices are not taken apart.
+    odd = pattern.rlike(r"\(\?|\+\+|\\[xupPcQkN0-9]") | text.rlike(r"[|()]")
+    return F.when(odd, "").otherwise(F.translate(longest, _HELD, ".?+"))
+
+
+def _grams(text: Column) -> Column:
+    at = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(GRAM)))))
+
+
+# Parts into which paths are dealt for patterns without fixed text.
+WILD_PARTS = 32
+
+
+def _fits(e: Column, at: Column) -> Column:
+    begins = e["start"].isNull() | F.startswith(at, e["start"])
+    return begins & F.when(begins, e["pattern"].isNull() | F.rlike(at, e["pattern"]))
+
+
+def general_hits(paths: DataFrame, general: DataFrame) -> DataFrame:
+    """(_at, _hits): rules of ``general(e)`` with patterns that fit the distinct ``paths(_at)``.
+
+    A rule is a row keyed by one gram of the text its pattern requires; a path
+    meets the rules of its own grams, and only those with the text are tested
+    against the pattern. Rules without such text meet the paths in parts.
+    """
+    needed = F.coalesce("e.start", required_text(F.col("e.pattern")))
+    keyed = stored(general.select("e", needed.alias("text")).withColumn("grams", _grams(F.col("text"))), "general_rules")
+    # Of the grams of a text one is taken, by its hash, so that like beginnings do not share a list.
+    gram = F.array_min(F.transform("grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    index = keyed.where("grams IS NOT NULL").select(gram.alias("gram"), "text", "e")
+    with_text = paths.select("_at", F.explode(_grams(F.col("_at"))).alias("gram")).join(checked_side(index), "gram").where(F.contains("_at", F.col("text")))
+    wild = keyed.where("grams IS NULL").select("e", F.explode(F.array(*map(F.lit, range(WILD_PARTS)))).alias("part"))
+    without = paths.withColumn("part", F.pmod(F.xxhash64("_at"), F.lit(WILD_PARTS)).cast("int")).join(wild, "part")
+    met = with_text.select("_at", "e").unionByName(without.select("_at", "e")).where(_fits(F.col("e"), F.col("_at")))
+    return met.groupBy("_at").agg(F.collect_list(F.struct(F.lit(2).alias("score"), "e")).alias("_hits"))
+
+
 def rule_match(pages: DataFrame, snapshot: DataFrame) -> DataFrame:
     """``pages`` with ``rule`` and ``candidates`` (names, best first).
 
     Rules of domains are joined to the distinct suffixes of the pages' hosts,
-    however many there are, and give one list per host; the general rules are
-    one list for all. Pages meet the list of their host, which is broadcast if
-    hosts with rules are few, and rank the hits within the row. The fixed
-    beginning of a pattern is compared before the pattern.
+    however many there are, and give one list per host; general rules with a
+    pattern meet the distinct paths by their required text. Rules for every page
+    are candidates of every row, so they are one list. Pages meet the lists of
+    their host and path, which are broadcast if they are small, and rank the hits
+    within the row. The fixed beginning of a pattern is compared before it.
     """
-    entries = _entries(snapshot)
+    entries = stored(_entries(snapshot), "rule_entries")
     host = F.rtrim(U.split_url("url").host, F.lit("."))
     hosts = pages.select(host.alias("_host")).where("_host <> ''").distinct()
     suffixes = hosts.select("_host", F.posexplode(U.host_suffixes(F.col("_host"))).alias("_i", "key"))
     scored = F.struct(F.when(F.col("_i") == 0, 0).otherwise(1).alias("score"), "e")
     lists = suffixes.join(entries.where("key <> '*'"), "key").groupBy("_host").agg(F.collect_list(scored).alias("_own"))
-    index = stored(lists, "rule_hosts")
-    general = entries.where("key = '*'").agg(F.collect_list(F.struct(F.lit(2).alias("score"), "e"))).scalar()
-    met = pages.withColumn("_host", host).join(checked_side(index), "_host", "left").withColumn("_general", general)
-    rules = F.concat(F.coalesce("_own", F.slice("_general", 1, 0)), "_general")
-
-    def fits(e: Column, at: Column) -> Column:
-        begins = e["start"].isNull() | F.startswith(at, e["start"])
-        return begins & F.when(begins, e["pattern"].isNull() | F.rlike(at, e["pattern"]))
-
-    hits = let(U.path_and_query("url"), lambda at: F.filter(rules, lambda r: fits(r["e"], at)))
+    general = entries.where("key = '*'")
+    patterned = F.col("e.start").isNotNull() | F.col("e.pattern").isNotNull()
+    for_all = general.where(~patterned).agg(F.collect_list(F.struct(F.lit(2).alias("score"), "e"))).scalar()
+    met = pages.withColumn("_host", host).join(checked_side(stored(lists, "rule_hosts")), "_host", "left")
+    met = met.withColumn("_at", U.path_and_query("url")).withColumn("_all", for_all)
+    none = F.slice("_all", 1, 0)
+    own = F.filter(F.coalesce("_own", none), lambda r: _fits(r["e"], F.col("_at")))
+    hits = F.concat(own, "_all")
+    if not general.where(patterned).isEmpty():
+        paths = pages.select(U.path_and_query("url").alias("_at")).distinct()
+        found = stored(general_hits(paths, general.where(patterned).select("e")), "rule_paths")
+        met = met.join(checked_side(found), "_at", "left")
+        hits = F.concat(hits, F.coalesce("_hits", none))
     ordered = F.array_distinct(F.transform(F.array_sort(hits), lambda r: r["e"]["name"]))
-    return met.withColumn("candidates", ordered).withColumn("rule", F.coalesce(F.get("candidates", F.lit(0)), F.lit(DEFAULT_RULE))).drop("_host", "_own", "_general")
+    return met.withColumn("candidates", ordered).withColumn("rule", F.coalesce(F.get("candidates", F.lit(0)), F.lit(DEFAULT_RULE))).select(
+        *pages.columns, "candidates", "rule"
+    )
 
 
-def with_rule(matched: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Matched pages with the definition of their rule."""
+def definitions(snapshot: DataFrame) -> DataFrame:
+    """What the rules extract, stored once and broadcast if that is small."""
     defs = snapshot.select(
         F.col("name").alias("rule"),
         F.col("fields").alias("rule_fields"),
@@ -163,7 +234,12 @@ def with_rule(matched: DataFrame, snapshot: DataFrame) -> DataFrame:
         "keep_body_text",
         "follow_links",
     )
-    return matched.join(checked_side(stored(defs, "rule_definitions")), "rule", "left")
+    return checked_side(stored(defs, "rule_definitions"))
+
+
+def with_rule(matched: DataFrame, defined: DataFrame) -> DataFrame:
+    """Matched pages with the definition of their rule, from ``definitions``."""
+    return matched.join(defined, "rule", "left")
 
 
 def field_extract(pages: DataFrame, snapshot: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -171,7 +247,7 @@ def field_extract(pages: DataFrame, snapshot: DataFrame, max_bytes: int | None =
 
     ``pages`` has page_id, url, html and rule. Every page is parsed once.
     """
-    parsed = P.parse_pages(with_rule(pages, snapshot), facts=False, carry=("rule",))
+    parsed = P.parse_pages(with_rule(pages, definitions(snapshot)), facts=False, carry=("rule",))
     return parsed.select("page_id", "rule", F.explode("extracted").alias("e")).select(
         "page_id",
         "rule",

@@ -59,19 +59,46 @@ def split_assets(df: DataFrame, url_col: str = "url") -> DataFrame:
     )
 
 
-def domain_rollup(df: DataFrame, url_col: str = "url", suffixes: Iterable[str] = U.PUBLIC_SUFFIXES) -> DataFrame:
-    """Pages per domain. Hosts are counted first; the suffix work runs once per host."""
-    suffixes = tuple(suffixes)
+def suffix_rules(lines: DataFrame) -> DataFrame:
+    """(suffix, extra) of the lines of a public suffix list (column ``line``): comments and blanks are left out.
+
+    ``extra`` is what a rule adds to the labels of its suffix: 1 for a wildcard,
+    -1 for an exception.
+    """
+    rule = F.lower(F.regexp_extract(F.trim("line"), r"^(\S*)", 1))
+    kind = F.when(F.startswith(rule, F.lit("*.")), 1).when(F.startswith(rule, F.lit("!")), -1).otherwise(0)
+    rows = lines.select(rule.alias("rule"), kind.alias("extra")).where((F.col("rule") != "") & ~F.startswith("rule", F.lit("//")))
+    return rows.select(F.regexp_replace("rule", r"^([*][.]|!)", "").alias("suffix"), "extra").distinct()
+
+
+def with_suffix(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct ``hosts(host, ...)`` with ``labels``, the size of their public suffix by ``rules(suffix, extra)`` of any number.
+
+    The suffixes of a host meet the rules by an equi-join: an exception holds
+    before the longest rule, and without a rule the last label is the suffix.
+    """
+    parts = hosts.select("host", F.posexplode(U.host_suffixes(F.col("host"))).alias("_at", "suffix"))
+    labels = F.size(F.split("suffix", r"\.")) + F.col("extra")
+    # A wildcard needs a label before its own.
+    found = parts.join(rules, "suffix").where("extra < 1 OR _at > 0").select("host", F.struct((F.col("extra") < 0).alias("spared"), labels.alias("labels")).alias("_s"))
+    best = found.groupBy("host").agg(F.max("_s")["labels"].alias("labels"))
+    return hosts.join(best, "host", "left").withColumn("labels", F.coalesce("labels", F.lit(1)))
+
+
+def domain_rollup(df: DataFrame, url_col: str = "url", suffixes: Iterable[str] | DataFrame = U.PUBLIC_SUFFIXES) -> DataFrame:
+    """Pages per domain. Hosts are counted first; the suffix work runs once per host.
+
+    ``suffixes``: a short list of rules, or the relation of ``suffix_rules`` for a
+    full one.
+    """
     hosts = df.groupBy(U.split_url(url_col).host.alias("host")).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        hosts.select(
-            U.strip_www(F.col("host"), suffixes).alias("domain"),
-            U.registrable_domain(F.col("host"), suffixes).alias("registrable"),
-            "n",
-        )
-        .groupBy("domain", "registrable")
-        .agg(F.sum("n").alias("pages"))
-    )
+    host = F.col("host")
+    if isinstance(suffixes, DataFrame):
+        hosts = with_suffix(hosts, suffixes)
+    else:
+        hosts = hosts.withColumn("labels", U.suffix_labels(host, tuple(suffixes)))
+    named = hosts.select(U.without_www(host, F.col("labels")).alias("domain"), U.registrable_of(host, F.col("labels")).alias("registrable"), "n")
+    return named.groupBy("domain", "registrable").agg(F.sum("n").alias("pages"))
 
 
 def same_domain(df: DataFrame, seeds: Iterable[str], url_col: str = "url") -> DataFrame:

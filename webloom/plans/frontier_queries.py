@@ -193,6 +193,21 @@ def retry_ledger(t: Tables):
     return O.apply_attempts(state(t)["failures"], t.derive(ATTEMPTS, ev=ev(t)), max_requeue=3)
 
 
+TIMED_ATTEMPTS = ATTEMPTS.replace("SELECT url,", "SELECT event_id AS id, url, k % 4 AS depth,")
+
+
+@query(
+    "retry_requeue",
+    WITH
+    + f""", a AS ({TIMED_ATTEMPTS.replace("{ev}", "ev")}), g AS (SELECT url, min(id) FILTER (WHERE kind = 'infra') AS id, min({{{{'i': id, 'd': depth}}}}) FILTER (WHERE kind = 'infra') AS f FROM a
+      GROUP BY url HAVING count(*) FILTER (WHERE kind = 'success') = 0)
+    SELECT id, url, f.d AS depth, regexp_extract(url, '^https://([^/]*)', 1) AS domain FROM g WHERE id IS NOT NULL AND url NOT IN (SELECT url FROM urls) AND url NOT IN (SELECT url FROM queue)""",
+)
+def retry_requeue(t: Tables):
+    s = state(t)
+    return O.requeued(t.derive(TIMED_ATTEMPTS, ev=ev(t)), s["urls"], s["queue"])
+
+
 ORPHANS = """SELECT page_id, CASE WHEN url LIKE '%/fr/%' THEN 'not a url' ELSE url END AS url,
   CASE WHEN url LIKE '%/en/%' THEN split_part(url, '/', 3) ELSE '' END AS domain FROM {pages}"""
 

@@ -19,9 +19,10 @@ def crawl_records(pages: DataFrame, snapshot: DataFrame, max_length: int | None
     (a bounded table) are joined by broadcast before and after that stage.
     """
     matched = R.rule_match(pages.select("page_id", "url", "html"), snapshot)
-    tagged = R.with_rule(matched, snapshot).withColumn("jsonld_text", P.jsonld_text())
+    rules = R.definitions(snapshot)
+    tagged = R.with_rule(matched, rules).withColumn("jsonld_text", P.jsonld_text())
     parsed = P.parse_pages(tagged, carry=("rule", "candidates", "jsonld_text"))
-    defined = R.with_rule(parsed, snapshot)
+    defined = R.with_rule(parsed, rules)
 
     def settled(e):
         spec = F.try_element_at("rule_fields", e["field"])

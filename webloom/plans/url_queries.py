@@ -141,6 +141,29 @@ def domain_rollup(t: Tables):
     return O.domain_rollup(t.derive(DOMAIN_URLS))
 
 
+# A suffix list as a relation: plain rules, a wildcard and an exception to it.
+SUFFIX_LINES = """
+SELECT '// comment' AS line UNION ALL SELECT '' UNION ALL SELECT 'com' UNION ALL SELECT 'org' UNION ALL SELECT 'uk' UNION ALL SELECT '*.uk'
+UNION ALL SELECT '!www.uk  // spared' UNION ALL SELECT concat(split_part(split_part(url, '/', 3), '.example.', 1), '.shop.co.uk') FROM {pages} WHERE url LIKE '%//blog.%'
+"""
+RULED_URLS = DOMAIN_URLS + "UNION ALL SELECT concat('http://a.www.uk/', page_id) FROM {pages} UNION ALL SELECT concat('http://www.uk/', page_id) FROM {pages}"
+
+
+@query(
+    "domain_rollup_rules",
+    f"""WITH v AS ({RULED_URLS}), h AS (SELECT lower(regexp_extract(url, '^[^:]+://(?:[^/?#]*@)?([^/?#:]*)', 1)) AS host, count(*) AS n FROM v GROUP BY 1),
+    r AS (SELECT DISTINCT split_part(trim(line), ' ', 1) AS rule FROM ({SUFFIX_LINES}) x WHERE trim(line) <> '' AND line NOT LIKE '//%'),
+    m AS (SELECT host, max(CASE WHEN rule LIKE '!%' THEN 100 + len(string_split(rule, '.')) - 1 ELSE len(string_split(rule, '.')) END) AS k FROM h JOIN r
+      ON (rule NOT LIKE '!%' AND rule NOT LIKE '*%' AND (host = rule OR host LIKE '%.' || rule)) OR (rule LIKE '!%' AND (host = substr(rule, 2) OR host LIKE '%.' || substr(rule, 2)))
+      OR (rule LIKE '*%' AND host LIKE '%_.' || substr(rule, 3)) GROUP BY host),
+    s AS (SELECT h.host, n, string_split(h.host, '.') AS l, coalesce(k, 1) % 100 AS k FROM h LEFT JOIN m ON m.host = h.host)
+    SELECT CASE WHEN host LIKE 'www.%' AND len(l) > k + 1 AND len(l) > 2 THEN substr(host, 5) ELSE host END AS domain,
+      CASE WHEN len(l) <= k THEN host ELSE array_to_string(l[len(l) - k:], '.') END AS registrable, CAST(sum(n) AS BIGINT) AS pages FROM s GROUP BY 1, 2""",
+)
+def domain_rollup_rules(t: Tables):
+    return O.domain_rollup(t.derive(RULED_URLS), suffixes=O.suffix_rules(t.derive(SUFFIX_LINES)))
+
+
 SEED_DOMAINS = ("therst.example.com", "theren.example.net", "blog.theren.example.net", "ththed.example.org")
 _DOMAIN = "regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)), '^www[.]', '')"
 

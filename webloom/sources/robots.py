@@ -80,6 +80,8 @@ def parse_robots(bodies: DataFrame, agent: str, rfc: bool = False) -> DataFrame:
             F.when(_is(line, "allow"), "allow").otherwise("disallow").alias("kind"),
             pattern.alias("pattern"),
             F.length(pattern).alias("specificity"),
+            F.regexp_extract(pattern, r"(?s)^(.*?)(?:[*]|[$]\z|\z)", 1).alias("head"),
+            (~F.contains(pattern, F.lit("*")) & ~F.endswith(pattern, F.lit("$"))).alias("plain"),
             path_regex(pattern).alias("regex"),
         )
 
