@@ -156,3 +156,95 @@ def test_null_ids(spark, odd, tmp_path):
         rows = QUERIES[name](spark, str(tmp_path)).collect()
         if name not in ("op2_line_dedup", "op3_decontamination", "op9_url_filter", "op11_spelling_variants"):
             assert len(rows) == len(odd_documents()), name
+
+
+def test_learnt_url_verdicts(spark):
+    """Of labelled URLs that took no part in training nearly all get their verdict; ordinary pages of any language are let through."""
+    from webloom.llm import url_logistic as U
+
+    right = 0
+    for fold in range(4):
+        held = [r for r in U.LABELLED if zlib.crc32(r[0].encode()) % 4 == fold]
+        rest = [r for r in U.LABELLED if r not in held]
+        pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+        rows = {r["page_id"]: r for r in U.judged(pages, U.labels(spark, rest)).collect()}
+        assert all(r["rule"] is None for r in rows.values())
+        right += sum(rows[i]["verdict"] == v for i, (_, v) in enumerate(held))
+    assert right / len(U.LABELLED) >= 0.9
+    judged = QUERIES["op9_url_filter"](spark, "/root/testdata/sf0.01").where("rule IS NULL")
+    assert judged.where("verdict = 'block'").count() <= 0.05 * judged.count()
+
+
+def test_regression_score_as_brute_force(spark):
+    import math
+
+    import numpy as np
+
+    from webloom.llm import url_logistic as U
+    from webloom.llm.tokens import BYTE_VALUE, mix
+
+    table = [("spam.org", "/a", 1), ("library.org", "/b/c", 0), ("", "", 0)]
+    weights, constant = U.train(table, steps=20)
+
+    def column(gram, salt):
+        h = np.zeros(1, np.uint64)
+        for byte in gram:
+            h = mix(h + BYTE_VALUE[byte : byte + 1])
+        return int(mix(h ^ salt)[0] % np.uint64(U.WIDTH))
+
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p, _) in enumerate(table)] + [(9, None)], "page_id long, url string")
+    labelled = spark.createDataFrame([(f"http://{h}{p}", "block" if y else "allow") for h, p, y in table], "url string, verdict string")
+    steps, U.train.__defaults__ = U.train.__defaults__, (20,)
+    try:
+        rows = {r["page_id"]: r["p_block"] for r in U.judged(pages, labelled).collect()}
+    finally:
+        U.train.__defaults__ = steps
+    for i, (host, path, _) in enumerate(table):
+        grams = [(t[k : k + n], salt) for t, salt in ((host.encode(), U.HOST), (path.encode(), U.PATH)) for n in U.GRAMS for k in range(len(t) - n + 1)]
+        z = constant + sum(weights[column(g, s)] for g, s in grams) / math.sqrt(max(1, len(grams)))
+        assert abs(rows[i] - 1 / (1 + math.exp(-z))) < 1e-9
+    assert abs(rows[9] - rows[2]) < 1e-12
+
+
+def test_votes_as_brute_force(spark):
+    """The score of a document from the cosines of its term vector to every labelled one."""
+    import numpy as np
+
+    from webloom.llm import quality_knn as K
+
+    rng = np.random.default_rng(5)
+    counts, labels = rng.poisson(0.3, (60, K.TERMS)).astype(np.float32), rng.integers(0, 2, 60).astype(float)
+    model = K.fitted(counts, labels)
+    asked = rng.poisson(0.3, (7, K.TERMS)).astype(np.float32)
+    for row, score in zip(asked, model.score(asked)):
+        v = np.sqrt(row) * model.weights
+        v = (v / np.linalg.norm(v)) @ model.space
+        v /= np.linalg.norm(v)
+        near = sorted(((float(v @ w), y) for w, y in zip(model.vectors, labels)), reverse=True)[: K.NEIGHBOURS]
+        votes = [(max(c, 0) ** K.SHARPNESS, y) for c, y in near]
+        want = (sum(c * y for c, y in votes) + K.PRIOR_WEIGHT * labels.mean()) / (sum(c for c, _ in votes) + K.PRIOR_WEIGHT)
+        assert abs(score - want) < 1e-3
+
+
+def test_quality_needs_labels_of_documents(spark):
+    from webloom.llm import quality_knn as K
+
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)], "doc_id long, text string")
+    other = spark.createDataFrame([(100, 1), (101, 0)], "doc_id long, quality int")
+    with pytest.raises(ValueError, match="no document has a label"):
+        K.fit(docs, other)
+    # Many rows of an id are one row of the sample; labels without documents take no place in it.
+    model = K.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(3)] * 5 + [(200 + i, 1) for i in range(50)], "doc_id long, quality int"), sample=3)
+    assert len(model.labels) == 3 - sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(3))
+
+
+def test_limits_change_smoothly_with_the_size_of_a_group(spark):
+    """The limits of a group of like documents do not jump when it grows by one, whatever its size."""
+    from webloom.llm import quality_rules as Q
+
+    def most(n):
+        rows = [("en", "big", "symbols", 0, 4000), ("de", "other", "symbols", 5, 3000), ("en", "own", "symbols", 90, n)]
+        found = Q.limits(spark.createDataFrame(rows, "lang string, source string, rule string, bin long, n long")).collect()
+        return {r["g_source"]: r["most_symbols"] for r in found}["own"]
+
+    assert most(1) == most(20) and most(199) == most(200) == most(201)

@@ -99,15 +99,24 @@ def test_shards_keep_links_together(spark):
     assert sum(len(s) > 1 for k, s in spread.items() if k != "big") <= 8
 
 
-def test_all_documents_linked(spark):
-    narrow = spark.createDataFrame([(i, f"l{i // 2}") for i in range(400)], "id long, link string")
-    rows = sharding.sharded(narrow, shards=8).collect()
-    check_shards(rows, 8)
-    spread = defaultdict(set)
-    for r in rows:
-        spread[r["link"]].add(r["shard"])
-    # Without documents that can give way there is little room to move: about 175 links start apart.
-    assert sum(len(s) > 1 for s in spread.values()) < 160
+def test_links_move_to_their_neighbours(spark):
+    """A claim without a place asks the shard with room that holds most of its documents, not just any."""
+    claims = spark.createDataFrame([("a", 0, 4, None), ("b", 0, 4, 0), ("c", 0, 4, None), ("d", 0, 9, None)], "link string, piece int, n long, shard int")
+    near = spark.createDataFrame([("a", 0, 3), ("a", 2, 1), ("c", 0, 4), ("c", 1, 0), ("d", 1, 9)], "link string, shard int, here long")
+    for number in range(5):
+        # Quotas of 6: shard 0 has 2 places beside b, the others 6; d fits nowhere.
+        rows = {r["link"]: r for r in sharding.asked_again(claims, near, 18, 3, number).collect()}
+        assert rows["a"]["shard"] == 2 and rows["c"]["shard"] == 1 and rows["b"]["held"] and rows["d"]["shard"] is None
+
+
+def test_small_graphs_are_cut_as_little_as_can_be(spark):
+    """Pairs kept together, against all ways to deal the documents of a small graph."""
+    for links in (["a"] * 3 + ["b"] * 3, ["a", "a", "b", "b", "c", "c"], ["a"] * 4 + ["b"] * 2, ["a", "a", None, None, "b", "b"], ["a"] * 5 + [None]):
+        rows = sharding.sharded(spark.createDataFrame([(i, x) for i, x in enumerate(links)], "id long, link string"), shards=2).collect()
+        check_shards(rows, 2)
+        kept = lambda shard: sum(x is not None and x == y and shard[i] == shard[j] for (i, x), (j, y) in combinations(enumerate(links), 2))
+        best = max(kept([int(i in chosen) for i in range(6)]) for chosen in combinations(range(6), 3))
+        assert kept([s for _, s in sorted((r["id"], r["shard"]) for r in rows)]) == best, links
 
 
 def test_a_link_of_a_third_of_all_rows_takes_whole_shards(spark):

@@ -12,6 +12,6 @@ def held_out(id_column: str, folds: int, fold: int) -> Column:
 
 
 def some_per_label(rows: DataFrame, key: str, label: str, most: int) -> DataFrame:
-    """At most ``most`` rows (key, label) of each label, by the hash of the key. Cut in every task before the shuffle."""
+    """At most ``most`` distinct (key, label) of each label, by the hash of the key. Cut in every task before the last shuffle."""
     order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return rows.select(key, label).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most).drop("_rn")
+    return rows.select(key, label).distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most).drop("_rn")

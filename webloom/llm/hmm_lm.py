@@ -113,7 +113,10 @@ def head_count(counts: DataFrame, most: int = HEAD) -> int:
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     """Of stored counts (word, c); ``texts`` is the number of training texts, each with an end."""
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.where(F.col("c") >= head_count(counts)).toArrow()
+    # The OWN most frequent words, whatever the number of words with their counts, and the head.
+    own_words = counts.orderBy(F.desc("c"), "word").limit(OWN)
+    head = pa.concat_tables([own_words.toArrow(), counts.where(F.col("c") >= head_count(counts)).toArrow()])
+    head = head.group_by("word").aggregate([("c", "max")]).rename_columns(["word", "c"])
     names, c = head.column("word").combine_chunks().cast(pa.string()), head.column("c").to_numpy()
     # By count, then by the bytes of the word.
     order = np.lexsort((np.array(names.cast(pa.binary()).to_pylist(), object), -c)) if len(c) else np.zeros(0, int)

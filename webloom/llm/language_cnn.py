@@ -8,7 +8,8 @@ filter become one table per place in the filter, so that a filter is a sum of
 table rows.
 
 Bounds: the training set has at most DOCS documents in all, the same number for
-each language, and WINDOWS windows of each, spread over the text.
+each language where there are as many; all windows of their whole texts are used.
+Of several texts with one id and language one is taken.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0, as is everything if there is nothing to learn from. Null languages are not
@@ -32,8 +33,8 @@ LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-DOCS = 1600
-WINDOWS = 4
+# Labelled documents, of distinct ids, that train the network: all windows of their whole texts.
+DOCS = 800
 EPOCHS = 4
 BATCH = 64
 UNKNOWN = "und"
@@ -127,27 +128,24 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: in
     return net
 
 
-def fit(docs: DataFrame, most: int = DOCS, per_doc: int = WINDOWS) -> Network:
+def fit(docs: DataFrame, most: int = DOCS) -> Network:
     """The network of a bounded sample of documents with a language that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 5, 0))
     languages = [r[0] for r in usable.select("lang").distinct().orderBy("lang").collect()]  # names of languages, not of documents
     each = max(1, most // max(1, len(languages)))
     chosen = some_per_label(usable.select("doc_id", F.col("lang").alias("_lang")), "doc_id", "_lang", each)
     # At most ``most`` rows, or one for each language.
-    texts = usable.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("lang", "text")
+    texts = usable.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select("doc_id", F.col("_lang").alias("lang"))), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 cut, doc = windows(data, offsets)
-                count = np.bincount(doc, minlength=rows.num_rows)
-                number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                spread = np.maximum(1, -(-count // per_doc))[doc]
-                kept = np.flatnonzero(number % spread == 0)
-                langs = rows.column("lang").take(pa.array(doc[kept]))
-                yield pa.RecordBatch.from_arrays([langs, pa.array([cut[i].tobytes() for i in kept], pa.binary())], ["lang", "bytes"])
-
-    cut = texts.mapInArrow(run, "lang string, bytes binary").orderBy(F.xxhash64("bytes"), "lang").limit(most * per_doc).collect()
+                langs = rows.column("lang").take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([langs, pa.array([window.tobytes() for window in cut], pa.binary())], ["lang", "bytes"])
+
+    cut = texts.mapInArrow(run, "lang string, bytes binary").distinct().orderBy(F.xxhash64("bytes"), "lang").collect()
     code = {name: i for i, name in enumerate(languages)}
     rows = np.array([np.frombuffer(r["bytes"], np.uint8) for r in cut], np.uint8).reshape(len(cut), LENGTH)
     return train(rows, np.array([code[r["lang"]] for r in cut], int), languages)

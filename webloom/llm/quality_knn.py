@@ -7,12 +7,15 @@ labelled sample are its latent space. The sample's vectors and labels are
 broadcast, the cosine of every document to all of them is computed in blocks,
 and the nearest vote with weights that grow with the cosine.
 
-Bounds: SAMPLE labelled rows, chosen by the hash of their id; so the broadcast
-is at most SAMPLE x RANK numbers. Everything is scored on its whole text.
+Bounds: SAMPLE labelled rows of distinct ids that have a document, chosen by the
+hash of the id; so the broadcast is at most SAMPLE x RANK numbers. Everything is
+scored on its whole text.
 
 Defined results: null and empty texts have no terms and take the share of
-label 1 in the sample; without labelled rows every score is 1. Null labels are
-not used, an id labelled twice counts twice, a null id is never held out.
+label 1 in the sample. Documents of which none has a usable label raise a
+ValueError, as nothing can be learnt from them. Null labels and ids are not
+used, an id with both labels counts once for each, of several texts of an id one
+is taken; a null id is never held out.
 """
 
 from __future__ import annotations
@@ -107,7 +110,9 @@ def fitted(counts: np.ndarray, labels: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of a bounded sample of labelled documents that are not held out."""
-    usable = labels.where(F.col("quality").isNotNull() & ~held_out("doc_id", 4, 2)).select("doc_id", "quality")
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2)).select("doc_id", "quality").distinct()
+    # Ids are made distinct before they meet, so one id with most of the rows is one row.
+    usable = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
 
@@ -118,7 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("quality"), counts], ["doc_id", "quality", "counts"])
 
     typed = texts.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.col("text").cast("string"))
-    rows = typed.mapInArrow(run, "doc_id long, quality int, counts binary").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "counts").limit(sample).collect()
+    counted = typed.mapInArrow(run, "doc_id long, quality int, counts binary").groupBy("doc_id", "quality").agg(F.min("counts").alias("counts"))
+    rows = counted.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).collect()
+    if not rows and not docs.isEmpty():
+        raise ValueError("no document has a label to learn from")
     counts = np.array([np.frombuffer(r["counts"], np.float32) for r in rows]).reshape(len(rows), TERMS)
     return fitted(counts, np.array([r["quality"] for r in rows], np.float64))
 

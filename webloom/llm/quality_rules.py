@@ -4,9 +4,12 @@ Each rule is a rate per 1000 words or lines. Its distribution in a group (a
 language and a source) is kept as a sketch: counts in bins whose width grows
 with the value, 16 to each doubling. Sketches merge by adding counts, so they
 are built with partial sums whatever the size of a group, and the sketch of a
-language or of everything is the sum of its groups' sketches. The limit is the
-upper quartile plus SPREADS interquartile ranges and the rule's slack; a group
-with fewer than MIN_GROUP documents uses its language's sketch, or that of all.
+language or of everything is the sum of its groups' sketches. A group's own
+sketch is merged with that of its language at the weight of PRIOR documents, and
+the language's with that of everything likewise, whatever their sizes: a small
+group leans on its language, a large one on itself, and no number of documents
+switches from one to the other. The limit is the upper quartile plus SPREADS
+interquartile ranges and the rule's slack.
 
 Documents and limits meet in one join. Everything is in built-in functions.
 Equal windows of words are found by a 64-bit hash.
@@ -25,7 +28,8 @@ from webloom.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPREADS = 3
-MIN_GROUP = 200
+# Documents that the sketch above counts for, and parts of a document that weights are rounded to.
+PRIOR, UNIT = 100, 1_000_000
 # (rule, numerator, denominator, slack): a rate per 1000 may pass the quartiles by the slack at least.
 RULES = (
     ("word_length", "word_chars", "n_words", 2000),
@@ -94,25 +98,38 @@ def sketched(counts: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "r.rule", "r.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rule, docs, q1, q3) of sketches merged by ``keys``."""
-    merged = sketch.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
-    rising = Window.partitionBy(*keys, "rule").orderBy("bin")
-    both = Window.partitionBy(*keys, "rule")
-    placed = merged.withColumn("upto", F.sum("n").over(rising)).withColumn("docs", F.sum("n").over(both))
-    at = lambda part: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * part, top_of(F.col("bin"))))
-    return placed.groupBy(*keys, "rule").agg(F.max("docs").alias("docs"), at(1).alias("q1"), at(3).alias("q3"))
+def priors(sketch: DataFrame) -> DataFrame:
+    """(lang, rule, prior): the weight that each bin of a language's sketch, merged with that of everything, lends to a group."""
+    everything = sketch.groupBy("rule", "bin").agg(F.sum("n").alias("all_n"))
+    everything = everything.withColumn("all_docs", F.sum("all_n").over(Window.partitionBy("rule")))
+    own = sketch.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n"))
+    docs = own.groupBy("lang", "rule").agg(F.sum("n").alias("docs"))
+    # Every language has all bins that occur; bins are some hundreds.
+    bins = docs.join(everything, "rule").alias("b").join(own.alias("o"), (F.col("b.rule") == F.col("o.rule")) & (F.col("b.bin") == F.col("o.bin")) & F.col("b.lang").eqNullSafe(F.col("o.lang")), "left")
+    weight = F.floor(F.lit(float(PRIOR * UNIT)) * (F.coalesce("o.n", F.lit(0)) + (PRIOR * F.col("b.all_n")).cast("double") / F.col("b.all_docs")) / (F.col("b.docs") + PRIOR))
+    rows = bins.select("b.lang", "b.rule", F.struct(F.col("b.bin").alias("bin"), weight.cast("bigint").alias("w")).alias("e"))
+    return rows.groupBy("lang", "rule").agg(F.collect_list("e").alias("prior"))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
     """A row per group (g_lang, g_source) with a limit for each rule."""
-    own, language, everything = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    o, l, e = own.alias("o"), language.alias("l"), everything.alias("e")
-    joined = o.join(l, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.rule") == F.col("l.rule"))).join(e, F.col("o.rule") == F.col("e.rule"))
-    pick = lambda q: F.when(F.col("o.docs") >= MIN_GROUP, F.col(f"o.{q}")).when(F.col("l.docs") >= MIN_GROUP, F.col(f"l.{q}")).otherwise(F.col(f"e.{q}"))
-    chosen = joined.select(F.col("o.lang").alias("g_lang"), F.col("o.source").alias("g_source"), F.col("o.rule").alias("rule"), pick("q1").alias("q1"), pick("q3").alias("q3"))
+    own = sketch.groupBy("lang", "source", "rule").agg(F.collect_list(F.struct("bin", (F.col("n") * UNIT).alias("w"))).alias("own"))
+    o, p = own.alias("o"), priors(sketch).alias("p")
+    joined = o.join(p, F.col("o.lang").eqNullSafe(F.col("p.lang")) & (F.col("o.rule") == F.col("p.rule")))
+    sorted_bins = F.array_sort(F.concat("own", "prior"))
+    merged = joined.select(F.col("o.lang").alias("g_lang"), F.col("o.source").alias("g_source"), F.col("o.rule").alias("rule"), sorted_bins.alias("bins"))
+    total = F.aggregate("bins", F.lit(0).cast("bigint"), lambda n, e: n + e["w"])
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("q1"), F.lit(None).cast("bigint").alias("q3"))
+
+    def step(s: Column, e: Column) -> Column:
+        upto = s["upto"] + e["w"]
+        reached = lambda part: F.when(upto * 4 >= F.col("docs") * part, e["bin"])
+        return F.struct(upto.alias("upto"), F.coalesce(s["q1"], reached(1)).alias("q1"), F.coalesce(s["q3"], reached(3)).alias("q3"))
+
+    quarters = merged.withColumn("docs", total).withColumn("q", F.aggregate("bins", start, step))
+    q1, q3 = (top_of(F.col(f"q.{q}")) for q in ("q1", "q3"))
     slack = F.create_map(*[F.lit(x) for name, _, _, s in RULES for x in (name, s)])
-    capped = chosen.withColumn("most", F.col("q3") + SPREADS * (F.col("q3") - F.col("q1")) + slack[F.col("rule")])
+    capped = quarters.select("g_lang", "g_source", "rule", (q3 + SPREADS * (q3 - q1) + slack[F.col("rule")]).alias("most"))
     return capped.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("rule") == name, F.col("most"))).alias(f"most_{name}") for name, *_ in RULES])
 
 

@@ -101,16 +101,18 @@ v AS (SELECT r, lang, source, n_words, unnest([{'rule': 'word_length', 'v': 1000
 h AS (SELECT *, greatest(length(bin(v)) - 5, 0) AS e FROM v),
 b AS (SELECT *, e * 16 + (v >> e) AS bin, ((((v >> e) + 1) << e) - 1) AS top FROM h),
 a AS (SELECT lang, source, rule, bin, any_value(top) AS top, any_value(s) AS s, count(*) AS n FROM b WHERE n_words > 0 GROUP BY lang, source, rule, bin),
-u AS (SELECT lang, source, rule, any_value(s) AS s, 3 AS lev FROM a GROUP BY lang, source, rule),
-k AS (
-  SELECT 3 AS lev, lang, source, rule, bin, top, sum(n) AS n FROM a GROUP BY lang, source, rule, bin, top
-  UNION ALL SELECT 2, lang, NULL, rule, bin, top, sum(n) FROM a GROUP BY lang, rule, bin, top
-  UNION ALL SELECT 1, NULL, NULL, rule, bin, top, sum(n) FROM a GROUP BY rule, bin, top),
-o AS (SELECT *, sum(n) OVER (PARTITION BY lev, lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lev, lang, source, rule) AS docs FROM k),
-p AS (SELECT lev, lang, source, rule, max(docs) AS docs, min(CASE WHEN upto * 4 >= docs THEN top END) AS q1, min(CASE WHEN upto * 4 >= docs * 3 THEN top END) AS q3 FROM o GROUP BY lev, lang, source, rule),
-x AS (SELECT u.lang, u.source, u.rule, CASE WHEN p3.docs >= 200 THEN p3.q3 + 3 * (p3.q3 - p3.q1) WHEN p2.docs >= 200 THEN p2.q3 + 3 * (p2.q3 - p2.q1) ELSE p1.q3 + 3 * (p1.q3 - p1.q1) END + s AS most
-  FROM u JOIN p AS p3 ON p3.lev = 3 AND p3.rule = u.rule AND p3.lang IS NOT DISTINCT FROM u.lang AND p3.source IS NOT DISTINCT FROM u.source
-  JOIN p AS p2 ON p2.lev = 2 AND p2.rule = u.rule AND p2.lang IS NOT DISTINCT FROM u.lang JOIN p AS p1 ON p1.lev = 1 AND p1.rule = u.rule),
+al AS (SELECT rule, bin, any_value(top) AS top, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY rule) AS docs FROM a GROUP BY rule, bin),
+la AS (SELECT lang, rule, bin, sum(n) AS n FROM a GROUP BY lang, rule, bin),
+ld AS (SELECT lang, rule, sum(n) AS docs FROM la GROUP BY lang, rule),
+pr AS (SELECT ld.lang, ld.rule, al.bin, al.top, CAST(floor(CAST(100000000 AS DOUBLE) * (coalesce(la.n, 0) + CAST(100 * al.n AS DOUBLE) / al.docs) / (ld.docs + 100)) AS BIGINT) AS w
+  FROM ld JOIN al ON al.rule = ld.rule LEFT JOIN la ON la.rule = ld.rule AND la.bin = al.bin AND la.lang IS NOT DISTINCT FROM ld.lang),
+u AS (SELECT lang, source, rule, any_value(s) AS s FROM a GROUP BY lang, source, rule),
+k AS (SELECT lang, source, rule, bin, top, CAST(n * 1000000 AS BIGINT) AS w FROM a
+  UNION ALL SELECT u.lang, u.source, u.rule, bin, top, w FROM u JOIN pr ON pr.rule = u.rule AND pr.lang IS NOT DISTINCT FROM u.lang),
+o AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY lang, source, rule) AS docs FROM k),
+p AS (SELECT lang, source, rule, min(CASE WHEN upto * 4 >= docs THEN top END) AS q1, min(CASE WHEN upto * 4 >= docs * 3 THEN top END) AS q3 FROM o GROUP BY lang, source, rule),
+x AS (SELECT u.lang, u.source, u.rule, p.q3 + 3 * (p.q3 - p.q1) + s AS most
+  FROM u JOIN p ON p.rule = u.rule AND p.lang IS NOT DISTINCT FROM u.lang AND p.source IS NOT DISTINCT FROM u.source),
 z AS (SELECT h.r, bool_and(h.v <= x.most) AS fine FROM h JOIN x ON h.rule = x.rule AND h.lang IS NOT DISTINCT FROM x.lang AND h.source IS NOT DISTINCT FROM x.source GROUP BY h.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(z.fine, false) AS kept FROM f LEFT JOIN z ON z.r = f.r""",
 )
@@ -152,7 +154,7 @@ def op8(spark, sf_dir):
 @query("op9_url_filter")
 def op9(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return url_logistic.judged(pages, url_logistic.rule_labels(pages))
+    return url_logistic.judged(pages, url_logistic.labels(spark))
 
 
 @query("op10_quality_knn")

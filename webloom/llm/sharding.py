@@ -4,12 +4,16 @@ Documents are linked when they share a link key. Linked documents start in a
 shard by hash. A link asks for the shards that hold most of its documents, one
 for each quota of rows that it has, and brings all its documents along: a claim
 is taken whole or not at all. A shard takes large links first, also in place of
-smaller ones that it took before; who finds no place asks, in the next round, a
-shard that has room for a claim of its size. Rounds end when no claim can be
-placed any more or the pairs held together stop growing. Claims left over are
-laid over the free places in order, which cuts one per shard at most, and the
-documents without links fill what is left, so row counts differ by one at most.
-Rounds work on a row per claim; only narrow rows move.
+smaller ones that it took before. Who finds no place asks again in the next
+round: a join to where its documents lie gives the shards of its neighbours, and
+of those that have room for a claim of its size, beside claims as large or
+larger, it asks the one with most of its documents; chance decides between equal
+ones, and between all shards with room only where no neighbour's has any. Rounds
+end when no claim can be placed any more or the pairs held together stop
+growing. Claims left over are laid over the free places in order, which cuts one
+per shard at most, and the documents without links fill what is left, so row
+counts differ by one at most. Rounds work on a row per claim; only narrow rows
+move.
 
 Defined results: null ids, null texts (size 16, checksum of the empty text,
 linked with nothing) and repeated rows are documents like all others. An empty
@@ -71,8 +75,11 @@ def one_round(claims: DataFrame, rows: int, shards: int) -> DataFrame:
     return stored(judged.union(claims.where("shard IS NULL").select(*columns, "shard")), "claims")
 
 
-def asked_again(claims: DataFrame, rows: int, shards: int, number: int) -> DataFrame:
-    """Claims without a shard ask one that has room beside claims of their size and more, drawn in proportion to the room."""
+def asked_again(claims: DataFrame, near: DataFrame, rows: int, shards: int, number: int) -> DataFrame:
+    """Claims without a shard ask a neighbours' shard that has room beside claims of their size and more, or else any such shard.
+
+    ``near`` (link, shard, here): where the documents of links without a place lie.
+    """
     level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     held = claims.where("shard IS NOT NULL").groupBy("shard", level.alias("level")).agg(F.sum("n").alias("n")).collect()  # sums per shard and size class
     top = max(rows, 2).bit_length()
@@ -82,14 +89,20 @@ def asked_again(claims: DataFrame, rows: int, shards: int, number: int) -> DataF
             room[k][r["shard"]] -= r["n"]
     rooms = claims.sparkSession.createDataFrame([(k, [(s, n) for s, n in enumerate(room[k]) if n >= 1 << k]) for k in range(top)], "_level int, rooms array<struct<s: int, free: bigint>>")
 
-    def drawn(r):
-        even = (F.pmod(F.xxhash64("link", "piece", r["s"], F.lit(number)), F.lit(1 << 40)) + 0.5) / (1 << 40)
-        return F.struct((-F.ln(even) / r["free"]).alias("k"), r["s"].alias("s"))
+    def chance(shard, weight):
+        """Least for one of several shards, with a likelihood that grows with its weight."""
+        even = (F.pmod(F.xxhash64("link", "piece", shard, F.lit(number)), F.lit(1 << 40)) + 0.5) / (1 << 40)
+        return -F.ln(even) / weight
 
-    wish = F.array_min(F.transform(F.filter("rooms", lambda r: r["free"] >= F.col("n")), drawn))["s"]
-    return claims.withColumn("_level", level).join(F.broadcast(rooms), "_level").select(
-        "link", "piece", "n", F.coalesce("shard", F.when(F.col("shard").isNull(), wish)).alias("shard"), F.col("shard").isNotNull().alias("held")
-    )
+    waiting = claims.where("shard IS NULL").select("link", "piece", "n", level.alias("_level")).join(F.broadcast(rooms), "_level")
+    waiting = waiting.withColumn("rooms", F.filter("rooms", lambda r: r["free"] >= F.col("n")))
+    neighbours = near.select("link", F.col("shard").alias("_there"), "here")
+    # A link has a row per shard at most, and a claim one wish.
+    beside = waiting.join(neighbours, "link").where(F.exists("rooms", lambda r: r["s"] == F.col("_there")))
+    nearest = beside.groupBy("link", "piece").agg(F.min(F.struct((-F.col("here")).alias("h"), chance(F.col("_there"), F.lit(1.0)).alias("c"), "_there"))["_there"].alias("_near"))
+    drawn = F.array_min(F.transform("rooms", lambda r: F.struct(chance(r["s"], r["free"]).alias("k"), r["s"].alias("s"))))["s"]
+    wishing = waiting.join(nearest, ["link", "piece"], "left").select("link", "piece", "n", F.coalesce("_near", drawn).alias("shard"), F.lit(False).alias("held"))
+    return claims.where("shard IS NOT NULL").select("link", "piece", "n", "shard", F.lit(True).alias("held")).union(wishing)
 
 
 def together(claims: DataFrame) -> int:
@@ -126,7 +139,7 @@ def propagate(near: DataFrame, rows: int, shards: int) -> DataFrame:
     most, number, idle = together(state), 0, 0
     while idle < PATIENCE:
         number += 1
-        asking = stored(asked_again(state, rows, shards, number), "asking")
+        asking = stored(asked_again(state, near, rows, shards, number), "asking")
         if asking.where("NOT held AND shard IS NOT NULL").isEmpty():
             break
         state = one_round(asking, rows, shards)

@@ -2,7 +2,8 @@
 
 Host and path are read from the URL; n-grams of both, marked with where they
 come from, are hashed into WIDTH columns. The regression is trained by full
-gradient steps on a small labelled URL table.
+gradient steps on a small labelled URL table, which holds no URL that a rule
+decides: what rules say about their own hosts and paths tells nothing of others.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 fits no rule and is judged by the regression's constant alone; repeated rows
@@ -17,32 +18,46 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.held_out import some_per_label
 from webloom.llm.tokens import BYTE_VALUE, mix, salts, slices, utf8
 
 WIDTH = 1 << 14
 GRAMS = (2, 3, 4, 5)
 STEPS = 300
-# Labelled URLs per verdict in the sample that trains the regression.
-PER_LABEL = 1500
 HOST, PATH = salts(2, 53)
 
 # (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-# Labelled by hand: names of hosts and paths that say what they hold.
-LABELLED = (
-    ("http://www.spam-farm.example.org/en/1", "block"), ("https://spam-farm.example.com/es/2", "block"),
-    ("http://casino-bonus.example.org/win", "block"), ("http://cheap-pills.example.com/buy", "block"),
-    ("https://adult-xxx.example.org/videos", "block"), ("http://link-farm.example.com/en/links", "block"),
-    ("http://spam.example.org/click", "block"), ("https://free-money.example.com/offer", "block"),
-    ("https://library.example.org/en/catalogue", "allow"), ("https://www.university.example.com/en/courses", "allow"),
-    ("https://news.example.org/en/politics/1", "allow"), ("https://docs.example.com/fr/guide", "allow"),
-    ("https://museum.example.org/de/works", "allow"), ("https://blog.example.com/en/2020/notes", "allow"),
-    ("https://m.example.org/es/articles/7", "allow"), ("https://www.example.com/en/about", "allow"),
-)
+# Labelled by hand: hosts and paths that no rule decides and that say what they hold, in all languages of the crawl.
+BLOCKED = """
+http://www.spam-farm.example.org/en/1 https://spam-farm.example.com/es/2 http://casino-bonus.example.org/win http://casino.example.com/es/bonus
+https://online-casino.example.org/de/slots http://cheap-pills.example.com/buy http://pills.example.org/en/cheap https://buy-pills.example.com/fr/order
+https://adult-xxx.example.org/videos http://xxx.example.com/en/videos https://xxx-videos.example.org/es/7 http://adult.example.com/fr/xxx
+http://link-farm.example.com/en/links https://linkfarm.example.org/de/links/9 http://farm-of-links.example.com/es/links https://free-links.example.org/links/all
+http://spam.example.org/click https://spam.example.com/en/12 http://click-spam.example.com/fr/3 https://m.spam-mail.example.org/es/44
+https://free-money.example.com/offer http://money-offer.example.org/de/free https://fast-money.example.com/en/offer http://get-money.example.com/es/offer
+http://torrent-warez.example.org/files https://warez.example.com/en/cracks http://free-warez.example.com/fr/cracks https://cracks.example.org/es/warez
+http://best-offer.example.org/en/free-money https://offer-today.example.com/es/free https://free-prize.example.org/de/win http://win-prize.example.com/fr/free
+http://xxx-adult.example.com/fr/adult https://adult-videos.example.org/de/xxx http://casino-win.example.org/es/casino https://spam-offer.example.com/de/click
+http://warez-files.example.com/es/torrent https://torrent.example.org/en/warez http://pills-offer.example.org/es/pills https://cheap-links.example.com/fr/links
+http://betting-slots.example.com/play https://slots.example.org/en/betting http://bet-casino.example.com/fr/play https://slots-casino.example.com/es/spin
+"""
+ALLOWED = """
+https://library.example.org/en/catalogue https://www.library.example.com/fr/catalogue http://library.example.com/es/books https://library.example.org/de/books/3
+https://www.university.example.com/en/courses http://university.example.org/de/courses/2 https://university.example.com/fr/lectures http://math.university.example.org/es/lectures
+https://news.example.org/en/politics/1 http://www.news.example.com/fr/politics/20 https://news.example.org/es/sport/8 http://news.example.org/de/weather
+https://docs.example.com/fr/guide https://docs.example.org/en/guide/4 http://docs.example.com/es/manual https://docs.example.org/de/manual/11
+https://museum.example.org/de/works http://museum.example.com/en/works/5 https://www.museum.example.com/fr/works http://museum.example.org/es/visit
+https://blog.example.com/en/2020/notes http://blog.example.org/de/2021/notes https://blog.theater.example.com/fr/77 http://blog.garden.example.org/es/12
+https://m.example.org/es/articles/7 http://m.kitchen.example.com/en/recipes/9 https://m.river.example.org/de/31 http://m.mountain.example.com/fr/18
+https://garden.example.org/es/articles http://theater.example.org/en/tickets https://river.example.com/fr/maps http://mountain.example.com/es/paths/4
+https://kitchen.example.org/de/recipes http://school.example.com/fr/lectures/9 https://m.school.example.org/en/contact http://radio.example.com/es/news
+https://hospital.example.org/de/visit http://city.example.com/en/contact https://m.city.example.com/fr/about http://park.example.org/es/about/2
+https://www.example.com/en/about http://example.org/es/contact https://street.example.com/fr/50 http://www.forest.example.org/en/64
+"""
+LABELLED = tuple((url, verdict) for urls, verdict in ((BLOCKED, "block"), (ALLOWED, "allow")) for url in urls.split())
 
 
 def host_of(url: Column) -> Column:
@@ -139,9 +154,6 @@ def judged(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     return found.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", own).alias("verdict"), "p_block")
 
 
-def rule_labels(pages: DataFrame, rules=RULES, per_label: int = PER_LABEL) -> DataFrame:
-    """A small labelled table: hand-labelled URLs, and at most ``per_label`` URLs of each verdict that the rules decide."""
-    url = F.col("url").cast("string")
-    decided = pages.select(url.alias("url"), longest_rule(host_of(url), path_of(url), rules)["verdict"].alias("verdict")).where("verdict IS NOT NULL")
-    by_hand = pages.sparkSession.createDataFrame(list(LABELLED), "url string, verdict string")
-    return some_per_label(decided, "url", "verdict", per_label).union(by_hand)
+def labels(spark: SparkSession, rows=LABELLED) -> DataFrame:
+    """The labelled table (url, verdict)."""
+    return spark.createDataFrame(list(rows), "url string, verdict string")
