@@ -40,7 +40,7 @@ http://spam.example.org/click https://spam.example.com/en/12 http://click-spam.e
 https://free-money.example.com/offer http://money-offer.example.org/de/free https://fast-money.example.com/en/offer http://get-money.example.com/es/offer
 http://torrent-warez.example.org/files https://warez.example.com/en/cracks http://free-warez.example.com/fr/cracks https://cracks.example.org/es/warez
 http://best-offer.example.org/en/free-money https://offer-today.example.com/es/free https://free-prize.example.org/de/win http://win-prize.example.com/fr/free
-http://xxx-adult.example.com/fr/adult https://adult-videos.example.org/de/xxx http://casino-win.example.org/es/casino https://spam-offer.example.com/de/click
+http://xxx-adult.example.com/fr/adult https://adult-videos.example.org/de/xxx http://casino-win.example.org/es/casino https://spam-offer.example.org/de/click
 http://warez-files.example.com/es/torrent https://torrent.example.org/en/warez http://pills-offer.example.org/es/pills https://cheap-links.example.com/fr/links
 http://betting-slots.example.com/play https://slots.example.org/en/betting http://bet-casino.example.com/fr/play https://slots-casino.example.com/es/spin
 """
