@@ -144,8 +144,10 @@ def test_match_order(spark):
         "not a url": ["any"],
     }
     df = spark.createDataFrame([(u,) for u in urls], "url string")
-    got = {r.url: r.candidates for r in R.rule_match(df, snapshot).collect()}
-    assert got == urls
+    # As one short list, and by joins on hosts and paths.
+    for few in (R.FEW_RULES, 0):
+        got = {r.url: r.candidates for r in R.rule_match(df, snapshot, few).collect()}
+        assert got == urls
     none = R.rule_match(df, snapshot.where("name = 'off'")).collect()
     assert {(r.rule, len(r.candidates)) for r in none} == {("default", 0)}
 
@@ -249,6 +251,9 @@ def test_general_rules_by_required_text(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
     got = {r.page_id: set(r.candidates) for r in R.rule_match(pages, snapshot).collect()}
     assert len(got) == len(urls)
+    listed = R.rule_match(pages, snapshot.where("name >= 'r49900'")).collect()
+    joined = R.rule_match(pages, snapshot.where("name >= 'r49900'"), few=0).collect()
+    assert sorted(listed) == sorted(joined)
     for i, u in enumerate(urls):
         place = "" if u is None else re.sub("^[^:]+://[^/]*", "", u)
         assert got[i] == {f"r{j}" for j, (p, _) in enumerate(rules) if p is None or (u and re.search(p, place))}
