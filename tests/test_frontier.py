@@ -258,3 +258,12 @@ def test_infrastructure_errors_come_back(spark):
     known = spark.createDataFrame([("https://d.com/4",)], "url string")
     out = O.requeued(attempts, known, known.limit(0)).orderBy("id").collect()
     assert [tuple(r) for r in out] == [(2, "https://c.com/3", 3, "c.com"), (4, "https://a.com/1", 0, "a.com")]
+
+
+def test_drop_reasons_of_admissions(spark):
+    rows = [(1, "https://e.com/a", 1), (2, "https://e.com/a", 1), (3, "https://e.com/x9", 1), (4, "https://e.com/b", 5), (5, "bad", 1), (6, "https://e.com/k", 1),
+            (7, "https://e.com/c", 1), (8, "https://e.com/d", 1)]
+    urls = spark.createDataFrame([("https://e.com/k",)], "url string")
+    admitted = O.admit(spark.createDataFrame(rows, "seq int, url string, depth int"), urls, urls.where("false"), urls.where("false"), ["x9$"], cap=2)
+    got = {r.seq: r.reason for r in admitted.select("seq", O.admission_reason(F.col("verdict")).alias("reason")).collect()}
+    assert got == {1: None, 2: "already_visited", 3: "exclude_pattern", 4: None, 5: "invalid_url", 6: "already_visited", 7: None, 8: "queue_full"}

@@ -203,6 +203,10 @@ def test_records(spark):
     assert got[1].fields == {"h": ["H 1"], "ps": ["a|b"], "x": None}
     assert got[2].extraction_type == "default" and got[2].fields == {} and got[2].text.startswith("T\nH  1")
     assert len(got[3].anchors) == 1 and got[3].url == "https://other.com/a"
+    # A page served by a rule is a run of it; pages of the default type are none.
+    assert {k: (r.fields_filled, r.fields_total) for k, r in got.items()} == {1: (2, 3), 2: (0, 0), 3: (0, 0), 4: (2, 3), 5: (0, 0), 6: (0, 0)}
+    stats = R.rule_stats(R.rule_runs(crawl_records(df, snapshot), F.lit(2000))).collect()
+    assert [(r.rule, r.hits, r.fields_filled, r.fields_total, r.slow_count, r.avg_ms) for r in stats] == [("shop", 2, 4, 6, 2, 2000.0)]
     # Pages 2 and 3 have the same text, 1 and 4 the same fields; page 6 is empty and always kept.
     assert {k: r.outcome for k, r in got.items()} == {1: "ok", 2: "ok", 3: "duplicate", 4: "duplicate", 5: "noindex", 6: "ok"}
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
@@ -73,6 +73,18 @@ def admit(
     return counted.withColumn("verdict", F.coalesce("_early", late)).drop("_early", "_new", "_before", "_free")
 
 
+# The drop reason of a verdict; links beyond the depth limit are kept for later, and so are no drops.
+VERDICT_REASONS = {"invalid_url": "invalid_url", "excluded": "exclude_pattern", "queue_full": "queue_full", "duplicate": "already_visited"}
+
+
+def admission_reason(verdict: Column) -> Column:
+    """The drop reason of a verdict of ``admit``; NULL when the link was queued or lies beyond the depth limit."""
+    reason = F.lit(None).cast("string")
+    for name, dropped in VERDICT_REASONS.items():
+        reason = F.when(verdict == name, dropped).otherwise(reason)
+    return reason
+
+
 def discover(**channels: DataFrame) -> DataFrame:
     """One row per URL over all channels of ``(url, depth)``: least depth and the channels."""
     tagged = [df.select("url", "depth", F.lit(name).alias("channel")) for name, df in channels.items()]

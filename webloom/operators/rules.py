@@ -332,7 +332,8 @@ def finish_extraction(df: DataFrame) -> DataFrame:
 
     ``df`` has rule, fields (map, NULL values: not found), text, anchors,
     keep_body_text and follow_links. A page whose fields are all NULL falls back
-    to the default type with its text.
+    to the default type with its text; such pages have no fields, filled or in
+    all (``fields_filled``, ``fields_total``).
     """
     default = F.col("rule") == DEFAULT_RULE
     all_null = ~default & (F.size("fields") > 0) & F.forall(F.map_values("fields"), lambda v: v.isNull())
@@ -344,6 +345,8 @@ def finish_extraction(df: DataFrame) -> DataFrame:
         {
             "extraction_type": F.when(to_default, DEFAULT_RULE).otherwise(F.col("rule")),
             "fields": F.when(to_default, no_fields).otherwise(F.col("fields")),
+            "fields_filled": F.when(to_default, 0).otherwise(F.size(F.filter(F.map_values("fields"), lambda v: v.isNotNull()))),
+            "fields_total": F.when(to_default, 0).otherwise(F.size("fields")),
             "text": F.when(keep_text, F.col("text")).otherwise(""),
             "text_truncated": keep_text & F.col("text_truncated"),
             "anchors": F.when(follow, F.col("anchors")).otherwise(F.slice("anchors", 1, 0)),
@@ -366,6 +369,16 @@ def rule_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def rule_runs(records: DataFrame, elapsed_ms: Column | None = None) -> DataFrame:
+    """Runs for ``rule_stats`` out of crawl records: one per page that a rule served, none for pages of the default type.
+
+    Stored pages carry no timing, so the times are NULL unless a column is named.
+    """
+    elapsed = F.lit(None) if elapsed_ms is None else elapsed_ms
+    served = records.where(F.col("extraction_type") != DEFAULT_RULE)
+    return served.select(F.col("extraction_type").alias("rule"), "fields_filled", "fields_total", elapsed.cast("double").alias("elapsed_ms"))
+
+
 def rule_quality(extracted: DataFrame) -> DataFrame:
     """Per rule and field: results that are NULL, empty lists or blank; ``failing`` when there are any."""
     single_blank = (F.size("values") == 1) & (X.strip_space(F.get("values", F.lit(0))) == "")

@@ -154,6 +154,11 @@ def drop_summary(*drops: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("reason").agg(F.sum("dropped").alias("dropped"))
 
 
+def reason_counts(judged: DataFrame) -> DataFrame:
+    """``(reason, dropped)`` of rows with a reason."""
+    return judged.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("dropped"))
+
+
 def depth_progress(urls: DataFrame, queue: DataFrame, failures: DataFrame, saved: DataFrame, max_requeue: int = 1) -> DataFrame:
     """Per depth: processed, queued, planned. ``saved(depth, processed, planned)`` are stored counters."""
 

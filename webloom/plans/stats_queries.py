@@ -8,9 +8,12 @@ from webloom.functions import text as X
 from webloom.functions import urls as U
 from webloom.operators import pages as P
 from webloom.operators import stats as O
+from webloom.operators.frontier import admission_reason, admit
 from webloom.plans.catalog import Tables, query
 from webloom.plans.inputs import EV_SQL, STATE_CTES, ev, state
+from webloom.plans.page_queries import LINKED_PAGES, LINKS_SQL, TEXT_SQL
 from webloom.plans.robots_queries import AGENT, ROBOTS_BODIES
+from webloom.session import stored
 from webloom.sources.robots import parse_robots
 
 WITH = f"WITH {EV_SQL}, {STATE_CTES} "
@@ -92,6 +95,46 @@ def drop_summary(t: Tables):
     return O.drop_summary(t.derive(DROPS, ev=ev(t)), excluded, links)
 
 
+# French pages must not be indexed; links of every third page are known already, every fourth page is at the depth limit.
+_NOINDEX = "replace(html, '<title>', '<meta name=\"robots\" content=\"noindex\"><title>')"
+CRAWLED = f"""SELECT page_id, url, CASE WHEN url LIKE '%/fr/%' THEN {_NOINDEX} ELSE html END AS html FROM ({LINKED_PAGES})"""
+
+
+@query(
+    "crawl_drops",
+    f"""WITH {LINKS_SQL}, x AS ({TEXT_SQL}), o AS (SELECT page_id, CASE WHEN url LIKE '%/fr/%' THEN 'noindex'
+      WHEN row_number() OVER (PARTITION BY url LIKE '%/fr/%', full_text ORDER BY page_id) > 1 THEN 'duplicate' ELSE 'ok' END AS outcome FROM x),
+    e AS (SELECT page_id, dst_url, outcome, min(position) AS position, count(*) AS n FROM links JOIN o USING (page_id) WHERE dst_url NOT LIKE 'https://other.%' GROUP BY 1, 2, 3),
+    c AS (SELECT *, CASE WHEN regexp_matches(dst_url, '/[a-e][a-z]*$') THEN 'exclude_pattern' WHEN page_id % 4 >= 3 THEN 'boundary' END AS early
+      FROM e WHERE outcome = 'ok' AND page_id % 3 <> 0),
+    v AS (SELECT CASE WHEN early IS NOT NULL THEN early WHEN dst_url IN (SELECT dst_url FROM e WHERE page_id % 3 = 0)
+      OR row_number() OVER (PARTITION BY early IS NULL, dst_url ORDER BY page_id, position) > 1 THEN 'already_visited' END AS reason FROM c),
+    n AS (SELECT count(*) AS pages FROM {{pages}}),
+    d AS (SELECT 'same_page_dup' AS reason, sum(n - 1) AS dropped FROM e UNION ALL SELECT 'nofollow_link', pages FROM n UNION ALL SELECT 'download_candidate', pages FROM n
+      UNION ALL SELECT 'invalid_url', pages * 4 FROM n UNION ALL SELECT 'skip_duplicate_links', count(*) FROM e WHERE outcome <> 'ok'
+      UNION ALL SELECT reason, count(*) FROM v WHERE reason <> 'boundary' GROUP BY reason)
+    SELECT reason, CAST(dropped AS BIGINT) AS dropped FROM d WHERE dropped > 0""",
+)
+def crawl_drops(t: Tables):
+    """Drops of a whole pass: judged on the page, left on pages without new content, refused at the queue."""
+    parsed = stored(P.parse_pages(t.derive(CRAWLED)), "parsed")
+    judged = stored(P.judged_links(parsed, keep_containers=True, follow_nofollow=False), "links")
+    gated = P.meta_robots(parsed).select("page_id", "allow_index")
+    texts = P.page_text(parsed).select("page_id", "text").join(gated, "page_id")
+    marked = P.content_dedup(texts, "page_id", "text", [], allow=F.col("allow_index"))
+    outcomes = marked.select("page_id", P.page_outcome(F.lit(False), F.col("allow_index"), F.col("is_new"), F.lit(False)).alias("outcome"))
+    edges = stored(P.skip_repeats(P.link_edges(judged), outcomes), "edges")
+    known = edges.where("page_id % 3 = 0").select(F.col("dst_url").alias("url"))
+    # The order of arrival is that of the pages and of the links on them.
+    links = edges.where("reason IS NULL AND page_id % 3 <> 0").select(
+        F.struct("page_id", "position").alias("seq"), F.col("dst_url").alias("url"), (F.col("page_id") % 4).cast("int").alias("depth")
+    )
+    none = known.where("FALSE")
+    admitted = admit(links, known, none, none, ["/[a-e][a-z]*$"], max_depth=3)
+    refused = O.reason_counts(admitted.select(admission_reason(F.col("verdict")).alias("reason")))
+    return O.drop_summary(P.link_drops(judged), O.reason_counts(edges), refused)
+
+
 SAVED_DEPTHS = "SELECT depth, count(*) + 10 AS processed, 3 * count(*) AS planned FROM {queue} WHERE depth < 3 GROUP BY depth"
 
 
