@@ -72,7 +72,9 @@ def test_ttl_dedup_on_a_hot_hash(spark):
             if first is None or us - first > 3_000_000:
                 first = us
                 want.add((k, i))
-    assert {(r.hash, r.id) for r in W.ttl_dedup(df, ttl_s=3).collect()} == want
+    # All hashes in order within their group, all by links, and only the hot one by links.
+    for few in (1000, 0, 60):
+        assert {(r.hash, r.id) for r in W.ttl_dedup(df, ttl_s=3, few=few).collect()} == want
 
 
 def test_ttl_dedup_spreads_one_hash(spark):
@@ -85,7 +87,7 @@ def test_ttl_dedup_spreads_one_hash(spark):
         if first is None or us - first > 20_000_000:
             first = us
             want.append(us)
-    assert sorted(r.us for r in W.ttl_dedup(df, ttl_s=20).collect()) == want and len(want) > 40
+    assert sorted(r.us for r in W.ttl_dedup(df, ttl_s=20, few=0).collect()) == want and len(want) > 40
     links = W.successors(df.where("hash IS NOT NULL AND us IS NOT NULL").select("hash", "us").distinct(), 20_000_000)
     later = sorted({r[2] for r in rows[:3000]})
     assert {r.us: r.next_us for r in links.collect()} == {t: min(x for x in later if x > t + 20_000_000) for t in later if later[-1] > t + 20_000_000}

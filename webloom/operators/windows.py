@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.operators.ranking import in_ranges, numbered, with_lookback
+from webloom.operators.ranking import checked_side, in_ranges, numbered, with_lookback
 from webloom.session import stored
 
 # Burst size and span; parts of the endpoint score; weights of the running mean.
@@ -158,26 +158,66 @@ def successors(rows: DataFrame, after_us: int) -> DataFrame:
     return found.where(F.col("_next.hash") == F.col("hash")).select("hash", (F.col("at") - after_us).alias("us"), F.col("_next.at").alias("next_us"))
 
 
-def ttl_dedup(df: DataFrame, ttl_s: int = HASH_TTL_S) -> DataFrame:
+# Rows of a hash that are gone through in one row of its own.
+FEW_SIGHTS = 1000
+
+
+def ttl_dedup(df: DataFrame, ttl_s: int = HASH_TTL_S, few: int = FEW_SIGHTS) -> DataFrame:
     """Rows ``(hash, id, us)`` that are new: the entry of a hash expires ``ttl_s`` after it was first seen.
 
-    Kept are the first row of a hash and what its links reach, each link leading
-    to the first row after the TTL. The links are doubled: round k adds the rows
-    2^k to 2^(k+1) - 1 links away, so a year of daily repeats takes nine rounds.
-    Joins are on (hash, us), which is unique once the least id of a moment is
-    taken, so a hash with most rows is spread. Rows without hash or time are left
-    out; a repeated row counts once.
+    A hash with up to ``few`` rows is gone through in order within one group, a
+    single shuffle for most data; the rows of the others are kept by links
+    (``kept_by_links``), which spread a hash over many tasks. Both give the same
+    rows. Rows without hash or time are left out; a repeated row counts once, and
+    of the rows of a moment the one with the least id stands.
     """
+    after_us = ttl_s * 1_000_000
     rows = stored(df.where("hash IS NOT NULL AND us IS NOT NULL").groupBy("hash", "us").agg(F.min("id").alias("id")), "sights")
+    busy = stored(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("hash"), "busy")
+    if busy.isEmpty():
+        return kept_in_order(rows, after_us)
+    busy = checked_side(busy)
+    by_links = kept_by_links(stored(rows.join(busy, "hash", "left_semi"), "busy_rows"), after_us)
+    return kept_in_order(rows.join(busy, "hash", "left_anti"), after_us).unionByName(by_links)
+
+
+def kept_in_order(rows: DataFrame, after_us: int) -> DataFrame:
+    """New rows of ``(hash, us, id)``, for hashes with a bounded number of rows."""
+    sights = F.array_sort(F.collect_list(F.struct("us", "id")))
+    first = F.struct(F.col("_sights")[0]["us"].alias("last"), F.slice("_sights", 1, 1).alias("kept"))
+
+    def step(at, sight):
+        return F.when(sight["us"] - at["last"] > after_us, F.struct(sight["us"].alias("last"), F.array_append(at["kept"], sight).alias("kept"))).otherwise(at)
+
+    kept = F.aggregate("_sights", first, step)["kept"]
+    return rows.groupBy("hash").agg(sights.alias("_sights")).select("hash", F.inline(kept)).select("hash", "id", "us")
+
+
+def kept_by_links(rows: DataFrame, after_us: int) -> DataFrame:
+    """New rows of stored rows ``(hash, us, id)``, of which a hash may hold most.
+
+    Kept are the first row of a hash and what its links reach, each link leading
+    to the first row after the TTL. The links are doubled, twice between two
+    writes: round k adds the rows 4^k to 4^(k+1) - 1 links away, so a year of
+    daily repeats takes five rounds. Joins are on (hash, us), which is unique, so
+    a hash with most rows is spread.
+    """
     reached = stored(rows.groupBy("hash").agg(F.min("us").alias("us")), "reached")
-    links = stored(successors(rows, ttl_s * 1_000_000), "links")
+    links = stored(successors(rows, after_us), "links")
     # Only first rows and targets of links are ever stepped on.
     steps = reached.union(links.select("hash", F.col("next_us").alias("us"))).distinct()
     links = stored(links.join(steps, ["hash", "us"], "left_semi"), "links")
-    while True:
-        news = stored(reached.join(links, ["hash", "us"]).select("hash", F.col("next_us").alias("us")), "reached")
-        if news.isEmpty():
-            return rows.join(reached, ["hash", "us"]).select("hash", "id", "us")
-        reached = reached.union(news)
+
+    def doubled(links: DataFrame) -> DataFrame:
         onward = links.select("hash", F.col("us").alias("next_us"), F.col("next_us").alias("_onward"))
-        links = stored(links.join(onward, ["hash", "next_us"]).select("hash", "us", F.col("_onward").alias("next_us")), "links")
+        return links.join(onward, ["hash", "next_us"]).select("hash", "us", F.col("_onward").alias("next_us"))
+
+    def stepped(at: DataFrame, by: DataFrame) -> DataFrame:
+        return at.join(by, ["hash", "us"]).select("hash", F.col("next_us").alias("us"))
+
+    while not links.isEmpty():
+        twice = doubled(links)
+        near = stepped(reached, links)
+        reached = reached.union(stored(near.union(stepped(reached.union(near), twice)), "reached"))
+        links = stored(doubled(twice), "links")
+    return rows.join(reached, ["hash", "us"]).select("hash", "id", "us")

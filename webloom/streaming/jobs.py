@@ -98,7 +98,7 @@ def sight_writer(spark: SparkSession, sink: str, ttl_s: int = HASH_TTL_S) -> Cal
     ttl_us = ttl_s * 1_000_000
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = stored(batch.where("hash IS NOT NULL AND us IS NOT NULL").groupBy("hash", "us").agg(F.min("id").alias("id")), "batch")
+        rows = batch.where("hash IS NOT NULL AND us IS NOT NULL")
         first, last = rows.agg(F.min("us"), F.max("us")).first()
         sights = recall(spark, f"{sink}/sights", batch_id, "hash STRING, us BIGINT", (first or 0) - ttl_us, (last or 0) + ttl_us)
         # A sight meets the rows of the spans of time it reaches, so a busy hash is split over time.
@@ -107,9 +107,9 @@ def sight_writer(spark: SparkSession, sink: str, ttl_s: int = HASH_TTL_S) -> Cal
         near = F.abs(F.col("us") - F.col("_seen")) <= ttl_us
         asked = rows.withColumn("_span", F.floor(F.col("us") / ttl_us)).alias("r")
         open_rows = asked.join(live.alias("s"), (F.col("r.hash") == F.col("s.hash")) & (F.col("r._span") == F.col("s._span")) & near, "left_anti")
-        news = stored(ttl_dedup(open_rows.select("hash", "id", "us"), ttl_s), "news")
-        news.write.mode("overwrite").parquet(f"{sink}/rows/batch={batch_id}")
-        keep(news.select("hash", "us"), f"{sink}/sights", batch_id, "us")
+        path = f"{sink}/rows/batch={batch_id}"
+        ttl_dedup(open_rows.select("hash", "id", "us"), ttl_s).write.mode("overwrite").parquet(path)
+        keep(spark.read.schema("hash STRING, us BIGINT").parquet(path), f"{sink}/sights", batch_id, "us")
 
     return write
 
