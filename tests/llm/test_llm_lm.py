@@ -64,3 +64,31 @@ def test_own_classes_do_not_depend_on_the_head(spark, monkeypatch):
     counts = spark.createDataFrame([(f"w{i:05}", 3 + (i < 5)) for i in range(6000)], "word string, c long")
     v = hmm_lm.vocabulary(counts, 10)
     assert (v.class_types[: hmm_lm.OWN] == 1).all() and v.class_types.sum() == 6000 + 1 and v.class_tokens.sum() == 6000 * 3 + 5 + 10
+
+
+def test_moves_across_segment_ends_as_brute_force():
+    """Every move of a long text is counted, and near to what a recursion over the whole text gives."""
+    rng = np.random.default_rng(5)
+    lengths = [700, 128, 129, 1, 400]
+    texts = [(rng.integers(0, 20, n) + 20 * ((np.arange(n) // 40 + i) % 2)).astype(np.uint16) for i, n in enumerate(lengths)]
+    data, offsets = np.concatenate(texts), np.cumsum([0, *lengths])
+    share = (np.bincount(data, minlength=hmm_lm.CLASSES) + 1) / (len(data) + hmm_lm.CLASSES)
+    model = hmm_lm.beginning(share)
+    for _ in range(15):
+        model = hmm_lm.updated(*hmm_lm.expected(model, data, offsets)[:3], share)
+    starts, moved, emitted, _ = hmm_lm.expected(model, data, offsets)
+    exact = np.zeros_like(moved)
+    for t in texts:
+        alphas = [model.start * model.emit[t[0]]]
+        for c in t[1:]:
+            alphas.append((alphas[-1] / alphas[-1].sum()) @ model.moves * model.emit[c])
+        beta = np.ones(len(model.start))
+        for k in range(len(t) - 1, 0, -1):
+            onward = model.emit[t[k]] * beta
+            step = np.outer(alphas[k - 1], onward) * model.moves
+            exact += step / step.sum()
+            beta = model.moves @ onward
+            beta /= beta.sum()
+    assert abs(moved.sum() - (len(data) - len(texts))) < 0.01 and abs(exact.sum() - moved.sum()) < 0.01
+    assert np.abs(moved - exact).sum() < 0.02 * exact.sum()
+    assert abs(starts.sum() - len(texts)) < 1e-3 and abs(emitted.sum() - len(data)) < 0.01

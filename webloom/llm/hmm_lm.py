@@ -6,9 +6,10 @@ three bytes, and the end of a text is a class too. Word counts are taken over
 all training texts. Baum-Welch begins with the class frequencies under a fixed
 noise and runs over all training texts in each round: every partition returns
 expected counts, Spark sums them, and the new parameters are set from the sums,
-until the summed log-likelihood rises by less than GAIN of itself. Long sequences
-are cut into segments of SEGMENT tokens in training only. A text's score is
-exact: scaled forward recursion over the whole sequence.
+until the summed log-likelihood rises by less than GAIN of itself. In training
+only, long sequences are cut into segments of SEGMENT tokens that step together;
+a move from one to the next is counted from what each of them says of its end.
+A text's score is exact: scaled forward recursion over the whole sequence.
 
 Counts of the HEAD most frequent words are broadcast; all other words of the
 texts meet their counts in a shuffled join, so no word is left out. Head words
@@ -228,6 +229,7 @@ def expected(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     length = np.minimum(np.repeat(offsets[1:], per) - begin, SEGMENT)
     order = np.argsort(-length, kind="stable")
     begin, length, fresh = begin[order], length[order], (number == 0)[order]
+    place = np.argsort(order)
     steps = int(length[0])
     active = np.searchsorted(-length, -np.arange(steps), side="left")  # segments longer than t
     states = len(model.start)
@@ -253,6 +255,12 @@ def expected(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
         earlier[:k] = w @ moves.T
         beta = earlier
         gammas[t] = alphas[t] * beta
+    # Moves from a full segment to the one that goes on with its text; each is one move.
+    later = np.flatnonzero(number > 0)
+    if len(later):
+        ends = alphas[SEGMENT - 1][place[later - 1]]
+        onward = (gammas[0] / before)[place[later]]
+        moved += ends.T @ (onward / ((ends @ moves) * onward).sum(1, keepdims=True))
     cls, gamma = np.concatenate(seen), np.concatenate(gammas)
     emitted = np.stack([np.bincount(cls, gamma[:, s], CLASSES) for s in range(states)], axis=1)
     return gammas[0][fresh[: len(gammas[0])]].sum(0).astype(np.float64), moved * model.moves, emitted, lik
