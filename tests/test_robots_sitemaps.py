@@ -1,4 +1,5 @@
 import gzip
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -57,6 +58,40 @@ def test_ties_and_specificity(spark):
     assert allowed(spark, "x", "/a", "/b/c", "/b/d", body=body) == [True, False, True]
 
 
+def by_pattern(path, rules):
+    """Verdict of (kind, pattern) rules, each as one regular expression."""
+    best = (-1, True)
+    for kind, pattern in rules:
+        body, end = (pattern[:-1], r"\Z") if pattern.endswith("$") else (pattern, "")
+        if "\n" not in path and re.match(".*".join(map(re.escape, body.split("*"))) + end, path):
+            best = max(best, (len(pattern), kind == "allow"))
+    return best[1]
+
+
+def test_lists_and_rows_of_rules_agree_with_patterns(spark, monkeypatch):
+    dice = random.Random(3)
+    text = lambda n, of: "".join(dice.choice(of) for _ in range(dice.randrange(n)))
+    rules = {(dice.choice(["allow", "disallow"]), dice.choice(["/", "", "*"]) + text(5, "ab/*") + dice.choice(["", "", "$", "$a"])) for _ in range(150)}
+    rules = sorted(r for r in rules if r[1])
+    paths = sorted({"/" + text(8, "ab/$") for _ in range(400)} | {"/", "/a\nb"})
+    body = "User-agent: *\n" + "\n".join(f"{kind}: {pattern}" for kind, pattern in rules)
+    robots = parse_robots(bodies(spark, ("https://e.com", body, 200), ("https://f.com", "User-agent: *\nDisallow: /a", 200)), "x")
+    urls = spark.createDataFrame(
+        [(i, f"https://{h}.com{p}".replace("\n", "%0A"), h, p) for i, (h, p) in enumerate([(h, p) for h in "efg" for p in [*paths, paths[3]]])]
+        + [(-1, None, "n", "/"), (-2, "no url", "n", "/")],
+        "i int, url string, h string, p string",
+    )
+    of = {"e": rules, "f": [("disallow", "/a")], "g": [], "n": []}
+    want = {r.i: by_pattern(r.p, of[r.h]) for r in urls.collect()}
+    assert len(set(want.values())) == 2
+    for listed in (1000, 64, 0):
+        monkeypatch.setattr(R, "LISTED_RULES", listed)
+        verdicts = R.robots_verdict(urls, robots)
+        assert set(verdicts.columns) == {"i", "url", "h", "p", "origin", "allowed"}
+        rows = verdicts.collect()
+        assert len(rows) == len(want) and {r.i: r.allowed for r in rows} == want, listed
+
+
 def test_origin_fields(spark):
     df = parse_robots(
         bodies(spark, ("a", BODY, 200), ("b", None, 404), ("c", None, 0), ("d", None, None), ("e", "Disallow: /", 200), ("f", BODY.replace("\n", "\r\n"), 200)),

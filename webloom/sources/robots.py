@@ -23,13 +23,28 @@ def _is(line: Column, name: str) -> Column:
     return F.startswith(F.lower(line), F.lit(name + ":"))
 
 
-def path_regex(pattern: Column) -> Column:
-    """Regular expression for a whole decoded path: ``*`` is any text, a last ``$`` the end."""
+def rule_parts(pattern: Column) -> Column:
+    """A pattern as literal texts: ``*`` is any text, a last ``$`` the end.
+
+    ``head`` begins the path, the texts of ``middle`` follow in order, ``tail``
+    (NULL: none asked) ends it. Without ``open``, a ``*`` in the pattern, the
+    whole path is given.
+    """
     ends = F.endswith(pattern, F.lit("$"))
     body = F.when(ends, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern)
-    quoted = F.replace(body, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    quoted = F.replace(quoted, F.lit("*"), F.lit("\\E.*\\Q"))
-    return F.concat(F.lit("(?d)\\A\\Q"), quoted, F.lit("\\E"), F.when(ends, F.lit("\\z")).otherwise(F.lit(".*\\z")))
+
+    def of(pieces: Column) -> Column:
+        rest = F.slice(pieces, 2, F.size(pieces))
+        open_ = F.size(pieces) > 1
+        middle = F.when(ends & open_, F.slice(rest, 1, F.size(rest) - 1)).otherwise(rest)
+        return F.struct(
+            pieces[0].alias("head"),
+            F.filter(middle, lambda p: p != "").alias("middle"),
+            F.when(ends, F.when(open_, F.element_at(pieces, -1)).otherwise("")).alias("tail"),
+            open_.alias("open"),
+        )
+
+    return let(F.split(body, "[*]", -1), of)
 
 
 def parse_robots(bodies: DataFrame, agent: str, rfc: bool = False) -> DataFrame:
@@ -80,9 +95,7 @@ def parse_robots(bodies: DataFrame, agent: str, rfc: bool = False) -> DataFrame:
             F.when(_is(line, "allow"), "allow").otherwise("disallow").alias("kind"),
             pattern.alias("pattern"),
             F.length(pattern).alias("specificity"),
-            F.regexp_extract(pattern, r"(?s)^(.*?)(?:[*]|[$]\z|\z)", 1).alias("head"),
-            (~F.contains(pattern, F.lit("*")) & ~F.endswith(pattern, F.lit("$"))).alias("plain"),
-            path_regex(pattern).alias("regex"),
+            rule_parts(pattern).alias("parts"),
         )
 
     def delay(line: Column) -> Column:
