@@ -210,3 +210,29 @@ def test_steps_are_ordered(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(5, True, True), (11, False, True)]
     with pytest.raises(Exception, match="cycle"):
         E.ordered_steps([E.Step("a", after=("b",)), E.Step("b", after=("a",))])
+
+
+def test_crawl_report_counts_each_part_once(spark):
+    schema = "outcome string, category string, reason string, rule string, fields_filled int, fields_total int, elapsed_ms double, us long"
+    rows = [
+        ("ok", None, None, "a", 1, 2, 1.0, 5_000_000),
+        ("ok", None, None, None, None, None, None, 1_000_000),
+        ("fetch_error", "dns", None, "a", 0, 2, 1e9, 2_000_000),
+        (None, None, "queue_full", None, None, None, None, 3_000_000),
+    ]
+    depths = spark.createDataFrame([(0, 2, 1, 3)], "depth int, processed long, queued long, planned long")
+    found = spark.createDataFrame([("https://a.com", 3, 1), (None, 2, 0)], "origin string, urls long, redirects long")
+    got = S.crawl_report(spark, spark.createDataFrame(rows, schema), depths, found).first().report.asDict(recursive=True)
+    assert got == {
+        "outcome_summary": {"ok": 2, "fetch_error": 1},
+        "fetch_errors": {"dns": 1},
+        "drops": {"queue_full": 1},
+        "rule_stats": {"a": {"hits": 2, "fields_filled": 1, "fields_total": 4, "slow_count": 1}},
+        "totals": {"ok": 2, "fail": 1, "dropped": 1, "all": 4},
+        "duration_s": 4,
+        "depth_layers": {"0": {"processed": 2, "queued": 1, "planned": 3}},
+        "discovery": {"origins": 1, "sitemap_urls": 5},
+        "redirects": 1,
+    }
+    nothing = S.crawl_report(spark, spark.createDataFrame([], schema), depths.where("false"), found.where("false")).first().report
+    assert nothing.outcome_summary == {} and nothing.depth_layers == {} and nothing.totals["all"] == 0 and nothing.redirects == 0

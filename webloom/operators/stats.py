@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.operators.rules import SLOW_MS
+
 # Outcomes that are a handled page and outcomes that are a fault.
 SUCCESS_OUTCOMES = ("ok", "truncated", "duplicate", "noindex", "parse_failed", "robots_denied")
 FAILURE_OUTCOMES = ("fetch_error", "internal_error", "stopped")
@@ -176,6 +178,11 @@ def depth_progress(urls: DataFrame, queue: DataFrame, failures: DataFrame, saved
             tagged(saved, saved_done=F.col("processed"), saved_plan=F.col("planned")),
         ],
     )
+    return depth_totals(rows)
+
+
+def depth_totals(rows: DataFrame) -> DataFrame:
+    """Per depth of ``(depth, done, queued, saved_done, saved_plan)``: processed, queued, planned."""
     sums = rows.groupBy("depth").agg(
         F.sum("done").alias("done"),
         F.sum("queued").alias("queued"),
@@ -295,36 +302,71 @@ def state_counts(urls: DataFrame, queue: DataFrame, failures: DataFrame, in_flig
     return reduce(DataFrame.union, parts)
 
 
-def as_map(df: DataFrame, key: str, value: Column) -> Column:
-    """A small relation as one map value; for key sets that a setting or the code bounds."""
-    pairs = F.collect_list(F.struct(F.col(key).cast("string"), value.alias("v")))
-    return df.agg(F.map_from_entries(F.array_sort(pairs))).scalar()
-
-
-def crawl_report(
-    spark: SparkSession,
-    outcomes: DataFrame,
-    totals: DataFrame,
-    errors: DataFrame,
-    drops: DataFrame,
-    depths: DataFrame,
-    rules: DataFrame,
-    discovery: DataFrame,
-    redirects: DataFrame,
-    duration_s: Column,
-) -> DataFrame:
-    """One row with the nested report. Its maps range over outcomes, categories,
-    reasons, depths and rules, all bounded; figures per domain stay a relation
-    of their own (``domain_stats``), since domains grow with the crawl."""
-    report = F.struct(
-        as_map(outcomes, "outcome", F.col("n")).alias("outcome_summary"),
-        totals.agg(F.max(F.struct("ok", "fail", "dropped", "all"))).scalar().alias("totals"),
-        as_map(errors, "category", F.col("n")).alias("fetch_errors"),
-        as_map(drops, "reason", F.col("dropped")).alias("drops"),
-        as_map(depths, "depth", F.struct("processed", "queued", "planned")).alias("depth_layers"),
-        as_map(rules, "rule", F.struct("hits", "fields_filled", "fields_total", "slow_count")).alias("rule_stats"),
-        discovery.agg(F.max(F.struct("origins", "sitemap_urls"))).scalar().alias("discovery"),
-        redirects.agg(F.coalesce(F.sum("redirects"), F.lit(0))).scalar().alias("redirects"),
-        duration_s.alias("duration_s"),
+# The names of a log that a report counts by, and the part of the report each is.
+REPORT_PARTS = {"outcome": "outcome_summary", "category": "fetch_errors", "reason": "drops", "rule": "rule_stats"}
+
+
+def report_counts(log: DataFrame) -> DataFrame:
+    """Typed rows ``(part, key, n, ...)`` of a log in one pass: counts by outcome, error category, drop reason
+    and rule, and a row ``all`` with the time span. NULL names count nowhere."""
+    names = list(REPORT_PARTS)
+    part = F.lit("all")
+    for name, of in REPORT_PARTS.items():
+        part = F.when(F.grouping(name) == 0, of).otherwise(part)
+    sums = [F.sum(c).alias(c) for c in ("fields_filled", "fields_total")]
+    slow = F.count_if(F.col("elapsed_ms") > SLOW_MS).alias("slow_count")
+    return (
+        log.groupingSets([[n] for n in names] + [[]], *names)
+        .agg(part.alias("part"), F.count(F.lit(1)).alias("n"), *sums, slow, F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+        .withColumn("key", F.coalesce(*names))
+        .where("part = 'all' OR key IS NOT NULL")
+        .drop(*names)
+    )
+
+
+def as_map(where: Column, key: str, value: Column) -> Column:
+    """Rows of a small relation as one map; for key sets that a setting or the code bounds."""
+    pairs = F.collect_list(F.when(where, F.struct(F.col(key).cast("string"), value.alias("v"))))
+    return F.map_from_entries(F.array_sort(pairs))
+
+
+def crawl_report(spark: SparkSession, log: DataFrame, depths: DataFrame, found: DataFrame) -> DataFrame:
+    """One row with the nested report, each input read once.
+
+    ``log`` has outcome, category, reason, rule (NULL where a row has none),
+    fields_filled, fields_total, elapsed_ms, us; ``depths`` is ``depth_progress``,
+    ``found(origin, urls, redirects)`` the sitemap URLs. The maps range over
+    outcomes, categories, reasons, depths and rules, all bounded; figures per
+    domain stay a relation of their own (``domain_stats``), since domains grow
+    with the crawl.
+    """
+
+    def of(part: str, names: tuple[str, ...] | None = None) -> Column:
+        return (F.col("part") == part) & (F.lit(True) if names is None else F.col("key").isin(*names))
+
+    def total(where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+
+    ok, fail = (total(of("outcome_summary", names)) for names in (SUCCESS_OUTCOMES, FAILURE_OUTCOMES))
+    dropped = total(of("drops"))
+    values = {part: F.col("n") for part in REPORT_PARTS.values()} | {
+        "rule_stats": F.struct(F.col("n").alias("hits"), "fields_filled", "fields_total", "slow_count")
+    }
+    parts = [as_map(of(part), "key", value).alias(part) for part, value in values.items()]
+    totals = F.struct(ok.alias("ok"), fail.alias("fail"), dropped.alias("dropped"), (ok + fail + dropped).alias("all")).alias("totals")
+    span = F.expr("(max(last_us) - min(first_us)) div 1000000").alias("duration_s")
+    layers = as_map(F.lit(True), "depth", F.struct("processed", "queued", "planned"))
+    sites = F.struct(F.count("origin").alias("origins"), F.sum("urls").alias("sitemap_urls"), F.coalesce(F.sum("redirects"), F.lit(0)).alias("redirects"))
+    counted = report_counts(log).agg(F.struct(*parts, totals, span)).scalar()
+    return (
+        spark.range(1)
+        .select(counted.alias("c"), depths.agg(layers).scalar().alias("depth_layers"), found.agg(sites).scalar().alias("s"))
+        .select(
+            F.struct(
+                "c.*",
+                "depth_layers",
+                F.struct("s.origins", "s.sitemap_urls").alias("discovery"),
+                F.col("s.redirects").alias("redirects"),
+            ).alias("report")
+        )
     )
-    return spark.range(1).select(report.alias("report"))

@@ -19,11 +19,13 @@ from webloom.sources.robots import parse_robots
 WITH = f"WITH {EV_SQL}, {STATE_CTES} "
 
 # The outcome of a request by event type and value.
-OUTCOMES = """SELECT event_id, concat('s', user_id) AS domain, value AS elapsed_ms, CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'duplicate'
+_OUTCOME = """CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'duplicate'
   WHEN 'purchase' THEN CASE WHEN value > 30 THEN 'truncated' ELSE 'noindex' END WHEN 'signup' THEN 'robots_denied'
-  ELSE CASE WHEN value < 5 THEN 'internal_error' WHEN value < 10 THEN 'stopped' ELSE 'fetch_error' END END AS outcome FROM {events}"""
-DROPS = """SELECT CASE WHEN k < 30 THEN 'already_visited' WHEN k < 60 THEN 'queue_full' ELSE 'exclude_pattern' END AS reason, count(*) AS dropped
-  FROM {ev} WHERE event_type = 'signup' GROUP BY 1"""
+  ELSE CASE WHEN value < 5 THEN 'internal_error' WHEN value < 10 THEN 'stopped' ELSE 'fetch_error' END END"""
+_REASON = "CASE WHEN k < 30 THEN 'already_visited' WHEN k < 60 THEN 'queue_full' ELSE 'exclude_pattern' END"
+OUTCOMES = f"""SELECT event_id, concat('s', user_id) AS domain, value AS elapsed_ms, {_OUTCOME} AS outcome FROM {{events}}"""
+DROPS = f"""SELECT {_REASON} AS reason, count(*) AS dropped
+  FROM {{ev}} WHERE event_type = 'signup' GROUP BY 1"""
 _DROPS = DROPS.replace("{ev}", "ev")
 _OK = "('ok', 'truncated', 'duplicate', 'noindex', 'parse_failed', 'robots_denied')"
 
@@ -54,13 +56,14 @@ def domain_stats(t: Tables):
 
 
 # An error text per event, from codes of every family to plain messages.
-ERRORS = """SELECT event_id, value > 20 AS has_proxy, CASE k % 20
+_ERROR = """CASE k % 20
   WHEN 0 THEN 'Page.goto: net::ERR_NAME_NOT_RESOLVED at https://x' WHEN 1 THEN 'net::ERR_SSL_PROTOCOL_ERROR' WHEN 2 THEN 'net::ERR_CERT_DATE_INVALID'
   WHEN 3 THEN 'net::ERR_CONNECTION_TIMED_OUT' WHEN 4 THEN 'net::ERR_CONNECTION_REFUSED' WHEN 5 THEN 'net::ERR_CONNECTION_RESET' WHEN 6 THEN 'net::ERR_PROXY_CONNECTION_FAILED'
   WHEN 7 THEN 'net::ERR_TUNNEL_CONNECTION_FAILED' WHEN 8 THEN 'net::ERR_ABORTED; Target closed' WHEN 9 THEN 'net::ERR_TOO_MANY_REDIRECTS' WHEN 10 THEN 'net::HTTP_404'
   WHEN 11 THEN 'net::HTTP_503' WHEN 12 THEN 'net::HTTP_418' WHEN 13 THEN 'net::ERR_SOMETHING_NEW' WHEN 14 THEN 'Page.goto: Timeout 30000ms exceeded'
   WHEN 15 THEN 'Target page, context or browser has been closed' WHEN 16 THEN 'Download is starting' WHEN 17 THEN '' WHEN 18 THEN 'net::ERR_NAME_NOT_RESOLVED_X'
-  ELSE 'boom' END AS error FROM {ev} WHERE event_type = 'error'"""
+  ELSE 'boom' END"""
+ERRORS = f"""SELECT event_id, value > 20 AS has_proxy, {_ERROR} AS error FROM {{ev}} WHERE event_type = 'error'"""
 
 
 @query(
@@ -295,28 +298,26 @@ def crawl_report(t: Tables):
     )
 
 
+# One row per event: its outcome, and where it has one its drop reason and error text.
+REPORT_LOG = f"""SELECT o.outcome, o.elapsed_ms, CASE WHEN event_type = 'signup' THEN {_REASON} END AS reason,
+  CASE WHEN event_type = 'error' THEN {_ERROR} END AS error, concat('rule', user_id) AS rule, 1 AS fields_filled, 4 AS fields_total, us
+  FROM (SELECT *, value AS elapsed_ms, {_OUTCOME} AS outcome FROM {{ev}}) o"""
+# Completed, queued and failed URLs of the log in one pass; the saved counters are those of SAVED_DEPTHS.
+REPORT_DEPTHS = """WITH u AS (SELECT event_type, url, CASE WHEN event_type = 'purchase' THEN min(k % 5) ELSE min(k % 4) END AS depth, count(*) AS n
+    FROM {ev} WHERE event_type IN ('purchase', 'view', 'error') GROUP BY event_type, url),
+  d AS (SELECT depth, count_if(event_type = 'purchase' OR (event_type = 'error' AND n >= 2)) AS done, count_if(event_type = 'view') AS queued FROM u GROUP BY depth)
+  SELECT *, CASE WHEN depth < 3 AND queued > 0 THEN queued + 10 ELSE 0 END AS saved_done, CASE WHEN depth < 3 THEN 3 * queued ELSE 0 END AS saved_plan
+  FROM d WHERE done + queued > 0"""
+
+
 def report(t: Tables):
-    from webloom.operators.rules import rule_stats
-
-    s, log = state(t), ev(t)
-    counts = O.outcome_counts(t.derive(OUTCOMES))
-    drops = t.derive(DROPS, ev=log)
-    errors = O.classify_errors(t.derive(ERRORS, ev=log)).groupBy("category").agg(F.count("*").alias("n"))
-    saved = t.derive(SAVED_DEPTHS, queue=s["queue"])
-    runs = log.select(
-        F.concat(F.lit("rule"), "user_id").alias("rule"), F.lit(1).alias("fields_filled"), F.lit(4).alias("fields_total"), F.col("value").alias("elapsed_ms")
-    )
-    found = _discovery(t).where("is_total = 0").agg(F.count("origin").alias("origins"), F.sum("sitemap_urls").alias("sitemap_urls"))
-    span = log.agg(F.expr("(max(us) - min(us)) div 1000000")).scalar()
+    log = ev(t)
+    category = F.when(F.col("error").isNotNull(), O.error_category(F.col("error")))
+    moved = F.count_if(F.col("url") != F.col("final_url"))
+    results = t.pages.select(U.origin_of("url").alias("origin"), "url", U.canonical_url("url").alias("final_url"))
     return O.crawl_report(
         t.spark,
-        outcomes=counts,
-        totals=O.outcome_totals(counts, drops),
-        errors=errors,
-        drops=drops,
-        depths=O.depth_progress(s["urls"], s["queue"], s["failures"], saved),
-        rules=rule_stats(runs),
-        discovery=found,
-        redirects=O.redirect_stats(_results(t)),
-        duration_s=span,
+        log=t.derive(REPORT_LOG, ev=log).withColumn("category", category),
+        depths=O.depth_totals(t.derive(REPORT_DEPTHS, ev=log)),
+        found=results.groupBy("origin").agg(F.count("url").alias("urls"), moved.alias("redirects")),
     )
