@@ -175,3 +175,20 @@ def test_lines_of_many_shapes(spark):
     for i, k, x in got:
         want = len({x[j : j + 10] for j in range(len(x) - 9)}) if len(x) > 10 else 1
         assert sizes[i, k] == (want, line_dedup.BINS // line_dedup.BAND)
+
+
+def test_line_texts_go_through_the_joins_instead_of_sets(spark, monkeypatch):
+    kept = {}
+    real = near.stored
+    monkeypatch.setattr(near, "stored", lambda df, name="stage": kept.setdefault(name, real(df, name)) if name == "sets" else real(df, name))
+    line = " ".join(f"word{i * 37 % 101}" for i in range(60))
+    # Two texts under one id, a null id, a repeated row; the same place holds different lines.
+    docs = [(1, line + "\nonly one"), (1, line.replace("word37", "other") + "\nélan vital " + line), (None, "x\n" + line + " more"), (2, line + "\nonly one"), (2, line + "\nonly one")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {(r["doc_id"], r["line_no"], r["class_doc"], r["class_line"], r["kept"]) for r in line_dedup.judged(df).collect()}
+    assert rows == {
+        (1, 0, 1, 0, True), (1, 1, 1, 1, True), (2, 0, 1, 0, False), (2, 1, 1, 1, False), (None, 0, None, 0, True), (None, 1, 1, 0, False)
+    } | {(1, 1, 1, 0, False)}
+    lines = {x for _, text in docs for x in text.split("\n")}
+    members = [r["members"] for r in kept["sets"].collect()]
+    assert len(members) == len(set(members)) > 1 and set(members) <= lines

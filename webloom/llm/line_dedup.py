@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.near import linked_sets
-from webloom.llm.sizes import small
+from webloom.llm.sizes import SMALL_ROWS
 from webloom.llm.sketch import SKETCH_SCHEMA, described, distinct, set_keys
 from webloom.llm.tokens import BYTE_VALUE, PLACE, mix, places, slices
 from webloom.session import stored
@@ -96,13 +96,14 @@ class Lines:
 
 
 def _whole(docs: DataFrame) -> DataFrame:
+    """``mark`` tells texts under one id apart."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("text_key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, node, n, bands) of every line."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), *SKETCH_SCHEMA])
+    """(doc_id, mark, line_no, node, n, bands) of every line."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("line_no", pa.int64()), *SKETCH_SCHEMA])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,15 +111,16 @@ def describe(docs: DataFrame) -> DataFrame:
                 lines = Lines(data, offsets)
                 if len(lines):
                     sets = distinct(*lines.shingles())
-                    ids = rows.column("doc_id").take(pa.array(lines.doc))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number), *described(*sets, BINS, BAND)], schema=schema)
+                    doc = pa.array(lines.doc)
+                    ids = [rows.column(c).take(doc) for c in ("doc_id", "mark")]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(lines.number), *described(*sets, BINS, BAND)], schema=schema)
 
-    return _whole(docs).mapInArrow(run, "doc_id long, line_no long, node binary, n long, bands array<long>")
+    return _whole(docs).mapInArrow(run, "doc_id long, mark long, line_no long, node binary, n long, bands array<long>")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, node, line) of every line."""
-    names = ["doc_id", "text_key", "line_no", "node", "line"]
+def keyed(docs: DataFrame, with_line: bool = True) -> DataFrame:
+    """(doc_id, text_key, line_no, node, line) of every line; without ``with_line`` no texts are made."""
+    names = ["doc_id", "text_key", "line_no", "node"] + ["line"] * with_line
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,37 +130,49 @@ def keyed(docs: DataFrame) -> DataFrame:
                     keys = np.ascontiguousarray(set_keys(*distinct(*lines.shingles())))
                     doc = pa.array(lines.doc)
                     nodes = pa.array([k.tobytes() for k in keys], pa.binary())
-                    texts = pa.array([lines.text(i) for i in range(len(lines))], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(doc), rows.column("text_key").take(doc), pa.array(lines.number), nodes, texts], names)
+                    columns = [rows.column("doc_id").take(doc), rows.column("text_key").take(doc), pa.array(lines.number), nodes]
+                    if with_line:
+                        columns.append(pa.array([lines.text(i) for i in range(len(lines))], pa.binary()).cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _whole(docs).mapInArrow(run, "doc_id long, text_key string, line_no long, node binary, line string")
+    text = F.col("text").cast("string")
+    whole = docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("text_key"), text.alias("text"))
+    return whole.mapInArrow(run, "doc_id long, text_key string, line_no long, node binary" + (", line string" if with_line else ""))
 
 
-def members(lines: DataFrame) -> DataFrame:
-    """(nid, members): the full sets of ``lines`` (nid, line)."""
+def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(nid, members): the lines at ``places`` (nid, own), once each. The texts meet their places by id and mark."""
+    places = stored(places, "asked_lines")
+    asked = places.groupBy(F.col("own.doc_id").alias("_id"), F.col("own.mark").alias("_mark")).agg(F.collect_list(F.struct("nid", "own.line_no")).alias("asked"))
+    # As ``small``, but the places count, not the documents.
+    asked = F.broadcast(asked) if places.count() <= SMALL_ROWS else asked.hint("merge")
+    texts = _whole(docs)
+    met = texts.join(asked, texts["doc_id"].eqNullSafe(asked["_id"]) & (texts["mark"] == asked["_mark"]))
+    cut = met.select("asked", F.split("text", "\n").alias("lines"))
+    found = cut.select(F.inline(F.transform("asked", lambda a: F.struct(a["nid"].alias("nid"), F.get("lines", a["line_no"].cast("int")).alias("members")))))
+    return found.dropDuplicates(["nid"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in slices(batch, "line"):
-                values, ends = distinct(*Lines(data, offsets).shingles())
-                sets = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("nid"), pa.array(sets, pa.binary())], ["nid", "members"])
 
-    return lines.select("nid", "line").mapInArrow(run, "nid long, members binary")
+def line_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle sets of a column of lines, a slice at a time."""
+    for _, data, offsets in slices(pa.RecordBatch.from_arrays([column], ["members"]), "members"):
+        values, ends = distinct(*Lines(data, offsets).shingles())
+        yield from (values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
 
 def line_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(node, first): the first line (lacking, doc_id, line_no) of the class of every distinct line."""
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "line_no")).alias("own")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "line_no", "mark")).alias("own")
     once = describe(docs).groupBy("node").agg(least, F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(once.withColumn("nid", F.monotonically_increasing_id()), "lines")
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        asked = stored(asked.select("nid", "node"), "asked_lines")
-        return members(keyed(docs).select("node", "line").join(small(asked), "node").dropDuplicates(["nid"]))
+        return lines_at(docs, asked.select("nid").join(nodes.select("nid", "own"), "nid"))
 
-    groups = stored(linked_sets(nodes, sets_of, num, den), "line_groups")
-    named = nodes.select("nid", "node", "own").join(groups, "nid", "left")
+    # Lines are a tenth of their sets: they go through the joins, and sets are made where two lines meet.
+    groups = stored(linked_sets(nodes, sets_of, num, den, line_sets), "line_groups")
+    place = F.struct("own.lacking", "own.doc_id", "own.line_no").alias("own")
+    named = nodes.select("nid", "node", place).join(groups, "nid", "left")
     # Lines without a group go round the join: as null keys they would meet in one task.
     several = named.where("component IS NOT NULL")
     first = several.groupBy("component").agg(F.min("own").alias("first"))
@@ -170,7 +184,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, class_doc, class_line, kept) of every line that is not blank."""
     own = F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "line_no")
     classes = line_classes(docs)
-    met = keyed(docs).drop("line").join(classes, "node")
+    met = keyed(docs, with_line=False).join(classes, "node")
     return met.select("doc_id", "text_key", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), (F.col("first") == own).alias("kept"))
 
 

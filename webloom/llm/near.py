@@ -52,14 +52,21 @@ def ordered(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def compared(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (center, nid) with size, center_n, whether they are linked and their sorted difference."""
+def packed_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a column that holds their sorted values as bytes."""
+    return (np.frombuffer(v.as_py(), np.uint64) for v in column)
+
+
+def compared(stars: DataFrame, sets: DataFrame, num: int, den: int, read: Callable[[pa.Array], Iterator[np.ndarray]] = packed_sets) -> DataFrame:
+    """Pairs (center, nid) with size, center_n, whether they are linked and their sorted difference.
+
+    ``read`` gives the sets of a column ``members``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for c, x in zip(batch.column("set_c"), batch.column("set_x"), strict=True):
-                c, x = np.frombuffer(c.as_py(), np.uint64), np.frombuffer(x.as_py(), np.uint64)
+            for c, x in zip(read(batch.column("set_c")), read(batch.column("set_x")), strict=True):
                 apart = difference(c, x)
                 both = (len(c) + len(x) - len(apart)) // 2
                 made.append((len(x), len(c), den * both >= num * (len(c) + len(x) - both), apart.tobytes()))
@@ -142,15 +149,17 @@ def links_in_blocks(met: DataFrame, num: int, den: int) -> DataFrame:
     return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def linked_sets(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = 80, den: int = 100) -> DataFrame:
+def linked_sets(
+    nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = 80, den: int = 100, read: Callable[[pa.Array], Iterator[np.ndarray]] = packed_sets
+) -> DataFrame:
     """(nid, component) of all ``nodes`` (nid, node, n, bands) that have a link.
 
-    ``sets_of`` gives (nid, members), the sorted full sets, for nodes (nid, node).
+    ``sets_of`` gives (nid, members) for nodes (nid, node): the sorted full sets, or what ``read`` makes them from.
     """
     stars = stored(crowded_bands(nodes).where("nid <> center").select("center", "nid").distinct(), "stars")
     asked = stars.select("nid").union(stars.select("center")).distinct()
     sets = stored(sets_of(nodes.select("nid", "node").join(asked, "nid", "left_semi")), "sets")
-    seen = stored(compared(stars, sets, num, den), "compared")
+    seen = stored(compared(stars, sets, num, den, read), "compared")
     direct = seen.where("linked").select(*ordered(F.col("center"), F.col("nid")))
     first = stored(components(direct), "groups")
     more = stored(links_in_blocks(dealt(seen, first), num, den), "block_links")
