@@ -192,3 +192,19 @@ def test_line_texts_go_through_the_joins_instead_of_sets(spark, monkeypatch):
     lines = {x for _, text in docs for x in text.split("\n")}
     members = [r["members"] for r in kept["sets"].collect()]
     assert len(members) == len(set(members)) > 1 and set(members) <= lines
+
+
+def test_texts_do_not_go_through_the_join_with_asked_lines(spark, monkeypatch):
+    docs = [(i if i % 9 else None, "\n".join(f"line {k} of text {i}" for k in range(40))) for i in range(150)]
+    df = spark.createDataFrame([*docs, docs[5]], "doc_id long, text string")
+    all_lines = line_dedup.keyed(df).collect()
+    asked = [(n, (r["doc_id"], r["mark"], r["line_no"])) for n, r in enumerate(all_lines[:6000:20])]
+    places = spark.createDataFrame(asked, "nid long, own struct<doc_id: long, mark: long, line_no: long>")
+    want = {(n, all_lines[20 * n]["line"]) for n, _ in asked}
+    for bits in (line_dedup.MOST_BITS, 0):  # a table as large as wanted, and a full one
+        monkeypatch.setattr(line_dedup, "MOST_BITS", bits)
+        left = line_dedup.likely(line_dedup.keyed(df), places.select("own.*")).collect()
+        assert {(r["doc_id"], r["mark"], r["line_no"]) for r in left} >= {own for _, own in asked}
+        assert (len(left) < len(all_lines) / 5) == (bits > 0)
+        found = [tuple(r) for r in line_dedup.lines_at(df, places).collect()]
+        assert len(found) == len(want) and set(found) == want

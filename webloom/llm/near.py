@@ -83,17 +83,20 @@ def dealt(stars: DataFrame, groups: DataFrame) -> DataFrame:
 
     Nodes outside and inside the center's component have blocks of their own; two inside blocks need no comparison.
     """
+    # The differences are the bulk of a row: they join when it is known where nodes go.
+    narrow = stars.select("center", "nid", "n", F.length("apart").alias("size"))
     own = groups.withColumnRenamed("component", "group").withColumnRenamed("node", "nid")
     theirs = groups.withColumnRenamed("component", "center_group").withColumnRenamed("node", "center")
-    named = stars.join(own, "nid", "left").join(theirs, "center", "left")
+    named = narrow.join(own, "nid", "left").join(theirs, "center", "left")
     named = named.withColumn("group", F.coalesce("group", "nid")).withColumn("outside", F.col("group") != F.coalesce("center_group", "center"))
-    blocks = lambda part: F.ceil(F.greatest(F.sum(part.cast("long")) / BLOCK_NODES, F.sum(F.when(part, F.length("apart"))) / BLOCK_BYTES))
+    blocks = lambda part: F.ceil(F.greatest(F.sum(part.cast("long")) / BLOCK_NODES, F.sum(F.when(part, F.col("size"))) / BLOCK_BYTES))
     sizes = named.groupBy("center").agg(blocks(F.col("outside")).alias("outer"), blocks(~F.col("outside")).alias("inner"), F.count(F.lit(1)).alias("nodes"))
     sizes = stored(sizes.where("nodes > 1 AND outer > 0").withColumn("inner", F.coalesce("inner", F.lit(0))), "block_sizes")
     spot = F.pmod(F.xxhash64("nid"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner")))
     placed = named.join(sizes, "center").withColumn("block", spot + F.when(F.col("outside"), 0).otherwise(F.col("outer")))
     others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("outside"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
-    met = placed.withColumn("other", F.explode(others))
+    whole = placed.select("*", others.alias("others")).join(stars.select("center", "nid", "apart"), ["center", "nid"])
+    met = whole.withColumn("other", F.explode("others"))
     return met.select("center", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "nid", "n", "group", "apart")
 
 
@@ -154,11 +157,11 @@ def linked_sets(
 ) -> DataFrame:
     """(nid, component) of all ``nodes`` (nid, node, n, bands) that have a link.
 
-    ``sets_of`` gives (nid, members) for nodes (nid, node): the sorted full sets, or what ``read`` makes them from.
+    ``sets_of`` gives (nid, members) for nodes (nid, node and what else they have): the sorted full sets, or what ``read`` makes them from.
     """
     stars = stored(crowded_bands(nodes).where("nid <> center").select("center", "nid").distinct(), "stars")
     asked = stars.select("nid").union(stars.select("center")).distinct()
-    sets = stored(sets_of(nodes.select("nid", "node").join(asked, "nid", "left_semi")), "sets")
+    sets = stored(sets_of(nodes.drop("n", "bands").join(asked, "nid", "left_semi")), "sets")
     seen = stored(compared(stars, sets, num, den, read), "compared")
     direct = seen.where("linked").select(*ordered(F.col("center"), F.col("nid")))
     first = stored(components(direct), "groups")
