@@ -208,3 +208,46 @@ def test_texts_do_not_go_through_the_join_with_asked_lines(spark, monkeypatch):
         assert (len(left) < len(all_lines) / 5) == (bits > 0)
         found = [tuple(r) for r in line_dedup.lines_at(df, places).collect()]
         assert len(found) == len(want) and set(found) == want
+
+
+def test_lines_run_no_python_in_tasks(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("Python in tasks")
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", refused)
+    monkeypatch.setattr(near, "BLOCK_NODES", 4)
+    rng = random.Random(21)
+    base = "".join(rng.choice("abcdefghij \U0001f600é") for _ in range(160))
+    texts = []
+    for _ in range(60):  # pairs just above and just below the threshold, some around a common center only
+        line = list(base)
+        for _ in range(rng.randint(0, 4)):
+            line[rng.choice([5, 35, 65, 95, 125, 155])] = rng.choice("xyz")
+        texts.append("".join(line))
+    names = sorted(set(texts))
+    sets = [{x[i : i + 10] for i in range(len(x) - 9)} for x in names]
+    links = [(i, j) for i, j in combinations(range(len(names)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    group = grouped_by_links(range(len(names)), links)
+    first = {}
+    for i, x in enumerate(texts):
+        first.setdefault(group[names.index(x)], i)
+    rows = line_dedup.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_doc"] for r in rows} == {i: first[group[names.index(x)]] for i, x in enumerate(texts)}
+
+
+def test_links_in_blocks_of_lines_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    center = np.unique(rng.integers(-(2**62), 2**62, 150))
+    sets, rows = [], []
+    pool = rng.integers(-(2**62), 2**62, 60)
+    for k in range(40):
+        mine = set(rng.permutation(center)[: rng.integers(110, 150)].tolist()) if k % 2 else set(center[:120].tolist())
+        mine |= set(pool[30 * (k % 2) : 30 * (k % 2) + int(rng.integers(20, 30))].tolist())
+        sets.append(mine)
+    for k, mine in enumerate(sets):
+        for other in (0, 1):
+            rows.append((7, min(k % 2, other), max(k % 2, other), k % 2, k, len(mine), k, list(mine ^ set(center.tolist()))))
+    met = spark.createDataFrame(rows, "center long, left long, right long, block long, nid long, n long, group long, apart array<long>")
+    got = {(r["a"], r["b"]) for r in line_dedup.block_links(met, 80, 100).collect()}
+    want = {(i, j) for i, j in combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert got == want and 0 < len(want) < 40 * 39 / 2

@@ -37,15 +37,16 @@ def with_ids(described: DataFrame) -> DataFrame:
 
 
 def crowded_bands(nodes: DataFrame) -> DataFrame:
-    """(key, nid, n, center): the members of bands with two nodes or more and the member with most company."""
-    bands = nodes.select("nid", "n", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = stored(bands.join(shared, "key"), "bands")
+    """(key, nid, center): the members of bands with two nodes or more and the member with most company."""
+    # Both readers take the same columns, so that bands are dealt out once.
+    bands = nodes.select("nid", F.explode("bands").alias("key")).repartition("key")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("nid").alias("low"), F.max("nid").alias("high")).where("low < high").select("key", "members")
+    met = stored(bands.join(shared.hint("shuffle_hash"), "key"), "bands")
     company = met.groupBy("nid").agg(F.sum("members").alias("company"))
     ranked = met.join(company, "nid")
     best = F.max(F.struct("company", (-F.col("nid")).alias("back"))).alias("best")
     centers = ranked.groupBy("key").agg(best).select("key", (-F.col("best.back")).alias("center"))
-    return stored(met.join(centers, "key").select("key", "nid", "n", "center"), "crowded")
+    return stored(met.join(centers, "key").select("key", "nid", "center"), "crowded")
 
 
 def ordered(x, y) -> list:
@@ -57,16 +58,13 @@ def packed_sets(column: pa.Array) -> Iterator[np.ndarray]:
     return (np.frombuffer(v.as_py(), np.uint64) for v in column)
 
 
-def compared(stars: DataFrame, sets: DataFrame, num: int, den: int, read: Callable[[pa.Array], Iterator[np.ndarray]] = packed_sets) -> DataFrame:
-    """Pairs (center, nid) with size, center_n, whether they are linked and their sorted difference.
-
-    ``read`` gives the sets of a column ``members``.
-    """
+def compared(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (center, nid) with size, center_n, whether they are linked and their sorted difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for c, x in zip(read(batch.column("set_c")), read(batch.column("set_x")), strict=True):
+            for c, x in zip(packed_sets(batch.column("set_c")), packed_sets(batch.column("set_x")), strict=True):
                 apart = difference(c, x)
                 both = (len(c) + len(x) - len(apart)) // 2
                 made.append((len(x), len(c), den * both >= num * (len(c) + len(x) - both), apart.tobytes()))
@@ -84,7 +82,8 @@ def dealt(stars: DataFrame, groups: DataFrame) -> DataFrame:
     Nodes outside and inside the center's component have blocks of their own; two inside blocks need no comparison.
     """
     # The differences are the bulk of a row: they join when it is known where nodes go.
-    narrow = stars.select("center", "nid", "n", F.length("apart").alias("size"))
+    size = F.length("apart") if stars.schema["apart"].dataType.typeName() == "binary" else 8 * F.size("apart")
+    narrow = stars.select("center", "nid", "n", size.alias("size"))
     own = groups.withColumnRenamed("component", "group").withColumnRenamed("node", "nid")
     theirs = groups.withColumnRenamed("component", "center_group").withColumnRenamed("node", "center")
     named = narrow.join(own, "nid", "left").join(theirs, "center", "left")
@@ -153,17 +152,18 @@ def links_in_blocks(met: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def linked_sets(
-    nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = 80, den: int = 100, read: Callable[[pa.Array], Iterator[np.ndarray]] = packed_sets
+    nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = 80, den: int = 100, compare: Callable[..., DataFrame] = compared, links: Callable[..., DataFrame] = links_in_blocks
 ) -> DataFrame:
-    """(nid, component) of all ``nodes`` (nid, node, n, bands) that have a link.
+    """(nid, component) of all ``nodes`` (nid, node, bands) that have a link.
 
-    ``sets_of`` gives (nid, members) for nodes (nid, node and what else they have): the sorted full sets, or what ``read`` makes them from.
+    ``sets_of`` gives (nid, members) for nodes (nid, node and what else they have): the sorted full sets, or what ``compare`` makes them from.
+    ``compare`` and ``links`` do as ``compared`` and ``links_in_blocks``.
     """
     stars = stored(crowded_bands(nodes).where("nid <> center").select("center", "nid").distinct(), "stars")
     asked = stars.select("nid").union(stars.select("center")).distinct()
     sets = stored(sets_of(nodes.drop("n", "bands").join(asked, "nid", "left_semi")), "sets")
-    seen = stored(compared(stars, sets, num, den, read), "compared")
+    seen = stored(compare(stars, sets, num, den), "compared")
     direct = seen.where("linked").select(*ordered(F.col("center"), F.col("nid")))
     first = stored(components(direct), "groups")
-    more = stored(links_in_blocks(dealt(seen, first), num, den), "block_links")
+    more = stored(links(dealt(seen, first), num, den), "block_links")
     return components(direct.union(more)).withColumnRenamed("node", "nid")
