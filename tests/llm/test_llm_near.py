@@ -251,3 +251,25 @@ def test_links_in_blocks_of_lines_are_those_of_all_pairs(spark):
     got = {(r["a"], r["b"]) for r in line_dedup.block_links(met, 80, 100).collect()}
     want = {(i, j) for i, j in combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert got == want and 0 < len(want) < 40 * 39 / 2
+
+
+def test_parities_of_lines_rule_out_large_differences_only(spark):
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(-(2**62), 2**62, 300)).tolist() for _ in range(12)]
+    sets += [s[:280] + [7 * k, 7 * k + 1] for k, s in enumerate(sets)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "nid long, apart array<long>")
+    rows = df.select("nid", *(line_dedup.parity("apart", k).alias(f"m{k}") for k in range(line_dedup.WORDS))).collect()
+    marks = {r[0]: [x % 2**64 for x in r[1:]] for r in rows}
+    for i, j in combinations(range(len(sets)), 2):
+        differ = sum((x ^ y).bit_count() for x, y in zip(marks[i], marks[j], strict=True))
+        assert differ <= len(set(sets[i]) ^ set(sets[j]))
+        assert j == i + 12 or differ > (len(sets[i]) + len(sets[j])) / 9  # such pairs need no comparison of members
+
+
+def test_equal_lines_are_signed_once(spark, monkeypatch):
+    seen = []
+    real = line_dedup.signed
+    monkeypatch.setattr(line_dedup, "signed", lambda lines, keys: seen.append(lines.count()) or real(lines, keys))
+    docs = [(i, "the same line\nand the same again\nthe same line") for i in range(30)]
+    rows = line_dedup.judged(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert seen == [2] and len(rows) == 90 and {(r["class_doc"], r["class_line"]) for r in rows} == {(0, 0), (0, 1)}

@@ -38,6 +38,8 @@ _random = random.Random(37)
 TARGETS = [[_random.getrandbits(64) - (1 << 63) for _ in range(BAND)] for _ in range(BINS // BAND)]
 # Bits a place, of one row of the table of bits, and the power of two that bounds the table (32 MB).
 BITS_A_PLACE, PAGE, MOST_BITS = 16, 4096 * 8, 28
+# Words of 64 bits, a power of two, that tell most differences of lines apart.
+WORDS = 8
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -67,27 +69,29 @@ def shingle_set(line: str) -> Column:
     return F.array_distinct(F.element_at(made, 1))
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, line_no, node, n, bands) of every line.
+def signed(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``keys`` of rows (keys, line), n and bands: one row for each, with the size of the line's set and its signature.
 
     A coordinate is the least of its shingles' hashes, shifted by an own number of bits and compared with an own target bit
-    by bit: the nearest to the target, which is any of a set with the same probability. Texts are dealt out first, so
-    that the shingles of a line need no further exchange.
+    by bit: the nearest to the target, which is any of a set with the same probability.
     """
-    lines = keyed(docs.repartition(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
-    place = ["doc_id", "mark", "line_no", "node"]
-    wide = lines.select(*place, "line", F.encode("line", "UTF-32").alias("wide"))
-    rows = wide.select(*place, "line", "wide", last_start(F.col("wide")).alias("last"), F.explode(F.sequence(F.lit(1), last_start(F.col("wide")), F.lit(WIDE * ROW))).alias("at"))
+    wide = lines.select(*keys, "line", F.encode("line", "UTF-32").alias("wide"))
+    rows = wide.select(*keys, "line", "wide", last_start(F.col("wide")).alias("last"), F.explode(F.sequence(F.lit(1), last_start(F.col("wide")), F.lit(WIDE * ROW))).alias("at"))
     # Rows at the end repeat the last shingle.
-    hashed = rows.select(*place, "line", *(shingle(F.col("wide"), F.least(F.col("at") + WIDE * k, F.col("last"))).alias(f"h{k}") for k in range(ROW)))
+    hashed = rows.select(*keys, "line", *(shingle(F.col("wide"), F.least(F.col("at") + WIDE * k, F.col("last"))).alias(f"h{k}") for k in range(ROW)))
     bands, count = range(BINS // BAND), BINS // BAND
 
     def coordinate(band: int, j: int) -> Column:
         shifted = [F.shiftleft(f"h{k}", band + count * j).bitwiseXOR(F.lit(TARGETS[band][j])) for k in range(ROW)]
         return F.min(F.least(*shifted)).alias(f"c{band}_{j}")
 
-    met = hashed.groupBy(*place).agg(F.max(F.size(shingle_set("line"))).cast("long").alias("n"), *(coordinate(b, j) for b in bands for j in range(BAND)))
-    return met.select(*place, "n", F.array(*(F.xxhash64(F.lit(b), *(f"c{b}_{j}" for j in range(BAND))) for b in bands)).alias("bands"))
+    met = hashed.groupBy(*keys).agg(F.max(F.size(shingle_set("line"))).cast("long").alias("n"), *(coordinate(b, j) for b in bands for j in range(BAND)))
+    return met.select(*keys, "n", F.array(*(F.xxhash64(F.lit(b), *(f"c{b}_{j}" for j in range(BAND))) for b in bands)).alias("bands"))
+
+
+def describe(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, line_no, node, n, bands) of every line."""
+    return signed(keyed(docs), ["doc_id", "mark", "line_no", "node"])
 
 
 def likely(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -130,26 +134,28 @@ def compared(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def similar(n: str, m: str, apart: Column, num: int, den: int) -> Column:
     """Whether sets of these sizes, that differ in so many members, are alike."""
-    both = (F.col(n) + F.col(m) - apart) / 2
-    return den * both >= num * (F.col(n) + F.col(m) - both)
+    # ``apart`` stands here once: where it is costly, it is not made twice.
+    return (num + den) * (F.col(n) + F.col(m) - apart) >= 2 * num * (F.col(n) + F.col(m))
 
 
-def bits(values: str, where: int) -> Column:
-    """64 bits, each set if a value has its number (0 to 63) in the last six bits and ``where`` (0 or 64) in the one before."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(values, F.lit(0).cast("long"), lambda seen, x: F.when(x.bitwiseAND(F.lit(64)) == where, seen.bitwiseOR(bit(x))).otherwise(seen))
+def parity(values: str, word: int) -> Column:
+    """64 bits: how often, modulo 2, the values with this ``word`` in bits 6 to 8 have each number (0 to 63) in the last six."""
+    mine = F.filter(values, lambda x: x.bitwiseAND(F.lit(64 * (WORDS - 1))) == 64 * word)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def block_links(met: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between components that the pairs of two blocks show; pairs do not leave the task that joins them."""
-    marks = ("low", "high")
-    rows = stored(met.select("*", *(bits("apart", 64 * k).alias(m) for k, m in enumerate(marks))), "blocks")
+    marks = [f"mark{k}" for k in range(WORDS)]
+    rows = stored(met.select("*", *(parity("apart", k).alias(m) for k, m in enumerate(marks))), "blocks")
     keys = ["center", "left", "right"]
-    sides = [rows.where(F.col("block") == F.col(side)).select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("n", "group", "apart", *marks))) for side in ("left", "right")]
+    sides = [rows.where(F.col("block") == F.col(side)).select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("nid", "n", "group", "apart", *marks))) for side in ("left", "right")]
     sizes = [F.size(f"apart_{side}") for side in ("left", "right")]
-    # Sizes and bits rule most pairs out before members are compared: sets differ in a member at least for every bit that differs.
-    differ = F.bit_count(F.col("low_left").bitwiseXOR(F.col("low_right"))) + F.bit_count(F.col("high_left").bitwiseXOR(F.col("high_right")))
-    may = (F.col("group_left") != F.col("group_right")) & similar("n_left", "n_right", F.greatest(F.abs(sizes[0] - sizes[1]), differ), num, den)
+    # Sizes and parities rule most pairs out before members are compared: sets differ in a member at least for every bit that differs.
+    differ = sum((F.bit_count(F.col(f"{m}_left").bitwiseXOR(F.col(f"{m}_right"))) for m in marks), F.lit(0))
+    # A block that meets itself shows each pair from both sides; one is enough.
+    once = (F.col("left") != F.col("right")) | (F.col("nid_left") < F.col("nid_right"))
+    may = once & (F.col("group_left") != F.col("group_right")) & similar("n_left", "n_right", F.abs(sizes[0] - sizes[1]), num, den) & similar("n_left", "n_right", differ, num, den)
     apart = sizes[0] + sizes[1] - 2 * F.size(F.array_intersect("apart_left", "apart_right"))
     pairs = sides[0].join(sides[1], keys).where(may & similar("n_left", "n_right", apart, num, den))
     return pairs.select(F.least("group_left", "group_right").alias("a"), F.greatest("group_left", "group_right").alias("b")).distinct()
@@ -158,8 +164,9 @@ def block_links(met: DataFrame, num: int, den: int) -> DataFrame:
 def line_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(node, first): the first line (lacking, doc_id, line_no) of the class of every distinct line."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("lacking"), "doc_id", "line_no", "mark")).alias("own")
-    once = describe(docs).groupBy("node").agg(least, F.first("bands").alias("bands"))
-    nodes = stored(once.withColumn("nid", F.monotonically_increasing_id()), "lines")
+    # Equal lines become one before their shingles are made; these stay where the line is and need no further exchange.
+    once = keyed(docs).groupBy("node").agg(least, F.first("line").alias("line"))
+    nodes = stored(signed(once, ["node", "own"]).select("node", "own", "bands").withColumn("nid", F.monotonically_increasing_id()), "lines")
     met = []
 
     def sets_of(asked: DataFrame) -> DataFrame:
