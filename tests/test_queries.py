@@ -47,3 +47,8 @@ def cut_dir(con, sf_dir, tmp_path_factory):
 def test_field_extract_of_cut_entities(spark, cut_dir):
     q = QUERIES["field_extract"]
     assert compare(q.run(spark, cut_dir), oracle(cut_dir), q.sql) is None
+
+
+def test_page_text_corpus_of_cut_entities(spark, cut_dir):
+    q = QUERIES["page_text_corpus"]
+    assert compare(q.run(spark, cut_dir), oracle(cut_dir), q.sql) is None
