@@ -52,3 +52,8 @@ def test_field_extract_of_cut_entities(spark, cut_dir):
 def test_page_text_corpus_of_cut_entities(spark, cut_dir):
     q = QUERIES["page_text_corpus"]
     assert compare(q.run(spark, cut_dir), oracle(cut_dir), q.sql) is None
+
+
+def test_page_titles_of_cut_entities(spark, cut_dir):
+    q = QUERIES["page_titles"]
+    assert compare(q.run(spark, cut_dir), oracle(cut_dir), q.sql) is None
