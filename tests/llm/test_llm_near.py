@@ -2,17 +2,20 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from webloom.llm import line_dedup, minhash_dedup, near
 from webloom.llm.components import components
 from webloom.llm.sketch import BINS, EMPTY, difference, distinct, overlaps, sketches
 from webloom.llm.tokens import Words, hash_strings, mix, slices
+from webloom.session import stored
 
 
 def test_words_are_those_of_the_pattern():
@@ -273,3 +276,37 @@ def test_equal_lines_are_signed_once(spark, monkeypatch):
     docs = [(i, "the same line\nand the same again\nthe same line") for i in range(30)]
     rows = line_dedup.judged(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert seen == [2] and len(rows) == 90 and {(r["class_doc"], r["class_line"]) for r in rows} == {(0, 0), (0, 1)}
+
+
+def test_a_line_is_stored_once_however_many_blocks_it_meets(spark, monkeypatch):
+    kept = []
+    real = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name="stage": (kept.append(real(df, name)) or kept[-1]) if name == "blocks" else real(df, name))
+    for module in (near, line_dedup):
+        monkeypatch.setattr(module, "BLOCK_NODES", 4, raising=False)
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghij") for _ in range(200))
+    # Lines on both sides of the threshold, around one center.
+    texts = ["".join(rng.choice("xyz") if i in cut else c for i, c in enumerate(base)) for cut in (rng.sample(range(5, 200, 15), rng.choice([0, 1, 2, 3])) for _ in range(60))]
+    names = sorted(set(texts))
+    sets = [{x[i : i + 10] for i in range(len(x) - 9)} for x in names]
+    links = [(i, j) for i, j in combinations(range(len(names)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    group = grouped_by_links(range(len(names)), links)
+    first = {}
+    for i, x in enumerate(texts):
+        first.setdefault(group[names.index(x)], i)
+    rows = line_dedup.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_doc"] for r in rows} == {i: first[group[names.index(x)]] for i, x in enumerate(texts)}
+    assert kept[0].count() == kept[0].select("center", "nid").distinct().count() > 8 * 4
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    files = lambda: {str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    rows = stored(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count())
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and rows.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -22,7 +22,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.near import linked_sets
+from webloom.llm.near import in_pairs, linked_sets
 from webloom.session import stored
 
 SHINGLE = 10
@@ -40,6 +40,9 @@ TARGETS = [[_random.getrandbits(64) - (1 << 63) for _ in range(BAND)] for _ in r
 BITS_A_PLACE, PAGE, MOST_BITS = 16, 4096 * 8, 28
 # Words of 64 bits, a power of two, that tell most differences of lines apart.
 WORDS = 8
+# Nodes of a block of lines, of which tasks keep few: the larger, the fewer times a node of a large band goes through the join.
+BLOCK_NODES = 2048
+MARKS = [f"mark{k}" for k in range(WORDS)]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -144,15 +147,24 @@ def parity(values: str, word: int) -> Column:
     return F.aggregate(mine, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with the parities of ``apart`` as MARKS."""
+    return rows.select("*", *(parity("apart", k).alias(m) for k, m in enumerate(MARKS)))
+
+
+def links_of_lines(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """As ``near.links_in_blocks``, of lines. A node is stored once, however many pairs of blocks it is in."""
+    return block_links(in_pairs(stored(marked(rows), "blocks")), num, den)
+
+
 def block_links(met: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between components that the pairs of two blocks show; pairs do not leave the task that joins them."""
-    marks = [f"mark{k}" for k in range(WORDS)]
-    rows = stored(met.select("*", *(parity("apart", k).alias(m) for k, m in enumerate(marks))), "blocks")
+    rows = met if set(MARKS) <= set(met.columns) else marked(met)
     keys = ["center", "left", "right"]
-    sides = [rows.where(F.col("block") == F.col(side)).select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("nid", "n", "group", "apart", *marks))) for side in ("left", "right")]
+    sides = [rows.where(F.col("block") == F.col(side)).select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("nid", "n", "group", "apart", *MARKS))) for side in ("left", "right")]
     sizes = [F.size(f"apart_{side}") for side in ("left", "right")]
     # Sizes and parities rule most pairs out before members are compared: sets differ in a member at least for every bit that differs.
-    differ = sum((F.bit_count(F.col(f"{m}_left").bitwiseXOR(F.col(f"{m}_right"))) for m in marks), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{m}_left").bitwiseXOR(F.col(f"{m}_right"))) for m in MARKS), F.lit(0))
     # A block that meets itself shows each pair from both sides; one is enough.
     once = (F.col("left") != F.col("right")) | (F.col("nid_left") < F.col("nid_right"))
     may = once & (F.col("group_left") != F.col("group_right")) & similar("n_left", "n_right", F.abs(sizes[0] - sizes[1]), num, den) & similar("n_left", "n_right", differ, num, den)
@@ -174,7 +186,7 @@ def line_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
         return lines_at(docs, met[0])
 
     # Lines are a tenth of their sets: they go through the joins, and sets are made where two lines meet.
-    groups = linked_sets(nodes, sets_of, num, den, compared, block_links)
+    groups = linked_sets(nodes, sets_of, num, den, compared, links_of_lines, BLOCK_NODES)
     place = F.struct("own.lacking", "own.doc_id", "own.line_no").alias("own")
     # Only lines that met another can be in a group.
     several = stored(met[0].select("nid", "node", place).join(groups, "nid"), "line_groups")

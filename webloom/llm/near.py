@@ -76,8 +76,8 @@ def compared(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return rows.mapInArrow(run, "center long, nid long, n long, center_n long, linked boolean, apart binary")
 
 
-def dealt(stars: DataFrame, groups: DataFrame) -> DataFrame:
-    """Nodes whose center has a node outside its own component, once for each pair of blocks (left, right) they are in.
+def dealt(stars: DataFrame, groups: DataFrame, most: int) -> DataFrame:
+    """Nodes whose center has a node outside its own component, with their block of ``most`` nodes and the blocks (others) it meets.
 
     Nodes outside and inside the center's component have blocks of their own; two inside blocks need no comparison.
     """
@@ -88,15 +88,20 @@ def dealt(stars: DataFrame, groups: DataFrame) -> DataFrame:
     theirs = groups.withColumnRenamed("component", "center_group").withColumnRenamed("node", "center")
     named = narrow.join(own, "nid", "left").join(theirs, "center", "left")
     named = named.withColumn("group", F.coalesce("group", "nid")).withColumn("outside", F.col("group") != F.coalesce("center_group", "center"))
-    blocks = lambda part: F.ceil(F.greatest(F.sum(part.cast("long")) / BLOCK_NODES, F.sum(F.when(part, F.col("size"))) / BLOCK_BYTES))
+    blocks = lambda part: F.ceil(F.greatest(F.sum(part.cast("long")) / most, F.sum(F.when(part, F.col("size"))) / BLOCK_BYTES))
     sizes = named.groupBy("center").agg(blocks(F.col("outside")).alias("outer"), blocks(~F.col("outside")).alias("inner"), F.count(F.lit(1)).alias("nodes"))
     sizes = stored(sizes.where("nodes > 1 AND outer > 0").withColumn("inner", F.coalesce("inner", F.lit(0))), "block_sizes")
     spot = F.pmod(F.xxhash64("nid"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner")))
     placed = named.join(sizes, "center").withColumn("block", spot + F.when(F.col("outside"), 0).otherwise(F.col("outer")))
     others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("outside"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
     whole = placed.select("*", others.alias("others")).join(stars.select("center", "nid", "apart"), ["center", "nid"])
-    met = whole.withColumn("other", F.explode("others"))
-    return met.select("center", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "nid", "n", "group", "apart")
+    return whole.select("center", "block", "others", "nid", "n", "group", "apart")
+
+
+def in_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of ``dealt``, once for each pair of blocks (left, right) they are in."""
+    met = rows.withColumn("other", F.explode("others"))
+    return met.select(F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), *(c for c in rows.columns if c != "others"))
 
 
 def block_links(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
@@ -126,8 +131,9 @@ def block_links(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
     return found
 
 
-def links_in_blocks(met: DataFrame, num: int, den: int) -> DataFrame:
+def links_in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) of all pairs of blocks; a task keeps one pair of blocks at a time."""
+    columns = ["center", "left", "right", "block", "nid", "n", "group", "apart"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -148,16 +154,22 @@ def links_in_blocks(met: DataFrame, num: int, den: int) -> DataFrame:
         yield flush()
 
     keys = ["center", "left", "right"]
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return in_pairs(rows).select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def linked_sets(
-    nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int = 80, den: int = 100, compare: Callable[..., DataFrame] = compared, links: Callable[..., DataFrame] = links_in_blocks
+    nodes: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    num: int = 80,
+    den: int = 100,
+    compare: Callable[..., DataFrame] = compared,
+    links: Callable[..., DataFrame] = links_in_blocks,
+    block_nodes: int | None = None,
 ) -> DataFrame:
     """(nid, component) of all ``nodes`` (nid, node, bands) that have a link.
 
     ``sets_of`` gives (nid, members) for nodes (nid, node and what else they have): the sorted full sets, or what ``compare`` makes them from.
-    ``compare`` and ``links`` do as ``compared`` and ``links_in_blocks``.
+    ``compare`` and ``links`` do as ``compared`` and ``links_in_blocks``; a block holds ``block_nodes`` (BLOCK_NODES) nodes.
     """
     stars = stored(crowded_bands(nodes).where("nid <> center").select("center", "nid").distinct(), "stars")
     asked = stars.select("nid").union(stars.select("center")).distinct()
@@ -165,5 +177,5 @@ def linked_sets(
     seen = stored(compare(stars, sets, num, den), "compared")
     direct = seen.where("linked").select(*ordered(F.col("center"), F.col("nid")))
     first = stored(components(direct), "groups")
-    more = stored(links(dealt(seen, first), num, den), "block_links")
+    more = stored(links(dealt(seen, first, block_nodes or BLOCK_NODES), num, den), "block_links")
     return components(direct.union(more)).withColumnRenamed("node", "nid")
